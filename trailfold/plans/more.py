@@ -1,3 +1,5 @@
 """Further registered queries (split from ``catalog`` by operator family)."""
 
 from __future__ import annotations
+
+from trailfold.plans import trace_queries  # noqa: F401

@@ -12,7 +12,7 @@ from trailfold.schemas import FEATURES
 _RULE_LIST = "[" + ", ".join(f"'{r}'" for r in FEATURES) + "]"
 
 LENS_CTES = f"""
-WITH ev0 AS (
+WITH RECURSIVE ev0 AS (
   SELECT user_id, event_id, ts,
          CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS k,
          epoch_us(ts) AS us,
@@ -84,3 +84,91 @@ def q(select: str, *ctes: str) -> str:
 
 FEATURE_COUNTS = "fc AS (SELECT experiment, " + ", ".join(
     f"count_if(RuleName = '{f}') AS {f}" for f in FEATURES) + " FROM trace GROUP BY experiment)"
+
+
+# Shared CTE fragments over the trace lens -------------------------------
+ROOT = """ld AS (SELECT experiment, max(ingest_seq) AS s FROM trace WHERE RuleName = 'detonation' GROUP BY experiment),
+fe AS (SELECT experiment, min(ingest_seq) AS s FROM trace GROUP BY experiment),
+root AS (
+  SELECT fe.experiment,
+         CASE WHEN t1.child_guid IS NOT NULL AND t1.child_guid <> '' THEN t1.child_guid ELSE t2.parent_guid END
+           AS root_guid
+  FROM fe LEFT JOIN ld ON ld.experiment = fe.experiment
+  LEFT JOIN trace t1 ON t1.experiment = ld.experiment AND t1.ingest_seq = ld.s
+  JOIN trace t2 ON t2.experiment = fe.experiment AND t2.ingest_seq = fe.s)"""
+
+EDGES = """edges AS (SELECT experiment, parent_guid, child_guid FROM trace
+  WHERE RuleName = 'process_create' AND parent_guid IS NOT NULL AND child_guid IS NOT NULL)"""
+
+FANOUT = """fo AS (SELECT experiment, parent_guid, count(*) AS children FROM edges GROUP BY experiment, parent_guid)"""
+
+PROCS = """procs AS (
+  SELECT experiment, count(*) AS processes FROM (
+    SELECT experiment, parent_guid AS g FROM trace
+    UNION SELECT experiment, child_guid AS g FROM trace WHERE RuleName = 'process_create')
+  WHERE g IS NOT NULL GROUP BY experiment)"""
+
+DEPTH = """de AS (SELECT DISTINCT experiment, parent_guid AS node, child_guid AS child FROM edges),
+nn AS (SELECT experiment, count(*) + 1 AS bound FROM de GROUP BY experiment),
+walk(experiment, node, depth) AS (
+  SELECT experiment, root_guid, 1 FROM root
+  UNION
+  SELECT w.experiment, de.child, w.depth + 1
+  FROM walk w JOIN de ON w.experiment = de.experiment AND w.node = de.node
+  JOIN nn ON nn.experiment = w.experiment
+  WHERE w.depth <= nn.bound),
+depth AS (
+  SELECT experiment, CAST(max(d) AS BIGINT) AS max_tree_depth
+  FROM (SELECT experiment, node, min(depth) AS d FROM walk GROUP BY experiment, node)
+  GROUP BY experiment)"""
+
+STARTS = """st AS (
+  SELECT c.experiment, c.ingest_seq, c.RuleName AS rule
+  FROM trace c LEFT JOIN trace p ON p.experiment = c.experiment AND p.ingest_seq = c.ingest_seq - 1
+  WHERE p.RuleName IS NULL OR p.RuleName <> c.RuleName),
+ls AS (SELECT experiment, max(ingest_seq) AS last_seq FROM trace GROUP BY experiment),
+runs AS (
+  SELECT st.experiment,
+         CAST(row_number() OVER (PARTITION BY st.experiment ORDER BY st.ingest_seq) AS BIGINT) AS run_no,
+         rule,
+         CAST(coalesce(lead(st.ingest_seq) OVER (PARTITION BY st.experiment ORDER BY st.ingest_seq),
+                       ls.last_seq + 1) - st.ingest_seq AS BIGINT) AS run_len
+  FROM st JOIN ls ON ls.experiment = st.experiment)"""
+
+BIGRAMS = """bg AS (SELECT a.experiment, a.RuleName AS a, b.RuleName AS b
+  FROM trace a JOIN trace b ON a.experiment = b.experiment AND b.ingest_seq = a.ingest_seq + 1),
+bgc AS (SELECT experiment, a, b, count(*) AS n FROM bg GROUP BY experiment, a, b)"""
+
+BOUNDS = """b AS (SELECT experiment, count(*) AS n, min(t_us) AS f,
+    greatest(0.0, (max(t_us) - min(t_us)) / 1e6) AS dur FROM trace GROUP BY experiment),
+bins AS (SELECT t.experiment, floor((t.t_us - b.f) / 1e6) AS sec, count(*) AS c
+    FROM trace t JOIN b ON b.experiment = t.experiment GROUP BY t.experiment, sec),
+pk AS (SELECT experiment, max(c) AS peak FROM bins GROUP BY experiment),
+rates AS (
+  SELECT b.experiment, b.n AS total_events, round_even(b.dur, 3) AS duration_seconds,
+         CASE WHEN b.dur > 0 THEN round_even(b.n / greatest(1.0, b.dur), 2) ELSE CAST(b.n AS DOUBLE) END
+           AS avg_events_per_sec,
+         CAST(CASE WHEN b.dur > 0 THEN pk.peak ELSE b.n END AS BIGINT) AS peak_events_per_sec
+  FROM b JOIN pk ON pk.experiment = b.experiment)"""
+
+
+def _fam(rule_pred: str, name: str) -> str:
+    return (f"CAST(count(DISTINCT CASE WHEN {rule_pred} THEN child_name END) + "
+            f"max(CASE WHEN {rule_pred} AND child_name IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS {name}")
+
+
+ENTITIES = ("fam AS (SELECT experiment, "
+            + ", ".join([_fam("RuleName = 'file_create'", "unique_files_created"),
+                         _fam("RuleName = 'image_load'", "unique_images_loaded"),
+                         _fam("starts_with(RuleName, 'reg_')", "unique_registry_keys"),
+                         _fam("RuleName = 'net_connect'", "unique_network_connections")])
+            + " FROM trace GROUP BY experiment),\n" + PROCS + """,
+ent AS (SELECT fam.experiment, CAST(coalesce(procs.processes, 0) AS BIGINT) AS processes,
+  unique_files_created, unique_images_loaded, unique_registry_keys, unique_network_connections
+  FROM fam LEFT JOIN procs ON procs.experiment = fam.experiment)""")
+
+TREE = ROOT + ",\n" + EDGES + ",\n" + FANOUT + ",\n" + DEPTH + """,
+tf AS (SELECT root.experiment, CAST(coalesce(max(fo.children), 0) AS BIGINT) AS max_branching_factor,
+  CAST(coalesce(max(CASE WHEN fo.parent_guid = root.root_guid THEN fo.children END), 0) AS BIGINT)
+    AS root_spawned_children
+  FROM root LEFT JOIN fo ON fo.experiment = root.experiment GROUP BY root.experiment)"""
