@@ -36,6 +36,10 @@ class Inputs:
     def scores(self) -> DataFrame:
         return lens.scores(self.table("labels"), self.table("documents"))
 
+    @cached_property
+    def label_predictions(self) -> DataFrame:
+        return lens.label_predictions(self.labels)
+
     def model(self, name: str) -> DataFrame:
         return lens.model_predictions(self.table("labels"), name)
 

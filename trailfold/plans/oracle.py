@@ -54,6 +54,12 @@ scores_l AS (
          CASE WHEN (d.n_chars % 200) / 200.0 >= 0.5 THEN 'malicious' ELSE 'benign' END AS prediction,
          CASE WHEN l.quality = 1 THEN 'malicious' ELSE 'benign' END AS label
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+lp_l AS (
+  SELECT experiment, year, label, test,
+         CASE WHEN (CAST(experiment AS BIGINT) * 7919 % 1000) / 1000.0 >= 0.5 THEN 'malicious' ELSE 'benign' END
+           AS prediction,
+         CAST((CAST(experiment AS BIGINT) * 7919 % 1000) / 1000.0 AS DOUBLE) AS malware_probability
+  FROM labels_l),
 vec_l AS (
   SELECT vec_id AS id, CAST(vec_id % 10 + 2015 AS INTEGER) AS year, CAST(label AS INTEGER) AS label,
          CAST(embedding AS DOUBLE[]) AS vec
@@ -172,3 +178,55 @@ tf AS (SELECT root.experiment, CAST(coalesce(max(fo.children), 0) AS BIGINT) AS
   CAST(coalesce(max(CASE WHEN fo.parent_guid = root.root_guid THEN fo.children END), 0) AS BIGINT)
     AS root_spawned_children
   FROM root LEFT JOIN fo ON fo.experiment = root.experiment GROUP BY root.experiment)"""
+
+
+def metrics_sql(src: str, grouped: bool, undefined: str = "null", label: str = "label",
+                prediction: str = "prediction", score: str = "malware_probability") -> tuple[str, str]:
+    """CTEs ``cm`` (confusion), ``auc`` and ``met`` for the rows of CTE ``src``.
+
+    ``grouped``: groups are ``'all'`` plus ``year`` (``'unknown'`` for null),
+    as GROUPING SETS ((year), ()).  Returns (ctes, final column list).
+    """
+    if grouped:
+        gsel = ("CASE WHEN grouping(year) = 1 THEN 'all' ELSE coalesce(CAST(year AS VARCHAR), 'unknown') END AS grp")
+        gby = "GROUP BY GROUPING SETS ((year), ())"
+        gby_s = f"GROUP BY GROUPING SETS ((year, {score}), ({score}))"
+    else:
+        gsel, gby, gby_s = "'all' AS grp", "", f"GROUP BY {score}"
+    y = f"{label} = 'malicious'"
+    p = f"{prediction} = 'malicious'"
+    z = "0.0" if undefined == "zero" else "NULL"
+    if undefined == "zero":
+        f1 = f"CASE WHEN tp > 0 THEN round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / ((tp / (tp + fp)) + (tp / (tp + fn))), 9) ELSE {z} END"
+    else:
+        f1 = f"CASE WHEN tp + fn > 0 THEN round(2 * tp / (2 * tp + fp + fn), 9) ELSE {z} END"
+    ctes = f"""cm AS (SELECT {gsel}, count(*) AS n, count_if(NOT ({y})) AS benign, count_if({y}) AS malicious,
+    count_if(NOT ({y}) AND NOT ({p})) AS tn, count_if(NOT ({y}) AND {p}) AS fp,
+    count_if({y} AND NOT ({p})) AS fn, count_if({y} AND {p}) AS tp
+  FROM {src} {gby}),
+sc AS (SELECT {gsel.replace('grouping(year)', f'grouping(year)')}, {score} AS s,
+    count_if({y}) AS pos, count_if(NOT ({y})) AS neg FROM {src} {gby_s}),
+cum AS (SELECT grp, s, pos, neg,
+    sum(pos) OVER (PARTITION BY grp ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cp,
+    sum(neg) OVER (PARTITION BY grp ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn,
+    sum(pos) OVER (PARTITION BY grp) AS P, sum(neg) OVER (PARTITION BY grp) AS N FROM sc),
+seg AS (SELECT grp, P, N, (cn - neg) / N AS x0, cn / N AS x1, (cp - pos) / P AS y0, cp / P AS y1 FROM cum),
+auc AS (SELECT grp,
+    CASE WHEN max(P) > 0 AND max(N) > 0 THEN round(sum((x1 - x0) * (y0 + y1) / 2), 9) END AS roc_auc,
+    CASE WHEN max(P) > 0 AND max(N) > 0 THEN round(0.5 * (1 + (sum(CASE WHEN x1 <= 0.1 THEN (x1 - x0) * (y0 + y1) / 2
+                 WHEN x0 < 0.1 THEN (0.1 - x0) * (y0 + (y0 + (y1 - y0) * (0.1 - x0) / (x1 - x0))) / 2
+                 ELSE 0 END) - 0.005) / (0.1 - 0.005)), 9) END AS partial_auc_max_fpr_0_1
+  FROM seg GROUP BY grp),
+met AS (SELECT cm.grp, n, benign, malicious, tn, fp, fn, tp,
+    CASE WHEN n > 0 THEN round((tp + tn) / n, 9) ELSE {z} END AS accuracy,
+    CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 9) ELSE {z} END AS malware_recall,
+    CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 9) ELSE {z} END AS malware_precision,
+    {f1} AS malware_f1,
+    CASE WHEN tn + fp > 0 THEN round(fp / (tn + fp), 9) ELSE {z} END AS benign_fpr,
+    CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN round((tp / (tp + fn) + tn / (tn + fp)) / 2, 9) ELSE {z} END
+      AS balanced_accuracy,
+    auc.roc_auc, auc.partial_auc_max_fpr_0_1
+  FROM cm LEFT JOIN auc ON auc.grp = cm.grp)"""
+    cols = ("n, benign, malicious, tn, fp, fn, tp, accuracy, malware_recall, malware_precision, malware_f1, "
+            "benign_fpr, balanced_accuracy, roc_auc, partial_auc_max_fpr_0_1")
+    return ctes, cols

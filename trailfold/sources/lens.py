@@ -117,6 +117,21 @@ def model_predictions(labels_tbl: DataFrame, model: str) -> DataFrame:
     )
 
 
+def label_predictions(labels_tbl: DataFrame) -> DataFrame:
+    """Predictions over the label lens: ``experiment, year, label, prediction, malware_probability``.
+
+    The score is an arithmetic function of the experiment id, so odd years
+    (one class only, by construction of the label lens) exercise the
+    undefined-metric policies.
+    """
+    uid = F.col("experiment").cast("long")
+    p = (uid * 7919 % 1000) / F.lit(1000.0)
+    return labels_tbl.select(
+        "experiment", "year", "label", "test",
+        F.when(p >= 0.5, "malicious").otherwise("benign").alias("prediction"),
+        p.cast("double").alias("malware_probability"))
+
+
 def knn_vectors(embeddings: DataFrame) -> DataFrame:
     """k-NN lens: ``id, year, label, vec`` with the temporal year rule."""
     return embeddings.select(
