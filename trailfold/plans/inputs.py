@@ -43,6 +43,14 @@ class Inputs:
     def model(self, name: str) -> DataFrame:
         return lens.model_predictions(self.table("labels"), name)
 
+    @cached_property
+    def replies(self) -> DataFrame:
+        return lens.replies(self.table("documents"))
+
+    @cached_property
+    def cache_rows(self) -> DataFrame:
+        return lens.cache_rows(self.table("events"))
+
     @cached_property
     def vectors(self) -> DataFrame:
         return lens.knn_vectors(self.table("embeddings"))

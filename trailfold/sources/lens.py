@@ -142,6 +142,45 @@ def knn_vectors(embeddings: DataFrame) -> DataFrame:
     )
 
 
+# --- fixed values: model replies of the replies lens (the 11 malformed cases, one valid, one fenced) ---
+REPLIES = [
+    "",
+    "Not JSON at all",
+    '{"prediction": "benign"',
+    '{"prediction": "unknown", "malware_probability": 0.5, "confidence": 0.5, "evidence": []}',
+    '{"malware_probability": 0.5, "confidence": 0.5, "evidence": []}',
+    '{"prediction": "benign", "confidence": 0.5, "evidence": []}',
+    '{"prediction": "benign", "malware_probability": 1.5, "confidence": 0.5, "evidence": []}',
+    '{"prediction": "benign", "malware_probability": -0.2, "confidence": 0.5, "evidence": []}',
+    '{"prediction": "benign", "malware_probability": "low", "confidence": 0.5, "evidence": []}',
+    '{"prediction": "benign", "malware_probability": 0.2, "confidence": 0.8, "evidence": "not a list"}',
+    '{"prediction": "malicious", "malware_probability": 0.9, "confidence": 2.0, "evidence": []}',
+    '{"prediction": "malicious", "malware_probability": 0.85, "confidence": 0.9, '
+    '"evidence": ["high process creation", "network burst"]}',
+    '```json\n{"prediction": "benign", "malware_probability": 0.1, "confidence": 0.7, "evidence": ["quiet"]}\n```',
+]
+# --- end fixed values ---
+
+
+def replies(documents: DataFrame) -> DataFrame:
+    """Replies lens: ``doc_id, raw`` — reply text chosen by ``doc_id % 13``."""
+    arr = F.array(*[F.lit(r) for r in REPLIES])
+    return documents.select("doc_id", F.element_at(arr, (F.col("doc_id") % len(REPLIES) + 1).cast("int"))
+                            .alias("raw"))
+
+
+def cache_rows(events: DataFrame) -> DataFrame:
+    """Upsert/cache lens: every event is an appended cache write keyed by ``user_id``."""
+    return events.select(
+        F.col("user_id").cast("string").alias("cache_key"),
+        F.col("user_id").cast("string").alias("experiment_id"),
+        F.col("props").alias("raw_response"),
+        F.when(F.col("event_type") == "error", "validation_error: JSONDecodeError")
+         .otherwise("success").alias("status"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
+        F.col("event_id"))
+
+
 def load_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace_events(read_table(spark, sf_dir, "events"))
 
