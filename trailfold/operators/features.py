@@ -186,6 +186,26 @@ def domain_f(trace: DataFrame) -> DataFrame:
     )
 
 
+DOMAIN_COLUMNS = {
+    "A": ["max_tree_depth", "max_branching_factor", "total_processes", "root_spawned_children",
+          "depth_to_process_ratio", "branching_to_process_ratio", "root_fanout_share", "non_root_processes",
+          "process_density_per_sec", "process_chain_complexity", "leaf_process_ratio",
+          "is_single_process_execution"],
+    "B": ["duration_seconds", "avg_events_per_sec", "peak_events_per_sec", "burst_ratio", "log1p_total_events",
+          "log1p_duration", "event_acceleration", "is_subsecond_execution", "is_timeout_execution",
+          "event_density"],
+    "C": ["unique_files_created", "unique_images_loaded", "unique_registry_keys", "unique_network_connections",
+          "file_churn_ratio", "registry_churn_ratio", "image_churn_ratio", "network_fanout_ratio",
+          "total_unique_entities", "entity_diversity_score", "file_per_process", "reg_per_process"],
+    "D": ["root_total_actions", "root_action_share", "root_process_creates", "root_file_creates",
+          "root_reg_writes", "root_net_connects", "is_root_sole_actor", "top_process_dominance",
+          "root_to_top_process_ratio", "worker_delegation_index"],
+    "E": ["process_term_ratio", "dropper_ratio", "execution_ratio", "tampering_ratio", "persistence_intensity",
+          "network_intensity", "file_intensity", "image_intensity", "has_network_activity",
+          "has_registry_tampering", "has_deep_process_chain"],
+    "F": [n for n, _, _ in TRANSITIONS] + ["trans_reg_to_reg", "unique_transition_types", "transition_entropy"],
+}
+
 DOMAINS = {"A": domain_a, "B": domain_b, "C": domain_c, "D": domain_d, "E": domain_e, "F": domain_f}
 
 
