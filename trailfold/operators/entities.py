@@ -11,12 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FAMILIES = {
-    "unique_files_created": F.col("RuleName") == "file_create",
-    "unique_images_loaded": F.col("RuleName") == "image_load",
-    "unique_registry_keys": F.col("RuleName").startswith("reg_"),
-    "unique_network_connections": F.col("RuleName") == "net_connect",
-}
+FAMILY_NAMES = ["unique_files_created", "unique_images_loaded", "unique_registry_keys",
+                "unique_network_connections"]
+
+
+def families() -> dict[str, Column]:
+    """Rule-family predicates (registry = any ``reg_`` rule)."""
+    r = F.col("RuleName")
+    return dict(zip(FAMILY_NAMES, [r == "file_create", r == "image_load", r.startswith("reg_"),
+                                   r == "net_connect"]))
 
 
 def _distinct_with_null(cond: Column, x: Column) -> Column:
@@ -40,8 +43,8 @@ def entity_counts(trace: DataFrame) -> DataFrame:
     """``experiment, processes, unique_files_created, unique_images_loaded,
     unique_registry_keys, unique_network_connections``."""
     fam = trace.groupBy("experiment").agg(
-        *[_distinct_with_null(c, F.col("child_name")).alias(n) for n, c in FAMILIES.items()])
+        *[_distinct_with_null(c, F.col("child_name")).alias(n) for n, c in families().items()])
     procs = process_counts(trace)
     return (fam.join(procs, "experiment", "left")
             .select("experiment", F.coalesce("processes", F.lit(0)).cast("long").alias("processes"),
-                    *FAMILIES.keys()))
+                    *FAMILY_NAMES))
