@@ -9,6 +9,8 @@ into the session's checkpoint folder.
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,39 +62,47 @@ def tree_fanout(trace: DataFrame) -> DataFrame:
                     F.coalesce("root_spawned_children", F.lit(0)).cast("long").alias("root_spawned_children")))
 
 
+_DEPTHS: "weakref.WeakKeyDictionary[DataFrame, DataFrame]" = weakref.WeakKeyDictionary()
+
+
 def node_depths(trace: DataFrame, max_levels: int = 100000) -> DataFrame:
     """TR-02: ``experiment, node, depth`` — BFS hop count from the root + 1, cycle-safe.
 
-    Each level joins the frontier to the distinct edge list and removes
-    nodes already visited (``left_anti``); the loop ends when no experiment
-    has a new node.  Every ``CHECKPOINT_EVERY`` levels the visited set is
-    checkpointed to the shared checkpoint folder so the plan stays small
-    and a lost executor only recomputes from the last checkpoint.
+    Level-synchronous BFS over all experiments at once.  The state table
+    holds every node reached so far with its smallest depth; each level
+    joins the current frontier (nodes first reached at the previous level)
+    to the distinct edge list and merges the candidates into the state with
+    ``min(depth)`` — one join and one aggregate per level.  A node already
+    in the state never re-enters the frontier, so cycles terminate.  The
+    state is checkpointed (reliable, shared folder) every level, so a lost
+    executor recomputes one level at most and the plan never grows.
+    Results are memoised per trace DataFrame (several operators need them).
     """
+    hit = _DEPTHS.get(trace)
+    if hit is not None:
+        return hit
     spark = trace.sparkSession
     checkpoint_dir(spark)
     edges = (tree_edges(trace).select("experiment", F.col("parent_guid").alias("node"),
                                       F.col("child_guid").alias("child"))
              .distinct().checkpoint())
-    frontier = (root_process(trace)
-                .select("experiment", F.col("root_guid").alias("node"), F.lit(1).alias("depth")))
-    frontier = frontier.checkpoint()
-    visited = frontier
+    state = (root_process(trace)
+             .select("experiment", F.col("root_guid").alias("node"), F.lit(1).alias("depth"))
+             .checkpoint())
     level = 1
     while level < max_levels:
-        nxt = (frontier.where(F.col("node").isNotNull()).join(edges, ["experiment", "node"])
-               .select("experiment", F.col("child").alias("node"), (F.col("depth") + 1).alias("depth"))
-               .distinct()
-               .join(visited.select("experiment", "node"), ["experiment", "node"], "left_anti"))
-        nxt = nxt.checkpoint()
-        if nxt.isEmpty():
+        frontier = state.where((F.col("depth") == level) & F.col("node").isNotNull())
+        cand = (frontier.join(edges, ["experiment", "node"])
+                .select("experiment", F.col("child").alias("node"), F.lit(level + 1).alias("depth")))
+        merged = (state.unionByName(cand).groupBy("experiment", "node")
+                  .agg(F.min("depth").alias("depth")).checkpoint())
+        if merged.where(F.col("depth") == level + 1).isEmpty():
+            state = merged
             break
-        visited = visited.unionByName(nxt)
-        if level % CHECKPOINT_EVERY == 0:
-            visited = visited.checkpoint()
-        frontier = nxt
+        state = merged
         level += 1
-    return visited.checkpoint()
+    _DEPTHS[trace] = state
+    return state
 
 
 def tree_depth(trace: DataFrame) -> DataFrame:
