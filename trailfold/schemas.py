@@ -95,3 +95,22 @@ AUDIT_COLUMNS = [
     "malware_probability", "confidence", "latency_sec", "prompt_tokens", "completion_tokens",
     "evidence_count",
 ]
+
+SUMMARY_JSON = T.StructType([
+    T.StructField("experiment_id", T.StringType()),
+    T.StructField("total_events", T.LongType()),
+    T.StructField("duration_seconds", T.DoubleType()),
+    T.StructField("avg_events_per_sec", T.DoubleType()),
+    T.StructField("peak_events_per_sec", T.LongType()),
+    T.StructField("rule_counts", T.MapType(T.StringType(), T.LongType())),
+    T.StructField("entity_counts", T.StructType([T.StructField(n, T.LongType()) for n in (
+        "processes", "unique_files_created", "unique_images_loaded", "unique_registry_keys",
+        "unique_network_connections")])),
+    T.StructField("process_tree", T.StructType([T.StructField(n, T.LongType()) for n in (
+        "total_processes", "max_tree_depth", "max_branching_factor", "root_spawned_children")])),
+    T.StructField("event_sequence_compressed", T.ArrayType(T.StringType())),
+    T.StructField("top_processes", T.ArrayType(T.StructType([
+        T.StructField("process_id", T.StringType()), T.StructField("is_root", T.BooleanType()),
+        T.StructField("total_actions", T.LongType()), T.StructField("children_spawned", T.LongType()),
+        T.StructField("action_breakdown", T.MapType(T.StringType(), T.LongType()))]))),
+])
