@@ -22,16 +22,17 @@ from trailfold.sources.sinks import write_summary_store
 
 
 def shard_stream(spark: SparkSession, shard_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """Streaming read of JSON-lines shard files with fixed schema, ``shard_id`` and file position."""
+    """Streaming read of JSON-lines shard files with fixed schema and ``shard_id``."""
     raw = (spark.readStream.schema(RAW_EVENTS).option("maxFilesPerTrigger", files_per_trigger)
            .json(shard_dir))
     shard = F.regexp_extract(F.input_file_name(), r"(\d+)\.json[^/]*$", 1).cast("int")
-    return raw.withColumn("shard_id", shard).withColumn("file_pos", F.monotonically_increasing_id())
+    return raw.withColumn("shard_id", shard)
 
 
 def summarise_batch(store_path: str):
     def run(batch: DataFrame, epoch_id: int) -> None:  # noqa: ARG001 - Spark passes the epoch
-        landed = land_events(batch).checkpoint()
+        # file position is assigned on the (static) micro-batch
+        landed = land_events(batch.withColumn("file_pos", F.monotonically_increasing_id())).checkpoint()
         write_summary_store(summary_record(trace_summary(landed)), store_path)
     return run
 
