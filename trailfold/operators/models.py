@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,20 +109,39 @@ def ablation(df: DataFrame, families: dict[str, list[str]], base: list[str] = FE
             for name, cols in sets]
 
 
-def sequence_model(docs: DataFrame, train_filter, min_df: float = 1.0) -> DataFrame:
-    """ML-07: n-gram counts → sub-linear TF (log1p) → IDF → logistic regression.
+def sequence_model(gram_counts: DataFrame, labels: DataFrame, train_filter, min_df: int = 1) -> DataFrame:
+    """ML-07: n-gram counts → sub-linear TF (log1p) · IDF → logistic regression.
 
-    ``docs``: ``experiment, label, grams ARRAY<STRING>, test`` (grams = run-length n-grams).
+    ``gram_counts``: ``experiment, gram, cnt`` (run-length n-grams, already
+    aggregated — a hot experiment is pre-combined, never listed event by
+    event).  The vocabulary (grams seen in ≥ ``min_df`` training
+    experiments, IDF = ln((m + 1) / (df + 1)) as MLlib's ``IDF``) is bounded
+    by the fixed rule alphabet (10 rules → at most 10² + 10³ + 10⁴ grams of
+    length 2–4), so each experiment's feature row holds at most that many
+    entries.  ``labels``: ``experiment, label, test``.
     """
-    cv = CountVectorizer(inputCol="grams", outputCol="tf_raw", minDF=min_df)
-    cvm = cv.fit(docs.where(train_filter))
-    tf = cvm.transform(docs)
     from pyspark.ml.functions import array_to_vector
-    tf = tf.withColumn("tf", array_to_vector(F.transform(vector_to_array("tf_raw"), lambda x: F.log1p(x))))
-    idf = IDF(inputCol="tf", outputCol="features").fit(tf.where(train_filter))
-    x = idf.transform(tf)
+    from trailfold.functions.ranking import position_within
+    train_ids = labels.where(train_filter).select("experiment")
+    m = train_ids.count()
+    dfreq = (gram_counts.join(train_ids, "experiment", "left_semi").groupBy("gram")
+             .agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df))
+    vocab = position_within(dfreq.withColumn("_g", F.lit(0)), ["_g"], [F.col("gram")], out="pos")
+    vocab = vocab.select("gram", (F.col("pos") - 1).cast("int").alias("idx"),
+                         F.log((F.lit(m) + 1) / (F.col("df") + 1)).alias("idf"))
+    v = max(1, vocab.count())
+    ent = (gram_counts.join(vocab, "gram")
+           .select("experiment", "idx", (F.log1p("cnt") * F.col("idf")).alias("w"))
+           .groupBy("experiment").agg(F.map_from_entries(F.collect_list(F.struct("idx", "w"))).alias("m")))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(v - 1)),
+                        lambda i: F.coalesce(F.element_at(F.col("m"), i), F.lit(0.0)))
+    x = (labels.select("experiment", "label", "test").join(ent, "experiment", "left")
+         .withColumn("m", F.coalesce("m", F.create_map().cast("map<int,double>")))
+         .withColumn("features", array_to_vector(dense))
+         .select("experiment", "label", "test", "features")
+         .checkpoint())   # read by the indexer fit and every optimizer pass
     idx = label_indexer().fit(x.where(train_filter))
     x = idx.transform(x)
     lr = LogisticRegression(featuresCol="features", labelCol="y", maxIter=100, regParam=0.01)
-    m = lr.fit(x.where(train_filter))
-    return predictions(m, x.where(~train_filter), ["experiment", "label"])
+    model = lr.fit(x.where(train_filter))
+    return predictions(model, x.where(~train_filter), ["experiment", "label"])

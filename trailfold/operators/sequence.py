@@ -64,16 +64,18 @@ def run_starts(trace: DataFrame) -> DataFrame:
 def rle_runs(trace: DataFrame) -> DataFrame:
     """WN-02: ``experiment, run_no, rule, run_len`` — every run, in order.
 
-    Run boundaries come from the join-based predecessor; numbering and
-    lengths need one ordered pass over the run starts only (fewer rows than
-    events).  The last run ends at the experiment's last event.
+    Run boundaries come from the join-based predecessor.  Run numbers are
+    exact positions of the run starts inside their experiment, computed by
+    ``position_within`` (global sort + partition offsets), so a hot
+    experiment's starts are numbered by many tasks; a run's length is the
+    distance to the next start, found by an equi-join on ``run_no + 1``.
+    The last run ends at the experiment's last event.
     """
-    starts = run_starts(trace)
+    from trailfold.functions.ranking import position_within
+    starts = position_within(run_starts(trace), ["experiment"], [F.col("ingest_seq")], out="run_no")
+    nxt = starts.select("experiment", (F.col("run_no") - 1).alias("run_no"), F.col("ingest_seq").alias("next_seq"))
     total = trace.groupBy("experiment").agg(F.max("ingest_seq").alias("last_seq"))
-    w = Window.partitionBy("experiment").orderBy("ingest_seq")
-    r = (starts.withColumn("run_no", F.row_number().over(w))
-         .withColumn("next_seq", F.lead("ingest_seq").over(w))
-         .join(total, "experiment"))
+    r = starts.join(nxt, ["experiment", "run_no"], "left").join(total, "experiment")
     return r.select("experiment", F.col("run_no").cast("long").alias("run_no"), "rule",
                     (F.coalesce(F.col("next_seq"), F.col("last_seq") + 1) - F.col("ingest_seq"))
                     .cast("long").alias("run_len"))

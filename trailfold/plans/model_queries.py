@@ -77,12 +77,8 @@ def _ablation(i: Inputs):
 @register("seq_lr_predict", None)
 def _seq_lr(i: Inputs):
     """ML-07: TF-IDF over run-length n-grams + logistic regression (official split)."""
-    g = sequence.rle_ngrams(i.trace)
-    toks = F.transform(F.sequence(F.lit(1), F.col("cnt").cast("int")), lambda _: F.col("gram"))
-    docs = (g.select("experiment", F.explode(toks).alias("tok"))
-            .groupBy("experiment").agg(F.collect_list("tok").alias("grams"))
-            .join(i.labels, "experiment"))
-    return models.sequence_model(docs, ~F.col("test"))
+    g = sequence.rle_ngrams(i.trace).select("experiment", "gram", "cnt")
+    return models.sequence_model(g, i.labels, ~F.col("test"))
 
 
 def _joined_models(i: Inputs) -> DataFrame:
