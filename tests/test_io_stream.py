@@ -66,3 +66,17 @@ def test_upsert_and_manifest(spark):
     kinds = {r.kind for r in m}
     assert kinds == {"input", "code", "meta"}
     assert [r.value for r in m if r.kind == "input"] == ["5"]
+
+
+def test_templates_read_whole(spark):
+    from trailfold.functions import prompts
+    d = tempfile.mkdtemp(prefix="tf-tmpl-")
+    paths = []
+    for n, t in (("system_prompt", prompts.SYSTEM_PROMPT), ("zero_shot_user_prompt", prompts.ZERO_SHOT_USER)):
+        p = os.path.join(d, f"{n}.txt")
+        with open(p, "w") as f:
+            f.write(t)
+        paths.append(p)
+    rows = readers.read_templates(spark, paths).collect()
+    assert len(rows) == 2
+    assert {r.template for r in rows} == {prompts.SYSTEM_PROMPT, prompts.ZERO_SHOT_USER}

@@ -171,10 +171,28 @@ def validate_reply(raw: Column) -> Column:
     range) → confidence (type, range) → evidence list.
     """
     t0 = F.trim(raw)
-    fenced = F.regexp_extract(t0, FENCE, 1)
-    has_fence = t0.rlike(FENCE)
-    text = F.when(has_fence, F.trim(fenced)).otherwise(t0)
-    v = F.try_parse_json(text)
+    text = _unfence(t0)
+    return _validated(raw, t0, text, F.try_parse_json(text))
+
+
+def _unfence(t0: Column) -> Column:
+    return F.when(t0.rlike(FENCE), F.trim(F.regexp_extract(t0, FENCE, 1))).otherwise(t0)
+
+
+def validate_frame(df: DataFrame, raw: str, out: str = "_v") -> DataFrame:
+    """``validate_reply`` staged as separate projections (trim/unfence → parse → checks).
+
+    The parsed variant is computed once per row and referenced by the checks,
+    which keeps the generated code small.
+    """
+    d = (df.withColumn("_t0", F.trim(F.col(raw)))
+         .withColumn("_txt", _unfence(F.col("_t0")))
+         .withColumn("_var", F.try_parse_json("_txt")))
+    return (d.withColumn(out, _validated(F.col(raw), F.col("_t0"), F.col("_txt"), F.col("_var")))
+            .drop("_t0", "_txt", "_var"))
+
+
+def _validated(raw: Column, t0: Column, text: Column, v: Column) -> Column:
     kind = F.schema_of_variant(v)
     is_obj = kind.startswith("OBJECT") & text.rlike(r"(?s)^\{.*\}$")
     pred = F.try_variant_get(v, "$.prediction", "string")
@@ -275,8 +293,7 @@ def score_rows(prompts: DataFrame, config: str, model: str, cache: DataFrame | N
     cols = ["experiment_id", "prompt_hash", "cache_key", "retrieved_ids", "content", "prompt_tokens",
             "completion_tokens", "latency", "error", "_cached"]
     rows = fresh.select(*cols) if reused is None else fresh.select(*cols).unionByName(reused.select(*cols))
-    val = validate_reply(F.col("content"))
-    rows = rows.withColumn("_v", val)
+    rows = validate_frame(rows, "content", "_v")
     status = (F.when(F.col("_cached"), F.lit("cached"))
               .when(F.col("error").startswith("exception: "), F.col("error"))
               .when(F.col("error").isNotNull(), F.concat(F.lit("api_error: "), F.substring("error", 1, 50)))

@@ -8,6 +8,8 @@ hash-partitioned on ``experiment`` join without a further shuffle.
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +67,16 @@ def _num(c: Column) -> Column:
 
 def summary_text(summary: DataFrame) -> DataFrame:
     """PB-01: ``experiment_id, text_repr`` — the fixed human-readable layout."""
-    s = summary
+    return summary.select("experiment_id", text_column().alias("text_repr"))
+
+
+def with_text(summary: DataFrame) -> DataFrame:
+    """The summary plus its ``text_repr`` column (one pass, no self-join)."""
+    return summary.withColumn("text_repr", text_column())
+
+
+def text_column() -> Column:
+    """PB-01 as a column expression over the summary columns."""
     ent = F.col("entity_counts")
     pt = F.col("process_tree")
     header = F.concat(
@@ -92,8 +103,7 @@ def summary_text(summary: DataFrame) -> DataFrame:
                                  lambda e: F.concat(e["key"], F.lit(": "), _num(e["value"]))), ", "))), "")
     flow = F.concat(F.lit("\n\n--- Chronological Event Flow (Run-Length Encoded) ---\n  "),
                     F.array_join("event_sequence_compressed", " -> "))
-    text = F.concat(header, rules, ents, tree_txt, F.lit("\n\n--- Top Active Process Profiles ---"), procs, flow)
-    return s.select("experiment_id", text.alias("text_repr"))
+    return F.concat(header, rules, ents, tree_txt, F.lit("\n\n--- Top Active Process Profiles ---"), procs, flow)
 
 
 def summary_record(summary: DataFrame) -> DataFrame:
@@ -102,7 +112,21 @@ def summary_record(summary: DataFrame) -> DataFrame:
     data = F.to_json(F.struct(
         "experiment_id", "total_events", "duration_seconds", "avg_events_per_sec", "peak_events_per_sec",
         "rule_counts", "entity_counts", "process_tree", "event_sequence_compressed", "top_processes"))
-    txt = summary_text(summary)
-    return (summary.join(txt, "experiment_id")
-            .select("experiment_id", "shard_id", "total_events", "duration_seconds",
-                    data.alias("json_data"), "text_repr"))
+    return summary.select("experiment_id", "shard_id", "total_events", "duration_seconds",
+                          data.alias("json_data"), text_column().alias("text_repr"))
+
+
+_STORES: "weakref.WeakKeyDictionary[DataFrame, DataFrame]" = weakref.WeakKeyDictionary()
+
+
+def summary_store(trace: DataFrame) -> DataFrame:
+    """The summary table with text, materialised once per trace (reliable checkpoint).
+
+    This is the store the scoring and retrieval steps read (the reference
+    keeps it as a table too); memoised per landed trace DataFrame.
+    """
+    hit = _STORES.get(trace)
+    if hit is None:
+        hit = with_text(trace_summary(trace)).checkpoint()
+        _STORES[trace] = hit
+    return hit

@@ -117,8 +117,7 @@ def _leak_semi(i: Inputs):
 
 
 def _summaries(i: Inputs) -> DataFrame:
-    s = summary.trace_summary(i.trace)
-    return s.join(summary.summary_text(s), "experiment_id")
+    return summary.summary_store(i.trace)
 
 
 @register("demo_block", None)
@@ -217,8 +216,7 @@ SELECT doc_id,
 FROM v5""", _VALIDATE_SQL))
 def _reply_validation(i: Inputs):
     """PB-05: strict validation of every reply of the replies lens."""
-    v = scoring.validate_reply(F.col("raw"))
-    r = i.replies.select("doc_id", v.alias("v"))
+    r = scoring.validate_frame(i.replies, "raw", "v")
     return r.select("doc_id", scoring.reply_status(F.col("v")).alias("status"),
                     F.col("v.prediction").alias("prediction"),
                     F.col("v.malware_probability").alias("malware_probability"),
@@ -248,7 +246,9 @@ def _scored(i: Inputs, config: str):
         nb = _feature_neighbors(i)
         blocks = retrieval.demo_blocks(nb, s, fv).join(retrieval.retrieved_ids(nb), "target_id", "left")
     p = scoring.build_prompts(_eval_2024(i), s, config, "mock", blocks)
-    return scoring.score_rows(p, config, "mock")
+    audit, cache = scoring.score_rows(p, config, "mock")
+    # the audit log is a stored table (SNK-04); checks and means read it back
+    return audit.checkpoint(), cache
 
 
 @register("scored_rows", None)

@@ -83,5 +83,5 @@ def read_summary_store(spark: SparkSession, path: str) -> DataFrame:
 
 def read_templates(spark: SparkSession, paths: list[str]) -> DataFrame:
     """SRC-07: prompt templates from files, one row per file (whole text)."""
-    return (spark.read.option("wholetext", True).text(paths)
+    return (spark.read.text(paths, wholetext=True)
             .select(F.input_file_name().alias("path"), F.col("value").alias("template")))
