@@ -14,16 +14,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailfold.session import checkpoint_dir
+from trailfold.session import checkpoint_dir, materialize
 
 
 def position_within(df: DataFrame, part: list[str], order: list, out: str = "pos") -> DataFrame:
     """Add ``out`` = 1-based position of each row in its ``part`` group by ``order`` (total order required)."""
     checkpoint_dir(df.sparkSession)
-    s = (df.orderBy(*part, *order)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id())
-         .checkpoint())
+    s = materialize(df.orderBy(*part, *order)
+                    .withColumn("_pid", F.spark_partition_id())
+                    .withColumn("_mid", F.monotonically_increasing_id()))
     per = s.groupBy("_pid", *part).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
     w = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from trailfold.operators import splits
 from trailfold.schemas import FEATURES
+from trailfold.session import materialize
 
 # --- fixed values: forest configuration of the baseline ---
 RF_TREES, RF_SEED, RF_MAX_DEPTH = 200, 1, 30   # unlimited depth in the reference; MLlib caps at 30
@@ -76,7 +77,7 @@ def fit_predict(train: DataFrame, test: DataFrame, pipeline: Pipeline, keep: lis
 def out_of_fold(df: DataFrame, pipeline: Pipeline, keep: list[str], k: int = CV_FOLDS,
                 seed: int = RF_SEED) -> DataFrame:
     """ML-02: stratified k folds; each fold predicted by a model fit on the others; ``p >= 0.5`` rule."""
-    folded = splits.stratified_folds(df, k, seed=seed).checkpoint()
+    folded = materialize(splits.stratified_folds(df, k, seed=seed))
     parts = []
     for f in range(k):
         train = folded.where(F.col("fold") != f)
@@ -135,11 +136,10 @@ def sequence_model(gram_counts: DataFrame, labels: DataFrame, train_filter, min_
            .groupBy("experiment").agg(F.map_from_entries(F.collect_list(F.struct("idx", "w"))).alias("m")))
     dense = F.transform(F.sequence(F.lit(0), F.lit(v - 1)),
                         lambda i: F.coalesce(F.element_at(F.col("m"), i), F.lit(0.0)))
-    x = (labels.select("experiment", "label", "test").join(ent, "experiment", "left")
+    x = materialize(labels.select("experiment", "label", "test").join(ent, "experiment", "left")
          .withColumn("m", F.coalesce("m", F.create_map().cast("map<int,double>")))
          .withColumn("features", array_to_vector(dense))
-         .select("experiment", "label", "test", "features")
-         .checkpoint())   # read by the indexer fit and every optimizer pass
+         .select("experiment", "label", "test", "features"))   # read by the indexer fit and every LR pass
     idx = label_indexer().fit(x.where(train_filter))
     x = idx.transform(x)
     lr = LogisticRegression(featuresCol="features", labelCol="y", maxIter=100, regParam=0.01)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailfold.operators import counts, entities, processes, rates, sequence, tree
+from trailfold.session import materialize
 
 ENTITY_FIELDS = ["processes", "unique_files_created", "unique_images_loaded", "unique_registry_keys",
                  "unique_network_connections"]
@@ -127,6 +128,6 @@ def summary_store(trace: DataFrame) -> DataFrame:
     """
     hit = _STORES.get(trace)
     if hit is None:
-        hit = with_text(trace_summary(trace)).checkpoint()
+        hit = materialize(with_text(trace_summary(trace)))
         _STORES[trace] = hit
     return hit

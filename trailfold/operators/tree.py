@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailfold.operators.entities import process_counts
-from trailfold.session import checkpoint_dir
+from trailfold.session import checkpoint_dir, materialize
 
 CHECKPOINT_EVERY = 4
 
@@ -83,19 +83,17 @@ def node_depths(trace: DataFrame, max_levels: int = 100000) -> DataFrame:
         return hit
     spark = trace.sparkSession
     checkpoint_dir(spark)
-    edges = (tree_edges(trace).select("experiment", F.col("parent_guid").alias("node"),
-                                      F.col("child_guid").alias("child"))
-             .distinct().checkpoint())
-    state = (root_process(trace)
-             .select("experiment", F.col("root_guid").alias("node"), F.lit(1).alias("depth"))
-             .checkpoint())
+    edges = materialize(tree_edges(trace).select("experiment", F.col("parent_guid").alias("node"),
+                                                  F.col("child_guid").alias("child")).distinct())
+    state = materialize(root_process(trace)
+                        .select("experiment", F.col("root_guid").alias("node"), F.lit(1).alias("depth")))
     level = 1
     while level < max_levels:
         frontier = state.where((F.col("depth") == level) & F.col("node").isNotNull())
         cand = (frontier.join(edges, ["experiment", "node"])
                 .select("experiment", F.col("child").alias("node"), F.lit(level + 1).alias("depth")))
-        merged = (state.unionByName(cand).groupBy("experiment", "node")
-                  .agg(F.min("depth").alias("depth")).checkpoint())
+        merged = materialize(state.unionByName(cand).groupBy("experiment", "node")
+                             .agg(F.min("depth").alias("depth")))
         if merged.where(F.col("depth") == level + 1).isEmpty():
             state = merged
             break
@@ -119,10 +117,10 @@ def tree_depth_dfs(trace: DataFrame, max_levels: int = 100000) -> DataFrame:
     """
     spark = trace.sparkSession
     checkpoint_dir(spark)
-    edges = tree_edges(trace).select("experiment", F.col("parent_guid").alias("node"),
-                                     F.col("child_guid").alias("child")).distinct().checkpoint()
+    edges = materialize(tree_edges(trace).select("experiment", F.col("parent_guid").alias("node"),
+                                                 F.col("child_guid").alias("child")).distinct())
     roots = root_process(trace).select("experiment", F.col("root_guid").alias("node"))
-    paths = roots.select("experiment", "node", F.array("node").alias("path")).checkpoint()
+    paths = materialize(roots.select("experiment", "node", F.array("node").alias("path")))
     best = paths.groupBy("experiment").agg(F.max(F.size("path")).alias("d"))
     level = 1
     while level < max_levels:
@@ -130,12 +128,12 @@ def tree_depth_dfs(trace: DataFrame, max_levels: int = 100000) -> DataFrame:
                .where(~F.array_contains("path", F.col("child")))
                .select("experiment", F.col("child").alias("node"),
                        F.concat("path", F.array("child")).alias("path")))
-        nxt = nxt.checkpoint()
+        nxt = materialize(nxt)
         if nxt.isEmpty():
             break
         best = best.unionByName(nxt.groupBy("experiment").agg(F.max(F.size("path")).alias("d")))
         if level % CHECKPOINT_EVERY == 0:
-            best = best.checkpoint()
+            best = materialize(best)
         paths = nxt
         level += 1
     return best.groupBy("experiment").agg(F.max("d").cast("long").alias("max_tree_depth"))

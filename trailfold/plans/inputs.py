@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trailfold.session import configure
 from trailfold.sources import lens
 from trailfold.sources.tables import read_table
+from trailfold.session import materialize
 
 
 class Inputs:
@@ -76,6 +77,6 @@ def landed_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
            st.st_size if st else None, st.st_mtime if st else None)
     df = _LANDED.get(key)
     if df is None:
-        df = lens.trace_events(read_table(spark, sf_dir, "events")).checkpoint()
+        df = materialize(lens.trace_events(read_table(spark, sf_dir, "events")))
         _LANDED[key] = df
     return df

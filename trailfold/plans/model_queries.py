@@ -10,6 +10,7 @@ from trailfold.plans import oracle as O
 from trailfold.plans.catalog import register
 from trailfold.plans.inputs import Inputs
 from trailfold.schemas import FEATURES
+from trailfold.session import materialize
 
 KEEP = ["experiment", "year", "label"]
 
@@ -48,7 +49,7 @@ def _rf_temporal(i: Inputs):
 def _all_features(i: Inputs) -> DataFrame:
     # Materialised once (reliable checkpoint): every fit below re-reads it.
     f = features.all_features(i.trace)
-    return f.join(i.labels, "experiment").checkpoint()
+    return materialize(f.join(i.labels, "experiment"))
 
 
 @register("gbt_predict", None)

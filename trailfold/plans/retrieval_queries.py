@@ -13,6 +13,7 @@ from trailfold.plans.catalog import register
 from trailfold.plans.inputs import Inputs
 from trailfold.schemas import FEATURES
 from trailfold.sources import lens
+from trailfold.session import materialize
 
 
 # ----------------------------------------------------------------- k-NN
@@ -248,7 +249,7 @@ def _scored(i: Inputs, config: str):
     p = scoring.build_prompts(_eval_2024(i), s, config, "mock", blocks)
     audit, cache = scoring.score_rows(p, config, "mock")
     # the audit log is a stored table (SNK-04); checks and means read it back
-    return audit.checkpoint(), cache
+    return materialize(audit), cache
 
 
 @register("scored_rows", None)

@@ -61,3 +61,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df):
+    """Reliable checkpoint computed once.
+
+    An eager ``checkpoint()`` of an unpersisted Dataset runs its plan twice
+    (one job to count, one to write the files).  Persisting first lets the
+    write read the cached blocks; the cache is dropped once the checkpoint
+    files exist, so memory is not held and lineage is cut to the shared
+    checkpoint folder.
+    """
+    from pyspark import StorageLevel
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()

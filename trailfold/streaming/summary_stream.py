@@ -19,6 +19,7 @@ from trailfold.operators.summary import summary_record, trace_summary
 from trailfold.schemas import RAW_EVENTS
 from trailfold.sources.readers import land_events
 from trailfold.sources.sinks import write_summary_store
+from trailfold.session import materialize
 
 
 def shard_stream(spark: SparkSession, shard_dir: str, files_per_trigger: int = 1) -> DataFrame:
@@ -32,7 +33,7 @@ def shard_stream(spark: SparkSession, shard_dir: str, files_per_trigger: int = 1
 def summarise_batch(store_path: str):
     def run(batch: DataFrame, epoch_id: int) -> None:  # noqa: ARG001 - Spark passes the epoch
         # file position is assigned on the (static) micro-batch
-        landed = land_events(batch.withColumn("file_pos", F.monotonically_increasing_id())).checkpoint()
+        landed = materialize(land_events(batch.withColumn("file_pos", F.monotonically_increasing_id())))
         write_summary_store(summary_record(trace_summary(landed)), store_path)
     return run
 
