@@ -83,8 +83,11 @@ def node_depths(trace: DataFrame, max_levels: int = 100000) -> DataFrame:
         return hit
     spark = trace.sparkSession
     checkpoint_dir(spark)
+    # Edge list hash-partitioned on the join key once; the checkpoint keeps that
+    # partitioning, so every level shuffles only the (small) frontier.
     edges = materialize(tree_edges(trace).select("experiment", F.col("parent_guid").alias("node"),
-                                                  F.col("child_guid").alias("child")).distinct())
+                                                  F.col("child_guid").alias("child"))
+                        .repartition("experiment", "node").distinct())
     state = materialize(root_process(trace)
                         .select("experiment", F.col("root_guid").alias("node"), F.lit(1).alias("depth")))
     level = 1
