@@ -80,3 +80,30 @@ def test_templates_read_whole(spark):
     rows = readers.read_templates(spark, paths).collect()
     assert len(rows) == 2
     assert {r.template for r in rows} == {prompts.SYSTEM_PROMPT, prompts.ZERO_SHOT_USER}
+
+
+def test_csv_round_trips(spark):
+    from pyspark.sql import functions as F
+    from trailfold.operators import compare, metrics
+    from trailfold.plans.inputs import Inputs
+    from trailfold.operators.counts import feature_matrix
+    i = Inputs(spark, "/root/testdata/sf0.001")
+    fm = feature_matrix(i.trace, i.labels)
+    d = tempfile.mkdtemp(prefix="tf-csv-")
+    sinks.write_feature_matrix(fm, os.path.join(d, "features"), fmt="csv")          # SNK-01
+    back = readers.read_feature_csv(spark, os.path.join(d, "features"))             # SRC-03
+    assert back.count() == fm.count() and back.exceptAll(fm.select(*back.columns)).count() == 0
+    paths = {}
+    for m in ("rf", "zs"):                                                           # SNK-02 / SRC-04
+        p = i.model(m).withColumn("config", F.lit(m))
+        sinks.write_predictions(p.drop("config"), os.path.join(d, f"pred_{m}"), partition_by=None)
+        p.drop("config").coalesce(1).write.option("header", True).csv(os.path.join(d, f"csv_{m}"))
+        paths[m] = os.path.join(d, f"csv_{m}")
+    models = readers.read_predictions(spark, paths)
+    assert models["rf"].count() == i.model("rf").count()
+    matched = compare.matched_join(models)
+    assert matched.count() > 0
+    a = metrics.binary_metrics(models["rf"].where(metrics.valid_mask(models["rf"])))
+    b = compare.disagreement(matched, "rf", "zs")
+    stacked = sinks.stack_metrics(a.withColumn("kind", F.lit("m")), b.withColumn("kind", F.lit("d")))  # SNK-03
+    assert stacked.count() == 2 and "both_correct" in stacked.columns and "roc_auc" in stacked.columns

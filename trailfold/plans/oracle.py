@@ -85,7 +85,29 @@ def q(select: str, *ctes: str) -> str:
     for c in ctes:
         parts.append(",\n" + c.strip())
     parts.append("\n" + select.strip())
-    return "".join(parts)
+    return bigint_counts("".join(parts))
+
+
+def bigint_counts(sql: str) -> str:
+    """DuckDB's ``count_if`` is HUGEINT; Spark's is BIGINT — cast every call."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        out.append(sql[i:j])
+        out.append("CAST(" + sql[j:k + 1] + " AS BIGINT)")
+        i = k + 1
 
 
 FEATURE_COUNTS = "fc AS (SELECT experiment, " + ", ".join(

@@ -52,9 +52,17 @@ def read_feature_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
-    """SRC-04: per-model prediction CSVs (missing columns are NULL)."""
-    return {m: spark.read.schema(PREDICTIONS).option("header", True).option("enforceSchema", False).csv(p)
-            for m, p in paths.items()}
+    """SRC-04: per-model prediction CSVs, mapped by header name onto the fixed prediction schema.
+
+    The files of different models carry different column subsets; columns are
+    read as text (no inference) and cast to the fixed types, absent ones are NULL.
+    """
+    out = {}
+    for m, p in paths.items():
+        raw = spark.read.option("header", True).option("inferSchema", False).csv(p)
+        out[m] = raw.select(*[(F.col(f.name) if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                              for f in PREDICTIONS.fields])
+    return out
 
 
 def read_cache(spark: SparkSession, path: str, model: str | None = None,
