@@ -39,7 +39,8 @@ def forest(features: list[str] = FEATURES, trees: int = RF_TREES, seed: int = RF
         VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"),
         label_indexer(),
         RandomForestClassifier(featuresCol="features", labelCol="y", numTrees=trees, impurity="gini",
-                               featureSubsetStrategy="sqrt", maxDepth=max_depth, seed=seed, maxBins=64),
+                               featureSubsetStrategy="sqrt", maxDepth=max_depth, seed=seed, maxBins=64,
+                               maxMemoryInMB=1024, cacheNodeIds=True),
     ])
 
 
