@@ -20,14 +20,18 @@ def r9(x: str) -> str:
 
 @register("trace_summary", None)
 def _trace_summary(i: Inputs):
-    """UD-01: the nested summary struct per experiment (rows-only: nested output)."""
-    return summary.trace_summary(i.trace).drop("rule_order")
+    """UD-01: the nested summary struct per experiment (rows-only: nested output).
+
+    Read from the session's summary store (built once from the landed trace,
+    then reused by text rendering, retrieval demonstrations and scoring).
+    """
+    return summary.summary_store(i.trace).drop("rule_order", "text_repr")
 
 
 @register("summary_text", None)
 def _summary_text(i: Inputs):
-    """PB-01: rendered summary text per experiment."""
-    return summary.summary_text(summary.trace_summary(i.trace))
+    """PB-01: rendered summary text per experiment (from the summary store)."""
+    return summary.summary_store(i.trace).select("experiment_id", "text_repr")
 
 
 LEAVES = """pset AS (SELECT DISTINCT experiment, g FROM (
