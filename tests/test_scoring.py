@@ -74,7 +74,9 @@ def test_score_rows_cache_and_missing(spark):
     st2 = {r.experiment_id: r.status for r in audit2.collect()}
     assert st2 == {"1": "cached", "2": "cached", "3": "missing_trace_summary"}
     assert new2.count() == 0
-    assert "label" not in audit.columns
+    from trailfold.schemas import AUDIT_COLUMNS
+    assert audit.columns == AUDIT_COLUMNS                      # DQ-07: required columns, in order
+    assert not {"label", "ground_truth", "true_label"} & set(audit.columns)
 
 
 def test_scorer_exception_isolated(spark):

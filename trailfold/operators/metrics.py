@@ -153,7 +153,11 @@ def with_groups(df: DataFrame, by: str, total: str = "all", null_name: str = "un
 def metrics_by_group(df: DataFrame, by: str, evaluation: str, undefined: str = "null", **kw) -> DataFrame:
     """``evaluation, <by>, …metrics`` — the overall row plus one row per value of ``by``."""
     m = binary_metrics(with_groups(df, by), ["grp"], undefined=undefined, **kw)
-    return m.select(F.lit(evaluation).alias("evaluation"), F.col("grp").alias(by), *METRIC_COLUMNS)
+    # ST-03: the overall row first, then groups in numeric order, the null group last
+    order = [F.when(F.col("grp") == "all", 0).when(F.col("grp") == "unknown", 2).otherwise(1),
+             F.col("grp").try_cast("long").asc_nulls_last()]
+    return m.orderBy(*order).select(F.lit(evaluation).alias("evaluation"), F.col("grp").alias(by),
+                                    *METRIC_COLUMNS)
 
 
 def valid_mask(df: DataFrame, prediction: str = "prediction", score: str = "malware_probability") -> Column:
