@@ -29,3 +29,29 @@ def position_within(df: DataFrame, part: list[str], order: list, out: str = "pos
     j = s.join(per.select("_pid", *part, "_first", "_off"), ["_pid", *part])
     return (j.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("long"))
             .drop("_pid", "_mid", "_first", "_off"))
+
+
+def running_within(df: DataFrame, part: list[str], order: list, sums: dict, pos: str = "pos") -> DataFrame:
+    """Exact position and inclusive running sums inside ``part`` groups by ``order``, skew-safe.
+
+    Same scheme as ``position_within``; the running sums are local window
+    sums over ``(range partition, group)`` slices — a slice is bounded by the
+    partition size even when one group holds a third of all rows — plus the
+    group's totals from earlier partitions.
+    """
+    checkpoint_dir(df.sparkSession)
+    vals = {f"_v{i}": c for i, c in enumerate(sums.values())}
+    s = materialize(df.withColumns(vals).orderBy(*part, *order)
+                    .withColumn("_pid", F.spark_partition_id())
+                    .withColumn("_mid", F.monotonically_increasing_id()))
+    per = s.groupBy("_pid", *part).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"),
+                                       *[F.sum(v).alias(f"_t{v}") for v in vals])
+    w = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("_pid", *part, "_first", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"),
+                     *[F.coalesce(F.sum(f"_t{v}").over(w), F.lit(0)).alias(f"_o{v}") for v in vals])
+    j = s.join(per, ["_pid", *part])
+    local = Window.partitionBy("_pid", *part).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    out = j.withColumn(pos, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("long"))
+    for name, v in zip(sums, vals):
+        out = out.withColumn(name, (F.col(f"_o{v}") + F.sum(v).over(local)).cast("long"))
+    return out.drop("_pid", "_mid", "_first", "_off", *vals, *[f"_o{v}" for v in vals])

@@ -24,26 +24,26 @@ def _k(props: Column) -> Column:
 def trace_events(events: DataFrame) -> DataFrame:
     """``events`` -> the event table of schema ``trailfold.schemas.EVENTS``.
 
-    One shuffle on ``user_id``: ordering, first-event time and the running
-    process counter share one window partitioning.  This is the *landing*
-    step: ``ingest_seq`` is the dense chronological position every
-    order-sensitive operator uses afterwards, so none of them needs to sort
-    an experiment again.
+    This is the *landing* step: ``ingest_seq`` is the dense chronological
+    position every order-sensitive operator uses afterwards.  Nothing here
+    sorts a whole experiment in one task: positions and the running process
+    counter come from ``running_within`` (global range sort + partition
+    offsets), the first event and start time from a partial aggregate joined
+    back by key.
     """
-    ordered = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    whole = Window.partitionBy("user_id")
-    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    from trailfold.functions.ranking import running_within
     rule_list = F.array(*[F.lit(r) for r in FEATURES])
-
     e = (events.select("user_id", "event_id", "ts", "props")
          .withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-         .withColumn("k", _k(F.col("props")))
-         .withColumn("rn", F.row_number().over(ordered))
-         .withColumn("min_us", F.min("us").over(whole))
-         .withColumn("RuleName", F.when(F.col("rn") == 1, F.lit(ROOT_RULE))
+         .withColumn("k", _k(F.col("props"))))
+    first = e.groupBy("user_id").agg(F.min("us").alias("min_us"),
+                                     F.min(F.struct("ts", "event_id")).alias("ev1"))
+    e = e.join(first, "user_id")
+    is_first = (F.col("ts") == F.col("ev1.ts")) & (F.col("event_id") == F.col("ev1.event_id"))
+    e = e.withColumn("pc", (~is_first & (F.col("k") % 9 == 0)).cast("long")).drop("ev1")  # index 0 = process_create
+    e = running_within(e, ["user_id"], [F.col("ts"), F.col("event_id")], {"m": F.col("pc")}, pos="rn")
+    e = e.withColumn("RuleName", F.when(F.col("rn") == 1, F.lit(ROOT_RULE))
                      .otherwise(F.element_at(rule_list, (F.col("k") % 9 + 1).cast("int"))))
-         .withColumn("m", F.sum(F.when(F.col("RuleName") == "process_create", 1).otherwise(0))
-                     .over(running).cast("long")))
     parent = (F.when(F.col("RuleName") == ROOT_RULE, F.lit(None).cast("long"))
               .when(F.col("RuleName") == "process_create", F.floor((F.col("m") - 1) / 2))
               .otherwise(F.col("k") % (F.col("m") + 1)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailfold.schemas import CACHE, FEATURE_MATRIX, LABELS_RAW, PREDICTIONS, RAW_EVENTS
@@ -24,11 +24,13 @@ def load_labels(spark: SparkSession, train_path: str, test_path: str, multiline:
 def land_events(raw: DataFrame, order_col: str = "file_pos") -> DataFrame:
     """Landing: add ``ingest_seq`` = chronological position per experiment (ties in file order).
 
-    This is the only per-experiment sort of the pipeline; every order-
-    sensitive operator afterwards joins on ``(experiment, ingest_seq)``.
+    Positions come from a global range sort with partition offsets
+    (``position_within``), so a hot experiment is numbered by many tasks.
+    Every order-sensitive operator afterwards joins on ``(experiment, ingest_seq)``.
     """
-    w = Window.partitionBy("experiment").orderBy("timestamp", order_col)
-    return raw.withColumn("ingest_seq", F.row_number().over(w).cast("long")).drop(order_col)
+    from trailfold.functions.ranking import position_within
+    p = position_within(raw, ["experiment"], [F.col("timestamp"), F.col(order_col)], out="ingest_seq")
+    return p.drop(order_col)
 
 
 def read_trace_shards(spark: SparkSession, paths: list[str], multiline: bool = False) -> DataFrame:
