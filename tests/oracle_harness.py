@@ -29,13 +29,16 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+DIGITS = int(os.environ.get("ORACLE_DIGITS", "6"))
+
+
 def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6) + 0.0
+        return (round(v, DIGITS) if DIGITS >= 0 else v) + 0.0
     if hasattr(v, "item") and not isinstance(v, (str, bytes)):
         try:
             return _norm(v.item())
