@@ -46,3 +46,14 @@ def test_leak_audit_counts_violations(spark):
     nb = spark.createDataFrame([(10, 1, 1), (10, 2, 2), (10, 3, 3)], "target_id long, rank int, neighbor_id long")
     years = spark.createDataFrame([(1, 2020), (2, 2024), (3, None)], "id long, year int")
     assert retrieval.leak_audit(nb, years).first().n_violations == 2
+
+
+def test_duplicate_vectors_emit_k_per_target(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(50)]          # every pair ties
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    got = retrieval.knn_topk(df, df, k=3, tile_rows=16).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r.target_id, r.rank)):
+        by.setdefault(r.target_id, []).append(r.neighbor_id)
+    assert len(by) == 50 and all(len(v) == 3 for v in by.values())
+    assert by[0] == [1, 2, 3] and by[5] == [0, 1, 2]      # ties broken by the smaller id

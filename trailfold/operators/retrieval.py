@@ -8,8 +8,9 @@ Plan (block nested loop, exact):
   per target tile, and the two sides are ``cogroup``-ed on ``(tt, tp)`` —
   so every task holds at most ``tile_rows`` targets and ``tile_rows`` pool
   rows, whatever the data size or skew;
-* inside a task, numpy computes the tile's distance matrix and keeps the k
-  best pool rows per target (``argpartition``) — never all pairs;
+* inside a task, numpy computes distances in blocks of ``CHUNK_ROWS``
+  targets and keeps exactly k pool rows per target (ties by id) — at most
+  k rows per target and tile ever leave the task, never all pairs;
 * a final ``row_number() <= k`` per target merges the per-tile candidates
   (planned as a window group limit).
 
@@ -38,31 +39,40 @@ def feature_vector(cols: list[str] = FEATURES) -> Column:
                      for c in cols])
 
 
-def _tile_topk(k: int):
+CHUNK_ROWS = 1024   # target rows per distance block inside a task (block = CHUNK_ROWS x tile pool rows)
+
+
+def _tile_topk(k: int, chunk: int = CHUNK_ROWS):
+    """Tile kernel: exactly ``k`` candidates per target, ordered by (distance rounded to 12 digits, id)."""
     def fn(key, t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"tid": pd.Series([], dtype="int64"), "pid": pd.Series([], dtype="int64"),
-                              "dist": pd.Series([], dtype="float64")})
+                              "dist": pd.Series([], dtype="float64"), "r": pd.Series([], dtype="float64")})
         if t.empty or p.empty:
             return empty
-        a = np.vstack(t["vec"].to_numpy()).astype(np.float64)
+        p = p.sort_values("pid", kind="stable")        # stable sort below then breaks ties by id
         b = np.vstack(p["vec"].to_numpy()).astype(np.float64)
-        na = np.linalg.norm(a, axis=1)
         nb = np.linalg.norm(b, axis=1)
-        an = np.divide(a, na[:, None], out=np.zeros_like(a), where=na[:, None] > 0)
         bn = np.divide(b, nb[:, None], out=np.zeros_like(b), where=nb[:, None] > 0)
-        d = 1.0 - an @ bn.T
-        tid = t["tid"].to_numpy(np.int64)
         pid = p["pid"].to_numpy(np.int64)
-        d[tid[:, None] == pid[None, :]] = np.inf          # never retrieve the target itself
-        kk = min(k, d.shape[1])
-        # candidates: k smallest per row (ties at the cut resolved by pid below)
-        part = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < d.shape[1] else \
-            np.tile(np.arange(d.shape[1]), (d.shape[0], 1))
-        kth = np.take_along_axis(d, part, axis=1).max(axis=1)
-        rows, cols = np.nonzero(d <= kth[:, None])      # keep all rows tied with the k-th distance
-        dist = d[rows, cols]
-        keep = np.isfinite(dist)
-        return pd.DataFrame({"tid": tid[rows[keep]], "pid": pid[cols[keep]], "dist": dist[keep]})
+        kk = min(k, len(pid))
+        outs = []
+        for lo in range(0, len(t), chunk):           # bounded memory: chunk x pool-tile distances at a time
+            tc = t.iloc[lo:lo + chunk]
+            a = np.vstack(tc["vec"].to_numpy()).astype(np.float64)
+            na = np.linalg.norm(a, axis=1)
+            an = np.divide(a, na[:, None], out=np.zeros_like(a), where=na[:, None] > 0)
+            d = 1.0 - an @ bn.T
+            tid = tc["tid"].to_numpy(np.int64)
+            d[tid[:, None] == pid[None, :]] = np.inf     # never retrieve the target itself
+            r = np.round(d, 12)
+            best = np.argsort(r, axis=1, kind="stable")[:, :kk]
+            rows = np.repeat(np.arange(len(tid)), kk)
+            cols = best.ravel()
+            dist, rr = d[rows, cols], r[rows, cols]
+            keep = np.isfinite(dist)
+            outs.append(pd.DataFrame({"tid": tid[rows[keep]], "pid": pid[cols[keep]], "dist": dist[keep],
+                                      "r": rr[keep]}))
+        return pd.concat(outs, ignore_index=True) if outs else empty
     return fn
 
 
@@ -84,8 +94,8 @@ def knn_topk(targets: DataFrame, pool: DataFrame, k: int = 3, id_col: str = "id"
          .withColumn("tp", F.pmod(F.xxhash64("pid"), F.lit(tp_n)))
          .withColumn("tt", F.explode(F.sequence(F.lit(0), F.lit(tt_n - 1)).cast("array<bigint>"))))
     cand = (t.groupBy("tt", "tp").cogroup(p.groupBy("tt", "tp"))
-            .applyInPandas(_tile_topk(k), "tid long, pid long, dist double"))
-    w = Window.partitionBy("tid").orderBy("dist", "pid")
+            .applyInPandas(_tile_topk(k), "tid long, pid long, dist double, r double"))
+    w = Window.partitionBy("tid").orderBy("r", "pid")
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.select(F.col("tid").alias("target_id"), F.col("rank").cast("int").alias("rank"),
                       F.col("pid").alias("neighbor_id"), F.round("dist", 5).alias("distance"))
