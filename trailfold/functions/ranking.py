@@ -55,3 +55,15 @@ def running_within(df: DataFrame, part: list[str], order: list, sums: dict, pos:
     for name, v in zip(sums, vals):
         out = out.withColumn(name, (F.col(f"_o{v}") + F.sum(v).over(local)).cast("long"))
     return out.drop("_pid", "_mid", "_first", "_off", *vals, *[f"_o{v}" for v in vals])
+
+
+def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Latest row per ``key`` by ``order`` (last write wins), as one partial aggregate.
+
+    ``max(struct(order…, row))`` is combined map-side, so even a key with a
+    third of all versions never reaches one task un-reduced (no window).
+    """
+    rest = [c for c in df.columns if c != key]
+    best = F.max(F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)],
+                          F.struct(*rest).alias("_row"))).alias("_best")
+    return df.groupBy(key).agg(best).select(key, *[F.col(f"_best._row.{c}").alias(c) for c in rest])

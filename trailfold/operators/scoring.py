@@ -263,8 +263,8 @@ def build_prompts(eval_set: DataFrame, summaries: DataFrame, config: str, model:
 
 def latest_cache(cache: DataFrame) -> DataFrame:
     """SNK-08: the cache as a table of appended rows; the latest row per key wins."""
-    w = Window.partitionBy("cache_key").orderBy(F.desc("timestamp"))
-    return cache.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    from trailfold.functions.ranking import latest_per_key
+    return latest_per_key(cache, "cache_key", ["timestamp"]).select(*cache.columns)
 
 
 def score_rows(prompts: DataFrame, config: str, model: str, cache: DataFrame | None = None,

@@ -302,8 +302,8 @@ _LATEST = """SELECT cache_key, experiment_id, raw_response, status, "timestamp",
 
 
 def _latest(df: DataFrame, key: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc("timestamp"), F.desc("event_id"))
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    from trailfold.functions.ranking import latest_per_key
+    return latest_per_key(df, key, ["timestamp", "event_id"])
 
 
 @register("cache_latest", O.q(_LATEST))

@@ -7,7 +7,7 @@ import hashlib
 import json
 import platform
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -54,9 +54,9 @@ def write_summary_jsonl(summary_records: DataFrame, path: str) -> None:
 
 def upsert(current: DataFrame, updates: DataFrame, key: str, order_col: str) -> DataFrame:
     """SNK-06/08: last write wins per ``key`` (union of versions + latest by ``order_col``)."""
+    from trailfold.functions.ranking import latest_per_key
     u = current.unionByName(updates, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(F.desc(order_col))
-    return u.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return latest_per_key(u, key, [order_col]).select(*u.columns)
 
 
 def write_summary_store(summary_records: DataFrame, path: str) -> None:
