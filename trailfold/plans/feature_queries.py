@@ -28,7 +28,63 @@ def _trace_summary(i: Inputs):
     return summary.summary_store(i.trace).drop("rule_order", "text_repr")
 
 
-@register("summary_text", None)
+def summary_text_parts() -> tuple[str, list[str]]:
+    """(select, ctes) of the summary text in SQL — reused by the prompt oracles."""
+    from trailfold.plans.trace_queries import TOP
+    nl = "chr(10)"
+    select = f"""
+SELECT r.experiment AS experiment_id,
+  '=== Dynamic Execution Trace Summary (Experiment: ' || r.experiment || ') ===' || {nl}
+  || 'Execution Metrics: ' || CAST(r.total_events AS VARCHAR) || ' total events | Duration: '
+  || CAST(r.duration_seconds AS VARCHAR) || 's | Avg Rate: ' || CAST(r.avg_events_per_sec AS VARCHAR)
+  || ' ev/s | Peak Rate: ' || CAST(r.peak_events_per_sec AS VARCHAR) || ' ev/s' || {nl} || {nl}
+  || '--- Event Counts by Rule ---' || rt.rules
+  || {nl} || {nl} || '--- Entity Diversity Counts ---'
+  || {nl} || '  - processes: ' || CAST(ent.processes AS VARCHAR)
+  || {nl} || '  - unique_files_created: ' || CAST(ent.unique_files_created AS VARCHAR)
+  || {nl} || '  - unique_images_loaded: ' || CAST(ent.unique_images_loaded AS VARCHAR)
+  || {nl} || '  - unique_registry_keys: ' || CAST(ent.unique_registry_keys AS VARCHAR)
+  || {nl} || '  - unique_network_connections: ' || CAST(ent.unique_network_connections AS VARCHAR)
+  || {nl} || {nl} || '--- Process Tree Structure ---'
+  || {nl} || '  - Total Processes Involved: ' || CAST(coalesce(procs.processes, 0) AS VARCHAR)
+  || {nl} || '  - Max Process Tree Depth: ' || CAST(coalesce(depth.max_tree_depth, 1) AS VARCHAR)
+  || {nl} || '  - Max Branching Factor: ' || CAST(tf.max_branching_factor AS VARCHAR)
+  || {nl} || '  - Root Process Direct Children: ' || CAST(tf.root_spawned_children AS VARCHAR)
+  || {nl} || {nl} || '--- Top Active Process Profiles ---' || coalesce(tp.procs, '')
+  || {nl} || {nl} || '--- Chronological Event Flow (Run-Length Encoded) ---' || {nl} || '  ' || fl.flow
+  AS text_repr
+FROM rates r JOIN rt ON rt.experiment = r.experiment JOIN ent ON ent.experiment = r.experiment
+JOIN tf ON tf.experiment = r.experiment LEFT JOIN depth ON depth.experiment = r.experiment
+LEFT JOIN procs ON procs.experiment = r.experiment LEFT JOIN tp ON tp.experiment = r.experiment
+JOIN fl ON fl.experiment = r.experiment"""
+    ctes = [O.BOUNDS, O.ENTITIES, O.TREE, TOP, O.STARTS, f"""rt AS (
+  SELECT experiment, string_agg({nl} || '  - ' || rule || ': ' || CAST(n AS VARCHAR), '' ORDER BY n DESC, fs) AS rules
+  FROM (SELECT experiment, RuleName AS rule, count(*) AS n, min(ingest_seq) AS fs FROM trace
+        GROUP BY experiment, RuleName) GROUP BY experiment),
+tp AS (
+  SELECT experiment, string_agg({nl} || '  * ' || process_id
+           || CASE WHEN is_root THEN ' (Root Detonation Binary)' ELSE '' END
+           || ': ' || CAST(total_actions AS VARCHAR) || ' actions, spawned ' || CAST(children_spawned AS VARCHAR)
+           || ' child processes' || {nl} || '    Actions: ' || action_text, '' ORDER BY rank) AS procs
+  FROM topp GROUP BY experiment),
+fl AS (
+  SELECT experiment,
+         string_agg(CASE WHEN run_no <= 40 THEN
+                      CASE WHEN run_len > 1 THEN rule || ' x' || CAST(run_len AS VARCHAR) ELSE rule END END,
+                    ' -> ' ORDER BY run_no)
+         || CASE WHEN count(*) > 40
+                 THEN ' -> ... [' || CAST(count(*) - 40 AS VARCHAR) || ' further event runs omitted]'
+                 ELSE '' END AS flow
+  FROM runs GROUP BY experiment)"""]
+    return select, ctes
+
+
+def _summary_text_sql() -> str:
+    select, ctes = summary_text_parts()
+    return O.q(select, *ctes)
+
+
+@register("summary_text", _summary_text_sql())
 def _summary_text(i: Inputs):
     """PB-01: rendered summary text per experiment (from the summary store)."""
     return summary.summary_store(i.trace).select("experiment_id", "text_repr")

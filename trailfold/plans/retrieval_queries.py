@@ -16,6 +16,10 @@ from trailfold.sources import lens
 from trailfold.session import materialize
 
 
+def _sql_lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
 # ----------------------------------------------------------------- k-NN
 @register("knn_vectors", O.q(
     "SELECT fc.experiment, " + ", ".join(
@@ -139,7 +143,21 @@ def _prompts(i: Inputs):
     return scoring.build_prompts(_eval_2024(i), _summaries(i), "zero_shot", "mock")
 
 
-@register("prompt_keys", None)
+def _prompt_keys_sql() -> str:
+    from trailfold.functions.prompts import SYSTEM_PROMPT, ZERO_SHOT_USER
+    from trailfold.plans.feature_queries import summary_text_parts
+    select, ctes = summary_text_parts()
+    return O.q(f"""
+SELECT experiment_id, h AS prompt_hash, experiment_id || '_zero_shot_mock_' || left(h, 16) AS cache_key FROM (
+  SELECT s.experiment_id,
+         sha256('[{{"content": ' || to_json({_sql_lit(SYSTEM_PROMPT)}::VARCHAR) || ', "role": "system"}}, {{"content": '
+                || to_json(replace({_sql_lit(ZERO_SHOT_USER)}, '{{trace_text}}', s.text_repr))
+                || ', "role": "user"}}]') AS h
+  FROM stx s JOIN labels_l l ON l.experiment = s.experiment_id WHERE coalesce(l.year = 2024, false))""",
+               *ctes, "stx AS (" + select.strip() + ")")
+
+
+@register("prompt_keys", _prompt_keys_sql())
 def _prompt_keys(i: Inputs):
     """PB-03: prompt hash and cache key per eval row."""
     p = scoring.build_prompts(_eval_2024(i), _summaries(i), "zero_shot", "mock")
@@ -166,10 +184,6 @@ def _mock_scores(i: Inputs):
                     .alias("malware_probability"))
 
 
-def _sql_lit(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
 _REPLIES_SQL = ("rp AS (SELECT doc_id, CASE doc_id % " + str(len(lens.REPLIES)) + " "
                 + " ".join(f"WHEN {k} THEN {_sql_lit(r)}" for k, r in enumerate(lens.REPLIES))
                 + " END AS raw FROM documents)")
