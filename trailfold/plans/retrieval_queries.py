@@ -157,6 +157,28 @@ SELECT experiment_id, h AS prompt_hash, experiment_id || '_zero_shot_mock_' || l
                *ctes, "stx AS (" + select.strip() + ")")
 
 
+def _prompt_rows_sql(select: str) -> str:
+    """Zero-shot prompts of the 2024 cohort in SQL (CTE ``pr``: experiment_id, sys, usr, h)."""
+    from trailfold.functions.prompts import SYSTEM_PROMPT, ZERO_SHOT_USER
+    from trailfold.plans.feature_queries import summary_text_parts
+    st_select, ctes = summary_text_parts()
+    return O.q(select, *ctes, "stx AS (" + st_select.strip() + ")", f"""pr0 AS (
+  SELECT s.experiment_id, {_sql_lit(SYSTEM_PROMPT)}::VARCHAR AS sys,
+         replace({_sql_lit(ZERO_SHOT_USER)}, '{{trace_text}}', s.text_repr) AS usr
+  FROM stx s JOIN labels_l l ON l.experiment = s.experiment_id WHERE coalesce(l.year = 2024, false)),
+pr AS (
+  SELECT *, sha256('[{{"content": ' || to_json(sys) || ', "role": "system"}}, {{"content": ' || to_json(usr)
+                   || ', "role": "user"}}]') AS h FROM pr0)""")
+
+
+def _repr_len_sql(x: str) -> str:
+    # length of Python repr() of an ASCII string: quotes, escaped \n \r \t and backslash,
+    # and escaped single quotes when the text also holds a double quote
+    esc = " + ".join(f"(length({x}) - length(replace({x}, chr({c}), '')))" for c in (10, 13, 9, 92))
+    return (f"(length({x}) + 2 + {esc} + CASE WHEN contains({x}, chr(34)) "
+            f"THEN length({x}) - length(replace({x}, chr(39), '')) ELSE 0 END)")
+
+
 @register("prompt_keys", _prompt_keys_sql())
 def _prompt_keys(i: Inputs):
     """PB-03: prompt hash and cache key per eval row."""
@@ -278,14 +300,21 @@ def _audit_log(i: Inputs):
     return _scored(i, "zero_shot")[0].unionByName(_scored(i, "retrieval_assisted")[0])
 
 
-@register("usage_means", None)
+@register("usage_means", _prompt_rows_sql(f"""
+SELECT round(avg(CAST(0.05 AS DOUBLE)), 3) AS avg_latency_sec,
+       round(avg(CAST(floor(({scoring._MSG_OVERHEAD} + {_repr_len_sql('sys')} + {_repr_len_sql('usr')}) / 4) AS DOUBLE)), 1)
+         AS avg_prompt_tokens,
+       round(avg(CAST(80 AS DOUBLE)), 1) AS avg_completion_tokens
+FROM pr"""))
 def _usage_means(i: Inputs):
     """AG-18 over the audit rows."""
     from trailfold.operators.metrics import usage_means
     return usage_means(_scored(i, "zero_shot")[0])
 
 
-@register("hash_format_check", None)
+@register("hash_format_check", _prompt_rows_sql("""
+SELECT 'hash_format' AS "check", CAST(count_if(NOT regexp_full_match(h, '[0-9a-f]{64}')) AS BIGINT) AS n_violations
+FROM pr"""))
 def _hash_format(i: Inputs):
     """DQ-08 over the audit rows of prompted samples."""
     from trailfold.operators.checks import hash_format_check
