@@ -384,3 +384,27 @@ def _every_nth(i: Inputs):
     from trailfold.functions.ranking import position_within
     p = position_within(i.labels.select("experiment").withColumn("_g", F.lit(0)), ["_g"], [F.col("experiment")])
     return p.where((F.col("pos") <= 50) | (F.col("pos") % 500 == 0)).select("experiment")
+
+
+# Oracles that need the prompt SQL above (registered after their builders).
+_MOCK_MAL = ("((contains(usr, 'process_create') AND contains(usr, 'unique_network_connections') "
+             "AND NOT contains(usr, 'unique_network_connections: 0')) "
+             "OR ((contains(usr, 'reg_write') OR contains(usr, 'reg_create_key')) AND contains(usr, 'process_create')))")
+_CATALOG_SQL = {
+    "prompts": _prompt_rows_sql("""
+SELECT experiment_id, true AS has_summary, sys AS system, usr AS "user", h AS prompt_hash,
+       experiment_id || '_zero_shot_mock_' || left(h, 16) AS cache_key, '' AS retrieved_ids FROM pr"""),
+    "scored_rows": _prompt_rows_sql(f"""
+SELECT experiment_id, 'zero_shot' AS config, 'mock' AS model, h AS prompt_hash, '' AS retrieved_ids,
+       'success' AS status, CASE WHEN {_MOCK_MAL} THEN 'malicious' ELSE 'benign' END AS prediction,
+       CASE WHEN {_MOCK_MAL} THEN CAST(0.85 AS DOUBLE) ELSE CAST(0.15 AS DOUBLE) END AS malware_probability,
+       CAST(0.88 AS DOUBLE) AS confidence, CAST(0.05 AS DOUBLE) AS latency_sec,
+       CAST(floor(({scoring._MSG_OVERHEAD} + {_repr_len_sql('sys')} + {_repr_len_sql('usr')}) / 4) AS BIGINT)
+         AS prompt_tokens,
+       CAST(80 AS BIGINT) AS completion_tokens, CAST(2 AS BIGINT) AS evidence_count
+FROM pr"""),
+}
+from trailfold.plans.catalog import REGISTRY as _REG  # noqa: E402
+
+for _name, _sql in _CATALOG_SQL.items():
+    _REG[_name] = (_REG[_name][0], _sql)
