@@ -137,14 +137,14 @@ PROCS = """procs AS (
   WHERE g IS NOT NULL GROUP BY experiment)"""
 
 DEPTH = """de AS (SELECT DISTINCT experiment, parent_guid AS node, child_guid AS child FROM edges),
-nn AS (SELECT experiment, count(*) + 1 AS bound FROM de GROUP BY experiment),
+dbound AS (SELECT experiment, count(*) + 1 AS bound FROM de GROUP BY experiment),
 walk(experiment, node, depth) AS (
   SELECT experiment, root_guid, 1 FROM root
   UNION
   SELECT w.experiment, de.child, w.depth + 1
   FROM walk w JOIN de ON w.experiment = de.experiment AND w.node = de.node
-  JOIN nn ON nn.experiment = w.experiment
-  WHERE w.depth <= nn.bound),
+  JOIN dbound ON dbound.experiment = w.experiment
+  WHERE w.depth <= dbound.bound),
 depth AS (
   SELECT experiment, CAST(max(d) AS BIGINT) AS max_tree_depth
   FROM (SELECT experiment, node, min(depth) AS d FROM walk GROUP BY experiment, node)

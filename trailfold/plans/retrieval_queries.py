@@ -386,11 +386,77 @@ def _every_nth(i: Inputs):
     return p.where((F.col("pos") <= 50) | (F.col("pos") % 500 == 0)).select("experiment")
 
 
+_DEMO_SELECT = """
+SELECT nb.target_id,
+       string_agg('Reference Sample (Historical ID: ' || CAST(nb.neighbor_id AS VARCHAR) || '):' || chr(10)
+         || '  - Total Events: ' || CAST(r.total_events AS VARCHAR) || ', Duration: '
+         || CAST(r.duration_seconds AS VARCHAR) || 's' || chr(10)
+         || '  - Event Rules: ' || rj.rules || chr(10)
+         || '  - Process Tree Depth: ' || CAST(coalesce(depth.max_tree_depth, 1) AS VARCHAR)
+         || ', Branching: ' || CAST(tf.max_branching_factor AS VARCHAR) || chr(10)
+         || '  - Entity Diversity: {"processes": ' || CAST(ent.processes AS VARCHAR)
+         || ', "unique_files_created": ' || CAST(ent.unique_files_created AS VARCHAR)
+         || ', "unique_images_loaded": ' || CAST(ent.unique_images_loaded AS VARCHAR)
+         || ', "unique_registry_keys": ' || CAST(ent.unique_registry_keys AS VARCHAR)
+         || ', "unique_network_connections": ' || CAST(ent.unique_network_connections AS VARCHAR) || '}' || chr(10)
+         || '  Verified Classification: ' || coalesce(fv.label, 'None') || chr(10),
+         chr(10) ORDER BY nb.rank) AS reference_block
+FROM nn nb
+JOIN rates r ON r.experiment = CAST(nb.neighbor_id AS VARCHAR)
+JOIN rj ON rj.experiment = r.experiment
+JOIN tf ON tf.experiment = r.experiment LEFT JOIN depth ON depth.experiment = r.experiment
+JOIN ent ON ent.experiment = r.experiment
+LEFT JOIN fv ON fv.id = nb.neighbor_id
+GROUP BY nb.target_id"""
+_RJ = """rj AS (
+  SELECT experiment, '{' || string_agg('"' || rule || '": ' || CAST(n AS VARCHAR), ', ' ORDER BY fs) || '}' AS rules
+  FROM (SELECT experiment, RuleName AS rule, count(*) AS n, min(ingest_seq) AS fs FROM trace
+        GROUP BY experiment, RuleName) GROUP BY experiment)"""
+_DEMO_SQL = O.q(_DEMO_SELECT, O.FEATURE_COUNTS, _FEAT_TP, _cos_sql("ft", "fp"), O.BOUNDS, O.ENTITIES, O.TREE,
+                _RJ)
+
+
+def _audit_sql() -> str:
+    from trailfold.functions.prompts import RETRIEVAL_USER, SYSTEM_PROMPT, ZERO_SHOT_USER
+    from trailfold.plans.feature_queries import summary_text_parts
+    st_select, ctes = summary_text_parts()
+    cols = lambda cfg: f"""experiment_id, '{cfg}' AS config, 'mock' AS model, h AS prompt_hash, rids AS retrieved_ids,
+       'success' AS status, CASE WHEN {_MOCK_MAL} THEN 'malicious' ELSE 'benign' END AS prediction,
+       CASE WHEN {_MOCK_MAL} THEN CAST(0.85 AS DOUBLE) ELSE CAST(0.15 AS DOUBLE) END AS malware_probability,
+       CAST(0.88 AS DOUBLE) AS confidence, CAST(0.05 AS DOUBLE) AS latency_sec,
+       CAST(floor(({scoring._MSG_OVERHEAD} + {_repr_len_sql('sys')} + {_repr_len_sql('usr')}) / 4) AS BIGINT)
+         AS prompt_tokens,
+       CAST(80 AS BIGINT) AS completion_tokens, CAST(2 AS BIGINT) AS evidence_count"""
+    hashed = ("""sha256('[{"content": ' || to_json(sys) || ', "role": "system"}, {"content": ' || to_json(usr)
+                   || ', "role": "user"}]')""")
+    return O.q(f"""
+SELECT {cols('zero_shot')} FROM (SELECT *, {hashed} AS h FROM pz)
+UNION ALL
+SELECT {cols('retrieval_assisted')} FROM (SELECT *, {hashed} AS h FROM pra)""",
+               *ctes, O.FEATURE_COUNTS, _FEAT_TP, _cos_sql("ft", "fp"), _RJ,
+               "demo AS (" + _DEMO_SELECT.strip() + ")",
+               "rid AS (SELECT target_id, string_agg(CAST(neighbor_id AS VARCHAR), ',' ORDER BY rank) AS ids "
+               "FROM nn GROUP BY target_id)",
+               "stx AS (" + st_select.strip() + ")", f"""ev AS (
+  SELECT s.experiment_id, s.text_repr FROM stx s JOIN labels_l l ON l.experiment = s.experiment_id
+  WHERE coalesce(l.year = 2024, false)),
+pz AS (SELECT experiment_id, {_sql_lit(SYSTEM_PROMPT)}::VARCHAR AS sys,
+         replace({_sql_lit(ZERO_SHOT_USER)}, '{{trace_text}}', text_repr) AS usr, '' AS rids FROM ev),
+pra AS (SELECT ev.experiment_id, {_sql_lit(SYSTEM_PROMPT)}::VARCHAR AS sys,
+         replace(replace({_sql_lit(RETRIEVAL_USER)}, '{{reference_examples}}', coalesce(demo.reference_block, '')),
+                 '{{target_trace}}', ev.text_repr) AS usr,
+         coalesce(rid.ids, '') AS rids
+  FROM ev LEFT JOIN demo ON CAST(demo.target_id AS VARCHAR) = ev.experiment_id
+  LEFT JOIN rid ON CAST(rid.target_id AS VARCHAR) = ev.experiment_id)""")
+
+
 # Oracles that need the prompt SQL above (registered after their builders).
 _MOCK_MAL = ("((contains(usr, 'process_create') AND contains(usr, 'unique_network_connections') "
              "AND NOT contains(usr, 'unique_network_connections: 0')) "
              "OR ((contains(usr, 'reg_write') OR contains(usr, 'reg_create_key')) AND contains(usr, 'process_create')))")
 _CATALOG_SQL = {
+    "demo_block": _DEMO_SQL,
+    "audit_log": None,
     "prompts": _prompt_rows_sql("""
 SELECT experiment_id, true AS has_summary, sys AS system, usr AS "user", h AS prompt_hash,
        experiment_id || '_zero_shot_mock_' || left(h, 16) AS cache_key, '' AS retrieved_ids FROM pr"""),
@@ -406,5 +472,6 @@ FROM pr"""),
 }
 from trailfold.plans.catalog import REGISTRY as _REG  # noqa: E402
 
+_CATALOG_SQL["audit_log"] = _audit_sql()
 for _name, _sql in _CATALOG_SQL.items():
     _REG[_name] = (_REG[_name][0], _sql)
