@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from trailfold.operators import features, summary
 from trailfold.plans import oracle as O
 from trailfold.plans.catalog import register

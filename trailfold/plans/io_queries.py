@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailfold.operators import counts, entities, scoring, splits, summary
+from trailfold.operators import counts, entities, splits, summary
 from trailfold.plans import oracle as O
 from trailfold.plans.catalog import register
 from trailfold.plans.inputs import Inputs

@@ -9,7 +9,6 @@ from trailfold.operators import cascade, counts, features, metrics, models, prov
 from trailfold.plans import oracle as O
 from trailfold.plans.catalog import register
 from trailfold.plans.inputs import Inputs
-from trailfold.schemas import FEATURES
 from trailfold.session import materialize
 
 KEEP = ["experiment", "year", "label"]

@@ -7,7 +7,7 @@ so Catalyst prunes the scan down to the columns used.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailfold.schemas import FEATURES, ROOT_RULE
