@@ -55,7 +55,7 @@ def prov_edges(trace: DataFrame) -> DataFrame:
 
 
 def prov_node_features(trace: DataFrame) -> DataFrame:
-    """GR-02: ``experiment, node_type, node, in_degree, out_degree, depth, first_seen_us, active_us``.
+    """GR-02: ``experiment, node_type, node, in_degree, out_degree, depth, first_seen_us, active_us, act_<rule>…``.
 
     Degrees count edges with multiplicity; ``depth`` is the BFS depth from
     the root for process nodes reached from it (NULL otherwise).
@@ -72,5 +72,12 @@ def prov_node_features(trace: DataFrame) -> DataFrame:
     depth = (tree.node_depths(trace).where(F.col("node").isNotNull())
              .groupBy("experiment", "node").agg(F.min("depth").cast("long").alias("depth"))
              .withColumn("node_type", F.lit("Process")))
-    return nodes.join(depth, ["experiment", "node_type", "node"], "left").select(
-        "experiment", "node_type", "node", "in_degree", "out_degree", "depth", "first_seen_us", "active_us")
+    # action vector of a process node: its outgoing events per rule (0 for entity nodes)
+    acts = (e.groupBy("experiment", F.col("src").alias("node"))
+            .agg(*[F.count_if(F.col("edge_type") == r).alias(f"act_{r}") for r in EDGE_DST_TYPE])
+            .withColumn("node_type", F.lit("Process")))
+    act_cols = [f"act_{r}" for r in EDGE_DST_TYPE]
+    return (nodes.join(depth, ["experiment", "node_type", "node"], "left")
+            .join(acts, ["experiment", "node_type", "node"], "left")
+            .select("experiment", "node_type", "node", "in_degree", "out_degree", "depth", "first_seen_us",
+                    "active_us", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in act_cols]))

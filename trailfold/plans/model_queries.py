@@ -154,9 +154,14 @@ def _prov_edges(i: Inputs):
     return provenance.prov_edges(i.trace)
 
 
-@register("prov_node_features", O.q("""
+_ACT_SELECT = ",\n       ".join(f"CAST(coalesce(ac.act_{r}, 0) AS BIGINT) AS act_{r}" for r in provenance.EDGE_DST_TYPE)
+_ACT_AGG = ", ".join(f"count_if(edge_type = '{r}') AS act_{r}" for r in provenance.EDGE_DST_TYPE)
+
+
+@register("prov_node_features", O.q(f"""
 SELECT nd.experiment, nd.node_type, nd.node, nd.in_degree, nd.out_degree, dd.depth, nd.first_seen_us,
-       nd.active_us
+       nd.active_us,
+       {_ACT_SELECT}
 FROM (SELECT experiment, node_type, node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree,
              min(offset_us) AS first_seen_us, max(offset_us) - min(offset_us) AS active_us
       FROM (SELECT experiment, 'Process' AS node_type, src AS node, 0 AS i, 1 AS o, offset_us FROM er
@@ -164,7 +169,9 @@ FROM (SELECT experiment, node_type, node, CAST(sum(i) AS BIGINT) AS in_degree, C
       GROUP BY experiment, node_type, node) nd
 LEFT JOIN (SELECT experiment, node, CAST(min(depth) AS BIGINT) AS depth FROM walk WHERE node IS NOT NULL
            GROUP BY experiment, node) dd
-  ON dd.experiment = nd.experiment AND dd.node = nd.node AND nd.node_type = 'Process'""", _EROWS, O.TREE))
+  ON dd.experiment = nd.experiment AND dd.node = nd.node AND nd.node_type = 'Process'
+LEFT JOIN (SELECT experiment, src AS node, {_ACT_AGG} FROM er GROUP BY experiment, src) ac
+  ON ac.experiment = nd.experiment AND ac.node = nd.node AND nd.node_type = 'Process'""", _EROWS, O.TREE))
 def _prov_nodes(i: Inputs):
     """GR-02: node features (degrees, BFS depth, first-seen and active span)."""
     return provenance.prov_node_features(i.trace)
