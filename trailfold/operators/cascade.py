@@ -40,3 +40,26 @@ def cascade(df: DataFrame, fast: str, ensemble: list[str], key: str = "experimen
     tier, decision = route(F.col(fast), p_ens)
     return df.select(key, F.col(fast).alias("p_fast"), F.round(p_ens, 9).alias("p_ens"),
                      tier.alias("tier"), decision.alias("decision"))
+
+
+def stack_lr(train: DataFrame, test: DataFrame, score_cols: list[str], label: str = "label",
+             keep: list[str] | None = None) -> DataFrame:
+    """ML-09 (stacking): logistic regression over model scores (nulls as 0.5), fit on ``train``.
+
+    Returns ``keep…, p_stack`` for ``test`` — the probability of ``malicious``.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    filled = [F.coalesce(F.col(c), F.lit(0.5)).alias(f"_{c}") for c in score_cols]
+    keep = keep or ["experiment", label]
+    prep = lambda d: d.select(*keep, *filled)
+    pipe = Pipeline(stages=[
+        VectorAssembler(inputCols=[f"_{c}" for c in score_cols], outputCol="features"),
+        StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc"),
+        LogisticRegression(featuresCol="features", labelCol="y", maxIter=100),
+    ])
+    model = pipe.fit(prep(train))
+    out = model.transform(prep(test))
+    return out.select(*keep, F.round(vector_to_array("probability")[1], 9).alias("p_stack"))

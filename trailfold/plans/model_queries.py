@@ -107,6 +107,17 @@ def _blend(i: Inputs):
                     .alias("p_blend"))
 
 
+@register("blend_stacked", None)
+def _blend_stacked(i: Inputs):
+    """ML-09 (stacking): LR on the three model scores, fit on folds 0–7, scored on folds 8–9."""
+    from trailfold.operators import splits
+    rf = i.model("rf").select("experiment", "label", F.col("malware_probability").alias("p_rf"))
+    zs = i.model("zs").select("experiment", F.col("malware_probability").alias("p_zs"))
+    ra = i.model("ra").select("experiment", F.col("malware_probability").alias("p_ra"))
+    j = materialize(splits.stratified_folds(rf.join(zs, "experiment").join(ra, "experiment"), 10))
+    return cascade.stack_lr(j.where(F.col("fold") < 8), j.where(F.col("fold") >= 8), ["p_rf", "p_zs", "p_ra"])
+
+
 @register("cascade_route", O.q("""
 SELECT experiment, p_rf AS p_fast, round(pe, 9) AS p_ens,
   CASE WHEN p_rf < CAST(0.05 AS DOUBLE) OR p_rf > CAST(0.95 AS DOUBLE) THEN 1
