@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import weakref
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,9 +74,11 @@ def node_depths(trace: DataFrame, max_levels: int = 100000) -> DataFrame:
     joins the current frontier (nodes first reached at the previous level)
     to the distinct edge list and merges the candidates into the state with
     ``min(depth)`` — one join and one aggregate per level.  A node already
-    in the state never re-enters the frontier, so cycles terminate.  The
-    state is checkpointed (reliable, shared folder) every level, so a lost
-    executor recomputes one level at most and the plan never grows.
+    in the state never re-enters the frontier, so cycles terminate.  Each
+    level costs one job: the new state is cached and counted; every
+    ``CHECKPOINT_EVERY`` levels (and at the end) it is checkpointed reliably
+    into the shared folder, so a lost executor recomputes at most that many
+    levels and the plan never grows.
     Results are memoised per trace DataFrame (several operators need them).
     """
     hit = _DEPTHS.get(trace)
@@ -91,17 +94,28 @@ def node_depths(trace: DataFrame, max_levels: int = 100000) -> DataFrame:
     state = materialize(root_process(trace)
                         .select("experiment", F.col("root_guid").alias("node"), F.lit(1).alias("depth")))
     level = 1
+    cached = None
     while level < max_levels:
         frontier = state.where((F.col("depth") == level) & F.col("node").isNotNull())
         cand = (frontier.join(edges, ["experiment", "node"])
                 .select("experiment", F.col("child").alias("node"), F.lit(level + 1).alias("depth")))
-        merged = materialize(state.unionByName(cand).groupBy("experiment", "node")
-                             .agg(F.min("depth").alias("depth")))
-        if merged.where(F.col("depth") == level + 1).isEmpty():
-            state = merged
-            break
+        merged = (state.unionByName(cand).groupBy("experiment", "node")
+                  .agg(F.min("depth").alias("depth")))
+        if level % CHECKPOINT_EVERY == 0:
+            merged = materialize(merged)           # reliable cut every few levels
+        else:
+            merged = merged.persist(StorageLevel.MEMORY_AND_DISK)
+        grew = merged.where(F.col("depth") == level + 1).count() > 0    # one job per level
+        if cached is not None:
+            cached.unpersist()
+        cached = merged if merged.is_cached else None
         state = merged
+        if not grew:
+            break
         level += 1
+    if cached is not None:
+        state = materialize(state)
+        cached.unpersist()
     _DEPTHS[trace] = state
     return state
 
