@@ -60,10 +60,14 @@ def test_running_within_matches_window_on_skew(spark):
     df = spark.range(0, 6000).select(
         F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("g"),   # g=0 holds > 1/3
         (F.col("id") * 7919 % 100003).alias("o"), (F.col("id") % 5).alias("v"))
-    got = running_within(df.repartition(5), ["g"], [F.col("o")], {"s": F.col("v")}, pos="p")
+    got = running_within(df.repartition(5), ["g"], [F.col("o")], {"s": F.col("v")}, pos="p",
+                         lags={"pv": F.col("o") * 10 + F.col("v")})
     w = Window.partitionBy("g").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
-    ref = df.withColumn("rp", F.row_number().over(Window.partitionBy("g").orderBy("o"))).withColumn("rs", F.sum("v").over(w))
-    bad = got.join(ref, ["g", "o", "v"]).where((F.col("p") != F.col("rp")) | (F.col("s") != F.col("rs"))).count()
+    wo = Window.partitionBy("g").orderBy("o")
+    ref = (df.withColumn("rp", F.row_number().over(wo)).withColumn("rs", F.sum("v").over(w))
+           .withColumn("rl", F.lag(F.col("o") * 10 + F.col("v")).over(wo)))
+    bad = got.join(ref, ["g", "o", "v"]).where((F.col("p") != F.col("rp")) | (F.col("s") != F.col("rs"))
+                                               | ~F.col("pv").eqNullSafe(F.col("rl"))).count()
     assert bad == 0 and got.count() == 6000
     pw = position_within(df, ["g"], [F.col("o")])
     assert pw.join(ref, ["g", "o", "v"]).where(F.col("pos") != F.col("rp")).count() == 0

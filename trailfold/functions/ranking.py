@@ -31,30 +31,45 @@ def position_within(df: DataFrame, part: list[str], order: list, out: str = "pos
             .drop("_pid", "_mid", "_first", "_off"))
 
 
-def running_within(df: DataFrame, part: list[str], order: list, sums: dict, pos: str = "pos") -> DataFrame:
-    """Exact position and inclusive running sums inside ``part`` groups by ``order``, skew-safe.
+def running_within(df: DataFrame, part: list[str], order: list, sums: dict, pos: str = "pos",
+                   lags: dict | None = None) -> DataFrame:
+    """Exact position, inclusive running sums and previous-row values inside ``part`` groups, skew-safe.
 
     Same scheme as ``position_within``; the running sums are local window
     sums over ``(range partition, group)`` slices — a slice is bounded by the
     partition size even when one group holds a third of all rows — plus the
-    group's totals from earlier partitions.
+    group's totals from earlier partitions.  ``lags`` (name → column) gives
+    the value of the previous row in the group: a local ``lag`` inside the
+    slice, and for a slice's first row the group's last value in the nearest
+    earlier partition.
     """
     checkpoint_dir(df.sparkSession)
+    lags = lags or {}
     vals = {f"_v{i}": c for i, c in enumerate(sums.values())}
-    s = materialize(df.withColumns(vals).orderBy(*part, *order)
+    lvals = {f"_l{i}": c for i, c in enumerate(lags.values())}
+    s = materialize(df.withColumns({**vals, **lvals}).orderBy(*part, *order)
                     .withColumn("_pid", F.spark_partition_id())
                     .withColumn("_mid", F.monotonically_increasing_id()))
-    per = s.groupBy("_pid", *part).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"),
-                                       *[F.sum(v).alias(f"_t{v}") for v in vals])
+    per = s.groupBy("_pid", *part).agg(
+        F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"),
+        *[F.sum(v).alias(f"_t{v}") for v in vals],
+        *[F.max(F.struct(F.col("_mid"), F.col(v).alias("x")))["x"].alias(f"_z{v}") for v in lvals])
     w = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    wl = Window.partitionBy(*part).orderBy("_pid")
     per = per.select("_pid", *part, "_first", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"),
-                     *[F.coalesce(F.sum(f"_t{v}").over(w), F.lit(0)).alias(f"_o{v}") for v in vals])
+                     *[F.coalesce(F.sum(f"_t{v}").over(w), F.lit(0)).alias(f"_o{v}") for v in vals],
+                     *[F.lag(f"_z{v}").over(wl).alias(f"_p{v}") for v in lvals])
     j = s.join(per, ["_pid", *part])
     local = Window.partitionBy("_pid", *part).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    local_ord = Window.partitionBy("_pid", *part).orderBy("_mid")
     out = j.withColumn(pos, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("long"))
     for name, v in zip(sums, vals):
         out = out.withColumn(name, (F.col(f"_o{v}") + F.sum(v).over(local)).cast("long"))
-    return out.drop("_pid", "_mid", "_first", "_off", *vals, *[f"_o{v}" for v in vals])
+    for name, v in zip(lags, lvals):
+        out = out.withColumn(name, F.when(F.col("_mid") == F.col("_first"), F.col(f"_p{v}"))
+                             .otherwise(F.lag(v).over(local_ord)))
+    return out.drop("_pid", "_mid", "_first", "_off", *vals, *lvals, *[f"_o{v}" for v in vals],
+                    *[f"_p{v}" for v in lvals])
 
 
 def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -1,10 +1,11 @@
 """Event sequences: run-length encoding, bigrams, Markov probabilities, entropy, n-grams.
 
 ``ingest_seq`` is the dense chronological position of an event inside its
-experiment (set once at landing).  "Previous event" is therefore an
-equi-join on ``(experiment, ingest_seq - 1)`` instead of a ``lag`` window
-partitioned by experiment: the join shuffles on both keys, so a hot
-experiment spreads over all tasks rather than one sorted window partition.
+experiment and ``prev_rule`` its predecessor's rule, both set once at
+landing (skew-safe), so bigrams and run boundaries are plain projections
+and filters — no shuffle.  Tables without ``prev_rule`` fall back to an
+equi-join on ``(experiment, ingest_seq - 1)``, never to a ``lag`` window
+over a whole experiment.
 """
 
 from __future__ import annotations
@@ -16,7 +17,13 @@ MAX_RUNS_SHOWN = 40
 
 
 def with_previous(trace: DataFrame) -> DataFrame:
-    """``experiment, ingest_seq, rule, prev_rule`` (``prev_rule`` null for the first event)."""
+    """``experiment, ingest_seq, rule, prev_rule`` (``prev_rule`` null for the first event).
+
+    A landed table carries ``prev_rule`` already (no shuffle); otherwise the
+    predecessor is found by the equi-join on ``(experiment, ingest_seq - 1)``.
+    """
+    if "prev_rule" in trace.columns:
+        return trace.select("experiment", "ingest_seq", F.col("RuleName").alias("rule"), "prev_rule")
     cur = trace.select("experiment", "ingest_seq", F.col("RuleName").alias("rule"))
     prev = trace.select("experiment", (F.col("ingest_seq") + 1).alias("ingest_seq"),
                         F.col("RuleName").alias("prev_rule"))
@@ -25,6 +32,9 @@ def with_previous(trace: DataFrame) -> DataFrame:
 
 def bigram_rows(trace: DataFrame) -> DataFrame:
     """WN-06 rows: ``experiment, ingest_seq, a, b`` for each consecutive pair (M-1 per experiment)."""
+    if "prev_rule" in trace.columns:
+        return (trace.where(F.col("prev_rule").isNotNull())
+                .select("experiment", "ingest_seq", F.col("prev_rule").alias("a"), F.col("RuleName").alias("b")))
     cur = trace.select("experiment", "ingest_seq", F.col("RuleName").alias("b"))
     prev = trace.select("experiment", (F.col("ingest_seq") + 1).alias("ingest_seq"), F.col("RuleName").alias("a"))
     return prev.join(cur, ["experiment", "ingest_seq"])

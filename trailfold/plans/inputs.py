@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trailfold.session import configure
 from trailfold.sources import lens
 from trailfold.sources.tables import read_table
-from trailfold.schemas import EVENTS
+from trailfold.schemas import LANDED
 from trailfold.session import checkpoint_dir
 
 
@@ -87,6 +87,6 @@ def landed_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
         (lens.trace_events(read_table(spark, sf_dir, "events"))
          .sortWithinPartitions("experiment", "ingest_seq")
          .write.mode("overwrite").partitionBy("shard_id").parquet(out))
-        df = spark.read.schema(EVENTS).parquet(out).select(*[f.name for f in EVENTS.fields])
+        df = spark.read.schema(LANDED).parquet(out).select(*[f.name for f in LANDED.fields])
         _LANDED[key] = df
     return df

@@ -31,7 +31,8 @@ SELECT experiment, "timestamp", RuleName, parent_guid, child_guid, parent_name,
 FROM trace"""))
 def _trace_scan(i: Inputs):
     """SRC-02 as seen through the lens: the full event table with shard and order key."""
-    return i.trace
+    from trailfold.schemas import EVENTS
+    return i.trace.select(*[f.name for f in EVENTS.fields])
 
 
 @register("shard_profile", O.q("""

@@ -22,7 +22,7 @@ def _k(props: Column) -> Column:
 
 
 def trace_events(events: DataFrame) -> DataFrame:
-    """``events`` -> the event table of schema ``trailfold.schemas.EVENTS``.
+    """``events`` -> the landed event table (``trailfold.schemas.LANDED``: EVENTS + ``prev_rule``).
 
     This is the *landing* step: ``ingest_seq`` is the dense chronological
     position every order-sensitive operator uses afterwards.  Nothing here
@@ -41,9 +41,14 @@ def trace_events(events: DataFrame) -> DataFrame:
     e = e.join(first, "user_id")
     is_first = (F.col("ts") == F.col("ev1.ts")) & (F.col("event_id") == F.col("ev1.event_id"))
     e = e.withColumn("pc", (~is_first & (F.col("k") % 9 == 0)).cast("long")).drop("ev1")  # index 0 = process_create
-    e = running_within(e, ["user_id"], [F.col("ts"), F.col("event_id")], {"m": F.col("pc")}, pos="rn")
+    e = running_within(e, ["user_id"], [F.col("ts"), F.col("event_id")], {"m": F.col("pc")}, pos="rn",
+                       lags={"prev_k": F.col("k")})
     e = e.withColumn("RuleName", F.when(F.col("rn") == 1, F.lit(ROOT_RULE))
                      .otherwise(F.element_at(rule_list, (F.col("k") % 9 + 1).cast("int"))))
+    # the predecessor's rule, stored at landing so sequence operators need no self-join
+    prev_rule = (F.when(F.col("rn") == 1, F.lit(None).cast("string"))
+                 .when(F.col("rn") == 2, F.lit(ROOT_RULE))
+                 .otherwise(F.element_at(rule_list, (F.col("prev_k") % 9 + 1).cast("int"))))
     parent = (F.when(F.col("RuleName") == ROOT_RULE, F.lit(None).cast("long"))
               .when(F.col("RuleName") == "process_create", F.floor((F.col("m") - 1) / 2))
               .otherwise(F.col("k") % (F.col("m") + 1)))
@@ -61,6 +66,7 @@ def trace_events(events: DataFrame) -> DataFrame:
         F.concat(F.col("RuleName"), F.lit("_"), (F.col("k") % 7).cast("string")).alias("child_name"),
         (F.col("user_id") % N_SHARDS).cast("int").alias("shard_id"),
         F.col("rn").cast("long").alias("ingest_seq"),
+        prev_rule.alias("prev_rule"),
     )
 
 

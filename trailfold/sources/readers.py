@@ -24,12 +24,14 @@ def load_labels(spark: SparkSession, train_path: str, test_path: str, multiline:
 def land_events(raw: DataFrame, order_col: str = "file_pos") -> DataFrame:
     """Landing: add ``ingest_seq`` = chronological position per experiment (ties in file order).
 
-    Positions come from a global range sort with partition offsets
-    (``position_within``), so a hot experiment is numbered by many tasks.
+    Positions and the predecessor's rule (``prev_rule``) come from a global
+    range sort with partition offsets (``running_within``), so a hot
+    experiment is numbered by many tasks.
     Every order-sensitive operator afterwards joins on ``(experiment, ingest_seq)``.
     """
-    from trailfold.functions.ranking import position_within
-    p = position_within(raw, ["experiment"], [F.col("timestamp"), F.col(order_col)], out="ingest_seq")
+    from trailfold.functions.ranking import running_within
+    p = running_within(raw, ["experiment"], [F.col("timestamp"), F.col(order_col)], {}, pos="ingest_seq",
+                       lags={"prev_rule": F.col("RuleName")})
     return p.drop(order_col)
 
 
