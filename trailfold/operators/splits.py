@@ -41,7 +41,8 @@ def history_pool(labels: DataFrame, mode: str = "temporal", eval_year: int = EVA
     return labels.where(pool)
 
 
-def eval_subset(labels: DataFrame, mode: str, per_class: int = 10, seed: int = 42) -> DataFrame:
+def eval_subset(labels: DataFrame, mode: str, per_class: int = 10, seed: int = 42,
+                order: list | None = None) -> DataFrame:
     """FLT-03: evaluation subset by mode ``2024 | dev_2023 | official_test | pilot_20``."""
     if mode == "2024":
         return labels.where(is_eval_year("year", 2024))
@@ -50,7 +51,7 @@ def eval_subset(labels: DataFrame, mode: str, per_class: int = 10, seed: int = 4
     if mode == "official_test":
         return labels.where(F.col("test"))
     if mode == "pilot_20":
-        return balanced_sample(labels.where(is_eval_year("year", 2024)), per_class, seed)
+        return balanced_sample(labels.where(is_eval_year("year", 2024)), per_class, seed, order=order)
     raise ValueError(f"unknown split mode {mode!r}")
 
 
@@ -77,7 +78,7 @@ def stratified_folds(df: DataFrame, k: int = 10, label: str = "label", order: li
 
 
 def balanced_sample(df: DataFrame, n: int, seed: int = 42, label: str = "label",
-                    key: str = "experiment") -> DataFrame:
+                    key: str = "experiment", order: list | None = None) -> DataFrame:
     """WN-11: ``n`` rows per class in seeded order (top-n per class, a window group limit)."""
-    w = Window.partitionBy(label).orderBy(shuffle_key(key, seed), F.col(key))
+    w = Window.partitionBy(label).orderBy(*(order or [shuffle_key(key, seed), F.col(key)]))
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")

@@ -91,10 +91,15 @@ def _eval_official(i: Inputs):
     return splits.eval_subset(i.labels, "official_test")
 
 
-@register("eval_subset_pilot", None)
+@register("eval_subset_pilot", O.q("""
+SELECT experiment, label, year, test FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY (CAST(experiment AS BIGINT) * 7919 + 42) % 1000003,
+                               experiment) AS rn
+  FROM labels_l WHERE coalesce(year = 2024, false)) WHERE rn <= 10"""))
 def _eval_pilot(i: Inputs):
-    """FLT-03 pilot_20: 10 per class from 2024, seeded hash order (rows-only: xxhash64)."""
-    return splits.eval_subset(i.labels, "pilot_20")
+    """FLT-03 pilot_20: 10 per class from the 2024 cohort in a seeded arithmetic order."""
+    order = [(F.col("experiment").cast("long") * 7919 + 42) % 1000003, F.col("experiment")]
+    return splits.eval_subset(i.labels, "pilot_20", order=order)
 
 
 @register("shard_rule_profile", O.q(
