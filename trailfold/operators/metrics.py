@@ -49,15 +49,18 @@ def roc_points(df: DataFrame, group: list[str], label: str = "label", score: str
     per = per.withColumn("bin", F.floor(F.col("s") * bins))
     bin_tot = per.groupBy(*group, "bin").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"))
     wb = Window.partitionBy(*group).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    wg = Window.partitionBy(*group)
+    # group totals come from the small bin table and ride along the keyed (group, bin) join
     bin_tot = (bin_tot.withColumn("pos_before_bin", F.coalesce(F.sum("bpos").over(wb), F.lit(0)))
-               .withColumn("neg_before_bin", F.coalesce(F.sum("bneg").over(wb), F.lit(0))))
+               .withColumn("neg_before_bin", F.coalesce(F.sum("bneg").over(wb), F.lit(0)))
+               .withColumn("P", F.sum("bpos").over(wg)).withColumn("N", F.sum("bneg").over(wg)))
     wi = Window.partitionBy(*group, "bin").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     per = (per.withColumn("pos_in", F.coalesce(F.sum("pos").over(wi), F.lit(0)))
            .withColumn("neg_in", F.coalesce(F.sum("neg").over(wi), F.lit(0))))
-    j = per.join(bin_tot.select(*group, "bin", "pos_before_bin", "neg_before_bin"), [*group, "bin"])
+    j = per.join(bin_tot.select(*group, "bin", "pos_before_bin", "neg_before_bin", "P", "N"), [*group, "bin"])
     return j.select(*group, "s", "pos", "neg",
                     (F.col("pos_before_bin") + F.col("pos_in")).alias("pos_below"),
-                    (F.col("neg_before_bin") + F.col("neg_in")).alias("neg_below"))
+                    (F.col("neg_before_bin") + F.col("neg_in")).alias("neg_below"), "P", "N")
 
 
 def auc_table(df: DataFrame, group: list[str], label: str = "label", score: str = "malware_probability",
@@ -69,9 +72,7 @@ def auc_table(df: DataFrame, group: list[str], label: str = "label", score: str
     and likewise for TPR.  The partial area clips segments at ``max_fpr`` by
     linear interpolation, then is standardised (McClish).
     """
-    pts = roc_points(df, group, label, score)
-    tot = pts.groupBy(*group).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    j = pts.join(tot, group)
+    j = roc_points(df, group, label, score)
     P, N = F.col("P").cast("double"), F.col("N").cast("double")
     # try_divide: a one-class group has P or N = 0 (its AUC is NULL below).
     x1 = F.try_divide(F.col("N") - F.col("neg_below"), N)
@@ -129,11 +130,14 @@ def binary_metrics(df: DataFrame, group: list[str] | None = None, label: str = "
         auc = auc_table(df, group, label, score)
         j = cm.join(auc, group, "left")
     else:
-        # Global aggregate (one row even when empty) joined to the single-row
-        # AUC table; both sides have at most one row.
-        cm = confusion(df, [], label, prediction).withColumn("_g", F.lit(0))
-        auc = auc_table(df.withColumn("_g", F.lit(0)), ["_g"], label, score)
-        j = cm.join(auc, "_g", "left").drop("_g")
+        # The global confusion row (one row even when empty) and the (0 or 1)
+        # AUC row are combined by a union and a global aggregate — no join.
+        cm = confusion(df, [], label, prediction)
+        auc = auc_table(df, [], label, score)
+        cm_cols, auc_cols = cm.columns, ["roc_auc", "partial_auc_max_fpr_0_1"]
+        u = (cm.select(*cm_cols, *[F.lit(None).cast("double").alias(c) for c in auc_cols])
+             .unionByName(auc.select(*[F.lit(None).cast("long").alias(c) for c in cm_cols], *auc_cols)))
+        j = u.agg(*[F.max(c).alias(c) for c in cm_cols + auc_cols])
         group = []
     return j.select(*group, "n", "benign", "malicious", "tn", "fp", "fn", "tp", *_ratios(undefined),
                     "roc_auc", "partial_auc_max_fpr_0_1")

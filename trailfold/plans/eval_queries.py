@@ -37,7 +37,7 @@ def _binary_metrics(i: Inputs):
 @register("roc_auc", O.q("SELECT roc_auc, partial_auc_max_fpr_0_1 FROM auc", _c))
 def _roc_auc(i: Inputs):
     """AG-15/16 on the score lens (ties in scores)."""
-    return metrics.auc_table(i.scores.withColumn("_g", F.lit("all")), ["_g"], score="score").drop("_g")
+    return metrics.auc_table(i.scores, [], score="score")
 
 
 _cz, _ = O.metrics_sql("rav", False, undefined="zero")
