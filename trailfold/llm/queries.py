@@ -7,12 +7,24 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trailfold.llm import sentencepiece_bpe, token_counts
+from trailfold.llm import language_id, packing, sentencepiece_bpe, token_counts
 from trailfold.llm.common import table
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.fit(docs, ~language_id.held_out(docs["doc_id"])))
+    return found.select("doc_id", language_id.held_out(found["doc_id"]).alias("held_out"), "lang_pred", "score")
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts packed into sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every text, and the text that they decode to."""
     return sentencepiece_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
@@ -24,6 +36,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_token_counts": op6_token_counts,
 }
