@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trailfold.llm import language_id, packing, sentencepiece_bpe, token_counts
+from trailfold.llm import language_id, packing, quality, sentencepiece_bpe, token_counts
 from trailfold.llm.common import table
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -35,11 +35,20 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability of good quality of every document, from both views and from each."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, with_views=True)
+    return scored.select("doc_id", "score", "text_view", "meta_view", (scored["score"] >= quality.KEEP).alias("keep"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_token_counts": op6_token_counts,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 ORACLES: dict[str, str] = {}
 
