@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trailfold.llm import fingerprints, language_id, packing, quality, sentencepiece_bpe, token_counts
+from trailfold.llm import fingerprints, language_id, packing, quality, secrets, sentencepiece_bpe, token_counts
 from trailfold.llm.common import table
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -20,6 +20,36 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(found["doc_id"]).alias("held_out"), "lang_pred", "score")
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text by a trigram index."""
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def _secrets_sql() -> str:
+    """The expressions alone, over every text: what lies between matches gives their places."""
+    parts = []
+    for order, rule in enumerate(secrets.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, n, {order} AS o, '{rule.kind}' AS kind, i.i AS i,
+            list_sum(list_transform(between[1:i.i], lambda x: length(x))) +
+            coalesce(list_sum(list_transform(whole[1:i.i - 1], lambda x: length(x))), 0) AS s, length(whole[i.i]) AS size,
+            length(checked[i.i]) AS checked
+          FROM (SELECT doc_id, n, string_split_regex(t, '{pattern}') AS between, regexp_extract_all(t, '{pattern}') AS whole,
+                       regexp_extract_all(t, '{pattern}', {rule.group}) AS checked FROM d) AS p,
+               LATERAL (SELECT unnest(range(1, len(p.whole) + 1)) AS i) AS i
+          WHERE length(checked[i.i]) >= {rule.least}""")
+    base = [i for i, r in enumerate(secrets.RULES) if r.base]
+    text = "kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + size AS BIGINT), ',' ORDER BY s, o"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS n FROM documents),
+        f AS ({' UNION ALL '.join(parts)}),
+        g AS (SELECT n, {', '.join(f"count(*) FILTER (WHERE o = {i}) AS n_{secrets.RULES[i].kind}" for i in base)},
+                     string_agg({text}) FILTER (WHERE o IN ({', '.join(map(str, base))})) AS b, string_agg({text}) AS a
+              FROM f GROUP BY n)
+        SELECT doc_id, {', '.join(f"coalesce(n_{secrets.RULES[i].kind}, 0) AS n_{secrets.RULES[i].kind}" for i in base)},
+               sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans
+        FROM d LEFT JOIN g USING (n)"""
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts packed into sequences of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
@@ -50,13 +80,16 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op3_secret_scans": op3_secret_scans,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_token_counts": op6_token_counts,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_secret_scans": _secrets_sql(),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
