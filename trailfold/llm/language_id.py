@@ -36,6 +36,7 @@ SPAN = 64
 SPACE = 32
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
+HASHES = 1 << 30
 
 
 @dataclass
@@ -155,8 +156,14 @@ def fit(docs: DataFrame, train: Column, order: int = ORDER, per_language: int =
                        train.alias("train"))
     rows = rows.filter(F.col("train") & F.col("lang").isNotNull() & F.col("text").isNotNull()
                        & F.col("id").isNotNull() & (F.length("text") <= longest))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = (rows.select("id", "lang").withColumn("nth", F.row_number().over(by_hash))
+    named = rows.select("id", "lang", F.pmod(F.xxhash64("id"), F.lit(HASHES)).alias("hash"))
+    # twice the share of hashes that a language needs on average, then the smallest ones exactly
+    sizes = {r["lang"]: r["count"] for r in named.groupBy("lang").count().collect()}
+    enough = F.lit(False)
+    for lang, n in sizes.items():
+        enough = enough | (F.col("lang").eqNullSafe(F.lit(lang)) & (F.col("hash") <= int(HASHES * min(1.0, (2 * per_language + 100) / n))))
+    by_hash = Window.partitionBy("lang").orderBy("hash", "id")
+    chosen = (named.filter(enough).withColumn("nth", F.row_number().over(by_hash))
               .filter(F.col("nth") <= per_language).select("id", "lang").distinct())
     # at most per_language rows for each language: a bounded side
     sample = rows.select("id", "lang", "text").join(F.broadcast(chosen), ["id", "lang"], "left_semi")
