@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailfold.llm import fingerprints, html_text, language_id, nearest, packing, quality, secrets, sentencepiece_bpe, token_counts
+from trailfold.llm import fingerprints, html_text, jaccard_join, language_id, nearest, packing, quality, secrets, sentencepiece_bpe, token_counts
 from trailfold.llm.common import table
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 3-word shingles are alike by 90 of 100."""
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text, learned outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
@@ -91,6 +96,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
     "op3_secret_scans": op3_secret_scans,
     "op4_best_fit_packing": op4_best_fit_packing,
