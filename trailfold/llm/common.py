@@ -31,6 +31,14 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores until no column is called so (names ignore case)."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Partition count for an explicit repartition: the session's own setting."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

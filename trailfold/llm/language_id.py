@@ -36,6 +36,8 @@ SPAN = 64
 SPACE = 32
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
+#: Texts predicted with less are rejected where only clear ones are kept.
+CLEAR = 0.5
 HASHES = 1 << 30
 
 
@@ -179,8 +181,8 @@ def fit(docs: DataFrame, train: Column, order: int = ORDER, per_language: int =
 
 
 def identify(docs: DataFrame, model: Automaton, id_col: str = "doc_id", text_col: str = "text",
-             keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: the id, the ``keep`` columns, ``lang_pred`` and ``score`` (the posterior of the prediction).
+             keep: tuple[str, ...] = (), pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Per row: the id, the ``keep`` columns, the prediction and its posterior, named ``pred`` and ``score``.
 
     Every row gives one, repeated rows too.  A null text, one without a
     letter, and any text where no language was learned get ``und`` and score
@@ -200,21 +202,22 @@ def identify(docs: DataFrame, model: Automaton, id_col: str = "doc_id", text_col
             if m.languages:
                 bits = code_lengths(m, *text_bytes(texts))
                 best = bits.argmin(axis=0)
-                score = 1 / np.exp2(np.maximum(bits.min(axis=0) - bits, -1000)).sum(axis=0)
+                chance = 1 / np.exp2(np.maximum(bits.min(axis=0) - bits, -1000)).sum(axis=0)
                 found = [m.languages[i] if ok else UNKNOWN for i, ok in zip(best, lettered)]
-                score = np.where(lettered, score, 0.0)
+                chance = np.where(lettered, chance, 0.0)
             else:
-                found, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+                found, chance = [UNKNOWN] * len(texts), np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays(
                 [*[part.column(n) for n in names], *([texts] if with_text else []),
-                 pa.array(found, pa.string()), pa.array(score, pa.float64())],
+                 pa.array(found, pa.string()), pa.array(chance, pa.float64())],
                 [*names, *(["text"] if with_text else []), "lang_pred", "score"])
 
     schema = ", ".join([*[f"{n} {k.simpleString()}" for n, k in zip(names, kinds)],
                         *(["text string"] if with_text else []), "lang_pred string", "score double"])
     out = docs.select(*[docs[c].alias(n) for c, n in zip(kept, names)], docs[text_col].alias("text")).mapInArrow(run, schema)
     return out.select(*[F.col(n).alias(c) for c, n in zip(kept, names)],
-                      *([F.col("text").alias(text_col)] if with_text else []), "lang_pred", "score")
+                      *([F.col("text").alias(text_col)] if with_text else []), F.col("lang_pred").alias(pred),
+                      F.col("score").alias(score))
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

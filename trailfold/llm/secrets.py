@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailfold.llm.common import saved
+from trailfold.llm.common import fresh, saved
 
 
 @dataclass(frozen=True)
@@ -189,15 +189,16 @@ def matches(text: Column, rule: Rule, order: int) -> Column:
     return F.when(text.rlike(rule.pattern), searched).otherwise(empty)
 
 
-def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``spans``: array of (start, order, end), sorted; ``order`` numbers the rules.
+def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text",
+         out: str = "spans") -> DataFrame:
+    """All columns of ``docs`` and ``out``: array of (start, order, end), sorted; ``order`` numbers the rules.
 
     The index is written to the shared checkpoint folder.  Every row gives
     one, repeated rows alike (an id's postings are those of all its rows; the
     expressions decide); a null text has no spans; rows with null ids share
-    their postings.  A column named ``spans`` is replaced.
+    their postings.  A column named as ``out`` is replaced.
     """
-    docs = docs.drop("spans")
+    docs = docs.drop(out)
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[docs[c].alias(n) for c, n in names.items()])
@@ -215,7 +216,7 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
             spans = F.when(asked, spans).otherwise(F.array().cast("array<struct<start:int,order:int,end:int>>"))
         parts.append(spans)
     found = rows.withColumn("spans", F.sort_array(F.concat(*parts)))
-    return found.select(*[F.col(n).alias(c) for c, n in names.items()], "spans")
+    return found.select(*[F.col(n).alias(c) for c, n in names.items()], F.col("spans").alias(out))
 
 
 def written(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -243,7 +244,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_
            mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span in the text replaced by ``mark`` (overlapping spans by one)."""
     columns = docs.columns
-    found = find(docs, rules, id_col, text_col)
+    spans = fresh("spans", columns)
+    found = find(docs, rules, id_col, text_col, spans)
     text = F.col(text_col)
 
     def add(state: Column, s: Column) -> Column:
@@ -253,6 +255,6 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_
                         F.when(new, F.concat(state["out"], between, F.lit(mark))).otherwise(state["out"]).alias("out"))
 
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("spans", begin, add, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))))
-    done = found.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(text))
+    clean = F.aggregate(spans, begin, add, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))))
+    done = found.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text))
     return done.select(*columns)
