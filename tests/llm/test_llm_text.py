@@ -1,0 +1,332 @@
+"""Languages, quality, pages, secrets and fingerprints."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import llm_cases as cases
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from trailfold.llm import fingerprints, html_text, language_id, quality, secrets
+from trailfold.llm.common import table, text_bytes
+
+needs_sf = pytest.mark.skipif(not cases.HAVE_SF, reason="driver test data not present")
+
+
+# ------------------------------------------------------------------ languages
+
+def ppm_bits(counts, word, order, used):
+    """Code length of a word and its closing space, byte by byte with exclusions."""
+    tree = {}
+    for w, n in counts.items():
+        coded = b" " + w + b" "
+        for i in range(1, len(coded)):
+            for k in range(min(order, i) + 1):
+                node = tree.setdefault(coded[i - k:i], {})
+                node[coded[i]] = node.get(coded[i], 0) + n
+    tree = {c: t for c, t in tree.items() if len(c) < 2 or sum(t.values()) > 1}
+    coded, bits = b" " + word + b" ", 0.0
+    for i in range(1, len(coded)):
+        context = coded[max(0, i - order):i]
+        # bytes never seen in training start the context anew
+        for j in range(len(context) - 1, -1, -1):
+            if context[j] not in used:
+                context = context[j + 1:]
+                break
+        excluded, chance, done = set(), 1.0, False
+        for k in range(len(context) + 1):
+            node = {s: n for s, n in tree.get(context[k:], {}).items() if s not in excluded}
+            if not node:
+                continue
+            total, kinds = sum(node.values()), len(node)
+            if coded[i] in node:
+                chance *= node[coded[i]] / (total + kinds)
+                done = True
+                break
+            chance *= kinds / (total + kinds)
+            excluded |= set(node)
+        if not done:
+            chance /= 256 - len(excluded)
+        bits -= np.log2(chance)
+    return bits
+
+
+def test_code_lengths_are_exact():
+    counts = {"a": {b"the": 5, b"then": 2, b"hat": 1, b"a": 9}, "b": {b"das": 4, b"der": 3, b"den": 1}}
+    from collections import Counter
+    model = language_id.compile_trees({k: Counter(v) for k, v in counts.items()}, order=3)
+    used = {b for c in counts.values() for w in c for b in w} | {32}
+    texts = ["the", "then hat", "xyz", "The das", "", "den\tden zebra"]
+    bits = language_id.code_lengths(model, *text_bytes(pa.array(texts)))
+    for j, name in enumerate(model.languages):
+        for i, t in enumerate(texts):
+            want = sum(ppm_bits(counts[name], w.lower().encode(), 3, used) for w in t.split())
+            assert abs(bits[j, i] - want) < 1e-3, (name, t)
+
+
+@needs_sf
+def test_held_out_accuracy(spark):
+    docs = table(spark, cases.SF.replace("0.001", "0.01"), "documents")
+    model = language_id.fit(docs, ~language_id.held_out(docs["doc_id"]), per_language=200)
+    found = language_id.identify(docs, model, keep=("lang",)).filter(language_id.held_out(F.col("doc_id")))
+    right, n = found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert n > 150 and right > 0.98
+    assert all(zlib.crc32(str(r[0]).encode()) % 5 == 0 for r in found.select("doc_id").collect())
+
+
+def test_awkward_languages(spark):
+    docs = cases.awkward(spark)
+    model = language_id.fit(docs, F.lit(True), longest=10**6)
+    found = language_id.identify(docs, model, keep=("doc_id", "text", "score", "lang_pred"), pred="p", score="s")
+    rows = found.collect()
+    assert len(rows) == docs.count() and {r["score"] for r in rows} == {"s"}
+    assert {r["doc_id"]: r["p"] for r in rows if r["doc_id"] in (2, 3, 4, 7)} == dict.fromkeys((2, 3, 4, 7), "und")
+    assert all(0 <= r["s"] <= 1 for r in rows) and found.filter("doc_id = 1 and p = 'en'").count() == 2
+    nothing = language_id.fit(cases.empty(spark), F.lit(True))
+    assert {r["lang_pred"] for r in language_id.identify(docs, nothing).collect()} == {"und"}
+    assert language_id.identify(cases.empty(spark), model).count() == 0
+
+
+# ------------------------------------------------------------------ quality
+
+def test_co_training_uses_both_views():
+    rng = np.random.default_rng(1)
+    n = 1500
+    label = rng.integers(0, 2, n)
+    text = np.concatenate([label[:, None] * 2 - 1 + rng.normal(0, 0.8, (n, 1)), rng.normal(0, 1, (n, 5)), np.ones((n, 1))], 1)
+    meta = np.concatenate([label[:, None] * 2 - 1 + rng.normal(0, 0.8, (n, 1)), rng.normal(0, 1, (n, 5)), np.ones((n, 1))], 1)
+    told = np.where(np.arange(n) < 120, label, -1)
+    held = (np.arange(n) >= 80) & (np.arange(n) < 120)
+    model = quality.co_train(text.astype(np.float32), meta.astype(np.float32), told, held)
+    assert model.rounds[-1][0] > 0 and model.rounds[-1][1] > 0
+    right = lambda p: ((p >= 0.5) == label)[120:].mean()
+    both = right(model.score(text, meta))
+    views = model.views(text, meta)
+    assert both > 0.93 and both >= max(right(views[:, 0] >= 0), right(views[:, 1] >= 0)) - 0.005
+
+
+def test_without_labels_all_score_alike():
+    x = np.ones((4, 3), np.float32)
+    assert quality.co_train(x, x, np.full(4, -1), np.zeros(4, bool)).score(x, x).tolist() == [0.5] * 4
+    assert quality.co_train(x, x, np.array([1, 1, -1, -1]), np.zeros(4, bool)).score(x, x).tolist() == [1.0] * 4
+
+
+@needs_sf
+def test_quality_of_labelled_documents(spark):
+    sf = cases.SF.replace("0.001", "0.01")
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    # learn from two thirds of the labels, judge by the others
+    model = quality.fit(docs, labels.filter("doc_id % 3 <> 0"))
+    judged = quality.score(docs, model).join(labels.filter("doc_id % 3 = 0"), "doc_id")
+    right, n = judged.agg(F.avg(((F.col("score") >= 0.5).cast("int") == F.col("quality")).cast("int")), F.count("*")).first()
+    assert n > 80 and right > 0.95
+
+
+def test_awkward_quality(spark):
+    docs = cases.awkward(spark)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (5, 0), (7, 0), (8, 1), (None, 1), (6, None)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    scored = quality.score(docs, model, out="out", with_views=True)
+    assert scored.columns == [c for c in docs.columns if c != "text_view"] + ["out", "text_view", "meta_view"]
+    rows = scored.collect()
+    assert len(rows) == docs.count() and all(0 <= r["out"] <= 1 for r in rows)
+    assert {r["out"] for r in quality.score(docs, quality.fit(docs, labels.limit(0)), out="out").collect()} == {0.5}
+    assert quality.score(cases.empty(spark), model).count() == 0
+    assert quality.fit(cases.empty(spark), labels).base == 0.5
+
+
+# ------------------------------------------------------------------ pages
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no";</script></head>
+<body class=x><nav><ul><li><a href="a>b">Menu</a><li>More</ul></nav><!-- <p>gone</p> -->
+<article><h1>Head &amp; line</h1><p><b>First  par<br>with a break and &eacute;&#233;.<p>Second&nbsp;one, quite long as such
+lines go, ends here.<script>x<y</script></article><footer>&copy; me</footer><p>cut <a href="""
+
+
+def test_blocks():
+    got = [(b.path[-1][0], b.text) for b in html_text.blocks_of(PAGE)]
+    assert got == [("li", "Menu"), ("li", "More"), ("h1", "Head & line"), ("b", "First par with a break and éé."),
+                   ("p", "Second one, quite long as such lines go, ends here."), ("footer", "© me"), ("p", "cut")]
+    for odd in ("", "<", "<p", "a < b > c", "</p></p>", "<p>a</div>b", "<script>never closed", "<<<>>>", "<!--", "<p class='x>y"):
+        html_text.blocks_of(odd)
+    assert [b.text for b in html_text.blocks_of("a < b &amp")] == ["a < b &"]
+
+
+def test_gradients_of_the_labeller():
+    rng = np.random.default_rng(0)
+    model = html_text.Labeller.new()
+    x, mask = rng.normal(size=(5, 3, html_text.WIDTH + html_text.NUMBERS)), np.ones((5, 3))
+    mask[3:, 1] = 0
+    y = rng.integers(0, 2, (5, 3)).astype(float)
+    d_x, d_gates, d_out, loss = model.step(x, mask, y)
+    for array, grad, at in ((model.gates[0], d_gates[0], (3, 7)), (model.gates[1], d_gates[1], (50, 41)), (model.out, d_out, (4,)),
+                            (x, d_x, (2, 0, 5))):
+        old = array[at]
+        array[at] = old + 1e-5
+        up = model.step(x, mask, y)[3]
+        array[at] = old
+        assert abs((up - loss) / 1e-5 - grad[at]) < 1e-4
+
+
+@needs_sf
+def test_labeller_on_pages_it_has_not_seen(spark):
+    pages = table(spark, cases.SF.replace("0.001", "0.01"), "pages")
+    model = html_text.fit(pages, number=80)
+    html = [r["html"] for r in pages.orderBy(F.desc(F.xxhash64("page_id"))).limit(60).collect()]
+    read = [html_text.blocks_of(h) for h in html]
+    rng = random.Random(1)
+    words = [b.text for p in read for b in p]
+    for make, most in ((lambda p: (p, html_text.purpose(p)), 0.002),
+                       (lambda p: html_text.variant(p, html_text.purpose(p), words, rng), 0.03)):
+        pairs = [make(p) for p in read]
+        labels = model.label([html_text.features(p) for p, _ in pairs])
+        wrong = sum(int(((a >= 0.5) != b).sum()) for a, (_, b) in zip(labels, pairs))
+        assert wrong <= most * sum(len(b) for _, b in pairs)
+
+
+def test_awkward_pages(spark):
+    schema = "page_id long, url string, html string, text string, id int, n_chars string"
+    rows = [(1, "u", PAGE, "t", 1, "x"), (1, "u", PAGE, "t", 1, "x"), (2, None, None, None, None, None), (None, "v", "", "t", 2, "y"),
+            (3, "w", "<p>" * 3000 + "deep and long, with words enough to count as text" + "</p>" * 9, "t", 3, "z"),
+            (4, "w", "plain text only", "", 4, "")]
+    pages = spark.createDataFrame(rows, schema)
+    model = html_text.fit(pages, epochs=2)
+    got = html_text.extract(pages, model).collect()
+    assert sorted(str(r["page_id"]) for r in got) == ["1", "1", "2", "3", "4", "None"]
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+    assert [r["text"] for r in got if r["page_id"] in (2, None)] == ["", ""]
+    assert html_text.extract(pages.limit(0), model).count() == 0 and html_text.fit(pages.limit(0)) is None
+    assert {r["text"] for r in html_text.extract(pages, None).collect()} == {""}
+
+
+# ------------------------------------------------------------------ secrets
+
+def spans(text):
+    out = []
+    for i, r in enumerate(secrets.RULES):
+        pattern = r"[0-9a-f]+" if r.kind == "hex" else r.pattern
+        for m in re.finditer(pattern, text, re.A):
+            if len(m[r.group]) >= r.least:
+                out.append((m.start(), i, m.end()))
+    return sorted(out)
+
+
+def written(found):
+    return ",".join(f"{secrets.RULES[i].kind}:{a}:{b}" for a, i, b in found)
+
+
+def test_trigram_queries():
+    of = lambda p: secrets.trigram_query(p)
+    assert of("abc") == [frozenset({"abc"})]
+    assert of("abcd|xyz") == [frozenset({"xyz"}), frozenset({"abc", "bcd"})]
+    assert of("ab?cd") == [frozenset({"acd"}), frozenset({"abc", "bcd"})]
+    assert of("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
+    assert of("ab") is None and of("[0-9a-f]{24,}") is None and of("(abc)?x*") is None and of("abc|de") is None
+    assert of("foo.*bar") == [frozenset({"foo", "bar"})]
+
+
+def test_every_match_satisfies_its_query():
+    rng = random.Random(4)
+    bits = ["password", "PASSWD", "secret", "api_key", "apikey", "token", "=", ": ", "'", '"', "abcdef", "AKIA", "ABCDEFGHIJKLMNOP", " ",
+            "0123456789abcdef01234567", "ghp_" + "a1" * 18, "é", "xoxb-123456789-0", "-----BEGIN RSA PRIVATE KEY-----"]
+    for _ in range(2000):
+        text = "".join(rng.choice(bits) for _ in range(8))
+        small = text.lower()
+        for r in secrets.RULES:
+            query = secrets.trigram_query(r.pattern)
+            if query and re.search(r.pattern, text, re.A):
+                assert any(all(g in small for g in clause) for clause in query), (r.kind, text)
+
+
+def test_secrets_equal_brute_force(spark):
+    rng = random.Random(5)
+    bits = ["password", "Secret", "api_key", "token", "=", ": ", "'", '"', "abcdef", "x", "AKIA", "ABCDEFGHIJKLMNOP", " ", "\n", "😀",
+            "0123456789abcdef01234567", "ghp_" + "a1" * 18, "é", "xoxb-123456789-0", "secret: token: abcdefgh", ""]
+    rows = [cases.document(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))) for i in range(400)]
+    docs = spark.createDataFrame(rows, cases.SCHEMA).unionByName(cases.awkward(spark))
+    source = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    want = []
+    for i, t in source:
+        found = spans(t)
+        base = [f for f in found if f[1] < 3]
+        want.append((str(i), *[sum(f[1] == n for f in base) for n in range(3)], hashlib.sha256(written(base).encode()).hexdigest(), written(found)))
+    got = [(str(r[0]), *r[1:]) for r in secrets.report(docs).collect()]
+    assert sorted(got) == sorted(want)
+    clean = secrets.redact(docs)
+    assert clean.columns == docs.columns and clean.filter("text is null").count() == 1
+    marked = {}
+    for i, t in source:
+        out, at = "", 0
+        for a, _, b in spans(t):
+            if a >= at:
+                out += t[at:a] + "[SECRET]"
+            at = max(at, b)
+        marked.setdefault(str(i), set()).add(out + t[at:])
+    assert all((r["text"] or "") in marked[str(r["doc_id"])] for r in clean.collect())
+    assert secrets.report(cases.empty(spark)).count() == 0
+
+
+# ------------------------------------------------------------------ fingerprints
+
+def sketch(text):
+    words = [w for w in re.split(r"[ \t-\r]+", text.lower().strip(fingerprints.SPACES)) if w]
+    found = []
+    for i in range(max(1, len(words) - 4) if words else 0):
+        seed = 42
+        for w in words[i:i + 5]:
+            seed = xxhash.xxh64_intdigest(w.encode(), seed=seed)
+        found.append(seed)
+    if len(found) <= fingerprints.COMPLETE:
+        return 1, {h - (1 << 64) if h >> 63 else h for h in found}
+    return fingerprints.SCALE, {h for h in found if h < (1 << 64) // fingerprints.SCALE}
+
+
+def alike(a, b):
+    if a == b:
+        return 1.0
+    limit = (1 << 64) // fingerprints.SCALE
+    x, y = ({h for h in p[1] if p[0] > 1 or q[0] == 1 or 0 <= h < limit} for p, q in ((a, b), (b, a)))
+    return len(x & y) / len(x | y) if x and y else 0.0
+
+
+def check_fingerprints(rows, docs):
+    order = sorted(docs, reverse=True)
+    for i, doc_id in enumerate(order):
+        text, following = docs[doc_id], docs[order[(i + 1) % len(order)]]
+        half = len(text) // 2
+        changed = text[:len(text) - half] + following[:half]
+        a, b, c = sketch(text), sketch(changed), sketch(following)
+        r = rows[doc_id]
+        assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
+        for name, s in (("fingerprint", a), ("edited_fingerprint", b)):
+            assert r[name] == f"{s[0]}:" + ",".join(f"{h & (1 << 64) - 1:x}" for h in sorted(s[1]))
+        assert abs(r["near_edited"] - alike(a, b)) < 1e-12 and abs(r["near_next"] - alike(a, c)) < 1e-12
+
+
+@needs_sf
+def test_fingerprints_equal_brute_force(spark):
+    docs = cases.texts(spark)
+    check_fingerprints({r["doc_id"]: r for r in fingerprints.fingerprint_documents(docs).collect()},
+                       {r["doc_id"]: r["text"] or "" for r in docs.collect()})
+
+
+def test_awkward_fingerprints(spark):
+    docs = cases.awkward(spark)
+    rows = fingerprints.fingerprint_documents(docs).collect()
+    assert len(rows) == docs.count() and all(0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1 for r in rows)
+    assert len({r["fingerprint"] for r in rows if r["doc_id"] in (1, None)}) == 1
+    assert {r["near_next"] for r in rows if r["doc_id"] == 4} == {1.0}
+    last = next(r for r in rows if r["doc_id"] is None)
+    assert last["edited_sha256"] == hashlib.sha256(b"one two three fouab").hexdigest() and last["n_chars"] == 33
+    one = docs.filter("doc_id = 8")
+    assert [(r["near_next"], r["edited_sha256"]) for r in fingerprints.fingerprint_documents(one).collect()] == [
+        (1.0, hashlib.sha256(b"aa").hexdigest())]
+    assert fingerprints.fingerprint_documents(cases.empty(spark)).count() == 0
+    different = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    check_fingerprints({r["doc_id"]: r for r in fingerprints.fingerprint_documents(different).collect()},
+                       {r["doc_id"]: r["text"] or "" for r in different.collect()})

@@ -116,8 +116,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, carried: dict[str, Co
     carried = carried or {}
     names = ["text", *carried]
     if not firsts:
-        return rows.select("id", "text", *[e.alias(c) for c, e in carried.items()],
-                           *[F.lit(None).alias(f"next_{c}") for c in names])
+        none = rows.withColumns(carried)
+        return none.select("id", *names, *[F.col(c).alias(f"next_{c}") for c in names])
     follows = [(firsts[i][1], firsts[i][2], firsts[(i + 1) % len(firsts)][0]) for i in range(len(firsts))]
     kind = rows.schema["id"].dataType
     at = F.col("i").cast("int")
