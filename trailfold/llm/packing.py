@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from trailfold.llm.common import saved, shuffle_width, text_slices
+from trailfold.llm import words as W
+from trailfold.llm.common import saved, shuffle_width, text_bytes, text_slices
 
 CAPACITY = 2048
 #: Entries of a task's memo of words; a full memo starts anew.
-MEMO = 500_000
+MEMO = 1_000_000
 #: Steps of the search beyond the best-fit incumbents.
 NODES = 3_000
 #: Fillings tried per step, and the steps looked at to find them.
@@ -37,12 +38,15 @@ WIDTH, LOOKS = 4, 300
 
 
 class WordEncoder:
-    """Token ids of a text as little-endian bytes, word by word.
+    """Token ids of many texts at once, word by word.
 
     The tokenizer drops white space and never joins over it, so each word
-    between ASCII white space is encoded by itself; full stops and commas
-    after a letter or digit are words of their own.  Repeated words are
-    encoded once.
+    between ASCII white space is encoded by itself, and so is a full stop or
+    comma after a word that ends in a letter.  Words are told apart by 64-bit
+    hashes, A-Z taken as a-z as the tokenizer does; only where a word holds a
+    bar (of a special token) or characters beyond U+02FF (marks that may join a
+    letter before its case changes) is it taken as it stands.  Each word is
+    encoded once, up to ``MEMO`` words.
     """
 
     def __init__(self, path: str):
@@ -51,52 +55,69 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) > MEMO:
-            self.words.clear()
-        if len(self.cores) > MEMO:
-            self.cores.clear()
-        split = {}
-        for w in words.difference(self.words):
-            core = w.rstrip(".,")
-            # without its end a word is the same; plain letters are lower-cased by the tokenizer anyway
-            if core.isascii() and core.isalpha():
-                split[w] = (core.lower(), w[len(core):])
-            elif core and core[-1].lower()[-1].isalnum():
-                split[w] = (core, w[len(core):])
-            else:
-                split[w] = (w, "")
-        need = {x for pair in split.values() for x in pair if x}.difference(self.cores)
-        plain = [w for w in need if w.isascii() and w.isalpha()]
-        other = list(need.difference(plain))
-        # words of plain letters end with one token that marks an end, so many are encoded at once
-        for i in range(0, len(plain), 50):
-            ids = np.array(self.tokenizer.encode(" ".join(plain[i:i + 50]), add_special_tokens=False).ids, "<u4")
-            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-            raw = ids.tobytes()
-            for w, x, y in zip(plain[i:i + 50], cuts, cuts[1:], strict=False):
-                self.cores[w] = raw[x:y]
-        for w, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
-            self.cores[w] = np.array(e.ids, "<u4").tobytes()
-        for w, (core, tail) in split.items():
-            self.words[w] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [_words(t) for t in texts]
-        need = set().union(*parts)
-        self.learn(need)
-        memo = self.words
-        return [b"".join([memo[w] for w in p]) for p in parts]
-
-
-def _words(text: str) -> list[str]:
-    for c in "\n\t\r\v\f":
-        if c in text:
-            text = text.replace(c, " ")
-    return [w for w in text.split(" ") if w]
+        self.forget()
+
+    def forget(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.size, self.at = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.ids, self.used = np.zeros(1 << 18, "<u4"), 0
+
+    def learn(self, names: list[int], words: list[str]) -> None:
+        """Encode new words; those of plain letters end with one token that marks an end, so many go at once."""
+        plain = [i for i, w in enumerate(words) if w.isascii() and w.isalpha()]
+        other = [i for i, w in enumerate(words) if not (w.isascii() and w.isalpha())]
+        groups = [plain[i:i + 50] for i in range(0, len(plain), 50)]
+        joined = [" ".join([words[i] for i in g]) for g in groups]
+        found = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        sizes = [np.diff(np.flatnonzero(self.ends[f]) + 1, prepend=0) for f in found]
+        found += [np.array(e.ids, "<u4") for e in
+                  self.tokenizer.encode_batch_fast([words[i] for i in other], add_special_tokens=False)]
+        sizes += [np.array([len(f)]) for f in found[len(groups):]]
+        flat, size = np.concatenate(found), np.concatenate(sizes)
+        first = len(self.slot)
+        while first + len(size) > len(self.size):
+            self.size, self.at = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.at))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used:self.used + len(flat)] = flat
+        self.size[first:first + len(size)] = size
+        self.at[first:first + len(size)] = self.used + np.cumsum(size) - size
+        self.used += len(flat)
+        self.slot.update(zip([names[i] for i in [*plain, *other]], range(first, first + len(size)), strict=True))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after the other, and the number of each text's."""
+        if len(self.slot) > MEMO:
+            self.forget()
+        starts, ends, text = W.spans(data, offsets)
+        if not len(starts):
+            return np.zeros(0, "<u4"), np.zeros(len(offsets) - 1, np.int64)
+        lower = W.LOWER[data]
+        stop = (ends - starts > 1) & ((data[ends - 1] == 44) | (data[ends - 1] == 46))
+        before = lower[np.maximum(ends - 2, 0)]
+        stop &= (before >= 97) & (before <= 122)
+        order = np.argsort(np.concatenate([starts, ends[stop] - 1]), kind="stable")
+        starts, ends, text = (np.concatenate(x)[order] for x in (
+            (starts, ends[stop] - 1), (ends - stop, ends[stop]), (text, text[stop])))
+        odd = np.concatenate([[0], np.cumsum((data >= 0xCC) | (data == 124))])
+        odd = odd[ends] > odd[starts]
+        names = W.hashes(data, starts, ends)
+        if odd.any():
+            names[odd] = ~W.hashes(data, starts, ends, lower=False)[odd]
+        names, first, which = np.unique(names, return_index=True, return_inverse=True)
+        known = [self.slot.get(x, -1) for x in names.tolist()]
+        new = [i for i, x in enumerate(known) if x < 0]
+        if new:
+            at = first[new]
+            raw, small = data.tobytes(), lower.tobytes()
+            self.learn(names[new].tolist(), [(raw if o else small)[a:b].decode() for o, a, b in zip(
+                odd[at].tolist(), starts[at].tolist(), ends[at].tolist())])
+            known = [self.slot[x] for x in names.tolist()]
+        slots = np.array(known)[which]
+        size = self.size[slots]
+        ends_at = np.cumsum(size)
+        ids = self.ids[np.arange(ends_at[-1]) + np.repeat(self.at[slots] - ends_at + size, size)]
+        return ids, np.bincount(text, size, len(offsets) - 1).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -112,14 +133,20 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for part in text_slices(batches, "text"):
-            raws = [r + b"\0\0\0\0" for r in encoder.encode([t or "" for t in part.column("text").to_pylist()])]
-            sizes = np.array([len(r) // 4 for r in raws], np.int64)
+            ids, sizes = encoder.encode(*text_bytes(part.column("text")))
+            raw, ends = ids.tobytes(), np.cumsum(sizes)
+            first = ends - sizes
+            sizes = sizes + 1
             per = -(-sizes // capacity)
-            row = np.repeat(np.arange(len(raws)), per)
+            row = np.repeat(np.arange(len(sizes)), per)
             piece = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
             start = piece * capacity
             length = np.minimum(sizes[row] - start, capacity)
-            crc = [zlib.crc32(raws[i][4 * a:4 * (a + n)]) for i, a, n in zip(row, start, length)]
+            crc = []
+            for a, n, last in zip((first[row] + start).tolist(), length.tolist(), (start + length == sizes[row]).tolist()):
+                # a text's last id is the 0 that follows it
+                crc.append(zlib.crc32(b"\0\0\0\0", zlib.crc32(raw[4 * a:4 * (a + n - 1)])) if last
+                           else zlib.crc32(raw[4 * a:4 * (a + n)]))
             yield pa.RecordBatch.from_arrays(
                 [part.column("id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                  pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
