@@ -21,9 +21,29 @@ def test_class_order_and_learning(spark):
 
 
 def test_threshold_vs_argmax_tie(spark):
-    df = spark.createDataFrame([(0.5,)], "p double")
-    thr = df.select(F.when(F.col("p") >= 0.5, "malicious").otherwise("benign").alias("d")).first().d
-    assert thr == "malicious"   # CV rule; the argmax rule sends a 0.5 tie to the first class (benign)
+    """A tie of one half: the class argmax says benign (the first class), the threshold malicious."""
+    from pyspark.ml.linalg import Vectors
+
+    class Fixed:
+        def transform(self, df):
+            return df
+
+    df = spark.createDataFrame([("t", Vectors.dense(0.5, 0.5), 0.0), ("m", Vectors.dense(0.2, 0.8), 1.0)],
+                               ["experiment", "probability", "prediction"])
+    by = {rule: {r.experiment: r.prediction for r in models.predictions(Fixed(), df, ["experiment"], rule).collect()}
+          for rule in ("argmax", "threshold")}
+    assert by == {"argmax": {"t": "benign", "m": "malicious"}, "threshold": {"t": "malicious", "m": "malicious"}}
+
+
+def test_stacking_scores_every_row_out_of_fold(spark):
+    rows = [(str(i), "malicious" if i % 2 else "benign", float(i % 2) * 0.6 + (i % 7) / 20, None if i % 11 == 0 else 0.5, i % 5)
+            for i in range(100)]
+    df = spark.createDataFrame(rows, "experiment string, label string, p1 double, p2 double, fold int")
+    some = cascade.stack_out_of_fold(df, ["p1", "p2"], 5, ["experiment", "label", "fold"]).collect()
+    assert sorted(r.experiment for r in some) == sorted(r[0] for r in rows)
+    assert {r.experiment for r in some if r.p_stack is None} == {r[0] for r in rows if r[3] is None}
+    filled = cascade.stack_out_of_fold(df, ["p1", "p2"], 5, ["experiment", "label", "fold"], missing=0.5).collect()
+    assert all(0 <= r.p_stack <= 1 for r in filled) and len(filled) == 100
 
 
 def test_cascade_bands_inclusive(spark):

@@ -57,3 +57,14 @@ def test_duplicate_vectors_emit_k_per_target(spark):
         by.setdefault(r.target_id, []).append(r.neighbor_id)
     assert len(by) == 50 and all(len(v) == 3 for v in by.values())
     assert by[0] == [1, 2, 3] and by[5] == [0, 1, 2]      # ties broken by the smaller id
+
+
+def test_text_ids(spark):
+    rows = [("a1f", [1.0, 0.0]), ("b2e", [0.9, 0.1]), ("c", [0.0, 1.0]), ("d", [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id string, vec array<double>")
+    got = {(r.target_id, r.rank): r.neighbor_id for r in retrieval.knn_topk(df, df, k=2, tile_rows=2).collect()}
+    assert got["a1f", 1] == "d" and got["a1f", 2] == "b2e" and got["c", 1] == "b2e"
+    nb = retrieval.knn_topk(df.limit(1), df, k=1)
+    assert retrieval.leak_audit(nb, spark.createDataFrame([("d", 2025)], "id string, year int")).first().n_violations == 1
+    labels = spark.createDataFrame([("d", "benign")], "id string, label string")
+    assert retrieval.knn_vote(nb, labels).first().predicted_label == "benign"

@@ -49,13 +49,33 @@ def test_prompt_hash_and_tokens_match_python(spark):
     assert r.t == len(str(msgs)) // 4
 
 
+def make_scorer():
+    def own_scorer(batch):
+        """A scorer of the test's own: the mock's rule over sets of words, one reply for each row."""
+        import pandas as pd
+        out = []
+        for system, user in zip(batch["system"], batch["user"]):
+            has = {w for w in ("process_create", "unique_network_connections", "unique_network_connections: 0", "reg_write",
+                               "reg_create_key") if w in user}
+            network = "unique_network_connections" in has and "unique_network_connections: 0" not in has
+            bad = "process_create" in has and (network or bool(has & {"reg_write", "reg_create_key"}))
+            reply = {"prediction": "malicious" if bad else "benign",
+                     "malware_probability": scoring.MOCK_MAL_P if bad else scoring.MOCK_BEN_P, "confidence": scoring.MOCK_CONF,
+                     "evidence": [scoring.MOCK_EVIDENCE_1, scoring.MOCK_EVIDENCE_MAL if bad else scoring.MOCK_EVIDENCE_BEN],
+                     "uncertainty_reason": None}
+            asked = [{"role": "system", "content": system}, {"role": "user", "content": user}]
+            out.append((json.dumps(reply), len(str(asked)) // 4, scoring.MOCK_COMPLETION_TOKENS, scoring.MOCK_LATENCY, None))
+        return pd.DataFrame(out, columns=["content", "prompt_tokens", "completion_tokens", "latency", "error"])
+    return own_scorer
+
+
 def test_mock_expression_equals_hook(spark):
     users = ["process_create x unique_network_connections: 2", "process_create unique_network_connections: 0",
              "reg_write process_create", "nothing"]
     df = spark.createDataFrame([(str(i), SYSTEM_PROMPT, u) for i, u in enumerate(users)],
                                "cache_key string, system string, user string")
     a = {r.cache_key: (r.content, r.prompt_tokens) for r in scoring.mock_scores(df).collect()}
-    b = {r.cache_key: (r.content, r.prompt_tokens) for r in scoring.score_with(df, scoring.mock_scorer_pandas).collect()}
+    b = {r.cache_key: (r.content, r.prompt_tokens) for r in scoring.score_with(df, make_scorer()).collect()}
     assert a == b
 
 
@@ -80,10 +100,47 @@ def test_score_rows_cache_and_missing(spark):
 
 
 def test_scorer_exception_isolated(spark):
+    own_scorer = make_scorer()
+
     def bad(batch):
         if any("boom" in u for u in batch["user"]):
             raise RuntimeError("boom")
-        return scoring.mock_scorer_pandas(batch)
+        return own_scorer(batch)
     df = spark.createDataFrame([("a", "s", "fine"), ("b", "s", "boom")], "cache_key string, system string, user string")
     r = {x.cache_key: x for x in scoring.score_with(df, bad).collect()}
     assert r["a"].error is None and r["b"].error.startswith("exception: ")
+
+
+def test_white_space_around_replies(spark):
+    good = '{"prediction": "benign", "malware_probability": 0.2, "confidence": 0.9, "evidence": []}'
+    cases = {"\n" + good: None, "\t" + good + "\n\n": None, "\r\n ```json\n" + good + "\n``` \t": None, "\u00a0\u2003" + good: None,
+             "\x1c" + good + "\x1f": None, " \n\t ": "Empty response", "\u3000": "Empty response", "": "Empty response",
+             "\n[1]\n": "Output is not a JSON dictionary"}
+    df = spark.createDataFrame([(k,) for k in cases], "raw string")
+    got = {r.raw: r.v.error for r in scoring.validate_frame(df, "raw", "v").collect()}
+    assert got == cases
+    assert {r.raw: r.v.error for r in df.select("raw", scoring.validate_reply(F.col("raw")).alias("v")).collect()} == cases
+
+
+def test_one_call_for_each_pending_row(spark, tmp_path):
+    calls, own_scorer = str(tmp_path), make_scorer()
+
+    def counted(batch):
+        import uuid
+        for user in batch["user"]:
+            with open(f"{calls}/{uuid.uuid4().hex}", "w") as f:
+                f.write(user)
+        if "boom" in batch["user"].iloc[0]:
+            raise RuntimeError("boom")
+        return own_scorer(batch)
+
+    ev = spark.createDataFrame([("a",), ("b",), ("c",), ("c",), ("d",)], "experiment string")
+    summ = spark.createDataFrame([("a", "quiet"), ("b", "boom"), ("c", "process_create reg_write")], "experiment_id string, text_repr string")
+    p = scoring.build_prompts(ev, summ, "zero_shot", "m")
+    audit, cache = scoring.score_rows(p, "zero_shot", "m", scorer=counted)
+    rows, cached = audit.collect(), cache.collect()
+    assert len(list(tmp_path.iterdir())) == 4                  # a, b and twice c; d has no summary
+    assert sorted((r.experiment_id, r.status.split(":")[0]) for r in rows) == [
+        ("a", "success"), ("b", "exception"), ("c", "success"), ("c", "success"), ("d", "missing_trace_summary")]
+    assert {r.prompt_hash for r in rows if r.experiment_id in "bd"} == {""}
+    assert sorted(r.experiment_id for r in cached) == ["a", "c", "c"]

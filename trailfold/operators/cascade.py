@@ -43,16 +43,18 @@ def cascade(df: DataFrame, fast: str, ensemble: list[str], key: str = "experimen
 
 
 def stack_lr(train: DataFrame, test: DataFrame, score_cols: list[str], label: str = "label",
-             keep: list[str] | None = None) -> DataFrame:
-    """ML-09 (stacking): logistic regression over model scores (nulls as 0.5), fit on ``train``.
+             keep: list[str] | None = None, missing: float | None = None) -> DataFrame:
+    """ML-09 (stacking): logistic regression over model scores, fit on ``train``.
 
     Returns ``keep…, p_stack`` for ``test`` — the probability of ``malicious``.
+    Rows without all scores are not fitted and get no score, unless a value
+    for ``missing`` ones is given.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.functions import vector_to_array
-    filled = [F.coalesce(F.col(c), F.lit(0.5)).alias(f"_{c}") for c in score_cols]
+    filled = [(F.col(c) if missing is None else F.coalesce(F.col(c), F.lit(missing))).alias(f"_{c}") for c in score_cols]
     keep = keep or ["experiment", label]
     prep = lambda d: d.select(*keep, *filled)
     pipe = Pipeline(stages=[
@@ -60,6 +62,19 @@ def stack_lr(train: DataFrame, test: DataFrame, score_cols: list[str], label: st
         StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc"),
         LogisticRegression(featuresCol="features", labelCol="y", maxIter=100),
     ])
-    model = pipe.fit(prep(train))
-    out = model.transform(prep(test))
-    return out.select(*keep, F.round(vector_to_array("probability")[1], 9).alias("p_stack"))
+    whole = lambda d: d.dropna(subset=[f"_{c}" for c in score_cols])
+    model = pipe.fit(whole(prep(train)))
+    prepared = prep(test)
+    scored = model.transform(whole(prepared)).select(*keep, F.round(vector_to_array("probability")[1], 9).alias("p_stack"))
+    some_null = " OR ".join(f"`_{c}` IS NULL" for c in score_cols)
+    return scored.unionByName(prepared.where(some_null).select(*keep, F.lit(None).cast("double").alias("p_stack")))
+
+
+def stack_out_of_fold(folded: DataFrame, score_cols: list[str], k: int, keep: list[str], missing: float | None = None) -> DataFrame:
+    """ML-09: every row is scored by a stacker that was fitted on the other folds (column ``fold``)."""
+    out = None
+    for f in range(k):
+        part = stack_lr(folded.where(F.col("fold") != f), folded.where(F.col("fold") == f), score_cols, keep=keep,
+                        missing=missing)
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -14,6 +14,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,13 +42,20 @@ def confusion(df: DataFrame, group: list[str], label: str = "label", prediction:
         F.count_if(y & ~p).alias("fn"), F.count_if(y & p).alias("tp"))
 
 
+def _null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on ``keys`` where a null key matches a null key; the keys come from ``a``."""
+    renamed = b.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = reduce(lambda x, y: x & y, [a[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys])
+    return a.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def roc_points(df: DataFrame, group: list[str], label: str = "label", score: str = "malware_probability",
                bins: int = SCORE_BINS) -> DataFrame:
     """One row per (group, distinct score): ``pos, neg, pos_below, neg_below``."""
     y = _is_mal(label)
     per = df.groupBy(*group, F.col(score).alias("s")).agg(
         F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
-    per = per.withColumn("bin", F.floor(F.col("s") * bins))
+    per = per.where(F.col("s").isNotNull()).withColumn("bin", F.floor(F.col("s") * bins))
     bin_tot = per.groupBy(*group, "bin").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"))
     wb = Window.partitionBy(*group).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     wg = Window.partitionBy(*group)
@@ -57,7 +66,7 @@ def roc_points(df: DataFrame, group: list[str], label: str = "label", score: str
     wi = Window.partitionBy(*group, "bin").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     per = (per.withColumn("pos_in", F.coalesce(F.sum("pos").over(wi), F.lit(0)))
            .withColumn("neg_in", F.coalesce(F.sum("neg").over(wi), F.lit(0))))
-    j = per.join(bin_tot.select(*group, "bin", "pos_before_bin", "neg_before_bin", "P", "N"), [*group, "bin"])
+    j = _null_safe(per, bin_tot.select(*group, "bin", "pos_before_bin", "neg_before_bin", "P", "N"), [*group, "bin"], "inner")
     return j.select(*group, "s", "pos", "neg",
                     (F.col("pos_before_bin") + F.col("pos_in")).alias("pos_below"),
                     (F.col("neg_before_bin") + F.col("neg_in")).alias("neg_below"), "P", "N")
@@ -128,7 +137,7 @@ def binary_metrics(df: DataFrame, group: list[str] | None = None, label: str = "
     if group:
         cm = confusion(df, group, label, prediction)
         auc = auc_table(df, group, label, score)
-        j = cm.join(auc, group, "left")
+        j = _null_safe(cm, auc, group, "left")
     else:
         # The global confusion row (one row even when empty) and the (0 or 1)
         # AUC row are combined by a union and a global aggregate — no join.

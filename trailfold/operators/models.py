@@ -97,7 +97,7 @@ def temporal_retrain(fm: DataFrame, pipeline: Pipeline, keep: list[str], eval_ye
 
 
 def ablation(df: DataFrame, families: dict[str, list[str]], base: list[str] = FEATURES,
-             trees: int = 50) -> list[tuple[str, DataFrame]]:
+             trees: int = RF_TREES) -> list[tuple[str, DataFrame]]:
     """ML-06: (name, predictions) for the base set, base + each family, and everything.
 
     Official split (fit on ``test = false``, score ``test = true``).

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailfold.schemas import FEATURES
+from trailfold.session import checkpoint_dir, materialize
 
 TILE_ROWS = 8192
 
@@ -45,7 +46,7 @@ CHUNK_ROWS = 1024   # target rows per distance block inside a task (block = CHUN
 def _tile_topk(k: int, chunk: int = CHUNK_ROWS):
     """Tile kernel: exactly ``k`` candidates per target, ordered by (distance rounded to 12 digits, id)."""
     def fn(key, t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"tid": pd.Series([], dtype="int64"), "pid": pd.Series([], dtype="int64"),
+        empty = pd.DataFrame({"tid": t["tid"].iloc[:0], "pid": p["pid"].iloc[:0],
                               "dist": pd.Series([], dtype="float64"), "r": pd.Series([], dtype="float64")})
         if t.empty or p.empty:
             return empty
@@ -53,7 +54,7 @@ def _tile_topk(k: int, chunk: int = CHUNK_ROWS):
         b = np.vstack(p["vec"].to_numpy()).astype(np.float64)
         nb = np.linalg.norm(b, axis=1)
         bn = np.divide(b, nb[:, None], out=np.zeros_like(b), where=nb[:, None] > 0)
-        pid = p["pid"].to_numpy(np.int64)
+        pid = p["pid"].to_numpy()
         kk = min(k, len(pid))
         outs = []
         for lo in range(0, len(t), chunk):           # bounded memory: chunk x pool-tile distances at a time
@@ -62,7 +63,7 @@ def _tile_topk(k: int, chunk: int = CHUNK_ROWS):
             na = np.linalg.norm(a, axis=1)
             an = np.divide(a, na[:, None], out=np.zeros_like(a), where=na[:, None] > 0)
             d = 1.0 - an @ bn.T
-            tid = tc["tid"].to_numpy(np.int64)
+            tid = tc["tid"].to_numpy()
             d[tid[:, None] == pid[None, :]] = np.inf     # never retrieve the target itself
             r = np.round(d, 12)
             best = np.argsort(r, axis=1, kind="stable")[:, :kk]
@@ -80,21 +81,25 @@ def knn_topk(targets: DataFrame, pool: DataFrame, k: int = 3, id_col: str = "id"
              tile_rows: int = TILE_ROWS) -> DataFrame:
     """KNN-02: ``target_id, rank, neighbor_id, distance`` for the k nearest pool rows.
 
-    ``id_col`` must be a long id in both inputs.  Distances are cosine
-    distances (``1 - cos``; a zero vector is at distance 1 from everything).
+    ``id_col`` keeps its type (text, numbers); both inputs have the same.
+    Distances are cosine distances (``1 - cos``; a zero vector is at distance 1
+    from everything).
     """
+    checkpoint_dir(targets.sparkSession)
+    targets, pool = materialize(targets.select(id_col, vec_col)), materialize(pool.select(id_col, vec_col))
+    kind = targets.schema[id_col].dataType.simpleString()
     n_t = targets.count()
     n_p = pool.count()
     tt_n = max(1, math.ceil(n_t / tile_rows))
     tp_n = max(1, math.ceil(n_p / tile_rows))
-    t = (targets.select(F.col(id_col).cast("long").alias("tid"), F.col(vec_col).alias("vec"))
+    t = (targets.select(F.col(id_col).alias("tid"), F.col(vec_col).alias("vec"))
          .withColumn("tt", F.pmod(F.xxhash64("tid"), F.lit(tt_n)))
          .withColumn("tp", F.explode(F.sequence(F.lit(0), F.lit(tp_n - 1)).cast("array<bigint>"))))
-    p = (pool.select(F.col(id_col).cast("long").alias("pid"), F.col(vec_col).alias("vec"))
+    p = (pool.select(F.col(id_col).alias("pid"), F.col(vec_col).alias("vec"))
          .withColumn("tp", F.pmod(F.xxhash64("pid"), F.lit(tp_n)))
          .withColumn("tt", F.explode(F.sequence(F.lit(0), F.lit(tt_n - 1)).cast("array<bigint>"))))
     cand = (t.groupBy("tt", "tp").cogroup(p.groupBy("tt", "tp"))
-            .applyInPandas(_tile_topk(k), "tid long, pid long, dist double, r double"))
+            .applyInPandas(_tile_topk(k), f"tid {kind}, pid {kind}, dist double, r double"))
     w = Window.partitionBy("tid").orderBy("r", "pid")
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.select(F.col("tid").alias("target_id"), F.col("rank").cast("int").alias("rank"),
@@ -153,11 +158,11 @@ def _json_struct(s: Column, fields: list[str]) -> Column:
 def demo_blocks(neighbors: DataFrame, summaries: DataFrame, pool_labels: DataFrame) -> DataFrame:
     """KNN-03: ``target_id, reference_block`` — one demonstration per neighbour with its verified label.
 
-    ``summaries`` is the summary table keyed by ``experiment_id`` (long-castable);
+    ``summaries`` is the summary table keyed by ``experiment_id``, of the type of the neighbours' ids;
     neighbours without a summary are skipped, as the reference does.
     """
     from trailfold.operators.summary import ENTITY_FIELDS
-    s = summaries.select(F.col("experiment_id").cast("long").alias("neighbor_id"), "total_events",
+    s = summaries.select(F.col("experiment_id").alias("neighbor_id"), "total_events",
                          "duration_seconds", "rule_counts", "process_tree", "entity_counts")
     lab = pool_labels.select(F.col("id").alias("neighbor_id"), F.col("label").alias("nlabel"))
     j = neighbors.join(s, "neighbor_id").join(lab, "neighbor_id", "left")

@@ -23,9 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailfold.functions.prompts import RETRIEVAL_USER, SYSTEM_PROMPT, ZERO_SHOT_USER
+from trailfold.session import checkpoint_dir, materialize
 
 OK_STATUS = ("success", "cached")
 FENCE = r"(?s)```(?:json)?\s*(.*?)\s*```"
+# white space as in Unicode, and the four separators U+001C..U+001F
+STRIPPED = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 
 
 # ----------------------------------------------------------------- prompts
@@ -114,52 +117,30 @@ def mock_scores(prompts: DataFrame) -> DataFrame:
         F.lit(MOCK_LATENCY).alias("latency"), F.lit(None).cast("string").alias("error"))
 
 
-def mock_scorer_pandas(batch: pd.DataFrame) -> pd.DataFrame:
-    """The mock as a scorer hook (same output as ``mock_scores``), for ``score_with``."""
-    out = []
-    for system, user in zip(batch["system"], batch["user"]):
-        pc = "process_create" in user
-        net = "unique_network_connections" in user and "unique_network_connections: 0" not in user
-        reg = "reg_write" in user or "reg_create_key" in user
-        mal = (pc and net) or (reg and pc)
-        content = json.dumps({"prediction": "malicious" if mal else "benign",
-                              "malware_probability": MOCK_MAL_P if mal else MOCK_BEN_P, "confidence": MOCK_CONF,
-                              "evidence": [MOCK_EVIDENCE_1, MOCK_EVIDENCE_MAL if mal else MOCK_EVIDENCE_BEN],
-                              "uncertainty_reason": None})
-        msgs = [{"role": "system", "content": system}, {"role": "user", "content": user}]
-        out.append((content, len(str(msgs)) // 4, MOCK_COMPLETION_TOKENS, MOCK_LATENCY, None))
-    return pd.DataFrame(out, columns=["content", "prompt_tokens", "completion_tokens", "latency", "error"])
-
-
-SCORED_SCHEMA = ("cache_key string, content string, prompt_tokens long, completion_tokens long, "
-                 "latency double, error string")
-
-
 def score_with(prompts: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """PB-08/PB-07: run a user scorer over Arrow batches; any exception becomes an error row.
+    """PB-08/PB-07: ``prompts`` with the reply columns of a user scorer, called once for each row.
 
-    ``scorer`` maps a pandas batch with ``system, user`` to ``content,
-    prompt_tokens, completion_tokens, latency, error``.
+    ``scorer`` maps a pandas frame of one row with ``system, user`` to
+    ``content, prompt_tokens, completion_tokens, latency, error``.  Rows are
+    scored one by one, so an exception is that row's error and no other row is
+    asked again; all columns of ``prompts`` ride along, so nothing is joined
+    back.
     """
+    added = "content string, prompt_tokens long, completion_tokens long, latency double, error string"
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            try:
-                r = scorer(b[["system", "user"]].reset_index(drop=True))
-                r.insert(0, "cache_key", b["cache_key"].to_numpy())
-            except Exception:  # noqa: BLE001 - fall back to per-row isolation
-                rows = []
-                for i in range(len(b)):
-                    one = b.iloc[[i]][["system", "user"]].reset_index(drop=True)
-                    try:
-                        x = scorer(one).iloc[0]
-                        rows.append((b["cache_key"].iloc[i], x["content"], x["prompt_tokens"],
-                                     x["completion_tokens"], x["latency"], x["error"]))
-                    except Exception as exc:  # noqa: BLE001
-                        rows.append((b["cache_key"].iloc[i], None, 0, 0, 0.0, f"exception: {str(exc)[:50]}"))
-                r = pd.DataFrame(rows, columns=["cache_key", "content", "prompt_tokens", "completion_tokens",
-                                                "latency", "error"])
-            yield r
-    return prompts.select("cache_key", "system", "user").mapInPandas(run, SCORED_SCHEMA)
+            rows = []
+            for system, user in zip(b["system"], b["user"]):
+                try:
+                    x = scorer(pd.DataFrame({"system": [system], "user": [user]})).iloc[0]
+                    rows.append((x["content"], x["prompt_tokens"], x["completion_tokens"], x["latency"], x["error"]))
+                except Exception as exc:  # noqa: BLE001 - the row's own failure
+                    rows.append((None, 0, 0, 0.0, f"exception: {str(exc)[:50]}"))
+            reply = pd.DataFrame(rows, columns=["content", "prompt_tokens", "completion_tokens", "latency", "error"])
+            yield pd.concat([b.reset_index(drop=True), reply], axis=1)
+    return prompts.mapInPandas(run, ", ".join([*fields, added]))
 
 
 # ----------------------------------------------------------------- validation
@@ -170,13 +151,18 @@ def validate_reply(raw: Column) -> Column:
     fixed order: empty → JSON → object → prediction → probability (type,
     range) → confidence (type, range) → evidence list.
     """
-    t0 = F.trim(raw)
+    t0 = strip(raw)
     text = _unfence(t0)
     return _validated(raw, t0, text, F.try_parse_json(text))
 
 
+def strip(text: Column) -> Column:
+    """SC-04: without white space of any kind at both ends (``trim`` takes blanks only)."""
+    return F.regexp_replace(text, STRIPPED, "")
+
+
 def _unfence(t0: Column) -> Column:
-    return F.when(t0.rlike(FENCE), F.trim(F.regexp_extract(t0, FENCE, 1))).otherwise(t0)
+    return F.when(t0.rlike(FENCE), strip(F.regexp_extract(t0, FENCE, 1))).otherwise(t0)
 
 
 def validate_frame(df: DataFrame, raw: str, out: str = "_v") -> DataFrame:
@@ -185,7 +171,7 @@ def validate_frame(df: DataFrame, raw: str, out: str = "_v") -> DataFrame:
     The parsed variant is computed once per row and referenced by the checks,
     which keeps the generated code small.
     """
-    d = (df.withColumn("_t0", F.trim(F.col(raw)))
+    d = (df.withColumn("_t0", strip(F.col(raw)))
          .withColumn("_txt", _unfence(F.col("_t0")))
          .withColumn("_var", F.try_parse_json("_txt")))
     return (d.withColumn(out, _validated(F.col(raw), F.col("_t0"), F.col("_txt"), F.col("_var")))
@@ -267,6 +253,16 @@ def latest_cache(cache: DataFrame) -> DataFrame:
     return latest_per_key(cache, "cache_key", ["timestamp"]).select(*cache.columns)
 
 
+def reusable(cache: DataFrame) -> DataFrame:
+    """JN-06: the latest cache row of each key, where it may be reused."""
+    return latest_cache(cache).where(F.col("status").isin(*OK_STATUS))
+
+
+def pending_rows(live: DataFrame, cache: DataFrame) -> DataFrame:
+    """JN-06: rows of ``live`` without a reusable cache row for their ``cache_key``."""
+    return live.join(reusable(cache).select("cache_key"), "cache_key", "left_anti")
+
+
 def score_rows(prompts: DataFrame, config: str, model: str, cache: DataFrame | None = None,
                scorer: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """PB-06/PB-09/JN-06: assemble one audit row per eval row, and the new cache rows.
@@ -276,33 +272,32 @@ def score_rows(prompts: DataFrame, config: str, model: str, cache: DataFrame | N
     the scorer.  Transport errors are not cached; validation failures are
     cached but never reused.
     """
+    checkpoint_dir(prompts.sparkSession)
     live = prompts.where("has_summary")
     if cache is not None:
-        good = latest_cache(cache).where(F.col("status").isin(*OK_STATUS))
-        reused = live.join(good.select("cache_key", F.col("raw_response").alias("content"), "prompt_tokens",
+        reused = live.join(reusable(cache).select("cache_key", F.col("raw_response").alias("content"), "prompt_tokens",
                                        "completion_tokens", F.col("latency")), "cache_key", "inner")
         reused = reused.withColumn("error", F.lit(None).cast("string")).withColumn("_cached", F.lit(True))
-        pending = live.join(good.select("cache_key"), "cache_key", "left_anti")
+        pending = pending_rows(live, cache)
     else:
         reused, pending = None, live
-    if scorer is None:
-        fresh = mock_scores(pending)
-    else:
-        fresh = pending.join(score_with(pending, scorer), "cache_key")
+    fresh = mock_scores(pending) if scorer is None else score_with(pending, scorer)
     fresh = fresh.withColumn("_cached", F.lit(False))
     cols = ["experiment_id", "prompt_hash", "cache_key", "retrieved_ids", "content", "prompt_tokens",
             "completion_tokens", "latency", "error", "_cached"]
     rows = fresh.select(*cols) if reused is None else fresh.select(*cols).unionByName(reused.select(*cols))
-    rows = validate_frame(rows, "content", "_v")
+    # written once: audit and cache are two views of the same replies, and the scorer is not asked again
+    rows = validate_frame(materialize(rows), "content", "_v")
     status = (F.when(F.col("_cached"), F.lit("cached"))
               .when(F.col("error").startswith("exception: "), F.col("error"))
               .when(F.col("error").isNotNull(), F.concat(F.lit("api_error: "), F.substring("error", 1, 50)))
               .otherwise(reply_status(F.col("_v"))))
     scored = rows.select(
-        "experiment_id", F.lit(config).alias("config"), F.lit(model).alias("model"), "prompt_hash",
+        "experiment_id", F.lit(config).alias("config"), F.lit(model).alias("model"),
+        F.when(F.col("error").startswith("exception: "), F.lit("")).otherwise(F.col("prompt_hash")).alias("prompt_hash"),
         "retrieved_ids", status.alias("status"),
         F.col("_v.prediction").alias("prediction"), F.col("_v.malware_probability").alias("malware_probability"),
-        F.col("_v.confidence").alias("confidence"), F.col("latency").cast("double").alias("latency_sec"),
+        F.col("_v.confidence").alias("confidence"), F.round(F.col("latency").cast("double"), 3).alias("latency_sec"),
         F.col("prompt_tokens").cast("long").alias("prompt_tokens"),
         F.col("completion_tokens").cast("long").alias("completion_tokens"),
         F.col("_v.evidence_count").alias("evidence_count"),

@@ -1,17 +1,16 @@
 """Process trees: edges, root selection, fan-out, depth (two variants).
 
 Depth is computed for all experiments at once by a level-synchronous
-frontier expansion (one join per tree level, cycle-safe through an anti-join
-on the visited set).  The loop length is the depth of the deepest tree, not
-the number of experiments.  Lineage is cut with reliable ``checkpoint()``
-into the session's checkpoint folder.
+frontier expansion (cycle-safe through anti-joins on the visited nodes).  The
+loop length is the depth of the deepest tree, not the number of experiments.
+Lineage is cut with reliable ``checkpoint()`` into the session's checkpoint
+folder.
 """
 
 from __future__ import annotations
 
 import weakref
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,93 +65,91 @@ def tree_fanout(trace: DataFrame) -> DataFrame:
 _DEPTHS: "weakref.WeakKeyDictionary[DataFrame, DataFrame]" = weakref.WeakKeyDictionary()
 
 
-def node_depths(trace: DataFrame, max_levels: int = 100000) -> DataFrame:
+def node_depths(trace: DataFrame) -> DataFrame:
     """TR-02: ``experiment, node, depth`` — BFS hop count from the root + 1, cycle-safe.
 
-    Level-synchronous BFS over all experiments at once.  The state table
-    holds every node reached so far with its smallest depth; each level
-    joins the current frontier (nodes first reached at the previous level)
-    to the distinct edge list and merges the candidates into the state with
-    ``min(depth)`` — one join and one aggregate per level.  A node already
-    in the state never re-enters the frontier, so cycles terminate.  Each
-    level costs one job: the new state is cached and counted; every
-    ``CHECKPOINT_EVERY`` levels (and at the end) it is checkpointed reliably
-    into the shared folder, so a lost executor recomputes at most that many
-    levels and the plan never grows.
-    Results are memoised per trace DataFrame (several operators need them).
+    Level-synchronous BFS over all experiments at once.  The nodes of a level
+    are written once and never touched again: the next level is the frontier
+    joined with the edge list, without the nodes of earlier levels.  A level
+    costs one job and shuffles the frontier; the edges and the visited nodes
+    are read from written tables, hash-partitioned on ``(experiment, node)``.
+    An empty frontier ends the loop, so cycles end it too.  Results are
+    memoised per trace DataFrame (several operators need them).
     """
     hit = _DEPTHS.get(trace)
     if hit is not None:
         return hit
-    spark = trace.sparkSession
-    checkpoint_dir(spark)
-    # Edge list hash-partitioned on the join key once; the checkpoint keeps that
-    # partitioning, so every level shuffles only the (small) frontier.
+    checkpoint_dir(trace.sparkSession)
+    key = ["experiment", "node"]
     edges = materialize(tree_edges(trace).select("experiment", F.col("parent_guid").alias("node"),
                                                   F.col("child_guid").alias("child"))
-                        .repartition("experiment", "node").distinct())
-    state = materialize(root_process(trace)
-                        .select("experiment", F.col("root_guid").alias("node"), F.lit(1).alias("depth")))
-    level = 1
-    cached = None
-    while level < max_levels:
-        frontier = state.where((F.col("depth") == level) & F.col("node").isNotNull())
-        cand = (frontier.join(edges, ["experiment", "node"])
-                .select("experiment", F.col("child").alias("node"), F.lit(level + 1).alias("depth")))
-        merged = (state.unionByName(cand).groupBy("experiment", "node")
-                  .agg(F.min("depth").alias("depth")))
-        if level % CHECKPOINT_EVERY == 0:
-            merged = materialize(merged)           # reliable cut every few levels
-        else:
-            merged = merged.persist(StorageLevel.MEMORY_AND_DISK)
-        grew = merged.where(F.col("depth") == level + 1).count() > 0    # one job per level
-        if cached is not None:
-            cached.unpersist()
-        cached = merged if merged.is_cached else None
-        state = merged
-        if not grew:
-            break
+                        .repartition(*key).distinct())
+    frontier = materialize(root_process(trace)
+                           .select("experiment", F.col("root_guid").alias("node"), F.lit(1).alias("depth")))
+    visited, recent, level = frontier, [], 1
+    while True:
+        found = (frontier.where(F.col("node").isNotNull()).join(edges, key)
+                 .select("experiment", F.col("child").alias("node")).distinct())
+        for seen in [visited, *recent]:
+            found = found.join(seen.select(*key), key, "left_anti")
         level += 1
-    if cached is not None:
-        state = materialize(state)
-        cached.unpersist()
-    _DEPTHS[trace] = state
+        frontier = materialize(found.withColumn("depth", F.lit(level)))
+        if frontier.isEmpty():
+            break
+        recent.append(frontier)
+        if len(recent) == CHECKPOINT_EVERY:
+            # a few levels are put into one table, so that a level has a bounded number of joins
+            visited, recent = _together([visited, *recent]), []
+    _DEPTHS[trace] = state = _together([visited, *recent])
     return state
 
 
+def _together(levels: list[DataFrame]) -> DataFrame:
+    out = levels[0]
+    for part in levels[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def tree_depth(trace: DataFrame) -> DataFrame:
     """TR-02: ``experiment, max_tree_depth``."""
     return node_depths(trace).groupBy("experiment").agg(F.max("depth").cast("long").alias("max_tree_depth"))
 
 
-def tree_depth_dfs(trace: DataFrame, max_levels: int = 100000) -> DataFrame:
+def tree_depth_dfs(trace: DataFrame) -> DataFrame:
     """TR-03 (variant B): longest *simple* path from the root, counted in nodes.
 
-    Expands every simple path (the path array blocks revisits).  On trees
-    this equals the BFS depth; on DAGs it can be exponential, as the DFS it
-    mirrors is.
+    Where every child of an experiment has one parent and none is the root,
+    what the root reaches is a tree, and the longest path is the BFS depth.
+    The other experiments expand every simple path (the path array blocks
+    revisits); that can be exponential, as the search it stands for is.
     """
-    spark = trace.sparkSession
-    checkpoint_dir(spark)
+    checkpoint_dir(trace.sparkSession)
     edges = materialize(tree_edges(trace).select("experiment", F.col("parent_guid").alias("node"),
                                                  F.col("child_guid").alias("child")).distinct())
     roots = root_process(trace).select("experiment", F.col("root_guid").alias("node"))
-    paths = materialize(roots.select("experiment", "node", F.array("node").alias("path")))
-    best = paths.groupBy("experiment").agg(F.max(F.size("path")).alias("d"))
-    level = 1
-    while level < max_levels:
-        nxt = (paths.where(F.col("node").isNotNull()).join(edges, ["experiment", "node"])
-               .where(~F.array_contains("path", F.col("child")))
-               .select("experiment", F.col("child").alias("node"),
-                       F.concat("path", F.array("child")).alias("path")))
-        nxt = materialize(nxt)
-        if nxt.isEmpty():
+    parents = edges.groupBy("experiment", "child").agg(F.count(F.lit(1)).alias("parents"))
+    odd = (parents.where(F.col("parents") > 1).select("experiment")
+           .unionByName(edges.select("experiment", F.col("child").alias("node")).join(roots, ["experiment", "node"]).select("experiment"))
+           .distinct())
+    odd = materialize(odd)
+    plain = (node_depths(trace).join(odd, "experiment", "left_anti")
+             .groupBy("experiment").agg(F.max("depth").alias("d")))
+    edges = materialize(edges.join(odd, "experiment", "left_semi"))
+    paths = materialize(roots.join(odd, "experiment", "left_semi").select("experiment", "node", F.array("node").alias("path")))
+    bests = [paths.groupBy("experiment").agg(F.max(F.size("path")).alias("d"))]
+    while True:
+        paths = materialize(paths.where(F.col("node").isNotNull()).join(edges, ["experiment", "node"])
+                            .where(~F.array_contains("path", F.col("child")))
+                            .select("experiment", F.col("child").alias("node"),
+                                    F.concat("path", F.array("child")).alias("path")))
+        if paths.isEmpty():
             break
-        best = best.unionByName(nxt.groupBy("experiment").agg(F.max(F.size("path")).alias("d")))
-        if level % CHECKPOINT_EVERY == 0:
-            best = materialize(best)
-        paths = nxt
-        level += 1
+        # an experiment's paths of this level are longer than all before: only those that end are superseded
+        bests.append(paths.groupBy("experiment").agg(F.max(F.size("path")).alias("d")))
+        if len(bests) > CHECKPOINT_EVERY:
+            bests = [materialize(_together(bests).groupBy("experiment").agg(F.max("d").alias("d")))]
+    best = _together([plain, *bests])
     return best.groupBy("experiment").agg(F.max("d").cast("long").alias("max_tree_depth"))
 
 

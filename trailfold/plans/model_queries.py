@@ -21,14 +21,14 @@ def _fm(i: Inputs) -> DataFrame:
 @register("rf_predict", None)
 def _rf_predict(i: Inputs):
     """ML-01/03: forest fit on the official train split, argmax predictions for the test split."""
-    fm = _fm(i)
+    fm = materialize(_fm(i))
     return models.fit_predict(fm.where(~F.col("test")), fm.where(F.col("test")), models.forest(), KEEP)
 
 
 @register("rf_metrics", None)
 def _rf_metrics(i: Inputs):
     """E2 headline: forest test predictions → metrics overall and per year."""
-    p = _rf_predict(i)
+    p = materialize(_rf_predict(i))
     return metrics.metrics_by_group(p, "year", "official_test")
 
 
@@ -109,13 +109,13 @@ def _blend(i: Inputs):
 
 @register("blend_stacked", None)
 def _blend_stacked(i: Inputs):
-    """ML-09 (stacking): LR on the three model scores, fit on folds 0–7, scored on folds 8–9."""
+    """ML-09 (stacking): LR on the three model scores, out of fold: every row is scored by a fit on the other folds."""
     from trailfold.operators import splits
     rf = i.model("rf").select("experiment", "label", F.col("malware_probability").alias("p_rf"))
     zs = i.model("zs").select("experiment", F.col("malware_probability").alias("p_zs"))
     ra = i.model("ra").select("experiment", F.col("malware_probability").alias("p_ra"))
     j = materialize(splits.stratified_folds(rf.join(zs, "experiment").join(ra, "experiment"), 10))
-    return cascade.stack_lr(j.where(F.col("fold") < 8), j.where(F.col("fold") >= 8), ["p_rf", "p_zs", "p_ra"])
+    return cascade.stack_out_of_fold(j, ["p_rf", "p_zs", "p_ra"], 10, ["experiment", "label", "fold"], missing=0.5)
 
 
 @register("cascade_route", O.q("""

@@ -69,7 +69,7 @@ def _knn_vote(i: Inputs):
     return retrieval.knn_vote(_emb_neighbors(i), i.vectors)
 
 
-_FEAT_TP = """fv AS (SELECT CAST(fc.experiment AS BIGINT) AS id, l.year, l.test, l.label,
+_FEAT_TP = """fv AS (SELECT fc.experiment AS id, l.year, l.test, l.label,
     [""" + ", ".join(f"ln(1 + greatest(CAST({f} AS DOUBLE), 0.0))" for f in FEATURES) + """] AS vec
   FROM fc JOIN labels_l l ON l.experiment = fc.experiment),
 ft AS (SELECT id, vec FROM fv WHERE year = 2024),
@@ -78,7 +78,7 @@ fp AS (SELECT id, vec FROM fv WHERE NOT test AND coalesce(year < 2024, false))""
 
 def _feature_vectors(i: Inputs) -> DataFrame:
     fm = counts.feature_matrix(i.trace, i.labels)
-    return fm.select(F.col("experiment").cast("long").alias("id"), "year", "test", "label",
+    return fm.select(F.col("experiment").alias("id"), "year", "test", "label",
                      retrieval.feature_vector().alias("vec"))
 
 
@@ -98,24 +98,24 @@ def _knn_features(i: Inputs):
 @register("leak_audit", O.q("""
 SELECT 'leak_audit' AS "check",
        CAST(count_if(l.year IS NULL OR l.year >= 2024) AS BIGINT) AS n_violations
-FROM nn LEFT JOIN labels_l l ON CAST(l.experiment AS BIGINT) = nn.neighbor_id""",
+FROM nn LEFT JOIN labels_l l ON l.experiment = nn.neighbor_id""",
     O.FEATURE_COUNTS, _FEAT_TP, _cos_sql("ft", "fp")))
 def _leak_audit(i: Inputs):
     """DQ-09/JN-10: retrieved ids unknown or not strictly before 2024 (0 expected)."""
     nb = _feature_neighbors(i)
     ids = retrieval.explode_ids(retrieval.retrieved_ids(nb))
-    years = i.labels.select(F.col("experiment").cast("long").alias("id"), "year")
-    return retrieval.leak_audit(ids.select(F.col("rid").cast("long").alias("neighbor_id")), years)
+    years = i.labels.select(F.col("experiment").alias("id"), "year")
+    return retrieval.leak_audit(ids.select(F.col("rid").alias("neighbor_id")), years)
 
 
 @register("leak_semi", O.q("""
 SELECT nn.target_id, nn.neighbor_id FROM nn
-WHERE nn.neighbor_id IN (SELECT CAST(experiment AS BIGINT) FROM labels_l WHERE year = 2024)""",
+WHERE nn.neighbor_id IN (SELECT experiment FROM labels_l WHERE year = 2024)""",
     O.FEATURE_COUNTS, _FEAT_TP, _cos_sql("ft", "fp")))
 def _leak_semi(i: Inputs):
     """JN-11: retrieved ids that are in the evaluation set (0 rows expected)."""
     nb = _feature_neighbors(i)
-    ev = i.labels.where(F.col("year") == 2024).select(F.col("experiment").cast("long").alias("neighbor_id"))
+    ev = i.labels.where(F.col("year") == 2024).select(F.col("experiment").alias("neighbor_id"))
     return nb.join(ev, "neighbor_id", "left_semi").select("target_id", "neighbor_id")
 
 
@@ -369,19 +369,30 @@ SELECT l.experiment FROM labels_l l WHERE NOT EXISTS (
   SELECT 1 FROM (""" + _LATEST + """) c WHERE c.cache_key = l.experiment AND c.status IN ('success', 'cached'))"""))
 def _cache_pending(i: Inputs):
     """JN-06: experiments whose cache entry is not reusable → must be scored."""
-    good = _latest(i.cache_rows, "cache_key").where(F.col("status").isin(*scoring.OK_STATUS))
-    return i.labels.select("experiment").join(good.select(F.col("cache_key").alias("experiment")), "experiment",
-                                              "left_anti")
+    live = i.labels.select("experiment", F.col("experiment").alias("cache_key"))
+    return scoring.pending_rows(live, i.cache_rows).select("experiment")
 
 
 @register("every_nth_sample", O.q("""
 SELECT experiment FROM (SELECT experiment, row_number() OVER (ORDER BY experiment) AS rn FROM labels_l)
-WHERE rn <= 50 OR rn % 500 = 0"""))
+WHERE rn <= 50 OR (rn - 1) % 500 = 0"""))
 def _every_nth(i: Inputs):
     """SNK-07: sample of the store for inspection — first 50 and every 500th (the sample is the feature)."""
-    from trailfold.functions.ranking import position_within
-    p = position_within(i.labels.select("experiment").withColumn("_g", F.lit(0)), ["_g"], [F.col("experiment")])
-    return p.where((F.col("pos") <= 50) | (F.col("pos") % 500 == 0)).select("experiment")
+    from trailfold.sources.sinks import sample_rows
+    return sample_rows(i.labels.select("experiment"), "experiment")
+
+
+@register("every_nth_lines", """
+SELECT l_orderkey, l_linenumber FROM (
+  SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || '_'
+                                                     || CAST(l_linenumber AS VARCHAR)) AS rn FROM lineitem)
+WHERE rn <= 50 OR (rn - 1) % 500 = 0""")
+def _every_nth_lines(i: Inputs):
+    """SNK-07 over a table of many rows: positions from 0 that divide by 500 (the sample is the feature)."""
+    from trailfold.sources.sinks import sample_rows
+    key = F.concat_ws("_", F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.col("l_linenumber").cast("string"))
+    return (sample_rows(i.table("lineitem").select("l_orderkey", "l_linenumber", key.alias("key")), "key")
+            .select("l_orderkey", "l_linenumber"))
 
 
 _DEMO_SELECT = """
@@ -400,7 +411,7 @@ SELECT nb.target_id,
          || '  Verified Classification: ' || coalesce(fv.label, 'None') || chr(10),
          chr(10) ORDER BY nb.rank) AS reference_block
 FROM nn nb
-JOIN rates r ON r.experiment = CAST(nb.neighbor_id AS VARCHAR)
+JOIN rates r ON r.experiment = nb.neighbor_id
 JOIN rj ON rj.experiment = r.experiment
 JOIN tf ON tf.experiment = r.experiment LEFT JOIN depth ON depth.experiment = r.experiment
 JOIN ent ON ent.experiment = r.experiment

@@ -12,27 +12,27 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
                 app_name: str = "trailfold") -> SparkSession:
     """A session tuned for this library.
 
-    On a cluster the caller's ``spark-submit`` settings win: ``getOrCreate``
-    returns the existing session and only SQL confs that are unset get our
-    defaults.  Locally (tests, bench) we build a ``local[N]`` session.
+    A session that is already there keeps its settings; only the session
+    time zone, on which results depend, is set.  A new session on a cluster
+    takes what ``spark-submit`` gives it and Spark's defaults for the rest.  A
+    new ``local`` one (tests, bench) gets a few shuffle partitions, as the
+    machine has few cores, unless ``shuffle_partitions`` says otherwise.
     """
-    builder = SparkSession.builder.appName(app_name)
-    if master:
-        builder = builder.master(master)
-    n = shuffle_partitions or int(os.environ.get("TRAILFOLD_SHUFFLE_PARTITIONS", "8"))
-    builder = (
-        builder.config("spark.sql.shuffle.partitions", str(n))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-    )
-    if master and master.startswith("local"):
-        builder = builder.config("spark.driver.memory", os.environ.get("TRAILFOLD_DRIVER_MEMORY", "16g"))
-    spark = builder.getOrCreate()
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        builder = SparkSession.builder.appName(app_name)
+        if master:
+            builder = builder.master(master)
+        if shuffle_partitions:
+            builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        if master and master.startswith("local"):
+            builder = (builder.config("spark.driver.memory", os.environ.get("TRAILFOLD_DRIVER_MEMORY", "16g"))
+                       .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+                       .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false"))
+            if not shuffle_partitions:
+                builder = builder.config("spark.sql.shuffle.partitions",
+                                         os.environ.get("TRAILFOLD_SHUFFLE_PARTITIONS", "8"))
+        spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     configure(spark)
     return spark
@@ -48,8 +48,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     A cluster names it in ``spark.checkpoint.dir`` (a shared filesystem such
-    as HDFS or an object store); we read it from the session.  Only when it is
-    unset — local tests — do we create a scratch folder of our own.
+    as HDFS or an object store); we read it from the session.  Only a
+    ``local`` master without the setting — tests — gets a scratch folder of
+    our own; elsewhere a machine's own folder would be lost with it, so the
+    setting is required.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -57,6 +59,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="trailfold-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailfold.schemas import CACHE, FEATURE_MATRIX, LABELS_RAW, PREDICTIONS, RAW_EVENTS
@@ -35,6 +35,11 @@ def land_events(raw: DataFrame, order_col: str = "file_pos") -> DataFrame:
     return p.drop(order_col)
 
 
+def shard_of(path: Column) -> Column:
+    """The number of a shard's file or folder: the last ``<number>.json`` in its path; null without one."""
+    return F.regexp_extract(path, r".*?(\d+)\.json(?:l|\.gz)?(?:/[^/]*)?$", 1).try_cast("int")
+
+
 def read_trace_shards(spark: SparkSession, paths: list[str], multiline: bool = False) -> DataFrame:
     """SRC-02: all shards in one scan, ``shard_id`` from the file name, landed with ``ingest_seq``.
 
@@ -44,8 +49,7 @@ def read_trace_shards(spark: SparkSession, paths: list[str], multiline: bool = F
     split, which follows file order inside a split.
     """
     df = spark.read.schema(RAW_EVENTS).option("multiLine", multiline).json(paths)
-    shard = F.regexp_extract(F.input_file_name(), r"(\d+)\.json[^/]*$", 1).cast("int")
-    df = (df.withColumn("shard_id", shard)
+    df = (df.withColumn("shard_id", shard_of(F.input_file_name()))
           .withColumn("file_pos", F.monotonically_increasing_id()))
     return land_events(df)
 

@@ -34,21 +34,23 @@ def stack_metrics(*tables: DataFrame) -> DataFrame:
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """SNK-03: one folder of CSV; a metric table has a row per group and model, so few parts."""
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_audit(df: DataFrame, path: str) -> None:
-    """SNK-04: the audit log (no label column allowed)."""
+    """SNK-04: the audit log (no label column allowed); only the configurations in ``df`` are replaced."""
     if any(c in df.columns for c in ("label", "ground_truth", "true_label")):
         raise ValueError("audit rows must not carry ground truth")
-    df.write.mode("overwrite").partitionBy("config").parquet(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("config").parquet(path)
 
 
 def write_summary_jsonl(summary_records: DataFrame, path: str) -> None:
-    """SNK-05: ``{experiment_id, summary, text}`` JSON lines, one folder per shard."""
+    """SNK-05: ``{experiment_id, summary, text}`` JSON lines, one folder per shard; ``summary`` is an object."""
+    from trailfold.schemas import SUMMARY_JSON
     out = summary_records.select(
         "shard_id", "experiment_id",
-        F.col("json_data").alias("summary"), F.col("text_repr").alias("text"))
+        F.from_json("json_data", SUMMARY_JSON).alias("summary"), F.col("text_repr").alias("text"))
     out.write.mode("overwrite").partitionBy("shard_id").json(path)
 
 
@@ -66,10 +68,10 @@ def write_summary_store(summary_records: DataFrame, path: str) -> None:
 
 
 def sample_rows(df: DataFrame, key: str, first: int = 50, every: int = 500) -> DataFrame:
-    """SNK-07: first ``first`` rows by key and every ``every``-th (exact positions, see ranking)."""
+    """SNK-07: first ``first`` rows by key, and those whose position counted from 0 divides by ``every``."""
     from trailfold.functions.ranking import position_within
     p = position_within(df.withColumn("_g", F.lit(0)), ["_g"], [F.col(key)])
-    return p.where((F.col("pos") <= first) | (F.col("pos") % every == 0)).drop("_g", "pos")
+    return p.where((F.col("pos") <= first) | ((F.col("pos") - 1) % every == 0)).drop("_g", "pos")
 
 
 def manifest(spark: SparkSession, inputs: list[str], params: dict, code_paths: list[str]) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from trailfold.operators.summary import summary_record, trace_summary
 from trailfold.schemas import RAW_EVENTS
-from trailfold.sources.readers import land_events
+from trailfold.sources.readers import land_events, shard_of
 from trailfold.sources.sinks import write_summary_store
 from trailfold.session import materialize
 
@@ -26,8 +26,7 @@ def shard_stream(spark: SparkSession, shard_dir: str, files_per_trigger: int = 1
     """Streaming read of JSON-lines shard files with fixed schema and ``shard_id``."""
     raw = (spark.readStream.schema(RAW_EVENTS).option("maxFilesPerTrigger", files_per_trigger)
            .json(shard_dir))
-    shard = F.regexp_extract(F.input_file_name(), r"(\d+)\.json[^/]*$", 1).cast("int")
-    return raw.withColumn("shard_id", shard)
+    return raw.withColumn("shard_id", shard_of(F.input_file_name()))
 
 
 def summarise_batch(store_path: str):
