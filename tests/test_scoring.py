@@ -115,7 +115,9 @@ def test_white_space_around_replies(spark):
     good = '{"prediction": "benign", "malware_probability": 0.2, "confidence": 0.9, "evidence": []}'
     cases = {"\n" + good: None, "\t" + good + "\n\n": None, "\r\n ```json\n" + good + "\n``` \t": None, "\u00a0\u2003" + good: None,
              "\x1c" + good + "\x1f": None, " \n\t ": "Empty response", "\u3000": "Empty response", "": "Empty response",
-             "\n[1]\n": "Output is not a JSON dictionary"}
+             "\n[1]\n": "Output is not a JSON dictionary", "null": "Output is not a JSON dictionary",
+             good + "\n```": "JSONDecodeError", good + "}": "JSONDecodeError", good + "],[" + good: "JSONDecodeError",
+             good + "," + good: "JSONDecodeError", "x" + good: "JSONDecodeError"}
     df = spark.createDataFrame([(k,) for k in cases], "raw string")
     got = {r.raw: r.v.error for r in scoring.validate_frame(df, "raw", "v").collect()}
     assert got == cases

@@ -32,7 +32,7 @@ def position_within(df: DataFrame, part: list[str], order: list, out: str = "pos
 
 
 def running_within(df: DataFrame, part: list[str], order: list, sums: dict, pos: str = "pos",
-                   lags: dict | None = None) -> DataFrame:
+                   lags: dict | None = None, least: dict | None = None) -> DataFrame:
     """Exact position, inclusive running sums and previous-row values inside ``part`` groups, skew-safe.
 
     Same scheme as ``position_within``; the running sums are local window
@@ -41,24 +41,29 @@ def running_within(df: DataFrame, part: list[str], order: list, sums: dict, pos:
     group's totals from earlier partitions.  ``lags`` (name → column) gives
     the value of the previous row in the group: a local ``lag`` inside the
     slice, and for a slice's first row the group's last value in the nearest
-    earlier partition.
+    earlier partition.  ``least`` (name → column) gives the smallest value in
+    the whole group, from the same small per-partition table.
     """
     checkpoint_dir(df.sparkSession)
-    lags = lags or {}
+    lags, least = lags or {}, least or {}
+    small = {f"_n{i}": c for i, c in enumerate(least.values())}
     vals = {f"_v{i}": c for i, c in enumerate(sums.values())}
     lvals = {f"_l{i}": c for i, c in enumerate(lags.values())}
-    s = materialize(df.withColumns({**vals, **lvals}).orderBy(*part, *order)
+    s = materialize(df.withColumns({**vals, **lvals, **small}).orderBy(*part, *order)
                     .withColumn("_pid", F.spark_partition_id())
                     .withColumn("_mid", F.monotonically_increasing_id()))
     per = s.groupBy("_pid", *part).agg(
         F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"),
         *[F.sum(v).alias(f"_t{v}") for v in vals],
-        *[F.max(F.struct(F.col("_mid"), F.col(v).alias("x")))["x"].alias(f"_z{v}") for v in lvals])
+        *[F.max(F.struct(F.col("_mid"), F.col(v).alias("x")))["x"].alias(f"_z{v}") for v in lvals],
+        *[F.min(v).alias(f"_k{v}") for v in small])
+    s = s.drop(*small)
     w = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     wl = Window.partitionBy(*part).orderBy("_pid")
     per = per.select("_pid", *part, "_first", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"),
                      *[F.coalesce(F.sum(f"_t{v}").over(w), F.lit(0)).alias(f"_o{v}") for v in vals],
-                     *[F.lag(f"_z{v}").over(wl).alias(f"_p{v}") for v in lvals])
+                     *[F.lag(f"_z{v}").over(wl).alias(f"_p{v}") for v in lvals],
+                     *[F.min(f"_k{v}").over(Window.partitionBy(*part)).alias(n) for n, v in zip(least, small)])
     j = s.join(per, ["_pid", *part])
     local = Window.partitionBy("_pid", *part).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
     local_ord = Window.partitionBy("_pid", *part).orderBy("_mid")

@@ -70,3 +70,50 @@ def split_year_counts(labels: DataFrame) -> DataFrame:
     return (labels.groupBy(split.alias("split"), "year")
             .agg(F.count_if(F.col("label") == "benign").alias("benign"),
                  F.count_if(F.col("label") == "malicious").alias("malicious")))
+
+
+def comparison_table(models: dict[str, DataFrame], scopes: dict[str, DataFrame], undefined: str = "zero") -> DataFrame:
+    """``scope, model, expected, coverage, …metrics`` for every model in every scope.
+
+    ``scopes`` name sets of experiments (one column ``experiment``, one row
+    each).  Within a scope all models are judged on the same rows, those that
+    every model answered validly; coverage is their share of the scope.  The
+    models stand one below the other as rows, so that one grouped pass gives all
+    confusion counts, ratios and AUCs.
+    """
+    from trailfold.operators.metrics import METRIC_COLUMNS, binary_metrics
+    ids = None
+    for name, rows in scopes.items():
+        part = rows.select("experiment", F.lit(name).alias("scope"))
+        ids = part if ids is None else ids.unionByName(part)
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"prediction_{m}").alias("prediction"),
+                                        F.col(f"malware_probability_{m}").alias("malware_probability")) for m in models]))
+    long = (matched_join(models).join(ids, "experiment").select("scope", "label", each.alias("m"))
+            .select("scope", "label", "m.model", "m.prediction", "m.malware_probability"))
+    table = binary_metrics(long, ["scope", "model"], undefined=undefined)
+    expected = ids.groupBy("scope").agg(F.count(F.lit(1)).alias("expected"))
+    return (table.join(expected, "scope")
+            .select("scope", "model", "expected", F.round(F.col("n") / F.col("expected"), 4).alias("coverage"), *METRIC_COLUMNS))
+
+
+def run_report(audit: DataFrame, labels: DataFrame, undefined: str = "zero") -> DataFrame:
+    """One row per configuration of a scoring run: expected rows, failures, coverage, metrics and usage means.
+
+    ``audit`` holds one row per expected experiment; failures are those
+    without a valid prediction, and are counted, never taken as benign.
+    """
+    from trailfold.operators.metrics import METRIC_COLUMNS, binary_metrics, valid_mask
+    key = ["config", "model"]
+    rows = audit.join(labels.select(F.col("experiment").alias("experiment_id"), "label"), "experiment_id")
+    ok = F.coalesce(valid_mask(rows), F.lit(False)) & F.col("status").isin(*OK_STATUS)
+    totals = rows.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("expected"), F.count_if(ok).alias("valid_predictions"),
+        F.round(F.avg(F.coalesce("latency_sec", F.lit(0.0))), 3).alias("avg_latency_sec"),
+        F.round(F.avg(F.coalesce(F.col("prompt_tokens").cast("double"), F.lit(0.0))), 1).alias("avg_prompt_tokens"),
+        F.round(F.avg(F.coalesce(F.col("completion_tokens").cast("double"), F.lit(0.0))), 1).alias("avg_completion_tokens"))
+    table = binary_metrics(rows.where(ok), key, undefined=undefined)
+    return (totals.join(table, key, "left")
+            .select(*key, "expected", "valid_predictions", (F.col("expected") - F.col("valid_predictions")).alias("failures"),
+                    F.round(F.col("valid_predictions") / F.col("expected"), 4).alias("coverage"),
+                    *[c for c in METRIC_COLUMNS if c not in ("expected",)],
+                    "avg_latency_sec", "avg_prompt_tokens", "avg_completion_tokens"))

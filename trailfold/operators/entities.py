@@ -1,9 +1,8 @@
 """Distinct entities per experiment (AG-07), exact.
 
-A Python ``set`` counts ``None`` as one member; we reproduce that with
-``count(distinct x) + max(x is null)`` per rule family.  Spark plans
-multiple distinct aggregates as an Expand + two-level aggregate, so the
-final per-experiment step only sees pre-deduplicated values.
+A Python ``set`` counts ``None`` as one member, and so does ``distinct``: one
+distinct over (experiment, rule family, name), partially aggregated before its
+shuffle, then a count per family.
 """
 
 from __future__ import annotations
@@ -22,11 +21,6 @@ def families() -> dict[str, Column]:
                                    r == "net_connect"]))
 
 
-def _distinct_with_null(cond: Column, x: Column) -> Column:
-    return (F.count_distinct(F.when(cond, x))
-            + F.max(F.when(cond & x.isNull(), 1).otherwise(0))).cast("long")
-
-
 def process_set(trace: DataFrame) -> DataFrame:
     """SO-04: ``experiment, guid`` — non-null parents ∪ non-null created children."""
     parents = trace.select("experiment", F.col("parent_guid").alias("guid"))
@@ -42,8 +36,12 @@ def process_counts(trace: DataFrame) -> DataFrame:
 def entity_counts(trace: DataFrame) -> DataFrame:
     """``experiment, processes, unique_files_created, unique_images_loaded,
     unique_registry_keys, unique_network_connections``."""
-    fam = trace.groupBy("experiment").agg(
-        *[_distinct_with_null(c, F.col("child_name")).alias(n) for n, c in families().items()])
+    kind = F.coalesce(*[F.when(c, F.lit(n)) for n, c in families().items()], F.lit(""))
+    # one distinct of the names in each family (null is a name); events of no family leave one row each
+    names = (trace.select("experiment", kind.alias("family"), F.when(kind != "", F.col("child_name")).alias("name"))
+             .distinct())
+    fam = names.groupBy("experiment").agg(
+        *[F.count_if(F.col("family") == n).cast("long").alias(n) for n in FAMILY_NAMES])
     procs = process_counts(trace)
     return (fam.join(procs, "experiment", "left")
             .select("experiment", F.coalesce("processes", F.lit(0)).cast("long").alias("processes"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trailfold.operators import counts, entities, processes, rates, sequence, tree
 from trailfold.operators.entities import process_set
+from trailfold.operators.folds import by_process
 
 R = 9
 
@@ -101,16 +102,19 @@ def domain_c(trace: DataFrame) -> DataFrame:
 def root_actions(trace: DataFrame) -> DataFrame:
     """#35–40 inputs: events whose parent is the root, in total and for four rules."""
     roots = tree.root_process(trace)
-    t = trace.join(roots, "experiment")
+    t = by_process(trace).join(roots, "experiment")          # counts per process and rule, not events
     on_root = F.col("parent_guid") == F.col("root_guid")
-    rule = F.col("RuleName")
+    rule = F.col("rule")
+
+    def total(cond: Column) -> Column:
+        return F.sum(F.when(cond, F.col("n")).otherwise(0))
     return t.groupBy("experiment").agg(
-        F.count(F.lit(1)).alias("M"),
-        F.count_if(on_root).alias("root_total_actions"),
-        F.count_if(on_root & (rule == "process_create")).alias("root_process_creates"),
-        F.count_if(on_root & (rule == "file_create")).alias("root_file_creates"),
-        F.count_if(on_root & (rule == "reg_write")).alias("root_reg_writes"),
-        F.count_if(on_root & (rule == "net_connect")).alias("root_net_connects"))
+        F.sum("n").alias("M"),
+        total(on_root).alias("root_total_actions"),
+        total(on_root & (rule == "process_create")).alias("root_process_creates"),
+        total(on_root & (rule == "file_create")).alias("root_file_creates"),
+        total(on_root & (rule == "reg_write")).alias("root_reg_writes"),
+        total(on_root & (rule == "net_connect")).alias("root_net_connects"))
 
 
 def domain_d(trace: DataFrame) -> DataFrame:

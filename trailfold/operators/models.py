@@ -13,7 +13,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailfold.operators import splits
@@ -55,6 +55,11 @@ def boosted(features: list[str], iters: int = GBT_ITER, step: float = GBT_STEP,
     ])
 
 
+def threshold_decision(p: Column, at: float = 0.5) -> Column:
+    """PRJ-05: malicious from ``at`` on."""
+    return F.when(p >= at, "malicious").otherwise("benign")
+
+
 def predictions(model, df: DataFrame, keep: list[str], rule: str = "argmax") -> DataFrame:
     """ML-03 + PRJ-05/06: ``keep…, prediction, malware_probability``.
 
@@ -66,7 +71,7 @@ def predictions(model, df: DataFrame, keep: list[str], rule: str = "argmax") ->
     if rule == "argmax":
         pred = F.when(F.col("prediction") == 1.0, "malicious").otherwise("benign")
     else:
-        pred = F.when(p >= 0.5, "malicious").otherwise("benign")
+        pred = threshold_decision(p)
     return out.select(*keep, pred.alias("prediction"), p.alias("malware_probability"))
 
 

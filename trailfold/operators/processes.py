@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailfold.operators.folds import by_process
 from trailfold.operators.tree import fanout, root_process
 
 TOP_K = 5
@@ -12,16 +13,15 @@ TOP_K = 5
 
 def process_activity(trace: DataFrame) -> DataFrame:
     """AG-10: ``experiment, parent_guid, total_actions, first_seq`` for non-null parents."""
-    return (trace.where(F.col("parent_guid").isNotNull())
+    return (by_process(trace).where(F.col("parent_guid").isNotNull())
             .groupBy("experiment", "parent_guid")
-            .agg(F.count(F.lit(1)).alias("total_actions"), F.min("ingest_seq").alias("first_seq")))
+            .agg(F.sum("n").alias("total_actions"), F.min("first_seq").alias("first_seq")))
 
 
 def process_breakdown(trace: DataFrame) -> DataFrame:
     """AG-11: ``experiment, parent_guid, rule, n, first_seq`` — actions per process and rule."""
-    return (trace.where(F.col("parent_guid").isNotNull())
-            .groupBy("experiment", "parent_guid", F.col("RuleName").alias("rule"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("ingest_seq").alias("first_seq")))
+    return (by_process(trace).where(F.col("parent_guid").isNotNull())
+            .select("experiment", "parent_guid", "rule", "n", "first_seq"))
 
 
 def top_processes(trace: DataFrame, k: int = TOP_K) -> DataFrame:

@@ -36,14 +36,9 @@ def trace_bounds(trace: DataFrame) -> DataFrame:
 def relative_offsets(trace: DataFrame) -> DataFrame:
     """PRJ-10: every event with its offset from the experiment start, no calendar time.
 
-    The per-experiment start is joined back (one row per experiment); AQE's
-    skew-join handling splits a hot experiment's event partition.
+    The landed table carries the offset: a projection, no shuffle.
     """
-    t = _us(trace)
-    starts = t.groupBy("experiment").agg(F.min("t_us").alias("first_us"))
-    return (t.join(starts, "experiment")
-            .select("experiment", "ingest_seq", "RuleName", "parent_guid", "child_guid", "child_name",
-                    (F.col("t_us") - F.col("first_us")).alias("offset_us")))
+    return trace.select("experiment", "ingest_seq", "RuleName", "parent_guid", "child_guid", "child_name", "offset_us")
 
 
 def tumbling_peak(trace: DataFrame) -> DataFrame:

@@ -153,7 +153,12 @@ def validate_reply(raw: Column) -> Column:
     """
     t0 = strip(raw)
     text = _unfence(t0)
-    return _validated(raw, t0, text, F.try_parse_json(text))
+    return _validated(raw, t0, text, _parsed(text))
+
+
+def _parsed(text: Column) -> Column:
+    """The reply inside an object of two keys: text after the reply's own value breaks it or hides the second."""
+    return F.try_parse_json(F.concat(F.lit('{"reply":'), text, F.lit(',"end of reply":1}')))
 
 
 def strip(text: Column) -> Column:
@@ -173,14 +178,15 @@ def validate_frame(df: DataFrame, raw: str, out: str = "_v") -> DataFrame:
     """
     d = (df.withColumn("_t0", strip(F.col(raw)))
          .withColumn("_txt", _unfence(F.col("_t0")))
-         .withColumn("_var", F.try_parse_json("_txt")))
+         .withColumn("_var", _parsed(F.col("_txt"))))
     return (d.withColumn(out, _validated(F.col(raw), F.col("_t0"), F.col("_txt"), F.col("_var")))
             .drop("_t0", "_txt", "_var"))
 
 
-def _validated(raw: Column, t0: Column, text: Column, v: Column) -> Column:
-    kind = F.schema_of_variant(v)
-    is_obj = kind.startswith("OBJECT") & text.rlike(r"(?s)^\{.*\}$")
+def _validated(raw: Column, t0: Column, text: Column, parsed: Column) -> Column:
+    whole = F.coalesce(F.try_variant_get(parsed, "$['end of reply']", "int") == 1, F.lit(False))
+    v = F.try_variant_get(parsed, "$.reply", "variant")
+    is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     pred = F.try_variant_get(v, "$.prediction", "string")
     prob_s = F.try_variant_get(v, "$.malware_probability", "string")
     prob = F.try_variant_get(v, "$.malware_probability", "double")
@@ -193,7 +199,7 @@ def _validated(raw: Column, t0: Column, text: Column, v: Column) -> Column:
         return x.cast("string")
 
     err = (F.when(raw.isNull() | (t0 == ""), F.lit("Empty response"))
-           .when(v.isNull(), F.lit("JSONDecodeError"))
+           .when(~whole, F.lit("JSONDecodeError"))
            .when(~is_obj, F.lit("Output is not a JSON dictionary"))
            .when(~F.coalesce(pred.isin("benign", "malicious"), F.lit(False)),
                  F.concat(F.lit("Invalid prediction value: "), F.coalesce(pred, F.lit("None")),

@@ -85,10 +85,12 @@ def rle_runs(trace: DataFrame) -> DataFrame:
     starts = position_within(run_starts(trace), ["experiment"], [F.col("ingest_seq")], out="run_no")
     nxt = starts.select("experiment", (F.col("run_no") - 1).alias("run_no"), F.col("ingest_seq").alias("next_seq"))
     total = trace.groupBy("experiment").agg(F.max("ingest_seq").alias("last_seq"))
-    r = starts.join(nxt, ["experiment", "run_no"], "left").join(total, "experiment")
+    r = starts.join(nxt, ["experiment", "run_no"], "left")
+    # only an experiment's last run, one row each, meets the experiment's end
+    last = r.where(F.col("next_seq").isNull()).drop("next_seq").join(total.withColumn("next_seq", F.col("last_seq") + 1), "experiment")
+    r = r.where(F.col("next_seq").isNotNull()).unionByName(last.drop("last_seq"))
     return r.select("experiment", F.col("run_no").cast("long").alias("run_no"), "rule",
-                    (F.coalesce(F.col("next_seq"), F.col("last_seq") + 1) - F.col("ingest_seq"))
-                    .cast("long").alias("run_len"))
+                    (F.col("next_seq") - F.col("ingest_seq")).cast("long").alias("run_len"))
 
 
 def _render(rule, n):

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailfold.operators.entities import process_counts
+from trailfold.operators.folds import by_process
 from trailfold.session import checkpoint_dir, materialize
 
 CHECKPOINT_EVERY = 4
@@ -45,7 +46,8 @@ def root_process(trace: DataFrame) -> DataFrame:
 
 def fanout(trace: DataFrame) -> DataFrame:
     """AG-08 input: ``experiment, parent_guid, children`` (edge count, duplicates counted)."""
-    return tree_edges(trace).groupBy("experiment", "parent_guid").agg(F.count(F.lit(1)).alias("children"))
+    return (by_process(trace).where(F.col("parent_guid").isNotNull() & (F.col("children") > 0))
+            .groupBy("experiment", "parent_guid").agg(F.sum("children").alias("children")))
 
 
 def tree_fanout(trace: DataFrame) -> DataFrame:

@@ -92,8 +92,8 @@ def _valid_mask(i: Inputs):
 SELECT doc_id, score, CASE WHEN score >= 0.5 THEN 'malicious' ELSE 'benign' END AS decision FROM scores_l"""))
 def _threshold(i: Inputs):
     """PRJ-05: ``p >= t`` → malicious."""
-    return i.scores.select("doc_id", "score",
-                           F.when(F.col("score") >= 0.5, "malicious").otherwise("benign").alias("decision"))
+    from trailfold.operators.models import threshold_decision
+    return i.scores.select("doc_id", "score", threshold_decision(F.col("score")).alias("decision"))
 
 
 @register("class_counts", O.q("SELECT label, count(*) AS n FROM labels_l GROUP BY label"))
@@ -148,15 +148,26 @@ def _matched_cohort(i: Inputs):
     return m.join(cohort, "experiment", "left_semi")
 
 
-@register("matched_metrics", O.q(
-    f"SELECT 'rf' AS model, {M_COLS} FROM met",
-    _MATCHED, "mr AS (SELECT label, prediction_rf AS prediction, malware_probability_rf AS malware_probability "
-              "FROM matched)", O.metrics_sql("mr", False, undefined="zero")[0]))
-def _matched_metrics(i: Inputs):
-    m = compare.matched_join(_models(i))
-    rf = m.select("label", F.col("prediction_rf").alias("prediction"),
-                  F.col("malware_probability_rf").alias("malware_probability"))
-    return metrics.binary_metrics(rf, undefined="zero").select(F.lit("rf").alias("model"), *metrics.METRIC_COLUMNS)
+_LONG = """scoped AS (SELECT m.*, s.scope FROM matched m
+  JOIN (SELECT experiment, 'all' AS scope FROM rf UNION ALL
+        SELECT experiment, 'year_2024' AS scope FROM rf WHERE year = 2024) s ON s.experiment = m.experiment),
+cmp AS (""" + " UNION ALL ".join(
+    f"SELECT scope || '/{m}' AS year, label, prediction_{m} AS prediction, malware_probability_{m} AS malware_probability FROM scoped"
+    for m in ("rf", "zs", "ra")) + """),
+ex AS (SELECT 'all' AS scope, count(*) AS expected FROM rf UNION ALL
+       SELECT 'year_2024', count(*) FROM rf WHERE year = 2024)"""
+
+
+@register("comparison_table", O.q(
+    f"""SELECT split_part(grp, '/', 1) AS scope, split_part(grp, '/', 2) AS model, ex.expected,
+       round(n / ex.expected, 4) AS coverage, {M_COLS} FROM met JOIN ex ON ex.scope = split_part(grp, '/', 1)
+       WHERE grp <> 'all'""",
+    _MATCHED, _LONG, O.metrics_sql("cmp", True, undefined="zero")[0]))
+def _comparison_table(i: Inputs):
+    """Every model in every scope, on the rows that all models answered, with coverage."""
+    rf = i.model("rf")
+    scopes = {"all": rf.select("experiment"), "year_2024": rf.where(F.col("year") == 2024).select("experiment")}
+    return compare.comparison_table(_models(i), scopes)
 
 
 @register("disagreement", O.q("""
@@ -259,10 +270,8 @@ SELECT experiment, label, year, test FROM (
   FROM labels_l) WHERE rn <= 10"""))
 def _balanced_sample(i: Inputs):
     """WN-11: 10 per class in a seeded (arithmetic) order."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("label").orderBy((F.col("experiment").cast("long") * 7919 + 13) % 1000003,
-                                            F.col("experiment"))
-    return i.labels.withColumn("_rn", F.row_number().over(w)).where("_rn <= 10").drop("_rn")
+    return splits.balanced_sample(i.labels, 10, order=[(F.col("experiment").cast("long") * 7919 + 13) % 1000003,
+                                                       F.col("experiment")])
 
 
 # ------------------------------------------------------------------ checks

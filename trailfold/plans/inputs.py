@@ -6,16 +6,16 @@ logical plan, and Catalyst prunes/pushes down per query.
 
 from __future__ import annotations
 
-import os
 import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trailfold.session import configure
 from trailfold.sources import lens
-from trailfold.sources.tables import read_table
-from trailfold.schemas import LANDED
+from trailfold.sources.readers import land_table
+from trailfold.sources.tables import read_table, table_path
 from trailfold.session import checkpoint_dir
 
 
@@ -73,20 +73,17 @@ def landed_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared checkpoint folder, and every query of the session reads that
     table: downstream scans get column pruning, filter pushdown and row-group
     skipping, and a lost executor re-reads files instead of re-running the
-    window.  Keyed by the input file's size and mtime, so a changed input is
+    window.  Keyed by the input files' sizes and times, so a changed input is
     landed again.
     """
-    path = os.path.join(sf_dir, "events.parquet")
-    st = os.stat(path) if os.path.exists(path) else None
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir),
-           st.st_size if st else None, st.st_mtime if st else None)
+    # the size and time of every input file, on whatever file system it lies
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .load(table_path(sf_dir, "events")).select("path", "length", "modificationTime"))
+    state = files.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime")).first()
+    key = (spark.sparkContext.applicationId, sf_dir, *state)
     df = _LANDED.get(key)
     if df is None:
         base = checkpoint_dir(spark)
-        out = os.path.join(base, f"landed-trace-{uuid.uuid4().hex}")
-        (lens.trace_events(read_table(spark, sf_dir, "events"))
-         .sortWithinPartitions("experiment", "ingest_seq")
-         .write.mode("overwrite").partitionBy("shard_id").parquet(out))
-        df = spark.read.schema(LANDED).parquet(out).select(*[f.name for f in LANDED.fields])
-        _LANDED[key] = df
+        out = f"{base.rstrip('/')}/landed-trace-{uuid.uuid4().hex}"
+        df = _LANDED[key] = land_table(lens.trace_events(read_table(spark, sf_dir, "events")), out)
     return df

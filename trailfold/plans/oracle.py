@@ -44,7 +44,7 @@ trace AS (
   FROM ev2),
 labels_l AS (
   SELECT CAST(user_id AS VARCHAR) AS experiment,
-         CASE WHEN user_id % 4 = 0 THEN 'malicious' ELSE 'benign' END AS label,
+         CASE WHEN user_id % 7 < 2 THEN 'malicious' ELSE 'benign' END AS label,
          CAST(CASE WHEN user_id % 97 = 0 THEN NULL ELSE 2015 + user_id % 10 END AS INTEGER) AS year,
          (user_id % 3 = 0) AS test
   FROM (SELECT DISTINCT user_id FROM events)),

@@ -204,14 +204,28 @@ def _mock_scores(i: Inputs):
                     .alias("malware_probability"))
 
 
-_REPLIES_SQL = ("rp AS (SELECT doc_id, CASE doc_id % " + str(len(lens.REPLIES)) + " "
-                + " ".join(f"WHEN {k} THEN {_sql_lit(r)}" for k, r in enumerate(lens.REPLIES))
-                + " END AS raw FROM documents)")
+def _pick(items: list[str]) -> str:
+    return f"CASE doc_id % {len(items)} " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(items)) + " END"
+
+
+_REPLIES_SQL = ("rp AS (SELECT doc_id, " + " || ".join([
+    _pick([_sql_lit(x) for x in lens.BEFORE]),
+    _pick([*[_sql_lit(r) for r in lens.REPLIES],
+           f"{_sql_lit(lens.QUOTED[0])} || CAST(to_json([text]) AS VARCHAR) || {_sql_lit(lens.QUOTED[1])}"]),
+    _pick([_sql_lit(x) for x in lens.AFTER])]) + " AS raw FROM documents)")
+_WHITE = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{_WHITE}', ''), '{_WHITE}$', '')"
+
+
 _FENCE = "```(?:json)?\\s*(.*?)\\s*```"
 _VALIDATE_SQL = _REPLIES_SQL + f""",
-v1 AS (SELECT doc_id, raw, trim(raw) AS t0,
-  CASE WHEN regexp_matches(trim(raw), '{_FENCE}', 's')
-       THEN trim(regexp_extract(trim(raw), '{_FENCE}', 1, 's')) ELSE trim(raw) END AS txt FROM rp),
+v0 AS (SELECT doc_id, raw, {_strip('raw')} AS t0 FROM rp),
+v1 AS (SELECT doc_id, raw, t0,
+  CASE WHEN regexp_matches(t0, '{_FENCE}', 's') THEN {_strip(f"regexp_extract(t0, '{_FENCE}', 1, 's')")} ELSE t0 END AS txt
+  FROM v0),
 v2 AS (SELECT *, json_valid(txt) AS okj FROM v1),
 v3 AS (SELECT *, CASE WHEN okj THEN json_type(txt) END AS jt,
     CASE WHEN okj THEN json_extract_string(txt, '$.prediction') END AS pred,
@@ -459,6 +473,13 @@ pra AS (SELECT ev.experiment_id, {_sql_lit(SYSTEM_PROMPT)}::VARCHAR AS sys,
   LEFT JOIN rid ON CAST(rid.target_id AS VARCHAR) = ev.experiment_id)""")
 
 
+@register("run_report", None)
+def _run_report(i: Inputs):
+    """The last step of a scoring run: one row of figures per configuration."""
+    from trailfold.operators.compare import run_report
+    return run_report(_audit_log(i), i.labels)
+
+
 # Oracles that need the prompt SQL above (registered after their builders).
 _MOCK_MAL = ("((contains(usr, 'process_create') AND contains(usr, 'unique_network_connections') "
              "AND NOT contains(usr, 'unique_network_connections: 0')) "
@@ -482,5 +503,22 @@ FROM pr"""),
 from trailfold.plans.catalog import REGISTRY as _REG  # noqa: E402
 
 _CATALOG_SQL["audit_log"] = _audit_sql()
+_MET = "n, benign, malicious, tn, fp, fn, tp, accuracy, malware_recall, malware_precision, malware_f1, benign_fpr, " \
+       "balanced_accuracy, roc_auc, partial_auc_max_fpr_0_1"
+_CATALOG_SQL["run_report"] = O.q(f"""
+SELECT t.config, t.model, t.expected, t.valid_predictions, t.expected - t.valid_predictions AS failures,
+       round(t.valid_predictions / t.expected, 4) AS coverage, {_MET}, t.avg_latency_sec, t.avg_prompt_tokens,
+       t.avg_completion_tokens
+FROM tot t JOIN met ON met.grp = t.config || '/' || t.model""",
+    f"au AS ({_CATALOG_SQL['audit_log']})",
+    """ar AS (SELECT au.*, l.label FROM au JOIN labels_l l ON l.experiment = au.experiment_id),
+tot AS (SELECT config, model, count(*) AS expected,
+    CAST(count_if(prediction IN ('benign', 'malicious') AND malware_probability IS NOT NULL
+                  AND status IN ('success', 'cached')) AS BIGINT) AS valid_predictions,
+    round(avg(coalesce(latency_sec, 0.0)), 3) AS avg_latency_sec, round(avg(CAST(prompt_tokens AS DOUBLE)), 1) AS avg_prompt_tokens,
+    round(avg(CAST(completion_tokens AS DOUBLE)), 1) AS avg_completion_tokens FROM ar GROUP BY config, model),
+rr AS (SELECT config || '/' || model AS year, label, prediction, malware_probability FROM ar
+       WHERE prediction IN ('benign', 'malicious') AND malware_probability IS NOT NULL AND status IN ('success', 'cached'))""",
+    O.metrics_sql("rr", True, undefined="zero")[0])
 for _name, _sql in _CATALOG_SQL.items():
     _REG[_name] = (_REG[_name][0], _sql)

@@ -33,8 +33,10 @@ EVENTS = T.StructType([
     T.StructField("ingest_seq", T.LongType()),
 ])
 
-# The landed table: the event schema plus the predecessor's rule (set once at landing).
-LANDED = T.StructType(EVENTS.fields + [T.StructField("prev_rule", T.StringType())])
+# The landed table: the event schema plus what is set once at landing, the predecessor's rule and the
+# microseconds since the experiment's first event.
+LANDED = T.StructType(EVENTS.fields + [T.StructField("prev_rule", T.StringType()),
+                                       T.StructField("offset_us", T.LongType())])
 
 # Raw shard rows as written by the tracer (JSON lines / array of records).
 RAW_EVENTS = T.StructType([f for f in EVENTS.fields if f.name not in ("shard_id", "ingest_seq")])

@@ -7,11 +7,10 @@ so Catalyst prunes the scan down to the columns used.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailfold.schemas import FEATURES, ROOT_RULE
-from trailfold.sources.tables import read_table
 
 N_SHARDS = 8          # the trace arrives as 8 shards
 TIME_SHRINK = 10000   # 30 days of driver events -> < 260 s of trace time
@@ -26,23 +25,22 @@ def trace_events(events: DataFrame) -> DataFrame:
 
     This is the *landing* step: ``ingest_seq`` is the dense chronological
     position every order-sensitive operator uses afterwards.  Nothing here
-    sorts a whole experiment in one task: positions and the running process
-    counter come from ``running_within`` (global range sort + partition
-    offsets), the first event and start time from a partial aggregate joined
-    back by key.
+    sorts a whole experiment in one task, and no event is joined on its
+    experiment alone: positions, the running process counter, the first event
+    and the start time come from ``running_within`` (global range sort + a
+    small table per range partition and experiment).
     """
     from trailfold.functions.ranking import running_within
     rule_list = F.array(*[F.lit(r) for r in FEATURES])
     e = (events.select("user_id", "event_id", "ts", "props")
          .withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
          .withColumn("k", _k(F.col("props"))))
-    first = e.groupBy("user_id").agg(F.min("us").alias("min_us"),
-                                     F.min(F.struct("ts", "event_id")).alias("ev1"))
-    e = e.join(first, "user_id")
-    is_first = (F.col("ts") == F.col("ev1.ts")) & (F.col("event_id") == F.col("ev1.event_id"))
-    e = e.withColumn("pc", (~is_first & (F.col("k") % 9 == 0)).cast("long")).drop("ev1")  # index 0 = process_create
-    e = running_within(e, ["user_id"], [F.col("ts"), F.col("event_id")], {"m": F.col("pc")}, pos="rn",
-                       lags={"prev_k": F.col("k")})
+    pc = (F.col("k") % 9 == 0).cast("long")                     # index 0 = process_create
+    e = running_within(e, ["user_id"], [F.col("ts"), F.col("event_id")], {"m": pc}, pos="rn",
+                       lags={"prev_k": F.col("k")},
+                       least={"min_us": F.col("us"), "first": F.struct("ts", "event_id", pc.alias("pc"))})
+    # the first event is the root's, whatever its rule: it is not counted
+    e = e.withColumn("m", F.col("m") - F.col("first.pc"))
     e = e.withColumn("RuleName", F.when(F.col("rn") == 1, F.lit(ROOT_RULE))
                      .otherwise(F.element_at(rule_list, (F.col("k") % 9 + 1).cast("int"))))
     # the predecessor's rule, stored at landing so sequence operators need no self-join
@@ -67,6 +65,7 @@ def trace_events(events: DataFrame) -> DataFrame:
         (F.col("user_id") % N_SHARDS).cast("int").alias("shard_id"),
         F.col("rn").cast("long").alias("ingest_seq"),
         prev_rule.alias("prev_rule"),
+        elapsed.cast("long").alias("offset_us"),
     )
 
 
@@ -75,7 +74,7 @@ def labels(events: DataFrame) -> DataFrame:
     u = events.select("user_id").distinct()
     return u.select(
         F.col("user_id").cast("string").alias("experiment"),
-        F.when(F.col("user_id") % 4 == 0, "malicious").otherwise("benign").alias("label"),
+        F.when(F.col("user_id") % 7 < 2, "malicious").otherwise("benign").alias("label"),
         F.when(F.col("user_id") % 97 == 0, F.lit(None))
          .otherwise(F.col("user_id") % 10 + 2015).cast("int").alias("year"),
         (F.col("user_id") % 3 == 0).alias("test"),
@@ -166,13 +165,20 @@ REPLIES = [
     '```json\n{"prediction": "benign", "malware_probability": 0.1, "confidence": 0.7, "evidence": ["quiet"]}\n```',
 ]
 # --- end fixed values ---
+# what a model may put around its reply, and a reply whose evidence is the document's own text
+BEFORE = ["", "\n", " \t", "\r\n\n", "\u00a0\u2003", "```\n", "\x1c"]
+AFTER = ["", "\n\n", "\t ", "\u3000", "\n```"]
+QUOTED = ('{"prediction": "malicious", "malware_probability": 0.6, "confidence": 0.4, "evidence": ', "}")
 
 
 def replies(documents: DataFrame) -> DataFrame:
-    """Replies lens: ``doc_id, raw`` — reply text chosen by ``doc_id % 13``."""
-    arr = F.array(*[F.lit(r) for r in REPLIES])
-    return documents.select("doc_id", F.element_at(arr, (F.col("doc_id") % len(REPLIES) + 1).cast("int"))
-                            .alias("raw"))
+    """Replies lens: ``doc_id, raw`` — a reply by ``doc_id % 14``, the last one quoting the text, with white
+    space or a fence around it by ``doc_id % 7`` and ``doc_id % 5``."""
+    quoted = F.concat(F.lit(QUOTED[0]), F.to_json(F.array("text")), F.lit(QUOTED[1]))
+    pick = lambda items, n: F.element_at(F.array(*items), (F.col("doc_id") % n + 1).cast("int"))
+    return documents.select("doc_id", F.concat(
+        pick([F.lit(x) for x in BEFORE], len(BEFORE)), pick([*[F.lit(r) for r in REPLIES], quoted], len(REPLIES) + 1),
+        pick([F.lit(x) for x in AFTER], len(AFTER))).alias("raw"))
 
 
 def cache_rows(events: DataFrame) -> DataFrame:
@@ -185,11 +191,3 @@ def cache_rows(events: DataFrame) -> DataFrame:
          .otherwise("success").alias("status"),
         F.col("ts").cast("timestamp").alias("timestamp"),
         F.col("event_id"))
-
-
-def load_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trace_events(read_table(spark, sf_dir, "events"))
-
-
-def load_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels(read_table(spark, sf_dir, "events"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailfold.schemas import CACHE, FEATURE_MATRIX, LABELS_RAW, PREDICTIONS, RAW_EVENTS
+from trailfold.schemas import CACHE, FEATURE_MATRIX, LABELS_RAW, LANDED, PREDICTIONS, RAW_EVENTS
 
 
 def load_labels(spark: SparkSession, train_path: str, test_path: str, multiline: bool = False) -> DataFrame:
@@ -30,9 +30,21 @@ def land_events(raw: DataFrame, order_col: str = "file_pos") -> DataFrame:
     Every order-sensitive operator afterwards joins on ``(experiment, ingest_seq)``.
     """
     from trailfold.functions.ranking import running_within
+    at = F.unix_micros("timestamp")
     p = running_within(raw, ["experiment"], [F.col("timestamp"), F.col(order_col)], {}, pos="ingest_seq",
-                       lags={"prev_rule": F.col("RuleName")})
-    return p.drop(order_col)
+                       lags={"prev_rule": F.col("RuleName")}, least={"_start": at})
+    return p.withColumn("offset_us", at - F.col("_start")).drop(order_col, "_start")
+
+
+def land_table(landed: DataFrame, path: str) -> DataFrame:
+    """SRC-02/ST-02: write landed events by shard, each file in (experiment, ingest_seq) order, and read them back.
+
+    The partitioned write needs its rows sorted by ``shard_id``; sorting by
+    that first keeps the order within a shard.
+    """
+    (landed.select(*[f.name for f in LANDED.fields]).sortWithinPartitions("shard_id", "experiment", "ingest_seq")
+     .write.mode("overwrite").partitionBy("shard_id").parquet(path))
+    return landed.sparkSession.read.schema(LANDED).parquet(path).select(*[f.name for f in LANDED.fields])
 
 
 def shard_of(path: Column) -> Column:
@@ -43,6 +55,8 @@ def shard_of(path: Column) -> Column:
 def read_trace_shards(spark: SparkSession, paths: list[str], multiline: bool = False) -> DataFrame:
     """SRC-02: all shards in one scan, ``shard_id`` from the file name, landed with ``ingest_seq``.
 
+    ``land_table`` writes the result once, so that later scans do not land it again.
+
     JSON lines are splittable (many tasks per shard); a shard that is one
     JSON array needs ``multiline=True`` (one task per file).  The file
     position tie-break is ``monotonically_increasing_id`` within each file
