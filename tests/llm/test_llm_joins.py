@@ -144,3 +144,24 @@ def test_awkward_documents(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "5", "6", "7", "8", "None"]
     assert J.near_duplicates(cases.empty(spark)).count() == 0
+
+
+def test_sketches_part_no_link():
+    rng = np.random.default_rng(9)
+    threshold = J.Threshold(8, 10)
+    linked = parted = 0
+    for n in [1, 3, 9, 30, 100, 700, 5000] * 20:
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        keep = rng.random(len(a)) < rng.choice([0.99, 0.9, 0.85, 0.5, 0.1])
+        b = np.unique(np.concatenate([a[keep], rng.integers(0, 1 << 63, int((~keep).sum() * rng.choice([0.2, 1])), dtype=np.uint64)]))
+        if not len(b):
+            continue
+        both = len(np.intersect1d(a, b))
+        found = J.may_link([len(a), len(b)], [J.sketch(a), J.sketch(b)], threshold)
+        if threshold.links(both, len(a), len(b)):
+            linked += 1
+            assert found == [(0, 1)]
+        parted += not found
+    assert linked > 20 and parted > 20
+    many = [np.unique(rng.integers(0, 1 << 40, 60, dtype=np.uint64)) for _ in range(5)]
+    assert len(J.may_link([len(s) for s in many] * 2, [J.sketch(s) for s in many] * 2, threshold)) >= 5

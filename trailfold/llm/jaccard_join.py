@@ -6,16 +6,18 @@ each other, where no pivot tells them apart.  So the space is cut in two steps:
 1. *Projections.*  The universe of shingles is cut into ``m`` parts.  Two
    documents within the threshold differ in at most ``D`` shingles, so of
    ``m > D`` parts they agree in one at least: there, their projections are one
-   point.  Documents that agree in a part are chained to clusters; no link
-   leaves a cluster.  ``m`` follows from the sizes, on a grid that both sizes
-   of a pair agree on.
+   point.  ``m`` follows from the sizes, on a grid that both sizes of a pair
+   agree on.  In a point, pairs that a lower bound of their distance (the L1
+   distance of coarse counts of their shingles) already parts are passed over;
+   the others chain documents to clusters, and no link leaves a cluster.
 2. *Voronoi regions* inside a cluster: pivots are drawn, every document goes
    to the region of its nearest pivot, and to each other region whose pivot is
    at most twice the threshold farther away — by the triangle inequality no
    pair is then parted.  Regions are cut again in the same way while that
-   helps, and joined exactly.  Large clusters are cut as a Spark job, small
-   ones within a task.  A region that pivots do not cut (all distances alike)
-   is joined in pairs of blocks of bounded size.
+   helps, and joined exactly.  Clusters too large for a task are cut by Spark
+   jobs, into the documents that agree in one projection and these into
+   Voronoi regions; small ones within a task.  A region that pivots do not cut
+   (all distances alike) is joined in pairs of blocks of bounded size.
 
 Equal sets are one class from the start, and a region yields no list of pairs
 but the edges of a spanning forest of its links.  Sets of 64-bit shingle hashes
@@ -38,7 +40,9 @@ from trailfold.llm.components import components
 
 #: A region joined in one task: documents and shingles at most.
 REGION, REGION_SHINGLES = 256, 1_500_000
-PIVOTS, TASK_PIVOTS, DIRECT = 12, 8, 48
+PIVOTS, TASK_PIVOTS, DIRECT = 6, 8, 48
+#: Voronoi regions may hold so many copies of a document on average.
+COPIES = 2
 GRID = 1.5
 #: Sets that a task remembers to have sent already.
 SEEN = 1_000_000
@@ -104,6 +108,50 @@ def projections(found: np.ndarray, threshold: Threshold) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """Counts of a set's hashes in equal ranges, 4 to 8 on average (255 stands for more)."""
+    bits = _bits(len(found))
+    place = (found >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(found), np.int64)
+    return np.minimum(np.bincount(place, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def _bits(n: int) -> int:
+    return max(0, (max(1, n) // 4).bit_length() - 1)
+
+
+def may_link(sizes: list[int], raws: list[bytes], threshold: Threshold) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs (places) that the sketches' distance does not part.
+
+    Sketches are compared at the coarsest one's ranges.  Each range's counts
+    differ by no more than the sets do there, so the sum is a lower bound.
+    """
+    least = min(map(len, raws))
+    # sums of capped counts are capped too, which only lowers the bound
+    wide = [np.minimum(np.frombuffer(r, np.uint8).reshape(least, -1).sum(axis=1, dtype=np.int32), 255) for r in raws]
+    if len(raws) == 2:
+        apart = int(np.abs(wide[0] - wide[1]).sum())
+        return [(0, 1)] if apart <= threshold.most(sizes[0] + sizes[1]) else []
+    counts, n = np.stack(wide), np.array(sizes)
+    root = list(range(len(n)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    forest = []
+    for i in range(len(n) - 1):
+        apart = np.abs(counts[i + 1:] - counts[i]).sum(axis=1)
+        most = (n[i + 1:] + n[i]) * (threshold.den - threshold.num) // (threshold.den + threshold.num)
+        for j in (np.flatnonzero(apart <= most) + i + 1).tolist():
+            x, y = find(i), find(j)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                forest.append((i, j))
+    return forest
+
+
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for part in text_slices(batches, "text"):
         yield part, W.shingle_sets(*text_bytes(part.column("text")), k)
@@ -206,10 +254,13 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
         for part, sets in _sets(batches, k):
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], ["id", "n", "class"])
+                 pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
+                 pa.array([sketch(s) for s in sets], pa.binary())], ["id", "n", "class", "sketch"])
 
-    classed = saved(texts.mapInArrow(describe, f"id {id_kind}, n long, class long"))
-    links = links_of(only_text, k, threshold)
+    classed = saved(texts.mapInArrow(describe, f"id {id_kind}, n long, class long, sketch binary"))
+    classes = classed.filter(F.col("class").isNotNull()).select(F.col("class").alias("node"), "n", "sketch").dropDuplicates(["node"])
+    links = links_of(only_text, classes, k, threshold)
+    classed = classed.drop("sketch")
     linked = saved(components(links)) if links is not None else None
     if linked is not None:
         grouped = classed.join(linked.withColumnRenamed("node", "class"), "class", "left")
@@ -225,8 +276,11 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
                        F.coalesce("component_id", "id").alias("component_id"), F.col("class").alias("class_id"))
 
 
-def links_of(texts: DataFrame, k: int, threshold: Threshold) -> DataFrame | None:
-    """Edges (a, b) between classes, a spanning forest of all links between different sets; None without any."""
+def links_of(texts: DataFrame, sketches: DataFrame, k: int, threshold: Threshold) -> DataFrame | None:
+    """Edges (a, b) between classes, a spanning forest of all links between different sets; None without any.
+
+    ``sketches``: (node, n, sketch) of every class.
+    """
     width = shuffle_width(texts.sparkSession)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,24 +298,62 @@ def links_of(texts: DataFrame, k: int, threshold: Threshold) -> DataFrame | None
                 owners.append(np.full(len(found), name, np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)),
-                                                  pa.array(np.concatenate(owners))], ["key", "a"])
+                                                  pa.array(np.concatenate(owners))], ["point", "node"])
 
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by key: every class of a key is chained to the key's first one."""
-        key, head = None, 0
+    def shared_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted by point and node: the different rows of points that hold several nodes, batch by batch."""
+        held = np.zeros((2, 0), np.int64)      # the last row, if nothing is known to share its point yet
+        last = None
         for b in batches:
             if not b.num_rows:
                 continue
-            keys, names = b.column("key").to_numpy(), b.column("a").to_numpy()
-            new = np.concatenate([[key is None or keys[0] != key], keys[1:] != keys[:-1]])
-            starts = np.flatnonzero(new)
-            heads = np.where(np.cumsum(new) > 0, names[starts[np.maximum(np.cumsum(new) - 1, 0)]] if len(starts) else head, head)
-            key, head = keys[-1], heads[-1]
-            pairs = np.unique(np.stack([names, heads])[:, names != heads], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-    keyed = texts.mapInArrow(project, "key long, a long")
-    chained = keyed.repartition(width, "key").sortWithinPartitions("key", "a").mapInArrow(chain, "a long, b long")
+            rows = np.concatenate([held, np.stack([b.column("point").to_numpy(), b.column("node").to_numpy()])], axis=1)
+            point, node = rows
+            same = np.concatenate([[last is not None and not held.size and last[0] == point[0]], point[1:] == point[:-1]])
+            again = np.concatenate([[bool(same[0]) and last[1] == node[0]], (node[1:] == node[:-1]) & same[1:]])
+            last = rows[:, -1]
+            rows, same = rows[:, ~again], same[~again]
+            open_end = bool(rows.shape[1]) and not same[-1]
+            held = rows[:, -1:] if open_end else np.zeros((2, 0), np.int64)
+            keep = same | np.concatenate([same[1:], [False]])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0][keep]), pa.array(rows[1][keep])], ["point", "node"])
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted by point: edges between the nodes of a point that may be linked, a spanning forest of them."""
+        point, head, nodes = None, 0, {}
+        edges: list[tuple[int, int]] = []
+
+        def close() -> None:
+            if 1 < len(nodes) <= REGION:
+                names = list(nodes)
+                edges.extend((names[i], names[j]) for i, j in may_link([nodes[x][0] for x in names], [nodes[x][1] for x in names], threshold))
+
+        for b in batches:
+            for p, node, n, raw in zip(b.column("point").to_pylist(), b.column("node").to_pylist(), b.column("n").to_pylist(),
+                                       b.column("sketch").to_pylist()):
+                if p != point:
+                    close()
+                    point, head, nodes = p, node, {}
+                if len(nodes) < REGION:
+                    nodes[node] = (n, raw)
+                    continue
+                # too many to compare: all are chained to the first
+                if len(nodes) == REGION:
+                    edges.extend((x, head) for x in nodes if x != head)
+                    nodes[None] = (0, b"")
+                edges.append((node, head))
+            if edges:
+                pairs = np.unique(np.array(edges, np.int64), axis=0)
+                edges.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        close()
+        if edges:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges)], ["a", "b"])
+
+    keyed = texts.mapInArrow(project, "point long, node long")
+    points = keyed.repartition(width, "point").sortWithinPartitions("point", "node").mapInArrow(shared_points, "point long, node long")
+    chained = (points.join(sketches, "node").select("point", "node", "n", "sketch")
+               .repartition(width, "point").sortWithinPartitions("point").mapInArrow(chain, "a long, b long"))
     clusters = saved(components(chained.distinct()))
     if clusters.isEmpty():
         return None
@@ -341,12 +433,53 @@ def joined(regions: DataFrame, threshold: Threshold, width: int) -> DataFrame:
 
 
 def cut_large(sets: DataFrame, threshold: Threshold) -> tuple[DataFrame, DataFrame]:
-    """Voronoi regions of large clusters as (region, block, node, n, found), and the links to pivots found on the way."""
-    eps = threshold.eps
-    by_hash = Window.partitionBy("component").orderBy(F.xxhash64("node"), "node")
-    different = saved(sets.dropDuplicates(["node"]))
-    pivots = saved(different.withColumn("pivot", F.row_number().over(by_hash)).filter(F.col("pivot") <= PIVOTS)
-                   .select("component", "pivot", F.col("node").alias("p_node"), F.col("found").alias("p_found")))
+    """Regions of large clusters as (region, block, node, n, found), and the links to pivots found on the way.
+
+    A large cluster falls apart into its points first: the documents that
+    agree in one projection.  A point that is still too large is cut into
+    Voronoi regions where that copies a document ``COPIES`` times at most on
+    average, and what remains too large into blocks, every pair of which is a
+    region.
+    """
+    different = saved(sets.dropDuplicates(["node"]).select("node", "n", "found"))
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [np.unique(projections(np.frombuffer(x.as_buffer(), np.uint64), threshold)) for x in b.column("found")]
+            row = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            if len(row):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys).astype(np.int64)), b.column("node").take(row), b.column("n").take(row)],
+                    ["point", "node", "n"])
+
+    placed = saved(different.mapInArrow(project, "point long, node long, n long"))
+    sizes = saved(placed.groupBy("point").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")).filter(F.col("rows") > 1))
+    fits = (F.col("rows") <= REGION) & (F.col("total") <= REGION_SHINGLES)
+    whole = (placed.join(sizes.filter(fits).select("point"), "point")
+             .select("point", F.lit(0).cast("long").alias("block"), "node"))
+    wide = saved(placed.join(sizes.filter(~fits), "point").select("point", "rows", "node", "n"))
+    cells, direct = voronoi_cells(wide, different, threshold)
+    per_cell = saved(cells.groupBy("point", "cell").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"))
+                     .select("point", "cell", F.ceil(F.greatest(F.col("rows") / REGION, F.col("total") / REGION_SHINGLES)).cast("int").alias("parts"))
+                     # pairs of blocks hold two blocks, so these are half as large
+                     .select("point", "cell", F.when(F.col("parts") > 1, 2 * F.col("parts")).otherwise(1).alias("blocks")))
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
+    blocks = (cells.join(per_cell, ["point", "cell"]).withColumn("own", own)
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("point", F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "node"))
+
+    def filled(rows: DataFrame) -> DataFrame:
+        return rows.join(different, "node").select(F.col("point").alias("region"), "block", "node", "n", "found")
+
+    return filled(whole).unionByName(filled(blocks)), direct
+
+
+def voronoi_cells(wide: DataFrame, sets: DataFrame, threshold: Threshold) -> tuple[DataFrame, DataFrame]:
+    """(point, cell, node, n) for members of points, one cell where pivots do not tell them apart; links to pivots."""
+    by_hash = Window.partitionBy("point").orderBy(F.xxhash64("node"), "node")
+    pivots = saved(wide.withColumn("pivot", F.row_number().over(by_hash)).filter(F.col("pivot") <= PIVOTS)
+                   .select("point", "pivot", F.col("node").alias("p_node")).join(
+                       sets.select(F.col("node").alias("p_node"), F.col("found").alias("p_found")), "p_node"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -356,33 +489,23 @@ def cut_large(sets: DataFrame, threshold: Threshold) -> tuple[DataFrame, DataFra
                 n = np.intersect1d(x, y, assume_unique=True).size
                 both.append(n)
                 union.append(len(x) + len(y) - n)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("component"), b.column("node"), b.column("pivot"), b.column("p_node"),
-                 pa.array(both, pa.int64()), pa.array(union, pa.int64())],
-                ["component", "node", "pivot", "p_node", "both", "union"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(both, pa.int64()), pa.array(union, pa.int64())],
+                                             ["point", "node", "n", "pivot", "p_node", "both", "union"])
 
-    measured = saved(different.join(pivots, "component").select("component", "node", "found", "pivot", "p_node", "p_found")
-                     .mapInArrow(measure, "component long, node long, pivot int, p_node long, both long, union long"))
+    measured = saved(wide.join(sets.select("node", "found"), "node").join(pivots, "point")
+                     .select("point", "node", "n", "pivot", "p_node", "found", "p_found")
+                     .mapInArrow(measure, "point long, node long, n long, pivot int, p_node long, both long, union long"))
     direct = (measured.filter((F.col("both") * threshold.den >= F.col("union") * threshold.num) & (F.col("node") != F.col("p_node")))
               .select(F.col("node").alias("a"), F.col("p_node").alias("b")))
-    distance = measured.withColumn("d", 1 - F.col("both") / F.col("union"))
-    near = distance.groupBy("node").agg(F.min("d").alias("nearest"))
-    cells = (distance.join(near, "node").filter(F.col("d") <= F.col("nearest") + 2 * eps + 1e-9)
-             .select("component", "node", "pivot"))
-    cells = saved(cells)
-    sizes = (cells.join(different.select("node", "n"), "node").groupBy("component", "pivot")
-             .agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"))
-             .withColumn("blocks", F.ceil(F.greatest(F.col("rows") / (REGION / 2), F.col("total") / (REGION_SHINGLES / 2), F.lit(1))).cast("int")))
-    # a region that is still too large: every pair of its blocks is a region
-    sizes = saved(sizes.select("component", "pivot", F.when((F.col("rows") <= REGION) & (F.col("total") <= REGION_SHINGLES), 1)
-                               .otherwise(F.col("blocks")).alias("blocks")))
-    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
-    placed = (cells.join(sizes, ["component", "pivot"]).withColumn("own", own)
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .withColumn("block", F.xxhash64("pivot", F.least("own", "other"), F.greatest("own", "other"))))
-    regions = (placed.select("component", "block", "node").join(different.select("node", "n", "found"), "node")
-               .select(F.col("component").alias("region"), "block", "node", "n", "found"))
-    return regions, direct
+    distance = measured.select("point", "node", "n", "pivot", (1 - F.col("both") / F.col("union")).alias("d"))
+    near = distance.groupBy("point", "node").agg(F.min("d").alias("nearest"))
+    cells = saved(distance.join(near, ["point", "node"]).filter(F.col("d") <= F.col("nearest") + 2 * threshold.eps + 1e-9)
+                  .select("point", F.col("pivot").alias("cell"), "node", "n"))
+    spread = saved(cells.groupBy("point").agg(F.count(F.lit(1)).alias("copies"), F.count_distinct("node").alias("rows"))
+                   .filter(F.col("copies") <= COPIES * F.col("rows")).select("point"))
+    apart = cells.join(spread, "point")
+    alike = wide.join(spread, "point", "left_anti").select("point", F.lit(0).alias("cell"), "node", "n")
+    return saved(apart.unionByName(alike)), direct
 
 
 def _xxhash64(value: int) -> int:
