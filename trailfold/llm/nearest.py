@@ -133,7 +133,10 @@ def grow(sample: np.ndarray, ids: np.ndarray, total: int, longest2: float, k: in
             plane = y[a] - y[b]
             plane /= max(float(np.linalg.norm(plane)), 1e-12)
             along = y[own] @ plane
-            forest.planes[t, node], forest.cuts[t, node] = plane, np.median(along) if len(own) else 0.0
+            half = len(own) // 2
+            # between the two in the middle, so that no sampled point lies on the split
+            middle = np.partition(along, [max(half - 1, 0), half])[max(half - 1, 0):half + 1] if len(own) else np.zeros(1)
+            forest.planes[t, node], forest.cuts[t, node] = plane, middle.mean()
             held += [own[along <= forest.cuts[t, node]], own[along > forest.cuts[t, node]]]
         forest.share[t] = [len(h) / len(sample) for h in held[nodes:]]
     forest.filed = forest.leaves(sample) + np.arange(trees) * (1 << depth)
