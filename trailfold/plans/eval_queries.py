@@ -170,6 +170,15 @@ def _comparison_table(i: Inputs):
     return compare.comparison_table(_models(i), scopes)
 
 
+@register("matched_metrics", O.q(
+    f"SELECT split_part(grp, '/', 2) AS model, {M_COLS} FROM met WHERE grp LIKE 'all/%'",
+    _MATCHED, _LONG, O.metrics_sql("cmp", True, undefined="zero")[0]))
+def _matched_metrics(i: Inputs):
+    """All models on the rows that all answered."""
+    table = compare.comparison_table(_models(i), {"all": i.model("rf").select("experiment")})
+    return table.select("model", *metrics.METRIC_COLUMNS)
+
+
 @register("disagreement", O.q("""
 SELECT count(*) AS n,
   count_if(prediction_rf = label AND prediction_ra = label) AS both_correct,
