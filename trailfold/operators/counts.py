@@ -70,11 +70,22 @@ def shard_profile(trace: DataFrame) -> DataFrame:
         F.count_distinct("experiment").alias("experiments"),
         F.count_distinct("parent_guid", "experiment").alias("distinct_parents"),
         F.count_distinct("child_guid", "experiment").alias("distinct_children"),
+        F.count_distinct("parent_name").alias("distinct_parent_names"),
+        F.count_distinct("child_name").alias("distinct_child_names"),
         F.min("timestamp").alias("first_ts"),
         F.max("timestamp").alias("last_ts"),
     )
 
 
+def experiment_profile(trace: DataFrame) -> DataFrame:
+    """AG-24 per experiment: events, and how many different rules, processes and names."""
+    return trace.groupBy("shard_id", "experiment").agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("RuleName").alias("rules"),
+        F.count_distinct("parent_guid").alias("parents"), F.count_distinct("child_guid").alias("children"),
+        F.count_distinct("child_name").alias("child_names"),
+        F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"))
+
+
 def shard_rule_profile(trace: DataFrame) -> DataFrame:
     """AG-24 value counts: ``shard_id, rule, n``."""
     return trace.groupBy("shard_id", F.col("RuleName").alias("rule")).agg(F.count(F.lit(1)).alias("n"))

@@ -22,7 +22,7 @@ from trailfold.session import materialize
 
 # --- fixed values: forest configuration of the baseline ---
 RF_TREES, RF_SEED, RF_MAX_DEPTH = 200, 1, 30   # unlimited depth in the reference; MLlib caps at 30
-GBT_ITER, GBT_STEP, GBT_MIN_LEAF, GBT_SEED = 300, 0.08, 20, 42
+GBT_ITER, GBT_STEP, GBT_MIN_LEAF, GBT_SEED, GBT_MAX_DEPTH = 300, 0.08, 20, 42, 6
 CV_FOLDS = 10
 # --- end fixed values ---
 
@@ -51,7 +51,7 @@ def boosted(features: list[str], iters: int = GBT_ITER, step: float = GBT_STEP,
         VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"),
         label_indexer(),
         GBTClassifier(featuresCol="features", labelCol="y", maxIter=iters, stepSize=step,
-                      minInstancesPerNode=min_leaf, seed=seed),
+                      minInstancesPerNode=min_leaf, seed=seed, maxDepth=GBT_MAX_DEPTH),
     ])
 
 
@@ -75,6 +75,24 @@ def predictions(model, df: DataFrame, keep: list[str], rule: str = "argmax") ->
     return out.select(*keep, pred.alias("prediction"), p.alias("malware_probability"))
 
 
+def prediction_check(pred: DataFrame, by: list[str], rule: str = "argmax") -> DataFrame:
+    """What any right set of predictions shows, per group: ``by…, n, benign, malicious, again, outside, against``.
+
+    Rows and their true classes, rows beyond the first of an experiment,
+    probabilities that are missing or outside 0..1, and decisions that do not
+    follow the rule (``argmax``: malicious above one half; ``threshold``: from
+    one half on).
+    """
+    p = F.col("malware_probability")
+    says = F.when(p >= 0.5 if rule == "threshold" else p > 0.5, "malicious").otherwise("benign")
+    return pred.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == "benign").alias("benign"),
+        F.count_if(F.col("label") == "malicious").alias("malicious"),
+        (F.count(F.lit(1)) - F.count_distinct("experiment")).alias("again"),
+        F.count_if(~F.coalesce(p.between(0.0, 1.0), F.lit(False))).alias("outside"),
+        F.count_if(F.col("prediction") != says).alias("against"))
+
+
 def fit_predict(train: DataFrame, test: DataFrame, pipeline: Pipeline, keep: list[str],
                 rule: str = "argmax") -> DataFrame:
     return predictions(pipeline.fit(train), test, keep, rule)

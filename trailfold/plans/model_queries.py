@@ -81,6 +81,60 @@ def _seq_lr(i: Inputs):
     return models.sequence_model(g, i.labels, ~F.col("test"))
 
 
+def _check_sql(where: str, by: str = "year") -> str:
+    return O.q(f"""SELECT {by}, count(*) AS n, count_if(label = 'benign') AS benign, count_if(label = 'malicious') AS malicious,
+       CAST(0 AS BIGINT) AS again, CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS against
+FROM labels_l WHERE {where} GROUP BY {by}""")
+
+
+# every labelled experiment has events, so the rows to be scored follow from the labels alone
+@register("rf_predict_check", _check_sql("test"))
+def _rf_check(i: Inputs):
+    """ML-01/03: each test experiment is scored once, within range, by the argmax rule."""
+    return models.prediction_check(materialize(_rf_predict(i)), ["year"])
+
+
+@register("oof_predict_check", _check_sql("NOT test"))
+def _oof_check(i: Inputs):
+    """ML-02: each training experiment is scored once out of fold, by the threshold rule."""
+    return models.prediction_check(materialize(_oof(i)), ["year"], "threshold")
+
+
+@register("rf_temporal_check", _check_sql("year = 2024"))
+def _temporal_check(i: Inputs):
+    """ML-04: each experiment of 2024 is scored once."""
+    return models.prediction_check(materialize(_rf_temporal(i)), ["year"])
+
+
+@register("gbt_predict_check", _check_sql("test"))
+def _gbt_check(i: Inputs):
+    """ML-05: each test experiment is scored once by the boosted trees."""
+    return models.prediction_check(materialize(_gbt(i)), ["year"])
+
+
+@register("seq_lr_predict_check", _check_sql("test", "test"))
+def _seq_lr_check(i: Inputs):
+    """ML-07: each test experiment is scored once by the sequence model."""
+    return models.prediction_check(materialize(_seq_lr(i)).withColumn("test", F.lit(True)), ["test"])
+
+
+@register("rf_metrics_check", O.q("""
+SELECT grp AS year, count(*) AS n, count_if(label = 'benign') AS benign, count_if(label = 'malicious') AS malicious
+FROM (SELECT label, unnest(['all', coalesce(CAST(year AS VARCHAR), 'unknown')]) AS grp FROM labels_l WHERE test) GROUP BY grp"""))
+def _rf_metrics_check(i: Inputs):
+    """The metric rows of the forest cover every test experiment, overall and per year."""
+    return _rf_metrics(i).select("year", "n", "benign", "malicious")
+
+
+@register("ablation_check", O.q("""
+SELECT v.variant, count(*) AS n, count_if(label = 'benign') AS benign, count_if(label = 'malicious') AS malicious
+FROM labels_l, (SELECT unnest(['baseline', """ + ", ".join(f"'+{d}'" for d in features.DOMAIN_COLUMNS) + """, 'full']) AS variant) v
+WHERE test GROUP BY v.variant"""))
+def _ablation_check(i: Inputs):
+    """ML-06: every variant scores every test experiment."""
+    return _ablation(i).select("variant", "n", "benign", "malicious")
+
+
 def _joined_models(i: Inputs) -> DataFrame:
     rf = i.model("rf").select("experiment", F.col("malware_probability").alias("p_rf"))
     zs = i.model("zs").select("experiment", F.col("malware_probability").alias("p_zs"))
@@ -118,6 +172,16 @@ def _blend_stacked(i: Inputs):
     return cascade.stack_out_of_fold(j, ["p_rf", "p_zs", "p_ra"], 10, ["experiment", "label", "fold"], missing=0.5)
 
 
+@register("blend_stacked_check", O.q("""
+SELECT label, count(*) AS n, CAST(0 AS BIGINT) AS again, CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS against
+FROM rf WHERE experiment IN (SELECT experiment FROM j) GROUP BY label""", _J))
+def _blend_stacked_check(i: Inputs):
+    """ML-09: every row that has the three models' scores is stacked once, out of fold."""
+    p = materialize(_blend_stacked(i)).withColumnRenamed("p_stack", "malware_probability").withColumn(
+        "prediction", models.threshold_decision(F.col("malware_probability")))
+    return models.prediction_check(p, ["label"], "threshold").select("label", "n", "again", "outside", "against")
+
+
 @register("cascade_route", O.q("""
 SELECT experiment, p_rf AS p_fast, round(pe, 9) AS p_ens,
   CASE WHEN p_rf < CAST(0.05 AS DOUBLE) OR p_rf > CAST(0.95 AS DOUBLE) THEN 1

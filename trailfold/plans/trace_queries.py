@@ -39,12 +39,23 @@ def _trace_scan(i: Inputs):
 SELECT shard_id, count(*) AS events, count(DISTINCT experiment) AS experiments,
        count(DISTINCT (parent_guid, experiment)) FILTER (WHERE parent_guid IS NOT NULL) AS distinct_parents,
        count(DISTINCT (child_guid, experiment)) FILTER (WHERE child_guid IS NOT NULL) AS distinct_children,
+       count(DISTINCT parent_name) AS distinct_parent_names, count(DISTINCT child_name) AS distinct_child_names,
        min("timestamp") AS first_ts, max("timestamp") AS last_ts
 FROM trace GROUP BY shard_id"""))
 def _shard_profile(i: Inputs):
     return counts.shard_profile(i.trace)
 
 
+@register("experiment_profile", O.q("""
+SELECT shard_id, experiment, count(*) AS events, count(DISTINCT RuleName) AS rules,
+       count(DISTINCT parent_guid) AS parents, count(DISTINCT child_guid) AS children,
+       count(DISTINCT child_name) AS child_names, min("timestamp") AS first_ts, max("timestamp") AS last_ts
+FROM trace GROUP BY shard_id, experiment"""))
+def _experiment_profile(i: Inputs):
+    """AG-24 per experiment."""
+    return counts.experiment_profile(i.trace)
+
+
 @register("shard_span_check", O.q("""
 SELECT 'shard_span' AS "check", count_if(shards > 1) AS n_violations
 FROM (SELECT experiment, count(DISTINCT shard_id) AS shards FROM trace GROUP BY experiment)"""))
