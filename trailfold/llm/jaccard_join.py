@@ -78,8 +78,20 @@ class Threshold:
         high = self.most(n + self.den * n // self.num)
         if not high:
             return []
-        first, last = np.searchsorted(self.grid, [max(1, low) + 1, high + 1])
-        return [(int(m), min(high, int(m) - 1)) for m in self.grid[first:last + 1]]
+        first, last = np.searchsorted(self.grid, [self.needed(max(1, low)), self.needed(high)])
+        out = []
+        for m in self.grid[first:last + 1].tolist():
+            # the most differences of a pair that meets on m parts
+            most = min(high, m * 6 // 7)
+            while self.needed(most) > m:
+                most -= 1
+            out.append((m, most))
+        return out
+
+    @staticmethod
+    def needed(differences: int) -> int:
+        """Parts for that many differences: more than one is left over, so that parts empty by chance need no key."""
+        return differences + 3 + differences // 6
 
 
 def set_id(found: np.ndarray) -> int:
@@ -109,14 +121,14 @@ def projections(found: np.ndarray, threshold: Threshold) -> np.ndarray:
 
 
 def sketch(found: np.ndarray) -> bytes:
-    """Counts of a set's hashes in equal ranges, 4 to 8 on average (255 stands for more)."""
+    """Counts of a set's hashes in equal ranges, 4 to 8 on average, in small sets 1 to 2 (255 stands for more)."""
     bits = _bits(len(found))
     place = (found >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(found), np.int64)
     return np.minimum(np.bincount(place, minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
 def _bits(n: int) -> int:
-    return max(0, (max(1, n) // 4).bit_length() - 1)
+    return max(0, (max(1, n) // (1 if n <= 128 else 4)).bit_length() - 1)
 
 
 def may_link(sizes: list[int], raws: list[bytes], threshold: Threshold) -> list[tuple[int, int]]:

@@ -58,7 +58,7 @@ def text_view(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     spread = np.sqrt(bags)
     out[:, :BUCKETS] = spread / np.maximum(np.sqrt((spread ** 2).sum(axis=1, keepdims=True)), 1)
     out[:, BUCKETS:BUCKETS + 8] = kinds / np.maximum(size, 1)[:, None]
-    different = np.unique(np.stack([text.astype(np.uint64), hashed]), axis=1)[0].astype(np.int64)
+    different = text[np.unique(W.mix(hashed + text.astype(np.uint64)), return_index=True)[1]]
     style = out[:, BUCKETS + 8:]
     style[:, 0] = np.log1p(words) / 10
     style[:, 1] = np.bincount(different, minlength=n) / np.maximum(words, 1)
@@ -81,8 +81,8 @@ def _repeated_lines(data: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray
     if not len(starts):
         return np.zeros(n)
     text = np.searchsorted(offsets, starts, side="right") - 1
-    pairs = np.stack([text.astype(np.uint64), W.hashes(data, starts, ends)])
-    different = np.bincount(np.unique(pairs, axis=1)[0].astype(np.int64), minlength=n)
+    pairs = W.mix(W.hashes(data, starts, ends) + text.astype(np.uint64))
+    different = np.bincount(text[np.unique(pairs, return_index=True)[1]], minlength=n)
     lines = np.bincount(text, minlength=n)
     return (lines - different) / np.maximum(lines, 1)
 
