@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from trailfold.operators import features, summary
 from trailfold.plans import oracle as O
 from trailfold.plans.catalog import register
 from trailfold.plans.inputs import Inputs
+from trailfold.schemas import FEATURES
 
 
 def mx(x: str, floor: str = "1") -> str:
@@ -82,6 +85,31 @@ def _summary_text_sql() -> str:
     return O.q(select, *ctes)
 
 
+def summary_figures_sql(extra: str) -> str:
+    """``experiment_id, shard_id`` and ``extra`` columns of the summary in SQL."""
+    select, ctes = summary_text_parts()
+    return O.q(f"""SELECT r.experiment AS experiment_id, sh.shard_id, {extra}
+FROM rates r JOIN (SELECT experiment, min(shard_id) AS shard_id FROM trace GROUP BY experiment) sh ON sh.experiment = r.experiment
+JOIN tx ON tx.experiment_id = r.experiment JOIN ent ON ent.experiment = r.experiment JOIN tf ON tf.experiment = r.experiment
+LEFT JOIN depth ON depth.experiment = r.experiment LEFT JOIN fl ON fl.experiment = r.experiment
+LEFT JOIN (SELECT experiment, count(*) AS n_top FROM topp GROUP BY experiment) tn ON tn.experiment = r.experiment""",
+               *ctes, "tx AS (" + select.strip() + ")")
+
+
+@register("trace_summary_flat", summary_figures_sql("""r.total_events, r.duration_seconds, r.avg_events_per_sec, r.peak_events_per_sec,
+  ent.processes, ent.unique_files_created, ent.unique_images_loaded, ent.unique_registry_keys, ent.unique_network_connections,
+  coalesce(depth.max_tree_depth, 1) AS max_tree_depth, tf.max_branching_factor, tf.root_spawned_children, fl.flow,
+  coalesce(tn.n_top, 0) AS n_top, tx.text_repr"""))
+def _trace_summary_flat(i: Inputs):
+    """UD-01 flattened: figures, flow and text of the stored summary."""
+    s = summary.summary_store(i.trace)
+    return s.select("experiment_id", "shard_id", "total_events", "duration_seconds", "avg_events_per_sec", "peak_events_per_sec",
+                    *[F.col(f"entity_counts.{c}").alias(c) for c in summary.ENTITY_FIELDS],
+                    *[F.col(f"process_tree.{c}").alias(c) for c in summary.TREE_FIELDS if c != "total_processes"],
+                    F.array_join("event_sequence_compressed", " -> ").alias("flow"),
+                    F.size("top_processes").cast("long").alias("n_top"), "text_repr")
+
+
 @register("summary_text", _summary_text_sql())
 def _summary_text(i: Inputs):
     """PB-01: rendered summary text per experiment (from the summary store)."""
@@ -201,7 +229,21 @@ for _dom, _sql in zip("ABCDEF", (SQL_A, SQL_B, SQL_C, SQL_D, SQL_E, SQL_F)):
     register(f"features_{_dom}", _sql)(_mk())
 
 
-@register("features_all", None)
+def _features_all_sql() -> str:
+    """The domains' own SQL side by side; a column that several have is taken from the first."""
+    taken = ["experiment", *FEATURES, "total_events"]
+    parts, joins = [f"fc.{c}" for c in FEATURES], ""
+    for dom, sql in zip("ABCDEF", (SQL_A, SQL_B, SQL_C, SQL_D, SQL_E, SQL_F)):
+        new = [c for c in features.DOMAIN_COLUMNS[dom] if c not in taken]
+        taken += new
+        parts += [f"d{dom}.{c}" for c in new]
+        joins += f" JOIN ({sql}) d{dom} ON d{dom}.experiment = fc.experiment"
+    return O.q(f"""SELECT fc.experiment, {', '.join(parts)}, m.total_events
+FROM fc JOIN (SELECT experiment, count(*) AS total_events FROM trace GROUP BY experiment) m ON m.experiment = fc.experiment{joins}""",
+               O.FEATURE_COUNTS)
+
+
+@register("features_all", _features_all_sql())
 def _features_all(i: Inputs):
     """All 65 derived features + 9 counts + total events, one row per experiment."""
     return features.all_features(i.trace)

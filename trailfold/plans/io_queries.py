@@ -11,10 +11,13 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from trailfold.operators import counts, entities, splits, summary
 from trailfold.plans import oracle as O
 from trailfold.plans.catalog import register
+from trailfold.plans.feature_queries import summary_figures_sql
+from trailfold.schemas import SUMMARY_JSON
 from trailfold.plans.inputs import Inputs
 from trailfold.schemas import CACHE
 from trailfold.session import checkpoint_dir
@@ -38,7 +41,7 @@ def _labels_union(i: Inputs):
     return readers.load_labels(i.spark, os.path.join(d, "train"), os.path.join(d, "test"))
 
 
-@register("summary_scan", None)
+@register("summary_scan", summary_figures_sql("r.total_events, coalesce(depth.max_tree_depth, 1) AS max_tree_depth"))
 def _summary_scan(i: Inputs):
     """SNK-06 + SRC-05: summary store written by shard, full scan with the JSON column decoded."""
     d = _scratch(i, "store")
@@ -140,9 +143,15 @@ def _cohort_sizes(i: Inputs):
     return out
 
 
-@register("summary_jsonl", None)
+@register("summary_jsonl", summary_figures_sql(
+    "r.total_events, coalesce(depth.max_tree_depth, 1) AS max_tree_depth, coalesce(tn.n_top, 0) AS n_top, fl.flow, tx.text_repr AS text"))
 def _summary_jsonl(i: Inputs):
     """SNK-05: per-shard JSON lines of ``{experiment_id, summary, text}``, read back."""
     d = _scratch(i, "jsonl")
     sinks.write_summary_jsonl(summary.summary_record(summary.trace_summary(i.trace)), d)
-    return i.spark.read.json(d).select("shard_id", "experiment_id")
+    record = StructType([StructField("experiment_id", StringType()), StructField("summary", SUMMARY_JSON),
+                         StructField("text", StringType()), StructField("shard_id", IntegerType())])
+    back = i.spark.read.schema(record).json(d)
+    return back.select("experiment_id", "shard_id", "summary.total_events", "summary.process_tree.max_tree_depth",
+                       F.size("summary.top_processes").cast("long").alias("n_top"),
+                       F.array_join("summary.event_sequence_compressed", " -> ").alias("flow"), "text")

@@ -16,6 +16,17 @@ def _rule_map(i: Inputs):
     return counts.rule_map(i.trace)
 
 
+@register("rule_map_text", O.q("""
+SELECT experiment, string_agg(RuleName || '=' || CAST(n AS VARCHAR), ',' ORDER BY RuleName) AS rules
+FROM (SELECT experiment, RuleName, count(*) AS n FROM trace GROUP BY experiment, RuleName) GROUP BY experiment"""))
+def _rule_map_text(i: Inputs):
+    """AG-03 as text: the map's entries in the order of their keys."""
+    m = counts.rule_map(i.trace)
+    name = next(c for c, t in m.dtypes if t.startswith("map"))
+    return m.select("experiment", F.array_join(F.transform(F.array_sort(F.map_entries(name)), lambda e: F.concat(
+        e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("rules"))
+
+
 @register("rule_counts_ranked", O.q("""
 SELECT experiment, rule, n, first_seq,
        row_number() OVER (PARTITION BY experiment ORDER BY n DESC, first_seq) AS rank
