@@ -157,3 +157,13 @@ def test_rates_read_offsets_without_a_join(spark):
         plan = E.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         scans = plan.count("Relation [")
         assert scans <= (1 if name in ("prov_edges", "relative_offsets") else 4), (name, scans)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
+def test_summary_and_features_scan_the_trace_few_times(spark):
+    from trailfold.operators import features, summary
+    from trailfold.plans.inputs import Inputs
+    landed = Inputs(spark, SF).trace
+    for build, most in ((summary.trace_summary, 7), (features.all_features, 14)):
+        plan = build(landed)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") <= most

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailfold.operators.folds import by_process
+
 FAMILY_NAMES = ["unique_files_created", "unique_images_loaded", "unique_registry_keys",
                 "unique_network_connections"]
 
@@ -23,7 +25,7 @@ def families() -> dict[str, Column]:
 
 def process_set(trace: DataFrame) -> DataFrame:
     """SO-04: ``experiment, guid`` — non-null parents ∪ non-null created children."""
-    parents = trace.select("experiment", F.col("parent_guid").alias("guid"))
+    parents = by_process(trace).select("experiment", F.col("parent_guid").alias("guid"))
     children = (trace.where(F.col("RuleName") == "process_create")
                 .select("experiment", F.col("child_guid").alias("guid")))
     return parents.unionByName(children).where(F.col("guid").isNotNull()).distinct()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from trailfold.operators import counts, entities, processes, rates, sequence, tree
 from trailfold.operators.entities import process_set
-from trailfold.operators.folds import by_process
+from trailfold.operators.folds import by_experiment, by_process
 
 R = 9
 
@@ -80,7 +80,7 @@ def domain_b(trace: DataFrame) -> DataFrame:
 def domain_c(trace: DataFrame) -> DataFrame:
     ent = entities.entity_counts(trace)
     fc = counts.feature_counts(trace)
-    m = trace.groupBy("experiment").agg(F.count(F.lit(1)).alias("M"))
+    m = by_experiment(trace).select("experiment", F.col("total_events").alias("M"))
     j = ent.join(fc, "experiment").join(m, "experiment")
     uf, ui, ur, un, P = (F.col(c) for c in ("unique_files_created", "unique_images_loaded",
                                             "unique_registry_keys", "unique_network_connections", "processes"))
@@ -137,7 +137,7 @@ def domain_d(trace: DataFrame) -> DataFrame:
 
 def domain_e(trace: DataFrame) -> DataFrame:
     fc = counts.feature_counts(trace)
-    m = trace.groupBy("experiment").agg(F.count(F.lit(1)).alias("M"))
+    m = by_experiment(trace).select("experiment", F.col("total_events").alias("M"))
     d = tree.tree_depth(trace)
     j = fc.join(m, "experiment").join(d, "experiment")
     c = F.col
@@ -180,7 +180,7 @@ def domain_f(trace: DataFrame) -> DataFrame:
         *[F.count_if((a == x) & (b == y)).alias(n) for n, x, y in TRANSITIONS],
         F.count_if(a.startswith("reg_") & b.startswith("reg_")).alias("trans_reg_to_reg"))
     st = sequence.transition_stats(trace)
-    base = trace.select("experiment").distinct()
+    base = by_experiment(trace).select("experiment")
     j = base.join(named, "experiment", "left").join(st, "experiment", "left")
     cols = [n for n, _, _ in TRANSITIONS] + ["trans_reg_to_reg"]
     return j.select(
@@ -216,7 +216,7 @@ DOMAINS = {"A": domain_a, "B": domain_b, "C": domain_c, "D": domain_d, "E": doma
 def all_features(trace: DataFrame) -> DataFrame:
     """All six domains joined (65 features + the 9 counts + total_events)."""
     fc = counts.feature_counts(trace)
-    m = trace.groupBy("experiment").agg(F.count(F.lit(1)).alias("total_events"))
+    m = by_experiment(trace).select("experiment", "total_events")
     out = fc.join(m, "experiment")
     for fn in DOMAINS.values():
         d = fn(trace)

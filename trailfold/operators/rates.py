@@ -9,11 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-US = 1_000_000
-
+from trailfold.operators.folds import by_experiment
 
-def _us(df: DataFrame) -> DataFrame:
-    return df.withColumn("t_us", F.unix_micros("timestamp"))
+US = 1_000_000
 
 
 def trace_bounds(trace: DataFrame) -> DataFrame:
@@ -22,12 +20,7 @@ def trace_bounds(trace: DataFrame) -> DataFrame:
     min/max/count are partially aggregated before the shuffle, so a hot
     experiment costs one row per scan task.
     """
-    t = _us(trace)
-    b = t.groupBy("experiment").agg(
-        F.count(F.lit(1)).alias("total_events"),
-        F.min("t_us").alias("first_us"),
-        F.max("t_us").alias("last_us"),
-    )
+    b = by_experiment(trace).select("experiment", "total_events", "first_us", "last_us")
     return b.withColumn(
         "duration_seconds",
         F.greatest(F.lit(0.0), (F.col("last_us") - F.col("first_us")) / F.lit(float(US))))

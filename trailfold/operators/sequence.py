@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailfold.operators.folds import by_experiment
+
 MAX_RUNS_SHOWN = 40
 
 
@@ -84,7 +86,7 @@ def rle_runs(trace: DataFrame) -> DataFrame:
     from trailfold.functions.ranking import position_within
     starts = position_within(run_starts(trace), ["experiment"], [F.col("ingest_seq")], out="run_no")
     nxt = starts.select("experiment", (F.col("run_no") - 1).alias("run_no"), F.col("ingest_seq").alias("next_seq"))
-    total = trace.groupBy("experiment").agg(F.max("ingest_seq").alias("last_seq"))
+    total = by_experiment(trace).select("experiment", "last_seq")
     r = starts.join(nxt, ["experiment", "run_no"], "left")
     # only an experiment's last run, one row each, meets the experiment's end
     last = r.where(F.col("next_seq").isNull()).drop("next_seq").join(total.withColumn("next_seq", F.col("last_seq") + 1), "experiment")
@@ -107,7 +109,7 @@ def rle_display(trace: DataFrame, max_runs: int = MAX_RUNS_SHOWN) -> DataFrame:
     """
     starts = run_starts(trace)
     n_runs = starts.groupBy("experiment").agg(F.count(F.lit(1)).alias("n_runs"))
-    last = trace.groupBy("experiment").agg(F.max("ingest_seq").alias("last_seq"))
+    last = by_experiment(trace).select("experiment", "last_seq")
     w = Window.partitionBy("experiment").orderBy("ingest_seq")
     head = starts.withColumn("run_no", F.row_number().over(w)).where(F.col("run_no") <= max_runs + 1)
     w2 = Window.partitionBy("experiment").orderBy("run_no")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailfold.operators import counts, entities, processes, rates, sequence, tree
+from trailfold.operators.folds import by_experiment
 from trailfold.session import materialize
 
 ENTITY_FIELDS = ["processes", "unique_files_created", "unique_images_loaded", "unique_registry_keys",
@@ -43,7 +44,7 @@ def trace_summary(trace: DataFrame) -> DataFrame:
     tp = top.groupBy("experiment").agg(F.array_sort(F.collect_list(F.struct(
         "rank", "process_id", "is_root", "total_actions", "children_spawned", "action_breakdown")), by_rank)
         .alias("tp"))
-    shard = trace.groupBy("experiment").agg(F.min("shard_id").alias("shard_id"))
+    shard = by_experiment(trace).select("experiment", "shard_id")
     j = (r.join(rc, "experiment").join(ent, "experiment").join(pt, "experiment")
          .join(flow, "experiment").join(shard, "experiment").join(tp, "experiment", "left"))
     return j.select(

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailfold.operators.entities import process_counts
-from trailfold.operators.folds import by_process
+from trailfold.operators.folds import by_experiment, by_process
 from trailfold.session import checkpoint_dir, materialize
 
 CHECKPOINT_EVERY = 4
@@ -29,19 +29,8 @@ def tree_edges(trace: DataFrame) -> DataFrame:
 
 
 def root_process(trace: DataFrame) -> DataFrame:
-    """WN-04: ``experiment, root_guid`` — the last detonation's child, else the first event's parent.
-
-    ``max``/``min`` over ``struct(ingest_seq, value)`` pick the value at the
-    last/first position (nulls included) inside a partial aggregate.
-    """
-    det = F.col("RuleName") == "detonation"
-    a = trace.groupBy("experiment").agg(
-        F.max(F.when(det, F.struct(F.col("ingest_seq"), F.col("child_guid").alias("v")))).alias("last_det"),
-        F.min(F.struct(F.col("ingest_seq"), F.col("parent_guid").alias("v"))).alias("first_ev"),
-    )
-    chosen = F.col("last_det.v")
-    root = F.when(chosen.isNotNull() & (chosen != ""), chosen).otherwise(F.col("first_ev.v"))
-    return a.select("experiment", root.alias("root_guid"))
+    """WN-04: ``experiment, root_guid`` — the last detonation's child, else the first event's parent."""
+    return by_experiment(trace).select("experiment", "root_guid")
 
 
 def fanout(trace: DataFrame) -> DataFrame:
