@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailfold.llm import words as W
-from trailfold.llm.common import saved, shuffle_width, text_bytes, text_slices
+from trailfold.llm.common import rows_per_batch, saved, shuffle_width, text_bytes, text_slices
 from trailfold.llm.components import components
 
 #: A region joined in one task: documents and shingles at most.
@@ -44,6 +44,8 @@ PIVOTS, TASK_PIVOTS, DIRECT = 6, 8, 48
 #: Voronoi regions may hold so many copies of a document on average.
 COPIES = 2
 GRID = 1.5
+#: Rows with a text, and with sets, that Python gets at once.
+TEXTS_AT_ONCE, SETS_AT_ONCE = 1500, 400
 #: Sets that a task remembers to have sent already.
 SEEN = 1_000_000
 #: Bits of the filter of clustered sets, in 64-bit words.
@@ -269,7 +271,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
                  pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
                  pa.array([sketch(s) for s in sets], pa.binary())], ["id", "n", "class", "sketch"])
 
-    classed = saved(texts.mapInArrow(describe, f"id {id_kind}, n long, class long, sketch binary"))
+    with rows_per_batch(docs.sparkSession, TEXTS_AT_ONCE):
+        classed = saved(texts.mapInArrow(describe, f"id {id_kind}, n long, class long, sketch binary"))
     classes = classed.filter(F.col("class").isNotNull()).select(F.col("class").alias("node"), "n", "sketch").dropDuplicates(["node"])
     links = links_of(only_text, classes, k, threshold)
     classed = classed.drop("sketch")
@@ -397,17 +400,19 @@ def links_of(texts: DataFrame, sketches: DataFrame, k: int, threshold: Threshold
                                                   pa.array([r[2] for r in rows], pa.binary())], ["node", "n", "found"])
 
     sent = texts.mapInArrow(gather, "node long, n long, found binary")
-    sets = saved(sent.join(clusters, "node").select("component", "node", "n", "found"))
+    with rows_per_batch(texts.sparkSession, TEXTS_AT_ONCE):
+        sets = saved(sent.join(clusters, "node").select("component", "node", "n", "found"))
     sizes = saved(sets.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")))
     fits = (F.col("rows") <= REGION) & (F.col("total") <= REGION_SHINGLES)
     small = (sets.join(sizes.filter(fits).select("component"), "component")
              .select(F.col("component").alias("region"), F.lit(0).alias("block"), "node", "n", "found"))
     found = joined(small, threshold, width)
     large = sizes.filter(~fits).select("component")
-    if not large.isEmpty():
-        cut, direct = cut_large(sets.join(large, "component"), threshold)
-        found = found.unionByName(joined(cut, threshold, width)).unionByName(direct)
-    return saved(found)
+    with rows_per_batch(texts.sparkSession, SETS_AT_ONCE):
+        if not large.isEmpty():
+            cut, direct = cut_large(sets.join(large, "component"), threshold)
+            found = found.unionByName(joined(cut, threshold, width)).unionByName(direct)
+        return saved(found)
 
 
 def joined(regions: DataFrame, threshold: Threshold, width: int) -> DataFrame:
