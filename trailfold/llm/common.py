@@ -13,8 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 from trailfold.session import checkpoint_dir
 
 
+ROWS_AT_ONCE = 2000
+
+
+def few_rows(spark: SparkSession) -> None:
+    """The session hands at most ``ROWS_AT_ONCE`` rows to Python at once (a setting of fewer stays).
+
+    Texts have some KB each and some have many more: Spark's 10,000 rows are
+    tens of MB, several times over, in the JVM and in every Python worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_AT_ONCE:
+        spark.conf.set(key, str(ROWS_AT_ONCE))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, read by Spark from any path that Spark knows."""
+    few_rows(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -26,6 +41,7 @@ def saved(df: DataFrame) -> DataFrame:
     have an exchange of their own that AQE can split.
     """
     spark = df.sparkSession
+    few_rows(spark)
     path = f"{checkpoint_dir(spark).rstrip('/')}/saved-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)

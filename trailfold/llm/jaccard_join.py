@@ -104,10 +104,12 @@ def set_id(found: np.ndarray) -> int:
 
 
 def projections(found: np.ndarray, threshold: Threshold) -> np.ndarray:
-    """Keys of a sorted set's projections onto the parts of its grid values.
+    """Keys of a sorted set's projections onto the first parts of its grid values.
 
-    An empty projection is a key only where a pair could agree in nothing
-    else: where at least ``m - D`` of the set's projections are empty.
+    Of any ``needed(D)`` parts a pair that differs in ``D`` shingles at most
+    agrees in some, so the parts beyond are not used.  An empty projection is a
+    key only where a pair could agree in nothing else: where as many of the
+    used ones are empty as are left over.
     """
     keys = []
     sums = np.concatenate([[np.uint64(0)], np.cumsum(W.mix(found ^ np.uint64(0x14057B7EF767814F)))]).astype(np.uint64)
@@ -115,10 +117,12 @@ def projections(found: np.ndarray, threshold: Threshold) -> np.ndarray:
         edges = (np.arange(1, m, dtype=object) * (1 << 64) // m).astype(np.uint64) if m < 4096 else \
             (np.arange(1, m, dtype=np.uint64) * np.uint64((1 << 64) // m))
         at = np.concatenate([[0], np.searchsorted(found, edges), [len(found)]])
+        used = min(m, threshold.needed(most))
+        at = at[:used + 1]
         size = np.diff(at)
-        part = np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.full(m, m, np.uint64) * np.uint64(0x3F58476D1CE4E5B9)
+        part = np.arange(used, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.full(used, m, np.uint64) * np.uint64(0x3F58476D1CE4E5B9)
         key = W.mix(sums[at[1:]] - sums[at[:-1]] + part)
-        keys.append(key if (size == 0).sum() >= m - most else key[size > 0])
+        keys.append(key if (size == 0).sum() >= used - most else key[size > 0])
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
@@ -420,11 +424,26 @@ def joined(regions: DataFrame, threshold: Threshold, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region, nodes = None, {}
+        root: dict[int, int] = {}          # what the task's regions have joined so far
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
 
         def done() -> tuple[list[int], list[int]]:
             names = sorted(nodes)
-            pairs = join_region([nodes[x] for x in names], threshold)
-            return [names[i] for i, _ in pairs], [names[j] for _, j in pairs]
+            if len(root) > SEEN:
+                root.clear()
+            a_side, b_side = [], []
+            for i, j in join_region([nodes[x] for x in names], threshold):
+                x, y = find(names[i]), find(names[j])
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    a_side.append(names[i])
+                    b_side.append(names[j])
+            return a_side, b_side
 
         for b in batches:
             a_side, b_side = [], []
