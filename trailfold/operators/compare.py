@@ -91,8 +91,10 @@ def comparison_table(models: dict[str, DataFrame], scopes: dict[str, DataFrame],
     long = (matched_join(models).join(ids, "experiment").select("scope", "label", each.alias("m"))
             .select("scope", "label", "m.model", "m.prediction", "m.malware_probability"))
     table = binary_metrics(long, ["scope", "model"], undefined=undefined)
-    expected = ids.groupBy("scope").agg(F.count(F.lit(1)).alias("expected"))
-    return (table.join(expected, "scope")
+    # per scope and model, so that the join has a key that no single scope makes constant
+    names = F.explode(F.array(*[F.lit(m) for m in models]))
+    expected = ids.select("scope", names.alias("model")).groupBy("scope", "model").agg(F.count(F.lit(1)).alias("expected"))
+    return (table.join(expected, ["scope", "model"])
             .select("scope", "model", "expected", F.round(F.col("n") / F.col("expected"), 4).alias("coverage"), *METRIC_COLUMNS))
 
 
