@@ -78,6 +78,17 @@ def test_one_vector_in_a_third_of_all_rows(spark):
     assert [i for i, _ in got[0]] == [3 * i for i in range(1, 21)] and [i for i, _ in got[60]] == [3 * i for i in range(20)]
 
 
+@pytest.mark.parametrize("n", [20, 21, 1500])
+def test_no_true_neighbour_is_dropped_where_all_points_are_sampled(spark, n):
+    x = np.random.default_rng(6).normal(size=(n, 16)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = found(nearest.search(df, F.lit(True), 20, leaf=2048))       # one leaf: all others are candidates
+    want = brute(rows, 20, range(n))
+    assert {q: len(p) for q, p in got.items()} == dict.fromkeys(range(n), min(20, n - 1))
+    assert all([i for i, _ in got[q]] == [i for i, _ in w] for q, w in want.items())
+
+
 def test_awkward_vectors(spark):
     rows = [(0, [1.0, 0.0], "a"), (0, [1.0, 0.0], "a"), (1, [0.5, 0.5], "b"), (2, [0.0, 0.0], "c"), (3, None, "d"),
             (4, [1.0, None], "e"), (5, [float("nan"), 1.0], "f"), (6, [float("inf"), 1.0], "g"), (None, [9.0, 9.0], "h"),

@@ -221,7 +221,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                 met = np.zeros((len(q), f.share.size), bool)
                 met[row, place] = True
                 product[~reduce(np.logical_or, [met[:, leaf] for leaf in f.filed.T])] = -np.inf
-                floor = -np.partition(-product, k, axis=1)[:, k - 1] if product.shape[1] > k else np.full(len(q), -np.inf)
+                floor = -np.partition(-product, k - 1, axis=1)[:, k - 1] if product.shape[1] >= k else np.full(len(q), -np.inf)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(place.astype(np.int32)), pa.array((own[row] % parts).astype(np.int32)), pa.array(own[row]),
                      b.column("vec").take(pa.array(row)), pa.array(floor[row])], ["leaf", "part", "point", "vec", "floor"])
