@@ -330,3 +330,46 @@ def test_awkward_fingerprints(spark):
     different = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     check_fingerprints({r["doc_id"]: r for r in fingerprints.fingerprint_documents(different).collect()},
                        {r["doc_id"]: r["text"] or "" for r in different.collect()})
+
+
+def test_repeated_lines_keep_all_their_shingles(spark):
+    texts = {i: f"{chr(97 + i)} " * 300 for i in range(20)} | {20: "one two three four five six seven. " * 100, 21: " \n", 22: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(docs).collect()}
+    for i, t in texts.items():
+        words = t.split()
+        runs = {tuple(words[j:j + 5]) for j in range(len(words) - 4)}
+        scale, hashes = rows[i]["fingerprint"].split(":")
+        assert scale == "1" and len([h for h in hashes.split(",") if h]) == len(runs)
+    # of two different repeated words nothing is alike; half of the words stay in the edited text
+    assert all(rows[i]["near_next"] == rows[i]["contained_in_next"] == 0.0 for i in range(1, 20))
+    assert all(rows[i]["kept_in_edited"] == 1.0 and 0 < rows[i]["near_edited"] < 1 for i in range(1, 20))
+    assert rows[22]["near_next"] == 1.0 and rows[21]["near_next"] == 0.0
+
+
+def test_empty_sketches_are_alike_only_without_words(spark):
+    of = "named_struct('scale', {}, 'hashes', array({}))".format
+    empty = "cast(array() as array<bigint>)"
+    for scale, want in ((1, 1.0), (8, 0.0)):
+        s = F.expr(of(scale, "").replace("array()", empty))
+        r = spark.range(1).select(fingerprints.likeness(s, s), fingerprints.containment(s, s)).first()
+        assert tuple(r) == (want, want)
+    s = F.expr(of(8, "7L"))
+    assert spark.range(1).select(fingerprints.likeness(s, s)).first()[0] == 1.0
+
+
+@pytest.mark.parametrize("source", [pytest.param("sf", marks=needs_sf), "awkward"])
+def test_fingerprints_equal_brute_force_over_distinct_shingles(spark, monkeypatch, source):
+    def of_distinct(text):
+        with monkeypatch.context() as m:
+            m.setattr(fingerprints, "COMPLETE", 1 << 30)
+            found = {h % (1 << 64) for h in sketch_of_all(text)[1]}
+        if len(found) <= fingerprints.COMPLETE:
+            return 1, {h - (1 << 64) if h >> 63 else h for h in found}
+        return fingerprints.SCALE, {h for h in found if h < (1 << 64) // fingerprints.SCALE}
+
+    sketch_of_all = sketch
+    monkeypatch.setitem(globals(), "sketch", of_distinct)
+    docs = cases.texts(spark) if source == "sf" else cases.awkward(spark).filter("doc_id is not null").dropDuplicates(["doc_id"])
+    check_fingerprints({r["doc_id"]: r for r in fingerprints.fingerprint_documents(docs).collect()},
+                       {r["doc_id"]: r["text"] or "" for r in docs.collect()})

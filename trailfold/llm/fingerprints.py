@@ -3,8 +3,8 @@
 A sketch keeps every shingle hash below a fixed fraction of the hash range, so
 its size follows the text and sketches of very unequal texts stay comparable:
 the hashes of a union, or of a part, below the threshold are those that the
-sketches have.  Texts of at most ``COMPLETE`` shingles keep all their hashes
-(scale 1); two sketches are compared below the smaller threshold of both.
+sketches have.  Texts of at most ``COMPLETE`` distinct shingles keep all their
+hashes (scale 1); two sketches are compared below the smaller threshold of both.
 
 DataFrame functions only.  The next document in descending order of id is
 found by a window in buckets of ids (cut at approximate quantiles, one per
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from trailfold.llm.common import shuffle_width
 
 WORDS = 5
-#: Beyond ``COMPLETE`` shingles one hash in ``SCALE`` is kept.
+#: Beyond ``COMPLETE`` distinct shingles one hash in ``SCALE`` is kept.
 SCALE, COMPLETE = 8, 128
 SPACES = " \t\n\v\f\r"
 
@@ -50,9 +50,9 @@ def sketch(text: Column, k: int = WORDS, scale: int = SCALE, complete: int = COM
         whole = F.size(found) <= complete
         kept = F.when(whole, found).otherwise(below(found, scale))
         return F.struct(F.when(whole, 1).otherwise(scale).alias("scale"),
-                        F.sort_array(F.array_distinct(kept)).alias("hashes"))
+                        F.sort_array(kept).alias("hashes"))
 
-    return let(shingle_hashes(text, k), of)
+    return let(F.array_distinct(shingle_hashes(text, k)), of)
 
 
 def below(hashes: Column, scale: int) -> Column:
@@ -62,7 +62,7 @@ def below(hashes: Column, scale: int) -> Column:
 
 
 def likeness(a: Column, b: Column, scale: int = SCALE) -> Column:
-    """Estimated Jaccard similarity of two sketches' texts; 1 for equal sketches, also empty ones."""
+    """Estimated Jaccard similarity of two sketches' texts; 1 for equal sketches, empty ones only of texts without words."""
     return _compared(a, b, scale, lambda x, y, both: both / (F.size(x) + F.size(y) - both))
 
 
@@ -81,7 +81,9 @@ def _compared(a: Column, b: Column, scale: int, ratio: Callable[[Column, Column,
         return F.when(empty, 0.0).otherwise(ratio(pair["x"], pair["y"], both).cast("double"))
 
     pair = F.struct(at_one_scale(a, b).alias("x"), at_one_scale(b, a).alias("y"))
-    return F.when(a == b, 1.0).otherwise(let(pair, of))
+    # an empty sketch at a larger scale tells nothing about its text
+    known = (F.size(a["hashes"]) > 0) | (a["scale"] == 1)
+    return F.when((a == b) & known, 1.0).otherwise(let(pair, of))
 
 
 def written(s: Column) -> Column:
