@@ -34,12 +34,19 @@ class Rule:
 
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: A key from its BEGIN line to its END line; where there is none before the next such line, with the base64 (and the
+#: headers of an encrypted key) that follow.  Possessive, so that the length of a key is no depth of recursion in Java.
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+    r"(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    r"""|(?:(?:[\s"'+,>]|\\[rn])*+(?:[A-Za-z0-9+/]{24,}+={0,2}|(?:Proc-Type|DEK-Info):[^\r\n\\]*+|[A-Za-z0-9+/]++={1,2})"""
+    r"|\r?\n[ \t]*+[A-Za-z0-9+/]++(?![^\r\n]))*+)")
 RULES = (
     Rule("assign", ASSIGN, 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
     # a run of fewer digits is no match of either form, and a longer one is the same match
     Rule("hex", r"[0-9a-f]{24,}", 0, 24, True),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
