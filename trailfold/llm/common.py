@@ -88,8 +88,11 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 <
 
 
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column and the ``n + 1`` offsets of its rows (null: empty)."""
-    array = array.cast(pa.large_string()).fill_null("")
+    """Bytes of a string column in UTF-8, or of a binary one, and the ``n + 1`` offsets of its rows (null: empty)."""
+    if pa.types.is_binary(array.type) or pa.types.is_large_binary(array.type):
+        array = array.cast(pa.large_binary()).fill_null(b"")
+    else:
+        array = array.cast(pa.large_string()).fill_null("")
     _, offsets, data = array.buffers()
     at = np.frombuffer(offsets, np.int64)[array.offset:array.offset + len(array) + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
