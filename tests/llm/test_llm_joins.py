@@ -140,10 +140,47 @@ def test_awkward_documents(spark):
     long_size = len(shingles(cases.LONG, 3))
     assert got == [("1", 5, 1), ("1", 5, 1), ("2", 0, 2), ("3", 0, 3), ("4", 0, 4), ("5", long_size, 5),
                    ("6", 6, 6), ("7", 1, 7), ("8", 1, 8), ("None", 5, 1)]
-    kept = J.keep_one(docs, J.near_duplicates(docs))
+    kept = J.one_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "5", "6", "7", "8", "None"]
-    assert J.near_duplicates(cases.empty(spark)).count() == 0
+    # the row without an id is a copy of document 1
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "5", "6", "7", "8"]
+    assert J.near_duplicates(cases.empty(spark)).count() == J.one_of_each(cases.empty(spark)).count() == 0
+
+
+def test_one_of_each_goes_by_row_not_by_id(spark):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "red green blue white black grey")
+    rows = [(2, a), (1, a), (1, b), (3, b), (4, c), (None, c), (None, "no copy of anything at all"), (None, a), (None, "x y z"),
+            (None, "X Y Z"), (5, None), (5, None), (6, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as nth", "2 as text_key", "3 as in_group")
+    kept = J.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in kept.collect()), key=str)
+    # where one id has two texts both may stay; empty texts are in no group
+    want = [(1, a), (1, b), (4, c), (0, "no copy of anything at all"), (5, None), (5, None), (6, " ")]
+    xyz = [g for g in got if g[1] in ("x y z", "X Y Z")]
+    assert len(xyz) == 1 and sorted((g for g in got if g not in xyz), key=str) == sorted(want, key=str)
+
+
+def test_linked_sets_share_as_many_points_as_is_asked():
+    rng = np.random.default_rng(12)
+    met = 0
+    for num, den in ((8, 10), (9, 10), (5, 10)):
+        threshold = J.Threshold(num, den)
+        for n in [2, 5, 9, 14, 30, 90, 400, 3000] * 12:
+            a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+            out = rng.integers(0, threshold.most(2 * len(a)) + 1)
+            b = np.unique(np.concatenate([a[out // 2:], rng.integers(0, 1 << 64, out - out // 2, dtype=np.uint64)]))
+            if not threshold.links(len(np.intersect1d(a, b)), len(a), len(b)) or len(a) == len(np.intersect1d(a, b)) == len(b):
+                continue
+            met += 1
+            (x, need_x), (y, need_y) = J.agreements(a, threshold), J.agreements(b, threshold)
+            shared = np.intersect1d(x, y)
+            enough = False
+            for grid in set((shared & J.GRID_BITS).tolist()):
+                count = (shared & J.GRID_BITS == grid).sum()
+                enough |= count >= need_x[x & J.GRID_BITS == grid].max() and count >= need_y[y & J.GRID_BITS == grid].max()
+            assert enough, (num, n, out)
+    assert met > 100
 
 
 def test_sketches_part_no_link():

@@ -22,7 +22,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 def test_registry():
     names = list(queries.queries())
-    assert [re.match(r"op\d+_|pipeline", n)[0] for n in names] == [*[f"op{i}_" for i in range(1, 11)], "pipeline"]
+    assert [re.match(r"op\d+_|pipeline", n)[0] for n in names] == [*[f"op{i}_" for i in range(1, 14)], "pipeline"]
     assert set(queries.oracle_sql()) <= set(names) and os.path.exists(public_tokenizers.path(queries.PIECES))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "language_id", "ngram_jaccard_join", "secret_scans",
                                                       "best_fit_packing"]
@@ -42,6 +42,26 @@ def test_the_rest_stands_without_the_subpackage(tmp_path):
     assert done.stdout.split()[1] == "False" and int(done.stdout.split()[0]) > 100, done.stderr[-500:]
 
 
+def test_the_rest_stands_without_a_library_of_the_subpackage():
+    code = ("import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; "
+            "print(len(e.queries()), 'pipeline' in e.queries(), len(e.oracle_sql()))")
+    done = subprocess.run([sys.executable, "-B", "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split()[1] == "False" and int(done.stdout.split()[0]) > 100, done.stderr[-500:]
+
+
+@pytest.mark.skipif(not cases.HAVE_SF, reason="driver test data not present")
+def test_a_stage_removes_what_the_one_before_left(spark):
+    from trailfold.session import checkpoint_dir
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    docs = cases.texts(spark)
+    for _, stage in corpus_pipeline.STAGES[2:4]:
+        docs = saved(stage(spark, docs, cases.SF))
+    # what is left: both outputs and what the last stage needs
+    assert len({n for n in set(os.listdir(folder)) - before if n.startswith("saved-")}) <= 4
+    assert docs.count() > 0
+
+
 @pytest.mark.skipif(not cases.HAVE_SF, reason="driver test data not present")
 def test_stages(spark):
     """Each stage judged on its own input, by brute force where there is one."""

@@ -306,6 +306,7 @@ def sketch(text):
         for w in words[i:i + 5]:
             seed = xxhash.xxh64_intdigest(w.encode(), seed=seed)
         found.append(seed)
+    found = set(found)
     if len(found) <= fingerprints.COMPLETE:
         return 1, {h - (1 << 64) if h >> 63 else h for h in found}
     return fingerprints.SCALE, {h for h in found if h < (1 << 64) // fingerprints.SCALE}
@@ -381,20 +382,3 @@ def test_empty_sketches_are_alike_only_without_words(spark):
         assert tuple(r) == (want, want)
     s = F.expr(of(8, "7L"))
     assert spark.range(1).select(fingerprints.likeness(s, s)).first()[0] == 1.0
-
-
-@pytest.mark.parametrize("source", [pytest.param("sf", marks=needs_sf), "awkward"])
-def test_fingerprints_equal_brute_force_over_distinct_shingles(spark, monkeypatch, source):
-    def of_distinct(text):
-        with monkeypatch.context() as m:
-            m.setattr(fingerprints, "COMPLETE", 1 << 30)
-            found = {h % (1 << 64) for h in sketch_of_all(text)[1]}
-        if len(found) <= fingerprints.COMPLETE:
-            return 1, {h - (1 << 64) if h >> 63 else h for h in found}
-        return fingerprints.SCALE, {h for h in found if h < (1 << 64) // fingerprints.SCALE}
-
-    sketch_of_all = sketch
-    monkeypatch.setitem(globals(), "sketch", of_distinct)
-    docs = cases.texts(spark) if source == "sf" else cases.awkward(spark).filter("doc_id is not null").dropDuplicates(["doc_id"])
-    check_fingerprints({r["doc_id"]: r for r in fingerprints.fingerprint_documents(docs).collect()},
-                       {r["doc_id"]: r["text"] or "" for r in docs.collect()})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -33,6 +34,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_RECORDED: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that are ``saved`` inside, for ``remove`` when nothing reads them any more."""
+    paths: list[str] = []
+    _RECORDED.append(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDED.remove(paths)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete saved tables, and let Spark drop the shuffle files of plans that are gone."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    paths.clear()
+    gc.collect()
+    jvm.System.gc()
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared checkpoint folder and read back.
 
@@ -43,6 +69,8 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     few_rows(spark)
     path = f"{checkpoint_dir(spark).rstrip('/')}/saved-{uuid.uuid4().hex}"
+    for paths in _RECORDED:
+        paths.append(path)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

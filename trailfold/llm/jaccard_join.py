@@ -31,11 +31,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailfold.llm import words as W
-from trailfold.llm.common import rows_per_batch, saved, shuffle_width, text_bytes, text_slices
+from trailfold.llm.common import fresh, rows_per_batch, saved, shuffle_width, text_bytes, text_slices
 from trailfold.llm.components import components
 
 #: A region joined in one task: documents and shingles at most.
@@ -50,6 +50,8 @@ TEXTS_AT_ONCE, SETS_AT_ONCE = 1500, 400
 SEEN = 1_000_000
 #: Bits of the filter of clustered sets, in 64-bit words.
 FILTER_WORDS = 1 << 17
+#: Bits of a point that name its grid value.
+GRID_BITS = np.uint64(127)
 
 
 class Threshold:
@@ -104,14 +106,22 @@ def set_id(found: np.ndarray) -> int:
 
 
 def projections(found: np.ndarray, threshold: Threshold) -> np.ndarray:
-    """Keys of a sorted set's projections onto the first parts of its grid values.
+    """Keys of a sorted set's projections onto the first parts of its grid values."""
+    return agreements(found, threshold)[0]
+
+
+def agreements(found: np.ndarray, threshold: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a sorted set's projections, and in how many keys of its grid value the set has to agree with a partner.
 
     Of any ``needed(D)`` parts a pair that differs in ``D`` shingles at most
-    agrees in some, so the parts beyond are not used.  An empty projection is a
-    key only where a pair could agree in nothing else: where as many of the
-    used ones are empty as are left over.
+    agrees in all but ``D``, so the parts beyond are not used, and a set that
+    shares fewer of its keys than ``needed(D) - D`` with others has no partner
+    on that grid value.  An empty projection is a key only where a pair could
+    agree in nothing else: where as many of the used ones are empty as are left
+    over; elsewhere the empty ones are taken off the number.  The lowest bits
+    of a key name its grid value.
     """
-    keys = []
+    keys, least = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     sums = np.concatenate([[np.uint64(0)], np.cumsum(W.mix(found ^ np.uint64(0x14057B7EF767814F)))]).astype(np.uint64)
     for m, most in threshold.parts(len(found)):
         edges = (np.arange(1, m, dtype=object) * (1 << 64) // m).astype(np.uint64) if m < 4096 else \
@@ -122,8 +132,11 @@ def projections(found: np.ndarray, threshold: Threshold) -> np.ndarray:
         size = np.diff(at)
         part = np.arange(used, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.full(used, m, np.uint64) * np.uint64(0x3F58476D1CE4E5B9)
         key = W.mix(sums[at[1:]] - sums[at[:-1]] + part)
-        keys.append(key if (size == 0).sum() >= used - most else key[size > 0])
-    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        key = key & ~GRID_BITS | np.uint64(np.searchsorted(threshold.grid, m)) & GRID_BITS
+        empty, spare = int((size == 0).sum()), used - most
+        keys.append(key if empty >= spare else key[size > 0])
+        least.append(np.full(len(keys[-1]), max(1, spare if empty >= spare else spare - empty), np.int64))
+    return np.concatenate(keys), np.concatenate(least)
 
 
 def sketch(found: np.ndarray) -> bytes:
@@ -263,20 +276,30 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     in the result.  A null id takes part and gets its component's smallest id,
     null if there is none.  Other columns are not read; no rows give no rows.
     """
+    done = rows_with_groups(docs, k, num, den, id_col, text_col)
+    return done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+                       F.coalesce("component_id", "id").alias("component_id"), F.col("class").alias("class_id"))
+
+
+def rows_with_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row of ``docs``: id, text_key, n, class, group (of classes that are linked) and the smallest id of the group.
+
+    ``group`` is null for the empty set, ``component_id`` where the group is a single row.
+    """
     threshold = Threshold(num, den)
     id_kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    texts = docs.select(docs[id_col].alias("id"), text_key(docs[text_col]).alias("text_key"), docs[text_col].alias("text"))
     only_text = texts.select("text")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, k):
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array([len(s) for s in sets], pa.int64()),
+                [part.column("id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
-                 pa.array([sketch(s) for s in sets], pa.binary())], ["id", "n", "class", "sketch"])
+                 pa.array([sketch(s) for s in sets], pa.binary())], ["id", "text_key", "n", "class", "sketch"])
 
     with rows_per_batch(docs.sparkSession, TEXTS_AT_ONCE):
-        classed = saved(texts.mapInArrow(describe, f"id {id_kind}, n long, class long, sketch binary"))
+        classed = saved(texts.mapInArrow(describe, f"id {id_kind}, text_key long, n long, class long, sketch binary"))
     classes = classed.filter(F.col("class").isNotNull()).select(F.col("class").alias("node"), "n", "sketch").dropDuplicates(["node"])
     links = links_of(only_text, classes, k, threshold)
     classed = classed.drop("sketch")
@@ -285,14 +308,12 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
         grouped = classed.join(linked.withColumnRenamed("node", "class"), "class", "left")
     else:
         grouped = classed.withColumn("component", F.lit(None).cast("long"))
-    grouped = grouped.select("id", "n", "class", F.coalesce("component", "class").alias("group"))
+    grouped = grouped.select("id", "text_key", "n", "class", F.coalesce("component", "class").alias("group"))
     # only groups of several rows have another component than the row itself
     named = saved(grouped.filter(F.col("group").isNotNull()).groupBy("group")
                   .agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
                   .filter(F.col("rows") > 1).select("group", "component_id"))
-    done = grouped.join(named, "group", "left")
-    return done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                       F.coalesce("component_id", "id").alias("component_id"), F.col("class").alias("class_id"))
+    return grouped.join(named, "group", "left")
 
 
 def links_of(texts: DataFrame, sketches: DataFrame, k: int, threshold: Threshold) -> DataFrame | None:
@@ -305,37 +326,39 @@ def links_of(texts: DataFrame, sketches: DataFrame, k: int, threshold: Threshold
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, sets in _sets(batches, k):
-            keys, owners = [], []
+            keys, owners, needs = [], [], []
             for s in sets:
                 if not len(s) or (name := set_id(s)) in seen:
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(name)
-                found = projections(s, threshold)
+                found, least = agreements(s, threshold)
                 keys.append(found)
                 owners.append(np.full(len(found), name, np.int64))
+                needs.append(least)
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)),
-                                                  pa.array(np.concatenate(owners))], ["point", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(owners)),
+                                                  pa.array(np.concatenate(needs), pa.int32())], ["point", "node", "least"])
 
     def shared_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by point and node: the different rows of points that hold several nodes, batch by batch."""
-        held = np.zeros((2, 0), np.int64)      # the last row, if nothing is known to share its point yet
+        held = np.zeros((3, 0), np.int64)      # the last row, if nothing is known to share its point yet
         last = None
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = np.concatenate([held, np.stack([b.column("point").to_numpy(), b.column("node").to_numpy()])], axis=1)
-            point, node = rows
+            rows = np.concatenate([held, np.stack([b.column(c).to_numpy() for c in ("point", "node", "least")])], axis=1)
+            point, node, _ = rows
             same = np.concatenate([[last is not None and not held.size and last[0] == point[0]], point[1:] == point[:-1]])
             again = np.concatenate([[bool(same[0]) and last[1] == node[0]], (node[1:] == node[:-1]) & same[1:]])
             last = rows[:, -1]
             rows, same = rows[:, ~again], same[~again]
             open_end = bool(rows.shape[1]) and not same[-1]
-            held = rows[:, -1:] if open_end else np.zeros((2, 0), np.int64)
+            held = rows[:, -1:] if open_end else np.zeros((3, 0), np.int64)
             keep = same | np.concatenate([same[1:], [False]])
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0][keep]), pa.array(rows[1][keep])], ["point", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0][keep]), pa.array(rows[1][keep]), pa.array(rows[2][keep], pa.int32())],
+                                             ["point", "node", "least"])
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by point: edges between the nodes of a point that may be linked, a spanning forest of them."""
@@ -369,8 +392,13 @@ def links_of(texts: DataFrame, sketches: DataFrame, k: int, threshold: Threshold
         if edges:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges)], ["a", "b"])
 
-    keyed = texts.mapInArrow(project, "point long, node long")
-    points = keyed.repartition(width, "point").sortWithinPartitions("point", "node").mapInArrow(shared_points, "point long, node long")
+    keyed = texts.mapInArrow(project, "point long, node long, least int")
+    points = (keyed.repartition(width, "point").sortWithinPartitions("point", "node")
+              .mapInArrow(shared_points, "point long, node long, least int"))
+    # a set goes on only in points of grid values where it shares as many points as a partner would
+    own = Window.partitionBy("node", F.col("point").bitwiseAND(F.lit(int(GRID_BITS))))
+    points = (points.repartition(width, "node").withColumn("shared", F.count(F.lit(1)).over(own))
+              .filter(F.col("shared") >= F.col("least")).select("point", "node"))
     chained = (points.join(sketches, "node").select("point", "node", "n", "sketch")
                .repartition(width, "point").sortWithinPartitions("point").mapInArrow(chain, "a long, b long"))
     clusters = saved(components(chained.distinct()))
@@ -550,10 +578,29 @@ def _xxhash64(value: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id names its component in ``found``; one row for an id; all rows without an id."""
-    first = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("kept")).distinct()
-    kept = docs.join(first, docs[id_col] == first["kept"], "left_semi")
-    one = Window.partitionBy(id_col).orderBy(*[F.hash(c) for c in docs.columns])
-    return (kept.withColumn("nth row", F.row_number().over(one)).filter(F.col("nth row") == 1).drop("nth row")
-            .unionByName(docs.filter(docs[id_col].isNull())))
+def text_key(text: Column) -> Column:
+    """A hash of a text that, with its row's id, names the row."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def one_of_each(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` less all but one of each group of linked ones: that with the smallest id.
+
+    Rows are told apart by id and text: of two rows with one id and different
+    texts each stays or goes with its own group.  Ids that are null come after
+    all others, equal ids in the order of a hash of the text; of wholly
+    repeated rows one stays.  Rows without words are in no group and all stay.
+    """
+    rows = rows_with_groups(docs, k, num, den, id_col, text_col)
+    name, key, nth, group = (fresh(c, docs.columns) for c in ("row_id", "text_key", "nth", "in_group"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("first")
+    stay = saved(rows.filter(F.col("group").isNotNull()).groupBy("group").agg(first)
+                 .select(F.col("first.id").alias(name), F.col("first.text_key").alias(key), F.lit(True).alias(group)))
+    alone = rows.filter(F.col("group").isNull()).select(F.col("id").alias(name), F.col("text_key").alias(key), F.lit(False).alias(group))
+    named = docs.withColumns({name: docs[id_col], key: text_key(docs[text_col])})
+    either = stay.unionByName(alone.distinct())
+    kept = (named.join(either, named[name].eqNullSafe(either[name]) & (named[key] == either[key]))
+            .select(*[named[c] for c in named.columns], either[group]))
+    same = Window.partitionBy(name, key).orderBy(*[F.hash(c) for c in docs.columns])
+    return kept.withColumn(nth, F.row_number().over(same)).filter((F.col(nth) == 1) | ~F.col(group)).select(*docs.columns)
