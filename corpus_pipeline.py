@@ -1,21 +1,42 @@
 """The corpus pipeline: documents to packed training sequences.
 
 ``STAGES`` are applied in order, each to the rows that the one before kept,
-written as Parquet and read again: documents of poor quality and of no clear
+written as Parquet and read again (a stage
+begins by removing what the one before has saved on its way): documents of poor quality and of no clear
 language go, of near copies one stays, secrets are blanked out, and what is
 left is packed.  All stages but the last return the columns of documents.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailfold.llm import jaccard_join, language_id, packing, quality, secrets
-from trailfold.llm.common import fresh, saved, table
+from trailfold.llm.common import fresh, recorded, remove, saved, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: dict[str, list[str]] = {}
+
+
+def tidy(stage: Stage) -> Stage:
+    """``stage``, after the tables that the stage before has saved on its way are removed: its rows are written by now."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _left.pop(spark.sparkContext.applicationId, []))
+        with recorded() as paths:
+            out = stage(spark, docs, sf_dir)
+        _left[spark.sparkContext.applicationId] = paths
+        return out
+
+    return run_stage
 
 
+@tidy
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier does not reject."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -23,6 +44,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, model, out=score).filter(F.col(score) >= quality.KEEP).select(*docs.columns)
 
 
+@tidy
 def clear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters whose language is predicted clearly."""
     model = language_id.fit(docs, ~language_id.held_out(docs["doc_id"]))
@@ -32,17 +54,20 @@ def clear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
             .select(*docs.columns))
 
 
+@tidy
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group linked by a similarity of 0.8 in five-word shingles."""
-    return jaccard_join.keep_one(docs, jaccard_join.near_duplicates(docs, k=5, num=80, den=100))
+    return jaccard_join.one_of_each(docs, k=5, num=80, den=100)
 
 
+@tidy
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark and ``n_chars`` counted anew."""
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
+@tidy
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, packed into sequences of 2048 tokens."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
