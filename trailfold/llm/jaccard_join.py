@@ -592,15 +592,23 @@ def one_of_each(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_c
     all others, equal ids in the order of a hash of the text; of wholly
     repeated rows one stays.  Rows without words are in no group and all stay.
     """
-    rows = rows_with_groups(docs, k, num, den, id_col, text_col)
-    name, key, nth, group = (fresh(c, docs.columns) for c in ("row_id", "text_key", "nth", "in_group"))
+    rows = rows_with_groups(docs, k, num, den, id_col, text_col).filter(F.col("group").isNotNull())
+    name, key, nth, stays = (fresh(c, docs.columns) for c in ("row_id", "text_key", "nth", "stays"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("first")
-    stay = saved(rows.filter(F.col("group").isNotNull()).groupBy("group").agg(first)
-                 .select(F.col("first.id").alias(name), F.col("first.text_key").alias(key), F.lit(True).alias(group)))
-    alone = rows.filter(F.col("group").isNull()).select(F.col("id").alias(name), F.col("text_key").alias(key), F.lit(False).alias(group))
+    groups = rows.groupBy("group").agg(first, F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("group", "first")
+    # only rows of groups are marked, few of the table: those that go, and those that stay once
+    marks = saved(rows.join(groups, "group").groupBy(F.col("id").alias(name), F.col("text_key").alias(key))
+                  .agg(F.first(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.text_key") == F.col("text_key"))).alias(stays),
+                       F.count(F.lit(1)).alias("rows")).filter(~F.col(stays) | (F.col("rows") > 1)).drop("rows"))
     named = docs.withColumns({name: docs[id_col], key: text_key(docs[text_col])})
-    either = stay.unionByName(alone.distinct())
-    kept = (named.join(either, named[name].eqNullSafe(either[name]) & (named[key] == either[key]))
-            .select(*[named[c] for c in named.columns], either[group]))
+
+    def met(side: DataFrame, how: str) -> DataFrame:
+        return named.join(side, named[name].eqNullSafe(side[name]) & (named[key] == side[key]), how)
+
+    once = marks.filter(stays)
+    others = met(marks, "left_anti").select(*docs.columns)
+    if once.isEmpty():
+        return others
     same = Window.partitionBy(name, key).orderBy(*[F.hash(c) for c in docs.columns])
-    return kept.withColumn(nth, F.row_number().over(same)).filter((F.col(nth) == 1) | ~F.col(group)).select(*docs.columns)
+    again = met(once, "left_semi").withColumn(nth, F.row_number().over(same)).filter(F.col(nth) == 1)
+    return others.unionByName(again.select(*docs.columns))
