@@ -24,7 +24,7 @@ def test_malformed_replies_rejected(spark):
 
 
 def test_valid_and_fenced_replies(spark):
-    v = _validate(spark, REPLIES[11:])
+    v = _validate(spark, REPLIES[11:13])
     assert v[0].error is None and v[0].prediction == "malicious" and v[0].malware_probability == 0.85
     assert v[0].evidence_count == 2
     assert v[1].error is None and v[1].prediction == "benign"
@@ -146,3 +146,53 @@ def test_one_call_for_each_pending_row(spark, tmp_path):
         ("a", "success"), ("b", "exception"), ("c", "success"), ("c", "success"), ("d", "missing_trace_summary")]
     assert {r.prompt_hash for r in rows if r.experiment_id in "bd"} == {""}
     assert sorted(r.experiment_id for r in cached) == ["a", "c", "c"]
+
+
+# --- fixed values: replies that the reader of Python's standard library sorts into valid and malformed ---
+GOOD = '{"prediction": "benign", "malware_probability": %s, "confidence": 0.5, "evidence": %s}'
+STRICT = [
+    GOOD % ("0.1", "[]") + ', "note": "x"', GOOD % ("0.1", "[]") + ",1", GOOD % ("0.1", "[]") + "],[1", GOOD % ("0.1", "[]") + "],1]",
+    GOOD % ("0.1", "[]") + "}", GOOD % ("0.1", "[]") + " trailing", '1, "prediction": "benign"', "[" + GOOD % ("0.1", "[]") + "]",
+    '{"prediction": "malicious", ' + (GOOD % ("0.2", "[]"))[1:], GOOD[:-1] % ("0.3", "[1]") + ', "prediction": "malicious"}',
+    GOOD % ("0.4", "[NaN, -Infinity, \"NaN\", Infinity]"), GOOD % ("NaN", "[]"), GOOD % ("Infinity", "[]"), GOOD % ("-Infinity", "[]"),
+    GOOD % ("0.1", "{NaN: 1}"), GOOD % ("0.1", "[1NaN]"), GOOD % ("0.1", "[NaN1]"), GOOD % ("0.1", "[nan]"),
+    GOOD % ("0.1", r'["a \" NaN \\", NaN, "Infinity]"]'), "NaN", GOOD % ("true", "[]"), GOOD % ('"0.25"', "[]"), GOOD % ("12345678.5", "[]"),
+    GOOD % ("-0.00001", "[]"), GOOD % ("1e22", "[]"), GOOD % ("2.5e-7", "[]"), GOOD % ("-1.5e300", "[]"), GOOD % ("123456789012345", "[]"),
+    GOOD % ("0.1", "[1,]"), GOOD % ("01", "[]"), GOOD % ("0.1", "[]") + GOOD % ("0.1", "[]"), GOOD % ("null", "[]"), "[]", "{}", '"benign"',
+]
+# --- end fixed values ---
+
+
+def _by_the_standard_library(raw):
+    """(reason up to its details, prediction, probability, evidence items) by ``json.loads`` and ``float``."""
+    try:
+        data = json.loads(raw)
+    except json.JSONDecodeError:
+        return "JSONDecodeError", None, None, 0
+    if not isinstance(data, dict):
+        return "Output is not a JSON dictionary", None, None, 0
+    if data.get("prediction") not in ("benign", "malicious"):
+        return f"Invalid prediction value: {data.get('prediction')}. Must be 'benign' or 'malicious'", None, None, 0
+    for key in ("malware_probability", "confidence"):
+        try:
+            data[key] = float(data.get(key))
+        except (TypeError, ValueError):
+            return f"Invalid {key}: {data.get(key)}", None, None, 0
+        if not 0 <= data[key] <= 1:
+            return f"{key} {data[key]} out of bounds [0, 1]", None, None, 0
+    if not isinstance(data.get("evidence"), list):
+        return "evidence must be a list of strings", None, None, 0
+    return None, data["prediction"], data["malware_probability"], len(data["evidence"])
+
+
+def test_replies_are_sorted_as_by_the_standard_library(spark):
+    df = spark.createDataFrame([(r,) for r in STRICT], "raw string")
+    staged = scoring.validate_frame(df, "raw", "v").collect()
+    for rows in (df.select("raw", scoring.validate_reply(F.col("raw")).alias("v")).collect(), staged):
+        got = {r.raw: (r.v.error, r.v.prediction, r.v.malware_probability, r.v.evidence_count) for r in rows}
+        for raw in STRICT:
+            assert got[raw] == _by_the_standard_library(raw), raw
+    # a long reply of many strings and literals is no depth of recursion
+    long = GOOD % ("0.5", "[" + ", ".join(['"NaN \\" Infinity"', "NaN", "-Infinity"] * 20_000) + "]")
+    v = spark.createDataFrame([(long,)], "raw string").select(scoring.validate_reply(F.col("raw")).alias("v")).first().v
+    assert v.error is None and v.evidence_count == 60_000

@@ -26,6 +26,9 @@ from trailfold.functions.prompts import RETRIEVAL_USER, SYSTEM_PROMPT, ZERO_SHOT
 from trailfold.session import checkpoint_dir, materialize
 
 OK_STATUS = ("success", "cached")
+# --- fixed values: number literals beyond JSON, and strings that read as them ---
+LITERALS = [("-Infinity", "-inf"), ("Infinity", "inf"), ("NaN", "nan")]
+# --- end fixed values ---
 FENCE = r"(?s)```(?:json)?\s*(.*?)\s*```"
 # white space as in Unicode, and the four separators U+001C..U+001F
 STRIPPED = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
@@ -156,9 +159,41 @@ def validate_reply(raw: Column) -> Column:
     return _validated(raw, t0, text, _parsed(text))
 
 
+def _seal(text: Column) -> Column:
+    """What no reply can hold: the hash of its own text."""
+    return F.sha2(text, 256)
+
+
 def _parsed(text: Column) -> Column:
-    """The reply inside an object of two keys: text after the reply's own value breaks it or hides the second."""
-    return F.try_parse_json(F.concat(F.lit('{"reply":'), text, F.lit(',"end of reply":1}')))
+    """The reply as the first of two elements, its seal the second: one whole JSON text, or it is something else.
+
+    Whatever follows the reply's own value breaks the array, ends it early or
+    adds an element.  A repeated key keeps its last value (a session setting).
+    ``NaN`` and the infinities, which strict JSON lacks and a lenient reader
+    takes, become the strings that read as those numbers.
+    """
+    return F.try_parse_json(F.concat(F.lit("["), _literals(text), F.lit(',"'), _seal(text), F.lit('"]')))
+
+
+def _literals(text: Column) -> Column:
+    out = text
+    for literal, string in LITERALS:
+        # from the last match on: whole strings and anything that does not begin the literal; a key it cannot be
+        head, tail = literal[0], literal[1:]
+        outside = rf"""(?:[^"{head}]++|"(?:[^"\\]++|\\.)*+"|{head}(?!{tail}))*+"""
+        out = F.regexp_replace(out, rf"(?s)\G({outside}){literal}(?!\s*:)", f'$1"{string}"')
+    return F.when(text.contains("NaN") | text.contains("Infinity"), out).otherwise(text)
+
+
+def python_float(x: Column) -> Column:
+    """A double written as Python's ``str`` writes it."""
+    text = x.cast("string")
+    plain = F.regexp_replace(F.regexp_replace(x.cast("decimal(38,20)").cast("string"), "0+$", ""), r"\.$", ".0")
+    power = F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), r"E(\d)", "e+$1")
+    power = F.regexp_replace(F.regexp_replace(power, "E-", "e-"), r"e([+-])(\d)$", "e$10$2")
+    size = F.abs(x)
+    return (F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+            .when(size == 0, text).when((size >= 1e16) | (size < 1e-4), power).otherwise(plain))
 
 
 def strip(text: Column) -> Column:
@@ -184,8 +219,9 @@ def validate_frame(df: DataFrame, raw: str, out: str = "_v") -> DataFrame:
 
 
 def _validated(raw: Column, t0: Column, text: Column, parsed: Column) -> Column:
-    whole = F.coalesce(F.try_variant_get(parsed, "$['end of reply']", "int") == 1, F.lit(False))
-    v = F.try_variant_get(parsed, "$.reply", "variant")
+    whole = F.coalesce((F.size(F.try_variant_get(parsed, "$", "array<variant>")) == 2)
+                       & (F.try_variant_get(parsed, "$[1]", "string") == _seal(text)), F.lit(False))
+    v = F.try_variant_get(parsed, "$[0]", "variant")
     is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     pred = F.try_variant_get(v, "$.prediction", "string")
     prob_s = F.try_variant_get(v, "$.malware_probability", "string")
@@ -195,9 +231,6 @@ def _validated(raw: Column, t0: Column, text: Column, parsed: Column) -> Column:
     ev = F.try_variant_get(v, "$.evidence", "variant")
     ev_is_list = F.coalesce(F.schema_of_variant(ev).startswith("ARRAY"), F.lit(False))
 
-    def num_txt(x: Column) -> Column:
-        return x.cast("string")
-
     err = (F.when(raw.isNull() | (t0 == ""), F.lit("Empty response"))
            .when(~whole, F.lit("JSONDecodeError"))
            .when(~is_obj, F.lit("Output is not a JSON dictionary"))
@@ -206,10 +239,10 @@ def _validated(raw: Column, t0: Column, text: Column, parsed: Column) -> Column:
                           F.lit(". Must be 'benign' or 'malicious'")))
            .when(prob.isNull(), F.concat(F.lit("Invalid malware_probability: "), F.coalesce(prob_s, F.lit("None"))))
            .when(~((prob >= 0.0) & (prob <= 1.0)),
-                 F.concat(F.lit("malware_probability "), num_txt(prob), F.lit(" out of bounds [0, 1]")))
+                 F.concat(F.lit("malware_probability "), python_float(prob), F.lit(" out of bounds [0, 1]")))
            .when(conf.isNull(), F.concat(F.lit("Invalid confidence: "), F.coalesce(conf_s, F.lit("None"))))
            .when(~((conf >= 0.0) & (conf <= 1.0)),
-                 F.concat(F.lit("confidence "), num_txt(conf), F.lit(" out of bounds [0, 1]")))
+                 F.concat(F.lit("confidence "), python_float(conf), F.lit(" out of bounds [0, 1]")))
            .when(~ev_is_list, F.lit("evidence must be a list of strings")))
     ok = err.isNull()
     ev_n = F.coalesce(F.size(F.try_variant_get(v, "$.evidence", "array<variant>")), F.lit(0))

@@ -1,8 +1,8 @@
 """Process trees: edges, root selection, fan-out, depth (two variants).
 
-Depth is computed for all experiments at once by a level-synchronous
-frontier expansion (cycle-safe through anti-joins on the visited nodes).  The
-loop length is the depth of the deepest tree, not the number of experiments.
+Depth is computed for all experiments at once: by pointer doubling where every
+child has one parent (rounds grow with the logarithm of the depth), else by a
+level-synchronous search (cycle-safe through anti-joins on the visited nodes).
 Lineage is cut with reliable ``checkpoint()`` into the session's checkpoint
 folder.
 """
@@ -59,24 +59,85 @@ _DEPTHS: "weakref.WeakKeyDictionary[DataFrame, DataFrame]" = weakref.WeakKeyDict
 def node_depths(trace: DataFrame) -> DataFrame:
     """TR-02: ``experiment, node, depth`` — BFS hop count from the root + 1, cycle-safe.
 
-    Level-synchronous BFS over all experiments at once.  The nodes of a level
-    are written once and never touched again: the next level is the frontier
-    joined with the edge list, without the nodes of earlier levels.  A level
-    costs one job and shuffles the frontier; the edges and the visited nodes
-    are read from written tables, hash-partitioned on ``(experiment, node)``.
-    An empty frontier ends the loop, so cycles end it too.  Results are
-    memoised per trace DataFrame (several operators need them).
+    Memoised per trace DataFrame (several operators need them); the work is done by ``depths``.
     """
     hit = _DEPTHS.get(trace)
     if hit is not None:
         return hit
     checkpoint_dir(trace.sparkSession)
+    edges = materialize(_child_edges(trace))
+    roots = materialize(root_process(trace).select("experiment", F.col("root_guid").alias("node")))
+    _DEPTHS[trace] = state = depths(edges, roots)
+    return state
+
+
+def _child_edges(trace: DataFrame) -> DataFrame:
+    return (tree_edges(trace).select("experiment", F.col("parent_guid").alias("node"), F.col("child_guid").alias("child"))
+            .repartition("experiment", "node").distinct())
+
+
+def no_trees(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Experiments in which a child has several parents or the root has one."""
+    parents = edges.groupBy("experiment", "child").agg(F.count(F.lit(1)).alias("parents"))
+    return (parents.where(F.col("parents") > 1).select("experiment")
+            .unionByName(edges.select("experiment", F.col("child").alias("node")).join(roots, ["experiment", "node"]).select("experiment"))
+            .distinct())
+
+
+def depths(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """``experiment, node, depth`` from distinct ``edges`` (experiment, node, child) and ``roots`` (experiment, node).
+
+    Where every child has one parent a node's depth is the length of its way
+    up, found by pointer doubling: a depth of d takes about log2(d) rounds.
+    Other experiments are searched level by level.
+    """
+    odd = materialize(no_trees(edges, roots))
+    found = [_depths_by_doubling(edges.join(odd, "experiment", "left_anti"), roots.join(odd, "experiment", "left_anti"))]
+    if not odd.isEmpty():
+        found.append(_depths_by_level(materialize(edges.join(odd, "experiment", "left_semi")), roots.join(odd, "experiment", "left_semi")))
+    return _together(found)
+
+
+def _depths_by_doubling(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Depths where every child has one parent and no root has one.
+
+    Each node points to an ancestor some hops up; in a round a pointer takes
+    over the pointer of where it ends, which doubles its length.  Pointers that
+    end at a node without a parent are done and leave the rounds.  Nodes on a
+    cycle never end: after as many rounds as the longest way can need, what is
+    left is reached by no root.
+    """
+    key = ["experiment", "anc"]
+    active = materialize(edges.select("experiment", F.col("child").alias("node"), F.col("node").alias("anc"),
+                                      F.lit(1).cast("long").alias("hops")))
+    done = []
+    for _ in range(active.count().bit_length() + 1):
+        all_of_them = _together([active, *done])
+        on = all_of_them.select("experiment", F.col("node").alias("anc"), F.col("anc").alias("next"), F.col("hops").alias("more"))
+        step = materialize(active.join(on, key, "left")
+                           .select("experiment", "node", F.coalesce("next", "anc").alias("anc"),
+                                   (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("next").isNull().alias("ends")))
+        done.append(step.where("ends").drop("ends"))
+        active = step.where("not ends").drop("ends")
+        if active.isEmpty():
+            break
+    tops = roots.withColumnRenamed("node", "anc")
+    below = _together(done).join(tops, key) if done else None
+    first = roots.select("experiment", "node", F.lit(1).alias("depth"))
+    if below is None:
+        return first
+    return first.unionByName(below.select("experiment", "node", (F.col("hops") + 1).cast("int").alias("depth")))
+
+
+def _depths_by_level(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Depths by a level-synchronous search of all experiments at once, which ends at cycles.
+
+    The nodes of a level are written once and never touched again: the next
+    level is the frontier joined with the edges, without the nodes of earlier
+    levels.  A level costs one job and shuffles the frontier.
+    """
     key = ["experiment", "node"]
-    edges = materialize(tree_edges(trace).select("experiment", F.col("parent_guid").alias("node"),
-                                                  F.col("child_guid").alias("child"))
-                        .repartition(*key).distinct())
-    frontier = materialize(root_process(trace)
-                           .select("experiment", F.col("root_guid").alias("node"), F.lit(1).alias("depth")))
+    frontier = materialize(roots.select("experiment", "node", F.lit(1).alias("depth")))
     visited, recent, level = frontier, [], 1
     while True:
         found = (frontier.where(F.col("node").isNotNull()).join(edges, key)
@@ -91,8 +152,7 @@ def node_depths(trace: DataFrame) -> DataFrame:
         if len(recent) == CHECKPOINT_EVERY:
             # a few levels are put into one table, so that a level has a bounded number of joins
             visited, recent = _together([visited, *recent]), []
-    _DEPTHS[trace] = state = _together([visited, *recent])
-    return state
+    return _together([visited, *recent])
 
 
 def _together(levels: list[DataFrame]) -> DataFrame:
@@ -116,14 +176,9 @@ def tree_depth_dfs(trace: DataFrame) -> DataFrame:
     revisits); that can be exponential, as the search it stands for is.
     """
     checkpoint_dir(trace.sparkSession)
-    edges = materialize(tree_edges(trace).select("experiment", F.col("parent_guid").alias("node"),
-                                                 F.col("child_guid").alias("child")).distinct())
+    edges = materialize(_child_edges(trace))
     roots = root_process(trace).select("experiment", F.col("root_guid").alias("node"))
-    parents = edges.groupBy("experiment", "child").agg(F.count(F.lit(1)).alias("parents"))
-    odd = (parents.where(F.col("parents") > 1).select("experiment")
-           .unionByName(edges.select("experiment", F.col("child").alias("node")).join(roots, ["experiment", "node"]).select("experiment"))
-           .distinct())
-    odd = materialize(odd)
+    odd = materialize(no_trees(edges, roots))
     plain = (node_depths(trace).join(odd, "experiment", "left_anti")
              .groupBy("experiment").agg(F.max("depth").alias("d")))
     edges = materialize(edges.join(odd, "experiment", "left_semi"))

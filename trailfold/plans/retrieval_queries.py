@@ -198,7 +198,7 @@ def _mock_scores(i: Inputs):
     s = _summaries(i)
     p = scoring.build_prompts(i.labels, s, "zero_shot", "mock")
     m = scoring.mock_scores(p.where("has_summary"))
-    v = scoring.validate_reply(F.col("content"))
+    m, v = scoring.validate_frame(m, "content", "v"), F.col("v")
     return m.select("experiment_id", v["prediction"].alias("prediction"),
                     F.round(v["malware_probability"], 2).cast("decimal(3,2)").cast("double")
                     .alias("malware_probability"))
@@ -278,8 +278,7 @@ SELECT count(*) AS n, count_if(err IS NULL) AS valid_predictions, count_if(err I
 FROM v5""", _VALIDATE_SQL))
 def _reply_failures(i: Inputs):
     """AG-17 on replies: failures counted explicitly, never as benign."""
-    v = scoring.validate_reply(F.col("raw"))
-    r = i.replies.select(v.alias("v"))
+    r = scoring.validate_frame(i.replies, "raw", "v").select("v")
     ok = F.col("v.error").isNull()
     return r.agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("valid_predictions"),
                  F.count_if(~ok).alias("failures"),

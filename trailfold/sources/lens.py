@@ -163,6 +163,9 @@ REPLIES = [
     '{"prediction": "malicious", "malware_probability": 0.85, "confidence": 0.9, '
     '"evidence": ["high process creation", "network burst"]}',
     '```json\n{"prediction": "benign", "malware_probability": 0.1, "confidence": 0.7, "evidence": ["quiet"]}\n```',
+    '{"prediction": "benign", "malware_probability": 0.1, "confidence": 0.7, "evidence": []}, "note": "x"',
+    '1, "prediction": "benign"',
+    '{"prediction": "malicious", "malware_probability": 0.7, "confidence": 0.7, "evidence": []}],1]',
 ]
 # --- end fixed values ---
 # what a model may put around its reply, and a reply whose evidence is the document's own text
@@ -172,7 +175,7 @@ QUOTED = ('{"prediction": "malicious", "malware_probability": 0.6, "confidence":
 
 
 def replies(documents: DataFrame) -> DataFrame:
-    """Replies lens: ``doc_id, raw`` — a reply by ``doc_id % 14``, the last one quoting the text, with white
+    """Replies lens: ``doc_id, raw`` — a reply by ``doc_id % 17``, the last one quoting the text, with white
     space or a fence around it by ``doc_id % 7`` and ``doc_id % 5``."""
     quoted = F.concat(F.lit(QUOTED[0]), F.to_json(F.array("text")), F.lit(QUOTED[1]))
     pick = lambda items, n: F.element_at(F.array(*items), (F.col("doc_id") % n + 1).cast("int"))

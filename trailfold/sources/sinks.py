@@ -46,12 +46,15 @@ def write_audit(df: DataFrame, path: str) -> None:
 
 
 def write_summary_jsonl(summary_records: DataFrame, path: str) -> None:
-    """SNK-05: ``{experiment_id, summary, text}`` JSON lines, one folder per shard; ``summary`` is an object."""
+    """SNK-05: ``{experiment_id, summary, text}`` JSON lines, one folder per shard; ``summary`` is an object.
+
+    Writing some shards leaves the others as they are.
+    """
     from trailfold.schemas import SUMMARY_JSON
     out = summary_records.select(
         "shard_id", "experiment_id",
         F.from_json("json_data", SUMMARY_JSON).alias("summary"), F.col("text_repr").alias("text"))
-    out.write.mode("overwrite").partitionBy("shard_id").json(path)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard_id").json(path)
 
 
 def upsert(current: DataFrame, updates: DataFrame, key: str, order_col: str) -> DataFrame:
