@@ -84,6 +84,10 @@ def test_sinks_keep_what_they_should(spark, tmp_path):
     sinks.write_summary_jsonl(rec, out)
     line = "".join(open(f).read() for f in glob.glob(f"{out}/shard_id=0/*.json"))
     assert '"summary":{"experiment_id":"e"' in line.replace(" ", "")
+    # another shard, and the first one again: each replaces its own folder only
+    sinks.write_summary_jsonl(rec.withColumn("shard_id", F.lit(1)), out)
+    sinks.write_summary_jsonl(rec.withColumn("text_repr", F.lit("new")), out)
+    assert [(r.shard_id, r.text) for r in spark.read.json(out).orderBy("shard_id").collect()] == [(0, "new"), (1, "t")]
     rows = spark.range(1200).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("k"))
     got = sorted(int(r.k) for r in sinks.sample_rows(rows, "k").collect())
     assert got == [*range(50), 500, 1000]
