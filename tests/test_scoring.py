@@ -40,6 +40,16 @@ def test_extra_cases(spark, text, ok):
     assert (_validate(spark, [text])[0].error is None) == ok
 
 
+def test_prompt_hash_of_any_text_matches_python(spark):
+    texts = ["", "plain \"quoted\" \\ back\n\r\t\b\f", "caf\u00e9", "\u65e5\u672c", "a\U0001f600b\U0010ffff", "\x00\x01\x1f\x7f\x80",
+             "\u2028\u2029\ufeff\ufffd", "\\u00e9", "\\n\n", "e\u0301 $1 \\1", "\u00e9" * 3000 + "x" * 3000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = {r.id: r.h for r in df.select("id", scoring.prompt_hash(F.lit("s\u00ff"), F.col("text")).alias("h")).collect()}
+    for i, t in enumerate(texts):
+        msgs = [{"role": "system", "content": "s\u00ff"}, {"role": "user", "content": t}]
+        assert got[i] == hashlib.sha256(json.dumps(msgs, sort_keys=True).encode()).hexdigest(), repr(t[:40])
+
+
 def test_prompt_hash_and_tokens_match_python(spark):
     user = ZERO_SHOT_USER.replace("{trace_text}", "=== Trace ===\n  - process_create: 3")
     msgs = [{"role": "system", "content": SYSTEM_PROMPT}, {"role": "user", "content": user}]

@@ -83,3 +83,24 @@ def test_hot_user_sequence_invariants(spark):
     assert all(r.R == r.M and r.N == r.S for r in j)
     peaks = {r.experiment: r.peak_sliding for r in rates.sliding_peak(t).collect()}
     assert peaks["7"] >= 1
+
+
+def test_sliding_peak_of_a_burst(spark):
+    """A third of all events in one second, ties and windows that end exactly a second later, against a search."""
+    import bisect
+    import random
+    rng = random.Random(4)
+    times = {"hot": [rng.randrange(5_000_000, 6_000_000) for _ in range(3000)] + [rng.randrange(60_000_000) for _ in range(3000)]}
+    times["edge"] = [0, 0, 999_999, 1_000_000, 1_000_000, 1_999_999, 2_000_000]
+    times["one"] = [7]
+    for e in range(5):
+        times[str(e)] = [rng.randrange(0, 4_000_000, 250_000) for _ in range(600)]
+    rows = [(e, i, t) for e, ts in times.items() for i, t in enumerate(ts)]
+    t = spark.createDataFrame(rows, "experiment string, ingest_seq long, offset_us long").select(
+        "*", *[F.lit(None).cast("string").alias(c) for c in ("RuleName", "parent_guid", "child_guid", "child_name")])
+    want = {}
+    for e, ts in times.items():
+        ts = sorted(ts)
+        want[e] = max(bisect.bisect_right(ts, x) - bisect.bisect_right(ts, x - 1_000_000) for x in ts)
+    assert want["edge"] == 3
+    assert {r.experiment: r.peak_sliding for r in rates.sliding_peak(t).collect()} == want

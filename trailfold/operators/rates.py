@@ -6,9 +6,10 @@ Time offsets are always relative to the experiment's first event
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailfold.functions.ranking import running_within
 from trailfold.operators.folds import by_experiment
 
 US = 1_000_000
@@ -63,29 +64,16 @@ def trace_rates(trace: DataFrame) -> DataFrame:
 def sliding_peak(trace: DataFrame) -> DataFrame:
     """WN-09: max events in any sliding 1 s window ``(t - 1 s, t]``.
 
-    Skew-safe form: a window ``(t-1s, t]`` touches only second ``b = floor(t)``
-    and ``b - 1`` (seconds from the experiment start).  Events of second
-    ``b - 1`` are replayed into group ``b`` shifted by +1 s as "expiry"
-    markers; one running sum per (experiment, second) gives
-
-        count(t) = own events <= t  +  (events of b-1)  -  expiries <= t.
-
-    Window partitions are (experiment, second), so a hot experiment is
-    spread over its seconds instead of landing in one task.
+    A sweep over the instants: an event counts from its time on and no longer
+    one second later, so the window of ``t`` holds the sum of all changes up
+    to ``t``.  Changes at one instant are added up before they are sorted, and
+    the running sums come from ``running_within``: neither a burst in one
+    second nor a hot experiment is one task's work.
     """
-    off = relative_offsets(trace).select("experiment", "offset_us")
-    off = off.withColumn("sec", F.floor(F.col("offset_us") / US))
-    prev_n = off.groupBy("experiment", (F.col("sec") + 1).alias("sec")).agg(F.count(F.lit(1)).alias("prev_n"))
-    own = off.select("experiment", "sec", F.col("offset_us").alias("t"), F.lit(1).alias("own"),
-                     F.lit(0).alias("exp_"))
-    expiry = off.select("experiment", (F.col("sec") + 1).alias("sec"), (F.col("offset_us") + US).alias("t"),
-                        F.lit(0).alias("own"), F.lit(1).alias("exp_"))
-    w = (Window.partitionBy("experiment", "sec").orderBy("t")
-         .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    u = own.unionByName(expiry)
-    c = (u.withColumn("own_le", F.sum("own").over(w))
-         .withColumn("exp_le", F.sum("exp_").over(w))
-         .where(F.col("own") == 1)
-         .join(prev_n, ["experiment", "sec"], "left")
-         .withColumn("cnt", F.col("own_le") + F.coalesce(F.col("prev_n"), F.lit(0)) - F.col("exp_le")))
-    return c.groupBy("experiment").agg(F.max("cnt").cast("long").alias("peak_sliding"))
+    instants = relative_offsets(trace).groupBy("experiment", F.col("offset_us").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    changes = (instants.select("experiment", F.explode(F.array(
+                   F.struct("t", F.col("n").alias("change")),
+                   F.struct((F.col("t") + US).alias("t"), (-F.col("n")).alias("change")))).alias("c"))
+               .groupBy("experiment", F.col("c.t").alias("t")).agg(F.sum("c.change").alias("change")))
+    live = running_within(changes, ["experiment"], [F.col("t")], {"live": F.col("change")})
+    return live.groupBy("experiment").agg(F.max("live").cast("long").alias("peak_sliding"))

@@ -46,16 +46,28 @@ def render_user(config: str, trace_text: Column, reference_block: Column | None
     raise ValueError(f"unknown config {config!r}")
 
 
+# --- fixed values: short escapes of JSON strings, the backslash first ---
+SHORT_ESCAPES = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")]
+# --- end fixed values ---
+
+
 def _json_str(c: Column) -> Column:
-    # JSON string literal of c (quotes + escapes) via to_json of a one-element array
-    return F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    """JSON string literal in ASCII: what is not printable ASCII as its UTF-16 units, ``\\uXXXX``.
+
+    Texts that are all ASCII, nearly all prompts, pass without being split into characters.
+    """
+    s = c
+    for char, escape in SHORT_ESCAPES:
+        s = F.replace(s, F.lit(char), F.lit(escape))
+    units = lambda ch: F.regexp_replace(F.lower(F.hex(F.encode(ch, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    by_char = F.array_join(F.transform(F.split(s, ""), lambda ch: F.when(ch.rlike("[^ -~]"), units(ch)).otherwise(ch)), "")
+    return F.concat(F.lit('"'), F.when(s.rlike("[^ -~]"), by_char).otherwise(s), F.lit('"'))
 
 
 def prompt_hash(system: Column, user: Column) -> Column:
     """PB-03/SC-05: SHA-256 of ``json.dumps(messages, sort_keys=True)``.
 
-    Matches Python's layout (``", "``/``": "`` separators, sorted keys) for
-    ASCII content; Spark's JSON writer does not ``\\u``-escape non-ASCII.
+    Python's layout (``", "``/``": "`` separators, sorted keys) and its ASCII escapes, for any text.
     """
     canon = F.concat(F.lit('[{"content": '), _json_str(system), F.lit(', "role": "system"}, {"content": '),
                      _json_str(user), F.lit(', "role": "user"}]'))

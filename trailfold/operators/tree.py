@@ -172,31 +172,20 @@ def tree_depth_dfs(trace: DataFrame) -> DataFrame:
 
     Where every child of an experiment has one parent and none is the root,
     what the root reaches is a tree, and the longest path is the BFS depth.
-    The other experiments expand every simple path (the path array blocks
-    revisits); that can be exponential, as the search it stands for is.
+    The other experiments go through ``longest_path``: paths are listed only
+    inside strongly connected components, what lies between them is walked.
     """
+    from trailfold.operators.longest_path import longest_paths
     checkpoint_dir(trace.sparkSession)
     edges = materialize(_child_edges(trace))
     roots = root_process(trace).select("experiment", F.col("root_guid").alias("node"))
     odd = materialize(no_trees(edges, roots))
-    plain = (node_depths(trace).join(odd, "experiment", "left_anti")
-             .groupBy("experiment").agg(F.max("depth").alias("d")))
-    edges = materialize(edges.join(odd, "experiment", "left_semi"))
-    paths = materialize(roots.join(odd, "experiment", "left_semi").select("experiment", "node", F.array("node").alias("path")))
-    bests = [paths.groupBy("experiment").agg(F.max(F.size("path")).alias("d"))]
-    while True:
-        paths = materialize(paths.where(F.col("node").isNotNull()).join(edges, ["experiment", "node"])
-                            .where(~F.array_contains("path", F.col("child")))
-                            .select("experiment", F.col("child").alias("node"),
-                                    F.concat("path", F.array("child")).alias("path")))
-        if paths.isEmpty():
-            break
-        # an experiment's paths of this level are longer than all before: only those that end are superseded
-        bests.append(paths.groupBy("experiment").agg(F.max(F.size("path")).alias("d")))
-        if len(bests) > CHECKPOINT_EVERY:
-            bests = [materialize(_together(bests).groupBy("experiment").agg(F.max("d").alias("d")))]
-    best = _together([plain, *bests])
-    return best.groupBy("experiment").agg(F.max("d").cast("long").alias("max_tree_depth"))
+    reached = node_depths(trace)
+    best = (reached.join(odd, "experiment", "left_anti").groupBy("experiment").agg(F.max("depth").alias("d")))
+    if not odd.isEmpty():
+        best = best.unionByName(longest_paths(edges.join(odd, "experiment", "left_semi"),
+                                              materialize(roots.join(odd, "experiment", "left_semi")), reached))
+    return best.select("experiment", F.col("d").cast("long").alias("max_tree_depth"))
 
 
 def process_tree(trace: DataFrame) -> DataFrame:

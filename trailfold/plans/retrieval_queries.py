@@ -177,6 +177,36 @@ def _repr_len_sql(x: str) -> str:
             f"THEN length({x}) - length(replace({x}, chr(39), '')) ELSE 0 END)")
 
 
+def _json_sql(x: str) -> str:
+    """The JSON string of ``x`` in ASCII, as Python writes it."""
+    for char, escape in ((92, "\\\\"), (34, '\\"'), (10, "\\n"), (13, "\\r"), (9, "\\t"), (8, "\\b"), (12, "\\f")):
+        x = f"replace({x}, chr({char}), '{escape}')"
+    return f"""'"' || array_to_string(list_transform(string_split({x}, ''), lambda c: CASE
+      WHEN c BETWEEN ' ' AND '~' THEN c WHEN unicode(c) < 65536 THEN printf('\\u%04x', unicode(c))
+      ELSE printf('\\u%04x\\u%04x', 55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024) END), '') || '"'"""
+
+
+def _text_keys_sql() -> str:
+    from trailfold.functions.prompts import SYSTEM_PROMPT, ZERO_SHOT_USER
+    ends = ", ".join(f"'{e}'" if e.isprintable() else " || ".join(f"chr({ord(c)})" for c in e) for e in lens.TEXT_ENDS)
+    user = _json_sql(f"replace({_sql_lit(ZERO_SHOT_USER)}, '{{trace_text}}', text_repr)")
+    return f"""
+SELECT experiment_id, h AS prompt_hash, experiment_id || '_zero_shot_mock_' || left(h, 16) AS cache_key FROM (
+  SELECT experiment_id, sha256('[{{"content": ' || {_json_sql(_sql_lit(SYSTEM_PROMPT))}
+         || ', "role": "system"}}, {{"content": ' || {user} || ', "role": "user"}}]') AS h
+  FROM (SELECT CAST(doc_id AS VARCHAR) AS experiment_id,
+               coalesce(text, '') || list_extract([{ends}], CAST(doc_id % {len(lens.TEXT_ENDS)} + 1 AS INTEGER)) AS text_repr
+        FROM documents))"""
+
+
+@register("prompt_keys_text", _text_keys_sql())
+def _prompt_keys_text(i: Inputs):
+    """PB-03/SC-05: prompt hash and cache key of free texts in any script, one per document."""
+    texts = lens.free_texts(i.table("documents"))
+    p = scoring.build_prompts(texts.select(F.col("experiment_id").alias("experiment")), texts, "zero_shot", "mock")
+    return p.select("experiment_id", "prompt_hash", "cache_key")
+
+
 @register("prompt_keys", _prompt_keys_sql())
 def _prompt_keys(i: Inputs):
     """PB-03: prompt hash and cache key per eval row."""

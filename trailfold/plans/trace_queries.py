@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailfold.operators import counts, entities, processes, rates, sequence, tree
+from trailfold.operators import counts, entities, longest_path, processes, rates, sequence, tree
 from trailfold.plans import oracle as O
 from trailfold.plans.catalog import register
 from trailfold.plans.inputs import Inputs
@@ -142,6 +142,18 @@ def _tree_depth_dfs(i: Inputs):
     return tree.tree_depth_dfs(i.trace)
 
 
+@register("rule_chain", O.q("""
+SELECT experiment, CAST(max(len(passed)) AS BIGINT) AS longest_chain FROM states GROUP BY experiment""",
+    O.BIGRAMS, """states(experiment, node, passed) AS (
+  SELECT experiment, RuleName, [RuleName] FROM trace WHERE ingest_seq = 1
+  UNION
+  SELECT s.experiment, g.b, list_sort(list_append(s.passed, g.b))
+  FROM states s JOIN bgc g ON s.experiment = g.experiment AND s.node = g.a
+  WHERE NOT list_contains(s.passed, g.b))"""))
+def _rule_chain(i: Inputs):
+    return longest_path.rule_chain(i.trace)
+
+
 @register("process_tree", O.q("""
 SELECT tf.experiment, CAST(coalesce(procs.processes, 0) AS BIGINT) AS total_processes,
        coalesce(depth.max_tree_depth, 1) AS max_tree_depth, tf.max_branching_factor, tf.root_spawned_children

@@ -184,6 +184,17 @@ def replies(documents: DataFrame) -> DataFrame:
         pick([F.lit(x) for x in AFTER], len(AFTER))).alias("raw"))
 
 
+# ends of free texts: accents, other scripts, beyond 16 bits, control characters, separators
+TEXT_ENDS = ["", "\u00e9", "\u65e5\u672c", "\U0001f600", "\x01\x7f", "\u2028", "\\u0041"]
+
+
+def free_texts(documents: DataFrame) -> DataFrame:
+    """Free-text lens: ``experiment_id, text_repr`` — each document's text with an end by ``doc_id % 7``."""
+    end = F.element_at(F.array(*[F.lit(e) for e in TEXT_ENDS]), (F.col("doc_id") % len(TEXT_ENDS) + 1).cast("int"))
+    return documents.select(F.col("doc_id").cast("string").alias("experiment_id"),
+                            F.concat(F.coalesce("text", F.lit("")), end).alias("text_repr"))
+
+
 def cache_rows(events: DataFrame) -> DataFrame:
     """Upsert/cache lens: every event is an appended cache write keyed by ``user_id``."""
     return events.select(
