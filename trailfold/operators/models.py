@@ -9,22 +9,30 @@ depth cap of 30, RNG).
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailfold.operators import splits
 from trailfold.schemas import FEATURES
-from trailfold.session import materialize
+from trailfold.session import checkpoint_dir, materialize
 
 # --- fixed values: forest configuration of the baseline ---
 RF_TREES, RF_SEED, RF_MAX_DEPTH = 200, 1, 30   # unlimited depth in the reference; MLlib caps at 30
 GBT_ITER, GBT_STEP, GBT_MIN_LEAF, GBT_SEED, GBT_MAX_DEPTH = 300, 0.08, 20, 42, 6
 CV_FOLDS = 10
 # --- end fixed values ---
+FITS_AT_ONCE = 8   # fits at a time: the driver holds as many growing models
+ROWS_A_TASK = 20_000   # a forest is one job a level: a task of few rows costs more to start than to run
 
 
 def label_indexer(label: str = "label") -> StringIndexer:
@@ -98,19 +106,32 @@ def fit_predict(train: DataFrame, test: DataFrame, pipeline: Pipeline, keep: lis
     return predictions(pipeline.fit(train), test, keep, rule)
 
 
+def fit_all(fits: list[Callable], at_once: int = FITS_AT_ONCE) -> list:
+    """What the ``fits`` return, in order, with up to ``at_once`` of them running as concurrent Spark jobs.
+
+    Each takes the job settings of the caller into its thread.  A forest grows in
+    many short jobs, which leave most of a cluster idle one after the other.
+    """
+    spark = SparkSession.getActiveSession()
+    with ThreadPoolExecutor(max(1, min(at_once, len(fits)))) as pool:
+        return list(pool.map(lambda fit: fit(), [inheritable_thread_target(spark)(fit) for fit in fits]))
+
+
 def out_of_fold(df: DataFrame, pipeline: Pipeline, keep: list[str], k: int = CV_FOLDS,
-                seed: int = RF_SEED) -> DataFrame:
-    """ML-02: stratified k folds; each fold predicted by a model fit on the others; ``p >= 0.5`` rule."""
-    folded = materialize(splits.stratified_folds(df, k, seed=seed))
-    parts = []
-    for f in range(k):
-        train = folded.where(F.col("fold") != f)
-        test = folded.where(F.col("fold") == f)
-        parts.append(fit_predict(train, test, pipeline, keep + ["fold"], rule="threshold"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+                seed: int = RF_SEED, at_once: int = FITS_AT_ONCE) -> DataFrame:
+    """ML-02: stratified k folds; each fold predicted by a model fit on the others; ``p >= 0.5`` rule.
+
+    The folds are written once, as a table partitioned by fold: a fit reads the
+    folds that it learns from, and scoring reads each fold once.
+    """
+    spark = df.sparkSession
+    table = f"{checkpoint_dir(spark).rstrip('/')}/folds-{uuid.uuid4().hex}"
+    splits.stratified_folds(df, k, seed=seed).write.partitionBy("fold").parquet(table)
+    folded = spark.read.parquet(table)
+    tasks = folded.count() // ROWS_A_TASK + 1
+    fitted = fit_all([partial(pipeline.fit, folded.where(F.col("fold") != f).coalesce(tasks)) for f in range(k)], at_once)
+    parts = [predictions(model, folded.where(F.col("fold") == f), keep + ["fold"], rule="threshold") for f, model in enumerate(fitted)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def temporal_retrain(fm: DataFrame, pipeline: Pipeline, keep: list[str], eval_year: int = 2024) -> DataFrame:
@@ -130,8 +151,9 @@ def ablation(df: DataFrame, families: dict[str, list[str]], base: list[str] = FE
                                    for n, cols in families.items()]
     everything = list(dict.fromkeys(base + [c for cols in families.values() for c in cols]))
     sets.append(("full", everything))
-    return [(name, fit_predict(train, test, forest(cols, trees=trees), ["experiment", "label"]))
-            for name, cols in sets]
+    few = train.coalesce(train.count() // ROWS_A_TASK + 1)
+    fitted = fit_all([partial(forest(cols, trees=trees).fit, few) for _, cols in sets])
+    return [(name, predictions(model, test, ["experiment", "label"])) for (name, _), model in zip(sets, fitted)]
 
 
 def sequence_model(gram_counts: DataFrame, labels: DataFrame, train_filter, min_df: int = 1) -> DataFrame:

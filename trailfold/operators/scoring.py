@@ -54,14 +54,15 @@ SHORT_ESCAPES = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\
 def _json_str(c: Column) -> Column:
     """JSON string literal in ASCII: what is not printable ASCII as its UTF-16 units, ``\\uXXXX``.
 
-    Texts that are all ASCII, nearly all prompts, pass without being split into characters.
+    Only texts with such characters are split, into runs of the one kind and the other.
     """
     s = c
     for char, escape in SHORT_ESCAPES:
         s = F.replace(s, F.lit(char), F.lit(escape))
-    units = lambda ch: F.regexp_replace(F.lower(F.hex(F.encode(ch, "UTF-16BE"))), "(.{4})", r"\\u$1")
-    by_char = F.array_join(F.transform(F.split(s, ""), lambda ch: F.when(ch.rlike("[^ -~]"), units(ch)).otherwise(ch)), "")
-    return F.concat(F.lit('"'), F.when(s.rlike("[^ -~]"), by_char).otherwise(s), F.lit('"'))
+    units = lambda run: F.regexp_replace(F.lower(F.hex(F.encode(run, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    runs = F.split(s, "(?<=[ -~])(?=[^ -~])|(?<=[^ -~])(?=[ -~])")
+    escaped = F.array_join(F.transform(runs, lambda run: F.when(run.rlike("[^ -~]"), units(run)).otherwise(run)), "")
+    return F.concat(F.lit('"'), F.when(s.rlike("[^ -~]"), escaped).otherwise(s), F.lit('"'))
 
 
 def prompt_hash(system: Column, user: Column) -> Column:
