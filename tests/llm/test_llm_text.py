@@ -157,6 +157,35 @@ def test_blocks():
     assert [b.text for b in html_text.blocks_of("a < b &amp")] == ["a < b &"]
 
 
+@pytest.mark.parametrize("page, texts", [
+    ("<p>one</p><svg><path><p>two</p><p>three</p>", ["one", "two", "three"]),
+    ("<div><select><option>A<option>B</div><p>x</p>", ["x"]),
+    ("<p>a</p><svg><foreignObject><div>in</div></foreignObject></svg><p>b</p>", ["a", "b"]),
+    ("<p>a<noscript><img src=x><p>no</p></noscript>b</p>", ["ab"]),
+    ("<template><p>q", ["q"]), ("<head><title>t</title><body><p>x", ["x"]),
+    ("<a title=don't>It's here</a>", ["It's here"]),
+    ("<a b='1>' c=\"2\" d>t</a><p class= 'q>r'>u</p>", ["t", "u"])])
+def test_open_elements_and_quotes_lose_no_text(page, texts):
+    assert [b.text for b in html_text.blocks_of(page)] == texts
+
+
+def test_sample_of_long_and_repeated_pages(spark):
+    long = [(i, f"<nav>Menu here {i}</nav><article>" + f"<p>Sentence {i} of this page, it is long." * 12 + "</article>") for i in range(6)]
+    pages = spark.createDataFrame(long + long[:1] * 40, "page_id long, html string")
+    read = []
+    train = html_text.train
+    try:
+        html_text.train = lambda read_pages, labels, epochs: read.append(len(read_pages))
+        html_text.fit(pages, longest=100, variants=0)                 # all are longer: the shortest are taken
+        html_text.fit(pages, longest=100_000, number=4, variants=0)   # repeats take one place
+        html_text.fit(pages, longest=100, number=1, variants=0)       # one at least
+    finally:
+        html_text.train = train
+    assert read == [6, 4, 1]
+    model = html_text.fit(pages, longest=100, epochs=2)
+    assert all(r["n_chars"] > 0 for r in html_text.extract(pages.withColumn("url", F.lit("u")), model).collect())
+
+
 def test_gradients_of_the_labeller():
     rng = np.random.default_rng(0)
     model = html_text.Labeller.new()

@@ -33,11 +33,13 @@ from trailfold.llm.common import text_slices
 PAGES, LONGEST, VARIANTS, EPOCHS = 240, 40_000, 3, 6
 FEATURES, WIDTH, HIDDEN, NUMBERS = 4096, 24, 20, 8
 MARKUP = re.compile(
-    r"""<!--.*?(?:--\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)"""
+    r"""<!--.*?(?:--\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:=\s*+(?:"[^"]*"|'[^']*')|[^>])*+)>|<[!?][^>]*(?:>|\Z)"""
     r"""|<(?P<open>/?[a-zA-Z][^<>]*)(?P<close>>|\Z)?""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 SPACE = re.compile(r"\s+")
-RAW = frozenset("script style noscript template iframe textarea title svg object select head".split())
+RAW = frozenset("script style iframe textarea title".split())
+#: Elements whose own elements give no text; one that stays open ends with its parent.
+SILENT = frozenset("noscript template svg object select head".split())
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption
     figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody
     td tfoot th thead tr ul button label""".split())
@@ -54,6 +56,37 @@ ASIDE_NAMES = re.compile(r"(?i)(^|[-_ ])(ads?|advert\w*|banner|sponsor\w*|promo\
                          r"share|social|newsletter|subscribe)([-_ ]|$)")
 
 
+def end_of_silent(page: str, tag: str, at: int, open_above: frozenset[str]) -> int | None:
+    """Where the silent element that begins at ``at`` ends: after its end tag, or before what ends its parent.
+
+    A drawing also ends before a block element outside ``foreignObject``, a head
+    before the body.  None where nothing ends it.
+    """
+    inside: list[str] = []
+    while m := MARKUP.search(page, at):
+        at = m.end()
+        name = m["tag"] or (m["open"] and m["close"] and re.match(r"/?[^\s/>]*", m["open"])[0])
+        if not name:
+            continue
+        ending, name = bool(m["end"]) or name.startswith("/"), name.lstrip("/").lower()
+        if ending:
+            if name in inside:
+                del inside[len(inside) - 1 - inside[::-1].index(name):]
+            elif name == tag:
+                return at
+            elif name in open_above:
+                return m.start()
+        elif (tag == "head" and name == "body") or (
+                tag == "svg" and name in BLOCKS and "foreignobject" not in inside):
+            return m.start()
+        elif name in RAW and not (m["rest"] or "").endswith("/"):
+            close = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            at = close.end() if close else at
+        elif name not in VOID and not (m["rest"] or "").endswith("/"):
+            inside.append(name)
+    return None
+
+
 @dataclass
 class Block:
     path: tuple[tuple[str, str], ...]
@@ -66,6 +99,7 @@ def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
+    endless: set[str] = set()
     linked = at = links = 0
 
     def flush() -> None:
@@ -105,12 +139,14 @@ def blocks_of(page: str) -> list[Block]:
             if depth is not None and (tag in BLOCKS or not any(t in BLOCKS for t, _ in stack[depth + 1:])):
                 links -= sum(t == "a" for t, _ in stack[depth:])
                 del stack[depth:]
+        elif tag in SILENT and not rest.endswith("/"):
+            # one that nothing ends is read as if it were not there, and so are those of its name that follow
+            end = None if tag in endless else end_of_silent(page, tag, at, frozenset(t for t, _ in stack))
+            if end is None:
+                endless.add(tag)
+            else:
+                at = end
         elif tag in RAW and not rest.endswith("/"):
-            if tag == "head":
-                # its own elements give no text; a body ends it
-                close = re.compile(r"</head\s*>|(?=<body[\s>])", re.I).search(page, at)
-                at = close.end() if close else at
-                continue
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?|</{tag}\Z", re.I).search(page, at)
             at = close.end() if close else len(page)
         elif tag not in VOID:
@@ -370,13 +406,29 @@ def variant(blocks: list[Block], labels: np.ndarray, texts: list[str], rng: rand
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", number: int = PAGES,
         longest: int = LONGEST, variants: int = VARIANTS, epochs: int = EPOCHS) -> Labeller | None:
-    """A labeller from a bounded sample; None where no page has text."""
-    rows = (pages.select(pages[id_col].alias("id"), pages[html_col].alias("html"))
-            .filter(F.col("html").isNotNull() & (F.length("html") <= longest)))
-    chosen = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(number).distinct()
-    # at most ``number`` pages of at most ``longest`` characters
-    sample = [r["html"] for r in rows.join(F.broadcast(chosen), rows["id"].eqNullSafe(chosen["id"]), "left_semi")
-              .orderBy("id").limit(number).collect()]
+    """A labeller from a bounded sample; None where no page has text.
+
+    The sample: one page an id, at most ``number`` pages; those of up to
+    ``longest`` characters by the hash of their id, then longer ones, shortest
+    first, until ``number * longest`` characters are reached (one page at least).
+    """
+    rows = (pages.select(pages[id_col].alias("id"), pages[html_col].alias("html")).filter("html IS NOT NULL")
+            .withColumn("size", F.length("html")).withColumn("mark", F.xxhash64("html")))
+    ids = (rows.groupBy("id").agg(F.min(F.struct("size", "mark")).alias("page")).select("id", "page.*")
+           .orderBy(F.greatest("size", F.lit(longest)), F.xxhash64("id"), "id").limit(number).collect())
+    room, wanted = number * longest, []
+    for r in ids:
+        if wanted and r["size"] > room:
+            break
+        room -= r["size"]
+        wanted.append(tuple(r))
+    if not wanted:
+        return None
+    kind = rows.select("id", "size", "mark").schema
+    chosen = F.broadcast(pages.sparkSession.createDataFrame(wanted, kind))
+    sample = [r["html"] for r in rows.join(chosen, rows["id"].eqNullSafe(chosen["id"]) & (rows["size"] == chosen["size"])
+                                           & (rows["mark"] == chosen["mark"]), "left_semi")
+              .dropDuplicates(["id"]).orderBy("id").collect()]
     read = [b for b in map(blocks_of, sample) if b]
     if not read:
         return None
