@@ -1,8 +1,9 @@
 """Exact tiled k-NN against numpy brute force; leak guards."""
 
 import numpy as np
+import pytest
 
-from trailfold.operators import retrieval
+from trailfold.operators import angular, retrieval
 
 
 def _brute(t, p, tid, pid, k):
@@ -68,3 +69,48 @@ def test_text_ids(spark):
     assert retrieval.leak_audit(nb, spark.createDataFrame([("d", 2025)], "id string, year int")).first().n_violations == 1
     labels = spark.createDataFrame([("d", "benign")], "id string, label string")
     assert retrieval.knn_vote(nb, labels).first().predicted_label == "benign"
+
+
+def _by_target(rows):
+    by = {}
+    for r in sorted(rows, key=lambda r: (r.target_id, r.rank)):
+        by.setdefault(r.target_id, []).append(r.neighbor_id)
+    return by
+
+
+@pytest.mark.parametrize("shape", ["clustered", "spread", "one hot vector"])
+def test_pruned_tiles_are_exact(spark, shape):
+    rng = np.random.default_rng(5)
+    if shape == "clustered":
+        p = np.repeat(rng.normal(size=(30, 8)), 20, axis=0) + rng.normal(size=(600, 8)) * 0.01
+    else:
+        p = rng.normal(size=(600, 8))
+    if shape == "one hot vector":
+        p[:250] = p[0]                                     # a third and more of all rows alike: ties by id
+    p[7] = 0.0
+    t = np.vstack([p[::9] + (rng.normal(size=p[::9].shape) * 0.001 if shape != "one hot vector" else 0), np.zeros((1, 8)), -p[3:4]])
+    ids = list(range(600, 600 + len(t)))
+    ids[:5] = [0, 9, 18, 27, 36]                           # targets that are in the pool themselves
+    tdf = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, t)], "id long, vec array<double>")
+    pdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(p)] + [(999, [float("nan")] * 8), (998, [float("inf")] * 8)],
+                                "id long, vec array<double>")
+    got = _by_target(retrieval.knn_topk(tdf, pdf, k=4, tile_rows=40).collect())
+    assert got == _brute(t, p, ids, list(range(600)), 4)
+    n = retrieval.pairs_visited(tdf, pdf, k=4, tile_rows=40).first()
+    assert (n.n_targets, n.n_pool) == (len(t), 602) and n.n_visited <= len(t) * 600
+    if shape == "clustered":
+        assert n.n_visited < 0.35 * len(t) * 600           # what is left: the zero vector, far targets
+
+
+def test_pruned_knn_of_few_or_no_directions(spark):
+    nan = [float("nan"), 1.0]
+    pool = spark.createDataFrame([(i, nan) for i in range(9)], "id long, vec array<double>")
+    target = spark.createDataFrame([(50, [1.0, 0.0]), (51, nan)], "id long, vec array<double>")
+    assert retrieval.knn_topk(target, pool, k=2, tile_rows=4).count() == 0
+    pool = pool.unionByName(spark.createDataFrame([(90, [2.0, 0.1])], pool.schema))
+    assert [r.neighbor_id for r in retrieval.knn_topk(target, pool, k=2, tile_rows=4).collect()] == [90]
+    assert retrieval.knn_topk(target.limit(0), pool, k=2, tile_rows=4).count() == 0
+
+
+def test_blocks_of_homes():
+    assert angular.blocks_of_homes({0: 3, 2: 4, 3: 9, 5: 1, 6: 8}, 8) == [(0, 0, 1), (2, 0, 1), (3, 1, 2), (5, 3, 1), (6, 4, 1)]

@@ -1,22 +1,25 @@
 """Exact k-nearest-neighbour retrieval by cosine distance (KNN-01..05).
 
-Plan (block nested loop, exact):
-
-* targets are hashed into ``Tt`` tiles and pool rows into ``Tp`` tiles, with
-  tile sizes bounded by ``tile_rows``;
-* each target row is replicated once per pool tile and each pool row once
-  per target tile, and the two sides are ``cogroup``-ed on ``(tt, tp)`` —
-  so every task holds at most ``tile_rows`` targets and ``tile_rows`` pool
-  rows, whatever the data size or skew;
-* inside a task, numpy computes distances in blocks of ``CHUNK_ROWS``
-  targets and keeps exactly k pool rows per target (ties by id) — at most
-  k rows per target and tile ever leave the task, never all pairs;
-* a final ``row_number() <= k`` per target merges the per-tile candidates
-  (planned as a window group limit).
-
-Shuffle volume is ``Nt·Tp + Np·Tt`` rows; no join without keys, no
-broadcast.  The target's own id is never returned (leak guard), and ties
-are broken by the neighbour id.
+A pool of one tile (``tile_rows`` rows) is met by blocks of targets.  A larger
+one is pruned by angles (``operators.angular``), and stays exact:
+
+* the pool is cut into rings around centres, a ring of more than ``tile_rows``
+  rows into hashed parts: every tile is bounded whatever the skew;
+* a target first visits one part of its nearest tile: its k-th distance there,
+  or that by the tile table alone, bounds the angle of its k-th neighbour;
+* it then visits the tiles that the triangle inequality leaves.  Targets of
+  neighbouring homes share a block, and a pool row is shuffled to the blocks
+  that visit its tile, not to all;
+* the sides are ``cogroup``-ed on (block, tile, part): a task holds at most
+  ``tile_rows`` targets and ``tile_rows`` pool rows; numpy computes distances in
+  blocks of ``CHUNK_ROWS`` targets and keeps exactly k pool rows per target
+  (ties by id), never all pairs;
+* a final ``row_number() <= k`` per target merges the candidates (planned as a
+  window group limit).
+
+No join without keys; what is broadcast is the tile table, at most
+``CENTRES * RINGS`` rows.  The target's own id is never returned (leak guard),
+and ties are broken by the neighbour id.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailfold.operators import angular
 from trailfold.schemas import FEATURES
 from trailfold.session import checkpoint_dir, materialize
 
@@ -45,23 +49,19 @@ CHUNK_ROWS = 1024   # target rows per distance block inside a task (block = CHUN
 
 def _tile_topk(k: int, chunk: int = CHUNK_ROWS):
     """Tile kernel: exactly ``k`` candidates per target, ordered by (distance rounded to 12 digits, id)."""
-    def fn(key, t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+    def fn(t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"tid": t["tid"].iloc[:0], "pid": p["pid"].iloc[:0],
                               "dist": pd.Series([], dtype="float64"), "r": pd.Series([], dtype="float64")})
         if t.empty or p.empty:
             return empty
         p = p.sort_values("pid", kind="stable")        # stable sort below then breaks ties by id
-        b = np.vstack(p["vec"].to_numpy()).astype(np.float64)
-        nb = np.linalg.norm(b, axis=1)
-        bn = np.divide(b, nb[:, None], out=np.zeros_like(b), where=nb[:, None] > 0)
+        bn = angular.unit(p["vec"])
         pid = p["pid"].to_numpy()
         kk = min(k, len(pid))
         outs = []
         for lo in range(0, len(t), chunk):           # bounded memory: chunk x pool-tile distances at a time
             tc = t.iloc[lo:lo + chunk]
-            a = np.vstack(tc["vec"].to_numpy()).astype(np.float64)
-            na = np.linalg.norm(a, axis=1)
-            an = np.divide(a, na[:, None], out=np.zeros_like(a), where=na[:, None] > 0)
+            an = angular.unit(tc["vec"])
             d = 1.0 - an @ bn.T
             tid = tc["tid"].to_numpy()
             d[tid[:, None] == pid[None, :]] = np.inf     # never retrieve the target itself
@@ -83,29 +83,86 @@ def knn_topk(targets: DataFrame, pool: DataFrame, k: int = 3, id_col: str = "id"
 
     ``id_col`` keeps its type (text, numbers); both inputs have the same.
     Distances are cosine distances (``1 - cos``; a zero vector is at distance 1
-    from everything).
+    from everything; one with a NaN or an infinity has no neighbours and is none).
     """
-    checkpoint_dir(targets.sparkSession)
-    targets, pool = materialize(targets.select(id_col, vec_col)), materialize(pool.select(id_col, vec_col))
     kind = targets.schema[id_col].dataType.simpleString()
-    n_t = targets.count()
-    n_p = pool.count()
-    tt_n = max(1, math.ceil(n_t / tile_rows))
-    tp_n = max(1, math.ceil(n_p / tile_rows))
-    t = (targets.select(F.col(id_col).alias("tid"), F.col(vec_col).alias("vec"))
-         .withColumn("tt", F.pmod(F.xxhash64("tid"), F.lit(tt_n)))
-         .withColumn("tp", F.explode(F.sequence(F.lit(0), F.lit(tp_n - 1)).cast("array<bigint>"))))
-    p = (pool.select(F.col(id_col).alias("pid"), F.col(vec_col).alias("vec"))
-         .withColumn("tp", F.pmod(F.xxhash64("pid"), F.lit(tp_n)))
-         .withColumn("tt", F.explode(F.sequence(F.lit(0), F.lit(tt_n - 1)).cast("array<bigint>"))))
-    cand = (t.groupBy("tt", "tp").cogroup(p.groupBy("tt", "tp"))
-            .applyInPandas(_tile_topk(k), f"tid {kind}, pid {kind}, dist double, r double"))
+    cand = _candidates(targets, pool, k, id_col, vec_col, tile_rows)[0]
     w = Window.partitionBy("tid").orderBy("r", "pid")
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.select(F.col("tid").alias("target_id"), F.col("rank").cast("int").alias("rank"),
+    return top.select(F.col("tid").cast(kind).alias("target_id"), F.col("rank").cast("int").alias("rank"),
                       F.col("pid").alias("neighbor_id"), F.round("dist", 5).alias("distance"))
 
 
+def pairs_visited(targets: DataFrame, pool: DataFrame, k: int = 3, id_col: str = "id", vec_col: str = "vec",
+                  tile_rows: int = TILE_ROWS) -> DataFrame:
+    """What ``knn_topk`` compares: one row ``n_targets, n_pool, n_visited`` (pairs of a target and a pool row)."""
+    _, visits, located = _candidates(targets, pool, k, id_col, vec_col, tile_rows)
+    rows = located.groupBy("tile", "part").agg(F.count(F.lit(1)).alias("n"))
+    n = visits.groupBy("tile", "part").agg(F.count(F.lit(1)).alias("m")).join(rows, ["tile", "part"])
+    return n.agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("n_visited")).select(
+        F.lit(targets.count()).cast("long").alias("n_targets"), F.lit(pool.count()).cast("long").alias("n_pool"), "n_visited")
+
+
+def _candidates(targets: DataFrame, pool: DataFrame, k: int, id_col: str, vec_col: str,
+                tile_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Up to k candidates per target and tile, the visits (``tid, tile, part``), and the pool with its tiles."""
+    spark = targets.sparkSession
+    checkpoint_dir(spark)
+    kind = targets.schema[id_col].dataType.simpleString()
+    t = materialize(targets.select(F.col(id_col).alias("tid"), F.col(vec_col).alias("vec")))
+    p = materialize(pool.select(F.col(id_col).alias("pid"), F.col(vec_col).alias("vec")))
+    if p.count() <= tile_rows:
+        blocks = max(1, math.ceil(t.count() / tile_rows))
+        one = [F.lit(0).alias("tile"), F.lit(0).alias("part")]
+        t = t.select("*", F.pmod(F.xxhash64("tid"), F.lit(blocks)).cast("int").alias("block"), *one)
+        p = p.select("*", *one)
+        return _meet(t, p, k, kind), t, p
+    centres = angular.choose_centres(p)
+    located = materialize(angular.locate(p, centres, kind))
+    tiles, frame = angular.tile_table(located, centres, tile_rows)
+    if not len(tiles.rows):
+        none = t.limit(0).select("tid", F.lit(0).alias("tile"), F.lit(0).alias("part"))
+        none_p = p.limit(0).select("*", F.lit(0).alias("tile"), F.lit(0).alias("part"))
+        return _meet(t.limit(0).select("*", F.lit(0).alias("block"), F.lit(0).alias("tile"), F.lit(0).alias("part")),
+                     none_p, k, kind), none, none_p
+    # at most CENTRES * RINGS rows
+    located = (located.join(F.broadcast(frame), ["cell", "ring"])
+               .select("pid", "vec", "tile", F.pmod(F.xxhash64("pid"), "parts").cast("int").alias("part")))
+    at_home = materialize(angular.homes(t, tiles, k, kind))
+    homes = {r["home"]: r["n"] for r in at_home.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}
+    blocks = spark.createDataFrame(
+        [(h, first, own, int(tiles.parts[h])) for h, first, own in angular.blocks_of_homes(homes, tile_rows)],
+        "home int, first int, blocks int, parts int")
+    at_home = at_home.join(F.broadcast(blocks), "home").select(
+        "tid", "vec", "bound", "home", (F.col("first") + F.pmod(F.xxhash64("tid"), "blocks")).cast("int").alias("block"),
+        F.pmod(F.xxhash64("tid"), "parts").cast("int").alias("home_part"))
+    first = at_home.select("tid", "vec", "block", F.col("home").alias("tile"), F.col("home_part").alias("part"))
+    seen = materialize(_meet(first, located, k, kind))
+    # the k-th distance of the first visit, as an angle
+    kth = (seen.groupBy("tid").agg(F.max("dist").alias("far"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+           .select("tid", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - F.col("far")))).alias("kth")))
+    bounded = at_home.join(kth, "tid", "left").withColumn("bound", F.least("bound", "kth")).drop("kth")
+    parts = frame.select("tile", "parts")
+    rest = materialize(
+        angular.tiles_to_visit(bounded, tiles, k).withColumn("tile", F.explode("tiles")).join(F.broadcast(parts), "tile")
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .where((F.col("tile") != F.col("home")) | (F.col("part") != F.col("home_part")))
+        .select("tid", "vec", "block", "tile", "part"))
+    visits = first.select("tid", "tile", "part").unionByName(rest.select("tid", "tile", "part"))
+    return seen.unionByName(_meet(rest, located, k, kind)), visits, located
+
+
+def _meet(visits: DataFrame, pool: DataFrame, k: int, kind: str) -> DataFrame:
+    """Each block of targets with each (tile, part) that one of them visits: k candidates per target."""
+    keys = ["block", "tile", "part"]
+    asked = visits.select(*keys).distinct().toDF("b", "t", "p")
+    sent = (pool.join(asked, (F.col("tile") == F.col("t")) & (F.col("part") == F.col("p")))
+            .select("pid", "vec", F.col("b").alias("block"), F.col("t").alias("tile"), F.col("p").alias("part")))
+    return (visits.select("tid", "vec", *keys).groupBy(*keys)
+            .cogroup(sent.groupBy(*keys))
+            .applyInPandas(_tile_topk(k), f"tid {kind}, pid {kind}, dist double, r double"))
+
+
 def temporal_targets_pool(vectors: DataFrame, eval_year: int = 2024) -> tuple[DataFrame, DataFrame]:
     """KNN-04: targets = the eval-year cohort, pool = rows strictly before it (null year excluded)."""
     targets = vectors.where(F.col("year") == eval_year)

@@ -57,6 +57,13 @@ def _knn_topk(i: Inputs):
     return _emb_neighbors(i)
 
 
+@register("knn_pruned", _KNN_EMB)
+def _knn_pruned(i: Inputs):
+    """KNN-02/JN-09 by angular rings: tiles of 128 rows, so that small tables are pruned as large ones are."""
+    t, p = retrieval.temporal_targets_pool(i.vectors)
+    return retrieval.knn_topk(t, p, k=3, tile_rows=128)
+
+
 @register("knn_vote", O.q("""
 SELECT target_id, predicted_label, votes FROM (
   SELECT target_id, nlabel AS predicted_label, CAST(count(*) AS BIGINT) AS votes,
