@@ -51,3 +51,12 @@ def test_cascade_bands_inclusive(spark):
     df = spark.createDataFrame(rows, "p_fast double, p_ens double").withColumn("experiment", F.lit("x"))
     out = [r.decision for r in cascade.cascade(df, "p_fast", ["p_ens"]).collect()]
     assert out == ["benign", "malicious", "benign", "malicious", "triage", "triage", "triage", "triage"]
+
+
+def test_sparse_vectors_from_entries(spark):
+    from pyspark.ml.linalg import Vectors
+    rows = [("a", [(0, 1.5), (7, 2.0)]), ("b", []), ("c", None)]
+    df = spark.createDataFrame(rows, "experiment string, e array<struct<idx:int,w:double>>")
+    got = {r.experiment: r.features for r in models._as_vectors(df, "e", 9).collect()}
+    assert got == {"a": Vectors.sparse(9, [0, 7], [1.5, 2.0]), "b": Vectors.sparse(9, [], []), "c": Vectors.sparse(9, [], [])}
+    assert all(type(v).__name__ == "SparseVector" for v in got.values())

@@ -19,8 +19,10 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from trailfold.operators import splits
 from trailfold.schemas import FEATURES
@@ -156,6 +158,25 @@ def ablation(df: DataFrame, families: dict[str, list[str]], base: list[str] = FE
     return [(name, predictions(model, test, ["experiment", "label"])) for (name, _), model in zip(sets, fitted)]
 
 
+def _as_vectors(df: DataFrame, entries: str, size: int) -> DataFrame:
+    """``df`` with sparse ``features`` of ``size`` from ``entries``, an array of (index, value) by rising index.
+
+    There is no function from columns to a sparse vector.  A table of the
+    vector's own fields, read again with the vector's type, is one: it has one
+    entry for each that is there, and no array of the vocabulary's length.
+    """
+    spark = df.sparkSession
+    rest = [c for c in df.columns if c != entries]
+    e = F.coalesce(F.col(entries), F.expr("cast(array() AS array<struct<idx: int, w: double>>)"))
+    table = f"{checkpoint_dir(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    (df.select(*rest, F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"),
+                               F.transform(e, lambda s: s["idx"]).alias("indices"),
+                               F.transform(e, lambda s: s["w"]).alias("values")).alias("features"))
+     .write.parquet(table))
+    schema = StructType([df.schema[c] for c in rest] + [StructField("features", VectorUDT())])
+    return spark.read.schema(schema).parquet(table)
+
+
 def sequence_model(gram_counts: DataFrame, labels: DataFrame, train_filter, min_df: int = 1) -> DataFrame:
     """ML-07: n-gram counts → sub-linear TF (log1p) · IDF → logistic regression.
 
@@ -164,10 +185,8 @@ def sequence_model(gram_counts: DataFrame, labels: DataFrame, train_filter, min_
     event).  The vocabulary (grams seen in ≥ ``min_df`` training
     experiments, IDF = ln((m + 1) / (df + 1)) as MLlib's ``IDF``) is bounded
     by the fixed rule alphabet (10 rules → at most 10² + 10³ + 10⁴ grams of
-    length 2–4), so each experiment's feature row holds at most that many
-    entries.  ``labels``: ``experiment, label, test``.
+    length 2–4); an experiment's sparse row holds an entry for each gram of its own.  ``labels``: ``experiment, label, test``.
     """
-    from pyspark.ml.functions import array_to_vector
     from trailfold.functions.ranking import position_within
     train_ids = labels.where(train_filter).select("experiment")
     m = train_ids.count()
@@ -178,14 +197,10 @@ def sequence_model(gram_counts: DataFrame, labels: DataFrame, train_filter, min_
                          F.log((F.lit(m) + 1) / (F.col("df") + 1)).alias("idf"))
     v = max(1, vocab.count())
     ent = (gram_counts.join(vocab, "gram")
-           .select("experiment", "idx", (F.log1p("cnt") * F.col("idf")).alias("w"))
-           .groupBy("experiment").agg(F.map_from_entries(F.collect_list(F.struct("idx", "w"))).alias("m")))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(v - 1)),
-                        lambda i: F.coalesce(F.element_at(F.col("m"), i), F.lit(0.0)))
-    x = materialize(labels.select("experiment", "label", "test").join(ent, "experiment", "left")
-         .withColumn("m", F.coalesce("m", F.create_map().cast("map<int,double>")))
-         .withColumn("features", array_to_vector(dense))
-         .select("experiment", "label", "test", "features"))   # read by the indexer fit and every LR pass
+           .select("experiment", F.struct("idx", (F.log1p("cnt") * F.col("idf")).alias("w")).alias("e"))
+           .groupBy("experiment").agg(F.array_sort(F.collect_list("e")).alias("e")))
+    rows = labels.select("experiment", "label", "test").join(ent, "experiment", "left")
+    x = _as_vectors(rows, "e", v)   # read by the indexer fit and every LR pass
     idx = label_indexer().fit(x.where(train_filter))
     x = idx.transform(x)
     lr = LogisticRegression(featuresCol="features", labelCol="y", maxIter=100, regParam=0.01)

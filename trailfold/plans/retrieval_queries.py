@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from trailfold.plans import oracle as O
 from trailfold.plans.catalog import register
 from trailfold.plans.inputs import Inputs
 from trailfold.schemas import FEATURES
-from trailfold.sources import lens
-from trailfold.session import materialize
+from trailfold.sources import keyed, lens
+from trailfold.session import checkpoint_dir, materialize
 
 
 def _sql_lit(s: str) -> str:
@@ -423,6 +425,32 @@ def _cache_pending(i: Inputs):
     return scoring.pending_rows(live, i.cache_rows).select("experiment")
 
 
+def _keyed_events(i: Inputs) -> str:
+    """A keyed cache that the events were put into in two halves, the later half first."""
+    name = f"keyed_{uuid.uuid4().hex}"
+    rows = materialize(i.cache_rows)
+    keyed.create(i.spark, name, f"{checkpoint_dir(i.spark).rstrip('/')}/{name}", rows.schema, "cache_key")
+    late = F.col("event_id") % 2 == 0
+    for half in (rows.where(late), rows.where(~late)):
+        keyed.upsert(i.spark, name, half, ["timestamp", "event_id"])
+    return name
+
+
+@register("keyed_upsert", O.q(_LATEST))
+def _keyed_upsert(i: Inputs):
+    """SNK-06/PB-09: two upserts into a keyed table; what it holds then is the latest row of each key."""
+    return keyed.rows(i.spark, _keyed_events(i))
+
+
+@register("keyed_probe", O.q("""
+SELECT l.experiment FROM labels_l l WHERE NOT EXISTS (
+  SELECT 1 FROM (""" + _LATEST + """) c WHERE c.cache_key = l.experiment AND c.status IN ('success', 'cached'))"""))
+def _keyed_probe(i: Inputs):
+    """JN-06: experiments without a reusable row in the keyed table; only the asked rows are shuffled."""
+    live = i.labels.select("experiment", F.col("experiment").alias("cache_key"))
+    return keyed.missing(i.spark, _keyed_events(i), live, F.col("status").isin(*scoring.OK_STATUS)).select("experiment")
+
+
 @register("every_nth_sample", O.q("""
 SELECT experiment FROM (SELECT experiment, row_number() OVER (ORDER BY experiment) AS rn FROM labels_l)
 WHERE rn <= 50 OR (rn - 1) % 500 = 0"""))
