@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,6 +122,43 @@ def test_scorer_exception_isolated(spark):
     assert r["a"].error is None and r["b"].error.startswith("exception: ")
 
 
+def test_batches_are_answered_in_parts(spark, tmp_path):
+    """Answers before a failure stay; the rest is asked once more, singly; no answered row again."""
+    calls, own_scorer = str(tmp_path), make_scorer()
+
+    def in_parts(batch):
+        import uuid
+        with open(f"{calls}/{uuid.uuid4().hex}", "w") as f:
+            f.write("|".join(batch["user"]))
+        for at in batch.index:
+            user = batch.loc[at, "user"]
+            if "down" in user or ("busy" in user and len(batch) > 1):
+                raise RuntimeError(f"failed at {user}")
+            if "silent" in user:
+                continue
+            row = own_scorer(batch.loc[[at]]).set_index(batch.index[[batch.index.get_loc(at)]])
+            if "limit" in user:
+                row["content"], row["error"] = None, "rate limit"
+            yield row
+    users = ["u0", "limit 1", "silent 2", "u3", "busy 4", "u5", "u6", "down 7", "u8"]
+    df = spark.createDataFrame([(u, "s", u) for u in users], "cache_key string, system string, user string").coalesce(1)
+    got = {r.cache_key: r for r in scoring.score_with(df, in_parts, batch_rows=6).collect()}
+    asked = [open(os.path.join(calls, f)).read().split("|") for f in os.listdir(calls)]
+    assert sorted(map(len, asked)) == [1] * 5 + [3, 6]
+    assert sorted(a[0] for a in asked if len(a) == 1) == ["busy 4", "down 7", "silent 2", "u5", "u8"]
+    assert {u for u in users if got[u].error is None} == {"u0", "u3", "busy 4", "u5", "u6", "u8"}
+    assert got["limit 1"].error == "rate limit" and got["silent 2"].error == "exception: no answer"
+    assert got["down 7"].error == "exception: failed at down 7" and len(got) == 9
+
+
+def test_mock_scorer_equals_the_expression(spark):
+    users = ["process_create x unique_network_connections: 2", "process_create unique_network_connections: 0", "it's é",
+             "reg_write process_create", "reg_create_key", "process_create reg_create_key", ""]
+    df = spark.createDataFrame([(SYSTEM_PROMPT, u) for u in users], "system string, user string")
+    key = lambda d: sorted(tuple(r) for r in d.collect())
+    assert key(scoring.mock_scores(df)) == key(scoring.score_with(df, scoring.mock_scorer, batch_rows=3))
+
+
 def test_white_space_around_replies(spark):
     good = '{"prediction": "benign", "malware_probability": 0.2, "confidence": 0.9, "evidence": []}'
     cases = {"\n" + good: None, "\t" + good + "\n\n": None, "\r\n ```json\n" + good + "\n``` \t": None, "\u00a0\u2003" + good: None,

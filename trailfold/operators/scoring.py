@@ -115,12 +115,15 @@ def mock_is_malicious(user: Column) -> Column:
     return (pc & net) | (reg & pc)
 
 
+def _mock_reply(malicious: bool) -> str:
+    return json.dumps({"prediction": "malicious" if malicious else "benign",
+                       "malware_probability": MOCK_MAL_P if malicious else MOCK_BEN_P, "confidence": MOCK_CONF,
+                       "evidence": [MOCK_EVIDENCE_1, MOCK_EVIDENCE_MAL if malicious else MOCK_EVIDENCE_BEN],
+                       "uncertainty_reason": None})
+
+
 def _mock_content(is_mal: Column) -> Column:
-    def body(pred: str, p: float, ev2: str) -> str:
-        return json.dumps({"prediction": pred, "malware_probability": p, "confidence": MOCK_CONF,
-                           "evidence": [MOCK_EVIDENCE_1, ev2], "uncertainty_reason": None})
-    return F.when(is_mal, F.lit(body("malicious", MOCK_MAL_P, MOCK_EVIDENCE_MAL))) \
-        .otherwise(F.lit(body("benign", MOCK_BEN_P, MOCK_EVIDENCE_BEN)))
+    return F.when(is_mal, F.lit(_mock_reply(True))).otherwise(F.lit(_mock_reply(False)))
 
 
 def mock_scores(prompts: DataFrame) -> DataFrame:
@@ -133,32 +136,66 @@ def mock_scores(prompts: DataFrame) -> DataFrame:
         F.lit(MOCK_LATENCY).alias("latency"), F.lit(None).cast("string").alias("error"))
 
 
-def score_with(prompts: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """PB-08/PB-07: ``prompts`` with the reply columns of a user scorer, called once for each row.
+BATCH_ROWS = 64   # prompts that a scorer is handed at once
+REPLY = ["content", "prompt_tokens", "completion_tokens", "latency", "error"]
+
+
+def score_with(prompts: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame | Iterator[pd.DataFrame]],
+               batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """PB-08/PB-07: ``prompts`` with the reply columns of a user scorer.
 
-    ``scorer`` maps a pandas frame of one row with ``system, user`` to
-    ``content, prompt_tokens, completion_tokens, latency, error``.  Rows are
-    scored one by one, so an exception is that row's error and no other row is
-    asked again; all columns of ``prompts`` ride along, so nothing is joined
-    back.
+    ``scorer`` is handed up to ``batch_rows`` prompts as a pandas frame ``system,
+    user`` and answers with a frame ``content, prompt_tokens, completion_tokens,
+    latency, error`` whose index names the rows answered, or yields several such
+    frames; ``error`` is a row's own.  Answers before an exception count.  Rows
+    left without one are asked again one by one (no row a third time, no answered
+    row again); what fails then is that row's error.  All columns of ``prompts``
+    ride along, so nothing is joined back.
     """
     added = "content string, prompt_tokens long, completion_tokens long, latency double, error string"
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields]
 
+    def ask(asked: pd.DataFrame, answers: dict[int, tuple]) -> str:
+        """Adds the answers to ``asked``; returns the exception that ended them, if any."""
+        try:
+            got = scorer(asked)
+            for frame in [got] if isinstance(got, pd.DataFrame) else got:
+                for at, row in zip(frame.index, frame[REPLY].itertuples(index=False, name=None)):
+                    if at in asked.index:
+                        answers.setdefault(at, row)
+        except Exception as exc:  # noqa: BLE001 - the rows' own failure
+            return str(exc)
+        return "no answer"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for system, user in zip(b["system"], b["user"]):
-                try:
-                    x = scorer(pd.DataFrame({"system": [system], "user": [user]})).iloc[0]
-                    rows.append((x["content"], x["prompt_tokens"], x["completion_tokens"], x["latency"], x["error"]))
-                except Exception as exc:  # noqa: BLE001 - the row's own failure
-                    rows.append((None, 0, 0, 0.0, f"exception: {str(exc)[:50]}"))
-            reply = pd.DataFrame(rows, columns=["content", "prompt_tokens", "completion_tokens", "latency", "error"])
-            yield pd.concat([b.reset_index(drop=True), reply], axis=1)
+            b = b.reset_index(drop=True)
+            answers: dict[int, tuple] = {}
+            for lo in range(0, len(b), batch_rows):
+                asked = b.loc[lo:lo + batch_rows - 1, ["system", "user"]].reset_index(drop=True)
+                here: dict[int, tuple] = {}
+                why = ask(asked, here)
+                for at in asked.index.difference(list(here)):
+                    single: dict[int, tuple] = {}
+                    if len(asked) > 1:
+                        why = ask(asked.loc[[at]].reset_index(drop=True), single)
+                    here[at] = single.get(0, (None, 0, 0, 0.0, f"exception: {why[:50]}"))
+                answers.update({lo + at: row for at, row in here.items()})
+            yield pd.concat([b, pd.DataFrame([answers[i] for i in range(len(b))], columns=REPLY)], axis=1)
     return prompts.mapInPandas(run, ", ".join([*fields, added]))
 
 
+def mock_scorer(batch: pd.DataFrame) -> pd.DataFrame:
+    """PB-04 as a scorer for ``score_with``: the rule and the reply of ``mock_scores``, many rows a call."""
+    has = lambda words: batch["user"].str.contains(words, regex=False)
+    network = has("unique_network_connections") & ~has("unique_network_connections: 0")
+    bad = has("process_create") & (network | has("reg_write") | has("reg_create_key"))
+    asked = [len(str([{"role": "system", "content": s}, {"role": "user", "content": u}])) // 4
+             for s, u in zip(batch["system"], batch["user"])]
+    return pd.DataFrame({"content": bad.map({True: _mock_reply(True), False: _mock_reply(False)}), "prompt_tokens": asked,
+                         "completion_tokens": MOCK_COMPLETION_TOKENS, "latency": MOCK_LATENCY, "error": None}, index=batch.index)
+
+
 # ----------------------------------------------------------------- validation
 def validate_reply(raw: Column) -> Column:
     """PB-05: ``struct(error, prediction, malware_probability, confidence, evidence_count)``.

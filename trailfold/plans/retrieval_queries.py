@@ -325,7 +325,7 @@ def _reply_failures(i: Inputs):
                  F.count_if(ok & (F.col("v.prediction") == "malicious")).alias("malicious"))
 
 
-def _scored(i: Inputs, config: str):
+def _scored(i: Inputs, config: str, scorer=None):
     s = _summaries(i)
     blocks = None
     if config == "retrieval_assisted":
@@ -333,7 +333,7 @@ def _scored(i: Inputs, config: str):
         nb = _feature_neighbors(i)
         blocks = retrieval.demo_blocks(nb, s, fv).join(retrieval.retrieved_ids(nb), "target_id", "left")
     p = scoring.build_prompts(_eval_2024(i), s, config, "mock", blocks)
-    audit, cache = scoring.score_rows(p, config, "mock")
+    audit, cache = scoring.score_rows(p, config, "mock", scorer=scorer)
     # the audit log is a stored table (SNK-04); checks and means read it back
     return materialize(audit), cache
 
@@ -344,6 +344,12 @@ def _scored_rows(i: Inputs):
     return _scored(i, "zero_shot")[0]
 
 
+@register("scored_by_hook", None)
+def _scored_by_hook(i: Inputs):
+    """PB-08/PB-07: the same rows by way of the scorer hook, many prompts a call."""
+    return _scored(i, "zero_shot", scoring.mock_scorer)[0]
+
+
 @register("audit_log", None)
 def _audit_log(i: Inputs):
     """SNK-04: audit rows of both configs stacked."""
@@ -567,6 +573,7 @@ FROM pr"""),
 from trailfold.plans.catalog import REGISTRY as _REG  # noqa: E402
 
 _CATALOG_SQL["audit_log"] = _audit_sql()
+_CATALOG_SQL["scored_by_hook"] = _CATALOG_SQL["scored_rows"]
 _MET = "n, benign, malicious, tn, fp, fn, tp, accuracy, malware_recall, malware_precision, malware_f1, benign_fpr, " \
        "balanced_accuracy, roc_auc, partial_auc_max_fpr_0_1"
 _CATALOG_SQL["run_report"] = O.q(f"""
