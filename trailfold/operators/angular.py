@@ -92,14 +92,26 @@ def locate(pool: DataFrame, centres: np.ndarray, kind: str) -> DataFrame:
 
 
 def tile_table(located: DataFrame, centres: np.ndarray, tile_rows: int) -> tuple[Tiles, DataFrame]:
-    """The tiles (at most ``CENTRES * RINGS`` rows), and them as a DataFrame ``cell, ring, tile, parts``."""
+    """The tiles (at most ``CENTRES * RINGS`` rows), and a DataFrame ``cell, ring, tile, parts`` of what is in which.
+
+    Neighbouring rings of a centre are one tile as long as they hold ``tile_rows`` rows together: a target is sent to
+    each tile that it visits, so there are no more tiles than the pool needs.
+    """
     found = sorted(located.groupBy("cell", "ring").agg(F.min("angle").alias("low"), F.max("angle").alias("high"),
                                                        F.count(F.lit(1)).alias("rows")).collect())
-    parts = [-(-r["rows"] // tile_rows) for r in found]
-    tiles = Tiles(centres, np.array([r["cell"] for r in found], int), np.array([r["low"] for r in found]),
-                  np.array([r["high"] for r in found]), np.array([r["rows"] for r in found], int), np.array(parts, int))
+    groups: list[list] = []
+    for r in found:
+        last = groups[-1] if groups else None
+        if last and last[-1]["cell"] == r["cell"] and sum(x["rows"] for x in last) + r["rows"] <= tile_rows:
+            last.append(r)
+        else:
+            groups.append([r])
+    rows = [sum(r["rows"] for r in g) for g in groups]
+    parts = [-(-n // tile_rows) for n in rows]
+    tiles = Tiles(centres, np.array([g[0]["cell"] for g in groups], int), np.array([g[0]["low"] for g in groups]),
+                  np.array([g[-1]["high"] for g in groups]), np.array(rows, int), np.array(parts, int))
     frame = located.sparkSession.createDataFrame(
-        [(r["cell"], r["ring"], i, n) for i, (r, n) in enumerate(zip(found, parts))], "cell int, ring int, tile int, parts int")
+        [(r["cell"], r["ring"], i, parts[i]) for i, g in enumerate(groups) for r in g], "cell int, ring int, tile int, parts int")
     return tiles, frame
 
 

@@ -111,13 +111,14 @@ def _candidates(targets: DataFrame, pool: DataFrame, k: int, id_col: str, vec_co
     kind = targets.schema[id_col].dataType.simpleString()
     t = materialize(targets.select(F.col(id_col).alias("tid"), F.col(vec_col).alias("vec")))
     p = materialize(pool.select(F.col(id_col).alias("pid"), F.col(vec_col).alias("vec")))
-    if p.count() <= tile_rows:
+    n_p = p.count()
+    if n_p <= tile_rows:
         blocks = max(1, math.ceil(t.count() / tile_rows))
         one = [F.lit(0).alias("tile"), F.lit(0).alias("part")]
         t = t.select("*", F.pmod(F.xxhash64("tid"), F.lit(blocks)).cast("int").alias("block"), *one)
         p = p.select("*", *one)
         return _meet(t, p, k, kind), t, p
-    centres = angular.choose_centres(p)
+    centres = angular.choose_centres(p, min(angular.CENTRES, math.ceil(2 * n_p / tile_rows)))
     located = materialize(angular.locate(p, centres, kind))
     tiles, frame = angular.tile_table(located, centres, tile_rows)
     if not len(tiles.rows):
@@ -142,7 +143,7 @@ def _candidates(targets: DataFrame, pool: DataFrame, k: int, id_col: str, vec_co
     kth = (seen.groupBy("tid").agg(F.max("dist").alias("far"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
            .select("tid", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - F.col("far")))).alias("kth")))
     bounded = at_home.join(kth, "tid", "left").withColumn("bound", F.least("bound", "kth")).drop("kth")
-    parts = frame.select("tile", "parts")
+    parts = frame.select("tile", "parts").distinct()
     rest = materialize(
         angular.tiles_to_visit(bounded, tiles, k).withColumn("tile", F.explode("tiles")).join(F.broadcast(parts), "tile")
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

@@ -61,9 +61,9 @@ def _knn_topk(i: Inputs):
 
 @register("knn_pruned", _KNN_EMB)
 def _knn_pruned(i: Inputs):
-    """KNN-02/JN-09 by angular rings: tiles of 128 rows, so that small tables are pruned as large ones are."""
+    """KNN-02/JN-09 by angular rings, in tiles of 1,024 rows (a pool of fewer is one tile)."""
     t, p = retrieval.temporal_targets_pool(i.vectors)
-    return retrieval.knn_topk(t, p, k=3, tile_rows=128)
+    return retrieval.knn_topk(t, p, k=3, tile_rows=1024)
 
 
 @register("knn_vote", O.q("""
