@@ -60,3 +60,38 @@ def test_sparse_vectors_from_entries(spark):
     got = {r.experiment: r.features for r in models._as_vectors(df, "e", 9).collect()}
     assert got == {"a": Vectors.sparse(9, [0, 7], [1.5, 2.0]), "b": Vectors.sparse(9, [], []), "c": Vectors.sparse(9, [], [])}
     assert all(type(v).__name__ == "SparseVector" for v in got.values())
+
+
+def test_large_forests_grow_in_parts(spark, monkeypatch):
+    """A forest beyond ROW_TREES grows in parts: all trees, each row scored once, nulls and repeated keys kept."""
+    rows = [(None if i % 50 == 0 else str(i // 2), "malicious" if i % 2 else "benign", float(i % 2) * 10 + (i % 3), float(i % 5), i % 3 == 0)
+            for i in range(120)]
+    df = spark.createDataFrame(rows, "experiment string, label string, a double, b double, test boolean")
+    train, test = df.where(~F.col("test")), df.where(F.col("test"))
+    forest = models.forest(["a", "b"], trees=20)
+    assert [n for _, n in models.forest_parts(forest, 80)] == [20]
+    monkeypatch.setattr(models, "ROW_TREES", 80 * 12)
+    parts = models.forest_parts(forest, 80)
+    assert [n for _, n in parts] == [3] * 6 + [2]
+    assert len({p.getStages()[-1].getSeed() for p, _ in parts}) == len(parts)
+    assert [p.getStages()[-1].getNumTrees() for p, _ in parts] == [n for _, n in parts]
+    assert forest.getStages()[-1].getNumTrees() == 20
+    most, growing = 0, []
+    fit_and_score = models._fit_and_score
+
+    def watched(pipeline, *rest):
+        nonlocal most
+        growing.append(pipeline.getStages()[-1].getNumTrees())
+        most = max(most, sum(growing))
+        fit_and_score(pipeline, *rest)
+        growing.pop()
+    monkeypatch.setattr(models, "_fit_and_score", watched)
+    key = lambda r: (r[0] or "", r[1])
+    got = models.fit_predict(train, test, forest, ["experiment", "label"]).collect()
+    assert most <= 12
+    assert sorted(((r.experiment, r.label) for r in got), key=key) == sorted(((r[0], r[1]) for r in rows if r[4]), key=key)
+    assert sum(r.label == r.prediction for r in got) / len(got) > 0.9
+    assert all(0 <= r.malware_probability <= 1 for r in got)
+    scored = models.out_of_fold(df, forest, ["experiment", "label"], k=4).collect()
+    assert sorted(((r.experiment, r.label) for r in scored), key=key) == sorted(((r[0], r[1]) for r in rows), key=key)
+    assert all((r.malware_probability >= 0.5) == (r.prediction == "malicious") for r in scored)

@@ -1,6 +1,7 @@
 """Model training and inference with MLlib (ML-01..10).
 
 Learning is MLlib's distributed tree/linear training; nothing is collected.
+Large forests grow in parts of few trees, as the driver holds what grows.
 Probabilities are read by class *name* (``StringIndexer`` with alphabetical
 order: benign = 0, malicious = 1), never by position assumptions.
 Forest parity with other libraries is behavioural, not bitwise (binning,
@@ -34,6 +35,8 @@ GBT_ITER, GBT_STEP, GBT_MIN_LEAF, GBT_SEED, GBT_MAX_DEPTH = 300, 0.08, 20, 42, 6
 CV_FOLDS = 10
 # --- end fixed values ---
 FITS_AT_ONCE = 8   # fits at a time: the driver holds as many growing models
+ROW_TREES = 1_200_000   # rows times trees of all forests that grow at a time: a tree has about as many nodes as rows at worst
+PARTS_AT_ONCE = 4   # a forest beyond that grows in parts, so many at a time
 ROWS_A_TASK = 20_000   # a forest is one job a level: a task of few rows costs more to start than to run
 
 
@@ -105,7 +108,73 @@ def prediction_check(pred: DataFrame, by: list[str], rule: str = "argmax") -> Da
 
 def fit_predict(train: DataFrame, test: DataFrame, pipeline: Pipeline, keep: list[str],
                 rule: str = "argmax") -> DataFrame:
-    return predictions(pipeline.fit(train), test, keep, rule)
+    return fit_predict_all([(pipeline, train, test)], train.count(), keep, rule)[0]
+
+
+def forest_parts(pipeline: Pipeline, rows: int) -> list[tuple[Pipeline, int]]:
+    """``pipeline`` in parts of few trees, each with its number of trees: their mean by trees is the forest.
+
+    The nodes of a tree grow with the rows it learns from, and the driver holds
+    a model while it grows.  A forest of up to ``ROW_TREES`` is one part; the
+    parts of a larger one have seeds of their own.  Other models are one part.
+    """
+    *first, last = pipeline.getStages()
+    if not isinstance(last, RandomForestClassifier):
+        return [(pipeline, 1)]
+    trees, seed = last.getNumTrees(), last.getSeed()
+    if trees * rows <= ROW_TREES:
+        return [(pipeline, trees)]
+    size = max(1, ROW_TREES // PARTS_AT_ONCE // rows)
+    sizes = [min(size, trees - at) for at in range(0, trees, size)]
+    return [(Pipeline(stages=[*first, last.copy({last.numTrees: n, last.seed: seed + part})]), n)
+            for part, n in enumerate(sizes)]
+
+
+def fit_predict_all(fits: list[tuple[Pipeline, DataFrame, DataFrame]], rows: int, keep: list[str],
+                    rule: str = "argmax", at_once: int = FITS_AT_ONCE) -> list[DataFrame]:
+    """``predictions`` of each (pipeline, train, test), ``rows`` being the most rows that one learns from.
+
+    A model scores its rows as soon as it is fit and is dropped: the scores are
+    written, and the driver holds no more than the models that grow, together
+    of at most ``ROW_TREES``.  The scores of a forest's parts are added up by row.
+    """
+    parts = [forest_parts(pipeline, rows) for pipeline, _, _ in fits]
+    trees = max(n for of_fit in parts for _, n in of_fit)
+    at_once = min(at_once, max(1, ROW_TREES // max(1, trees * rows)))
+    tasks = rows // ROWS_A_TASK + 1
+    jobs, out = [], []
+    for (_, train, test), of_fit in zip(fits, parts):
+        spark = test.sparkSession
+        table = f"{checkpoint_dir(spark).rstrip('/')}/scored-{uuid.uuid4().hex}"
+        if len(of_fit) == 1:
+            jobs.append(partial(_fit_and_score, of_fit[0][0], train, test, keep, rule, table))
+            out.append(partial(spark.read.parquet, table))
+            continue
+        few = train.coalesce(tasks)
+        numbered = materialize(test.withColumn("_row", F.monotonically_increasing_id()))
+        tables = [f"{table}/part={part}" for part in range(len(of_fit))]
+        jobs += [partial(_fit_and_score, pipeline, few, numbered, [*keep, "_row"], rule, at)
+                 for (pipeline, _), at in zip(of_fit, tables)]
+        out.append(partial(_mean_of_parts, spark, table, [n for _, n in of_fit], keep, rule))
+    fit_all(jobs, at_once)
+    return [read() for read in out]
+
+
+def _fit_and_score(pipeline: Pipeline, train: DataFrame, test: DataFrame, keep: list[str], rule: str, table: str) -> None:
+    predictions(pipeline.fit(train), test, keep, rule).write.parquet(table)
+
+
+def _mean_of_parts(spark: SparkSession, table: str, trees: list[int], keep: list[str], rule: str) -> DataFrame:
+    scores = spark.read.parquet(table)
+    weight = F.element_at(F.array(*[F.lit(float(n)) for n in trees]), F.col("part") + 1)
+    # added in the order of the parts, so that a row's sum is the same in each run
+    each = F.array_sort(F.collect_list(F.struct("part", (F.col("malware_probability") * weight).alias("p"))))
+    votes = F.aggregate(each, F.lit(0.0), lambda total, e: total + e["p"])
+    p = F.least(F.lit(1.0), votes / sum(trees))
+    mean = scores.groupBy("_row", *keep).agg(p.alias("malware_probability"))
+    at = F.col("malware_probability")
+    pred = F.when(at > 0.5, "malicious").otherwise("benign") if rule == "argmax" else threshold_decision(at)
+    return mean.select(*keep, pred.alias("prediction"), "malware_probability")
 
 
 def fit_all(fits: list[Callable], at_once: int = FITS_AT_ONCE) -> list:
@@ -130,10 +199,10 @@ def out_of_fold(df: DataFrame, pipeline: Pipeline, keep: list[str], k: int = CV_
     table = f"{checkpoint_dir(spark).rstrip('/')}/folds-{uuid.uuid4().hex}"
     splits.stratified_folds(df, k, seed=seed).write.partitionBy("fold").parquet(table)
     folded = spark.read.parquet(table)
-    tasks = folded.count() // ROWS_A_TASK + 1
-    fitted = fit_all([partial(pipeline.fit, folded.where(F.col("fold") != f).coalesce(tasks)) for f in range(k)], at_once)
-    parts = [predictions(model, folded.where(F.col("fold") == f), keep + ["fold"], rule="threshold") for f, model in enumerate(fitted)]
-    return reduce(DataFrame.unionByName, parts)
+    rows = folded.count()
+    tasks = rows // ROWS_A_TASK + 1
+    fits = [(pipeline, folded.where(F.col("fold") != f).coalesce(tasks), folded.where(F.col("fold") == f)) for f in range(k)]
+    return reduce(DataFrame.unionByName, fit_predict_all(fits, rows, keep + ["fold"], "threshold", at_once))
 
 
 def temporal_retrain(fm: DataFrame, pipeline: Pipeline, keep: list[str], eval_year: int = 2024) -> DataFrame:
@@ -153,9 +222,10 @@ def ablation(df: DataFrame, families: dict[str, list[str]], base: list[str] = FE
                                    for n, cols in families.items()]
     everything = list(dict.fromkeys(base + [c for cols in families.values() for c in cols]))
     sets.append(("full", everything))
-    few = train.coalesce(train.count() // ROWS_A_TASK + 1)
-    fitted = fit_all([partial(forest(cols, trees=trees).fit, few) for _, cols in sets])
-    return [(name, predictions(model, test, ["experiment", "label"])) for (name, _), model in zip(sets, fitted)]
+    rows = train.count()
+    few = train.coalesce(rows // ROWS_A_TASK + 1)
+    scored = fit_predict_all([(forest(cols, trees=trees), few, test) for _, cols in sets], rows, ["experiment", "label"])
+    return [(name, pred) for (name, _), pred in zip(sets, scored)]
 
 
 def _as_vectors(df: DataFrame, entries: str, size: int) -> DataFrame:

@@ -42,7 +42,7 @@ def _oof(i: Inputs):
 @register("rf_temporal", None)
 def _rf_temporal(i: Inputs):
     """ML-04: retrain on non-test rows outside 2024, evaluate every 2024 row."""
-    return models.temporal_retrain(_fm(i), models.forest(), KEEP)
+    return models.temporal_retrain(materialize(_fm(i)), models.forest(), KEEP)
 
 
 def _all_features(i: Inputs) -> DataFrame:
