@@ -57,7 +57,10 @@ def _gbt(i: Inputs):
     f = _all_features(i)
     cols = [c for c in f.columns if c not in ("experiment", "year", "label", "test")]
     f = f.select("experiment", "year", "label", "test", *[F.col(c).cast("double").alias(c) for c in cols])
-    return models.fit_predict(f.where(~F.col("test")), f.where(F.col("test")), models.boosted(cols), KEEP)
+    train = f.where(~F.col("test"))
+    # hundreds of rounds of a few short jobs each: a task of few rows costs more to start than to run
+    few = train.coalesce(train.count() // models.ROWS_A_TASK + 1)
+    return models.fit_predict(few, f.where(F.col("test")), models.boosted(cols), KEEP)
 
 
 @register("ablation", None)
