@@ -72,7 +72,7 @@ def test_large_forests_grow_in_parts(spark, monkeypatch):
     assert [n for _, n in models.forest_parts(forest, 80)] == [20]
     monkeypatch.setattr(models, "ROW_TREES", 80 * 12)
     parts = models.forest_parts(forest, 80)
-    assert [n for _, n in parts] == [3] * 6 + [2]
+    assert [n for _, n in parts] == [2] * 10
     assert len({p.getStages()[-1].getSeed() for p, _ in parts}) == len(parts)
     assert [p.getStages()[-1].getNumTrees() for p, _ in parts] == [n for _, n in parts]
     assert forest.getStages()[-1].getNumTrees() == 20

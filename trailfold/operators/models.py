@@ -36,7 +36,7 @@ CV_FOLDS = 10
 # --- end fixed values ---
 FITS_AT_ONCE = 8   # fits at a time: the driver holds as many growing models
 ROW_TREES = 1_200_000   # rows times trees of all forests that grow at a time: a tree has about as many nodes as rows at worst
-PARTS_AT_ONCE = 4   # a forest beyond that grows in parts, so many at a time
+PARTS_AT_ONCE = 6   # a forest beyond its share of that grows in parts, so many at a time
 ROWS_A_TASK = 20_000   # a forest is one job a level: a task of few rows costs more to start than to run
 
 
@@ -115,16 +115,18 @@ def forest_parts(pipeline: Pipeline, rows: int) -> list[tuple[Pipeline, int]]:
     """``pipeline`` in parts of few trees, each with its number of trees: their mean by trees is the forest.
 
     The nodes of a tree grow with the rows it learns from, and the driver holds
-    a model while it grows.  A forest of up to ``ROW_TREES`` is one part; the
-    parts of a larger one have seeds of their own.  Other models are one part.
+    a model while it grows.  A forest of up to ``ROW_TREES / PARTS_AT_ONCE`` is
+    one part, so that several can grow at a time; the parts of a larger one have
+    seeds of their own.  Other models are one part.
     """
     *first, last = pipeline.getStages()
     if not isinstance(last, RandomForestClassifier):
         return [(pipeline, 1)]
     trees, seed = last.getNumTrees(), last.getSeed()
-    if trees * rows <= ROW_TREES:
+    share = ROW_TREES // PARTS_AT_ONCE
+    if trees * rows <= share:
         return [(pipeline, trees)]
-    size = max(1, ROW_TREES // PARTS_AT_ONCE // rows)
+    size = max(1, share // rows)
     sizes = [min(size, trees - at) for at in range(0, trees, size)]
     return [(Pipeline(stages=[*first, last.copy({last.numTrees: n, last.seed: seed + part})]), n)
             for part, n in enumerate(sizes)]
