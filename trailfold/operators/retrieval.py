@@ -117,7 +117,9 @@ def _candidates(targets: DataFrame, pool: DataFrame, k: int, id_col: str, vec_co
         one = [F.lit(0).alias("tile"), F.lit(0).alias("part")]
         t = t.select("*", F.pmod(F.xxhash64("tid"), F.lit(blocks)).cast("int").alias("block"), *one)
         p = p.select("*", *one)
-        return _meet(t, p, k, kind), t, p
+        # one tile: each block visits it, so the pool goes to all of them (a join would have constants for keys)
+        sent = p.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return _tops(t, sent, k, kind), t, p
     centres = angular.choose_centres(p, min(angular.CENTRES, math.ceil(2 * n_p / tile_rows)))
     located = materialize(angular.locate(p, centres, kind))
     tiles, frame = angular.tile_table(located, centres, tile_rows)
@@ -159,6 +161,11 @@ def _meet(visits: DataFrame, pool: DataFrame, k: int, kind: str) -> DataFrame:
     asked = visits.select(*keys).distinct().toDF("b", "t", "p")
     sent = (pool.join(asked, (F.col("tile") == F.col("t")) & (F.col("part") == F.col("p")))
             .select("pid", "vec", F.col("b").alias("block"), F.col("t").alias("tile"), F.col("p").alias("part")))
+    return _tops(visits, sent, k, kind)
+
+
+def _tops(visits: DataFrame, sent: DataFrame, k: int, kind: str) -> DataFrame:
+    keys = ["block", "tile", "part"]
     return (visits.select("tid", "vec", *keys).groupBy(*keys)
             .cogroup(sent.groupBy(*keys))
             .applyInPandas(_tile_topk(k), f"tid {kind}, pid {kind}, dist double, r double"))
