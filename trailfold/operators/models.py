@@ -152,7 +152,7 @@ def fit_predict_all(fits: list[tuple[Pipeline, DataFrame, DataFrame]], rows: int
             jobs.append(partial(_fit_and_score, of_fit[0][0], train, test, keep, rule, table))
             out.append(partial(spark.read.parquet, table))
             continue
-        few = train.coalesce(tasks)
+        few = materialize(train).coalesce(tasks)   # read by every part
         numbered = materialize(test.withColumn("_row", F.monotonically_increasing_id()))
         tables = [f"{table}/part={part}" for part in range(len(of_fit))]
         jobs += [partial(_fit_and_score, pipeline, few, numbered, [*keep, "_row"], rule, at)
