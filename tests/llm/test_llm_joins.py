@@ -134,6 +134,70 @@ def test_join_equals_brute_force(spark, monkeypatch, k, num, region):
     assert got == brute(rows, k, num, 100)
 
 
+def large_cluster(seed, n=90):
+    """One text with few edits, and texts that hold half of it and are linked with few others."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(60)]
+    out = []
+    for i in range(n):
+        text = list(base)
+        if i % 9 == 4:
+            text[30:] = [f"t{i // 27}_{j}" for j in range(30)]
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(2000)}"
+        out.append(" ".join(text))
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("blocks", [2, 24])
+def test_large_clusters_in_blocks_and_points(spark, monkeypatch, blocks):
+    monkeypatch.setattr(J, "REGION", 12)
+    monkeypatch.setattr(J, "BLOCKS", blocks)
+    monkeypatch.setattr(J, "PIVOTS", 4)
+    rows = large_cluster(blocks)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 3, 80, 100)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.near_duplicates(docs, 3, 80, 100).collect()}
+    assert got == want and 1 < len({c for _, c in want.values()}) < 60
+
+
+@pytest.mark.parametrize("blocks", [2, 24])
+def test_a_large_group_yields_few_edges(spark, monkeypatch, blocks):
+    """Each of its many projections gave a spanning forest of its own."""
+    monkeypatch.setattr(J, "REGION", 12)
+    monkeypatch.setattr(J, "BLOCKS", blocks)
+    monkeypatch.setattr(J, "PIVOTS", 4)
+    rows = [(i, " ".join(f"b{j}" if j != i % 60 else f"x{i}" for j in range(60))) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    edges, real = [], J.components
+
+    def noted(links):
+        edges.append(links.count())
+        return real(links)
+
+    monkeypatch.setattr(J, "components", noted)
+    done = J.near_duplicates(docs, 3, 80, 100).collect()
+    assert {r["component_id"] for r in done} == {0}
+    assert edges[-1] < 4 * len(rows)
+
+
+def test_rows_without_copies_are_not_shuffled(spark):
+    """The rows to go were found by a join that shuffled the whole table."""
+    rows = [(i, f"a{i} b{i} c{i} d{i} e{i}") for i in range(200)] + [(200 + i, f"a{i} b{i} c{i} d{i} e{i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = J.one_of_each(docs)
+        got = sorted(r["doc_id"] for r in kept.collect())
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == list(range(200))
+    first = plan[plan.index("Union"):plan.index("SortMergeJoin")]
+    assert "BroadcastHashJoin" in first
+
+
 def test_awkward_documents(spark):
     docs = cases.awkward(spark)
     got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in J.near_duplicates(docs).collect())

@@ -15,9 +15,12 @@ each other, where no pivot tells them apart.  So the space is cut in two steps:
    at most twice the threshold farther away — by the triangle inequality no
    pair is then parted.  Regions are cut again in the same way while that
    helps, and joined exactly.  Clusters too large for a task are cut by Spark
-   jobs, into the documents that agree in one projection and these into
-   Voronoi regions; small ones within a task.  A region that pivots do not cut
-   (all distances alike) is joined in pairs of blocks of bounded size.
+   jobs, into pairs of blocks of bounded size or, where these were many, into
+   the documents that agree in one projection and these into Voronoi regions; small ones within a task.  A region that pivots do not cut
+   (all distances alike) is joined in pairs of blocks of bounded size.  Before
+   that, each document of a large cluster is measured against one it shares
+   most projections with: what these links connect needs no further pair, so
+   projections whose documents are all connected are left out.
 
 Equal sets are one class from the start, and a region yields no list of pairs
 but the edges of a spanning forest of its links.  Sets of 64-bit shingle hashes
@@ -41,6 +44,10 @@ from trailfold.llm.components import components
 #: A region joined in one task: documents and shingles at most.
 REGION, REGION_SHINGLES = 256, 1_500_000
 PIVOTS, TASK_PIVOTS, DIRECT = 6, 8, 48
+#: Times that a document of a large cluster is measured against one before its regions are joined.
+ROUNDS = 3
+#: A cluster of more blocks is cut by its points: a document is in as many pairs of blocks, or in as many points as it has.
+BLOCKS = 24
 #: Voronoi regions may hold so many copies of a document on average.
 COPIES = 2
 GRID = 1.5
@@ -437,7 +444,7 @@ def links_of(texts: DataFrame, sketches: DataFrame, k: int, threshold: Threshold
     sizes = saved(sets.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")))
     fits = (F.col("rows") <= REGION) & (F.col("total") <= REGION_SHINGLES)
     small = (sets.join(sizes.filter(fits).select("component"), "component")
-             .select(F.col("component").alias("region"), F.lit(0).alias("block"), "node", "n", "found"))
+             .select(F.col("component").alias("region"), F.lit(0).alias("block"), "node", "n", "found", F.col("node").alias("label")))
     found = joined(small, threshold, width)
     large = sizes.filter(~fits).select("component")
     with rows_per_batch(texts.sparkSession, SETS_AT_ONCE):
@@ -448,10 +455,10 @@ def links_of(texts: DataFrame, sketches: DataFrame, k: int, threshold: Threshold
 
 
 def joined(regions: DataFrame, threshold: Threshold, width: int) -> DataFrame:
-    """Edges of the links within each region; a task holds one region at a time."""
+    """Edges of the links within each region, but for those between nodes of one label; a task holds one region at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        region, nodes = None, {}
+        region, nodes, labels = None, {}, {}
         root: dict[int, int] = {}          # what the task's regions have joined so far
 
         def find(x: int) -> int:
@@ -464,6 +471,9 @@ def joined(regions: DataFrame, threshold: Threshold, width: int) -> DataFrame:
             names = sorted(nodes)
             if len(root) > SEEN:
                 root.clear()
+            for node, label in labels.items():
+                x, y = find(node), find(label)
+                root[max(x, y)] = min(x, y)
             a_side, b_side = [], []
             for i, j in join_region([nodes[x] for x in names], threshold):
                 x, y = find(names[i]), find(names[j])
@@ -475,13 +485,15 @@ def joined(regions: DataFrame, threshold: Threshold, width: int) -> DataFrame:
 
         for b in batches:
             a_side, b_side = [], []
-            for name, node, raw in zip(b.column("region").to_pylist(), b.column("node").to_pylist(), b.column("found")):
+            for name, node, raw, label in zip(b.column("region").to_pylist(), b.column("node").to_pylist(), b.column("found"),
+                                              b.column("label").to_pylist()):
                 if name != region:
                     if len(nodes) > 1:
                         x, y = done()
                         a_side += x
                         b_side += y
-                    region, nodes = name, {}
+                    region, nodes, labels = name, {}, {}
+                labels[node] = label
                 nodes[node] = np.frombuffer(raw.as_buffer(), np.uint64)
             # views of a batch would hold its memory
             nodes = {n: v.copy() for n, v in nodes.items()}
@@ -492,20 +504,22 @@ def joined(regions: DataFrame, threshold: Threshold, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
     keys = ["region", "block"]
-    return (regions.withColumn("region", F.xxhash64(*keys)).select("region", "node", "found")
+    return (regions.withColumn("region", F.xxhash64(*keys)).select("region", "node", "found", "label")
             .repartition(width, "region").sortWithinPartitions("region").mapInArrow(run, "a long, b long"))
 
 
 def cut_large(sets: DataFrame, threshold: Threshold) -> tuple[DataFrame, DataFrame]:
-    """Regions of large clusters as (region, block, node, n, found), and the links to pivots found on the way.
-
-    A large cluster falls apart into its points first: the documents that
-    agree in one projection.  A point that is still too large is cut into
-    Voronoi regions where that copies a document ``COPIES`` times at most on
-    average, and what remains too large into blocks, every pair of which is a
-    region.
+    """Regions of large clusters as (region, block, node, n, found, label), and the links found on the way.
+
+    Nodes of one label are connected by those links (``labelled``), so only
+    nodes that share a point with another label are joined.  A cluster of at
+    most ``BLOCKS`` blocks is joined by pairs of blocks.  A larger one falls
+    apart into its points first: the documents that agree in one projection.
+    A point that is still too large is cut into Voronoi regions where that
+    copies a document ``COPIES`` times at most on average, and what remains too
+    large into blocks, every pair of which is a region.
     """
-    different = saved(sets.dropDuplicates(["node"]).select("node", "n", "found"))
+    different = saved(sets.dropDuplicates(["node"]).select("component", "node", "n", "found"))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -517,6 +531,18 @@ def cut_large(sets: DataFrame, threshold: Threshold) -> tuple[DataFrame, DataFra
                     ["point", "node", "n"])
 
     placed = saved(different.mapInArrow(project, "point long, node long, n long"))
+    placed, first_links = labelled(placed, different, threshold)
+    labels = saved(placed.select("node", "label").distinct())
+    members = different.select("component", "node", "n").join(labels, "node")
+    per_cluster = saved(members.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"))
+                        .select("component", blocks_for("rows", "total")))
+    few = members.join(per_cluster.filter(F.col("blocks") <= BLOCKS), "component")
+    few = in_blocks(few).select("component", "own", "other", "node")
+    few = few.select(F.col("component").alias("point"), F.xxhash64(F.least("own", "other"), F.greatest("own", "other")).alias("block"), "node")
+    many = members.join(per_cluster.filter(F.col("blocks") > BLOCKS), "component").select("node")
+    if many.isEmpty():
+        return filled(few, different, labels), first_links
+    placed = saved(placed.join(many, "node"))
     sizes = saved(placed.groupBy("point").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")).filter(F.col("rows") > 1))
     fits = (F.col("rows") <= REGION) & (F.col("total") <= REGION_SHINGLES)
     whole = (placed.join(sizes.filter(fits).select("point"), "point")
@@ -524,26 +550,68 @@ def cut_large(sets: DataFrame, threshold: Threshold) -> tuple[DataFrame, DataFra
     wide = saved(placed.join(sizes.filter(~fits), "point").select("point", "rows", "node", "n"))
     cells, direct = voronoi_cells(wide, different, threshold)
     per_cell = saved(cells.groupBy("point", "cell").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"))
-                     .select("point", "cell", F.ceil(F.greatest(F.col("rows") / REGION, F.col("total") / REGION_SHINGLES)).cast("int").alias("parts"))
-                     # pairs of blocks hold two blocks, so these are half as large
-                     .select("point", "cell", F.when(F.col("parts") > 1, 2 * F.col("parts")).otherwise(1).alias("blocks")))
-    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
-    blocks = (cells.join(per_cell, ["point", "cell"]).withColumn("own", own)
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                     .select("point", "cell", blocks_for("rows", "total")))
+    blocks = (in_blocks(cells.join(per_cell, ["point", "cell"]))
               .select("point", F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "node"))
+    rows = few.unionByName(whole).unionByName(blocks)
+    return filled(rows, different, labels), direct.unionByName(first_links)
 
-    def filled(rows: DataFrame) -> DataFrame:
-        return rows.join(different, "node").select(F.col("point").alias("region"), "block", "node", "n", "found")
 
-    return filled(whole).unionByName(filled(blocks)), direct
+def blocks_for(rows: str, total: str) -> Column:
+    """The number of blocks for members of so many rows and shingles: pairs hold two, so these are half as large as a region."""
+    parts = F.ceil(F.greatest(F.col(rows) / REGION, F.col(total) / REGION_SHINGLES)).cast("int")
+    return F.when(parts > 1, 2 * parts).otherwise(1).cast("int").alias("blocks")
 
 
-def voronoi_cells(wide: DataFrame, sets: DataFrame, threshold: Threshold) -> tuple[DataFrame, DataFrame]:
-    """(point, cell, node, n) for members of points, one cell where pivots do not tell them apart; links to pivots."""
-    by_hash = Window.partitionBy("point").orderBy(F.xxhash64("node"), "node")
-    pivots = saved(wide.withColumn("pivot", F.row_number().over(by_hash)).filter(F.col("pivot") <= PIVOTS)
-                   .select("point", "pivot", F.col("node").alias("p_node")).join(
-                       sets.select(F.col("node").alias("p_node"), F.col("found").alias("p_found")), "p_node"))
+def in_blocks(members: DataFrame) -> DataFrame:
+    """Each of ``members`` (node, blocks) once for each pair of its own block and another."""
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
+    return members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+
+def filled(rows: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` (point, block, node) as regions, with the nodes' sets and labels."""
+    return (rows.join(sets.join(labels, "node"), "node")
+            .select(F.col("point").alias("region"), "block", "node", "n", "found", "label"))
+
+
+def labelled(placed: DataFrame, sets: DataFrame, threshold: Threshold) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``placed`` (point, node, n) in points of several labels, with the node's label, and the links behind the labels.
+
+    In each of ``ROUNDS`` rounds a point is headed by the first node in an
+    order of hashes, and a node is measured against the head of most of its
+    points among those of another label; nodes connected by the links so far
+    have one label.
+    """
+    links = None
+    now = placed.withColumn("label", F.col("node"))
+    for turn in range(ROUNDS):
+        heads = (now.groupBy("point").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("nth"), F.col("node").alias("head"),
+                                                         F.col("label").alias("head_label"))).alias("first"),
+                                          F.min("label").alias("low"), F.max("label").alias("high"))
+                 .filter(F.col("low") != F.col("high")).select("point", "first"))
+        now = saved(now.join(heads, "point").select("point", "node", "n", "label", "first.nth", "first.head", "first.head_label"))
+        chosen = (now.filter(F.col("label") != F.col("head_label")).groupBy("node", "nth", "head").agg(F.count(F.lit(1)).alias("points"))
+                  .groupBy("node").agg(F.max(F.struct("points", "nth", "head")).alias("best"))
+                  .select("node", F.col("best.head").alias("p_node")))
+        found = chosen.join(sets.select("node", "found"), "node").join(
+            sets.select(F.col("node").alias("p_node"), F.col("found").alias("p_found")), "p_node")
+        new = saved(measured_pairs(found.select("node", "p_node", "found", "p_found"), "node long, p_node long")
+                    .filter(F.col("both") * threshold.den >= F.col("union") * threshold.num)
+                    .select(F.col("node").alias("a"), F.col("p_node").alias("b")))
+        now = now.select("point", "node", "n", "label")
+        if new.isEmpty():
+            break
+        links = new if links is None else links.unionByName(new)
+        names = saved(components(links)).withColumnRenamed("component", "named")
+        now = now.join(names, "node", "left").select("point", "node", "n", F.coalesce("named", "node").alias("label"))
+    ends = (now.groupBy("point").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+            .filter(F.col("low") != F.col("high")).select("point"))
+    return saved(now.join(ends, "point")), links if links is not None else new
+
+
+def measured_pairs(pairs: DataFrame, keep: str) -> DataFrame:
+    """The columns ``keep`` of ``pairs``, which come first, and sizes of the intersection and union of the sets found, p_found."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -553,12 +621,22 @@ def voronoi_cells(wide: DataFrame, sets: DataFrame, threshold: Threshold) -> tup
                 n = np.intersect1d(x, y, assume_unique=True).size
                 both.append(n)
                 union.append(len(x) + len(y) - n)
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(both, pa.int64()), pa.array(union, pa.int64())],
-                                             ["point", "node", "n", "pivot", "p_node", "both", "union"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(both, pa.int64()), pa.array(union, pa.int64())],
+                                             [*b.schema.names[:-2], "both", "union"])
+
+    return pairs.mapInArrow(measure, f"{keep}, both long, union long")
+
+
+def voronoi_cells(wide: DataFrame, sets: DataFrame, threshold: Threshold) -> tuple[DataFrame, DataFrame]:
+    """(point, cell, node, n) for members of points, one cell where pivots do not tell them apart; links to pivots."""
+    by_hash = Window.partitionBy("point").orderBy(F.xxhash64("node"), "node")
+    pivots = saved(wide.withColumn("pivot", F.row_number().over(by_hash)).filter(F.col("pivot") <= PIVOTS)
+                   .select("point", "pivot", F.col("node").alias("p_node")).join(
+                       sets.select(F.col("node").alias("p_node"), F.col("found").alias("p_found")), "p_node"))
 
-    measured = saved(wide.join(sets.select("node", "found"), "node").join(pivots, "point")
-                     .select("point", "node", "n", "pivot", "p_node", "found", "p_found")
-                     .mapInArrow(measure, "point long, node long, n long, pivot int, p_node long, both long, union long"))
+    pairs = (wide.join(sets.select("node", "found"), "node").join(pivots, "point")
+             .select("point", "node", "n", "pivot", "p_node", "found", "p_found"))
+    measured = saved(measured_pairs(pairs, "point long, node long, n long, pivot int, p_node long"))
     direct = (measured.filter((F.col("both") * threshold.den >= F.col("union") * threshold.num) & (F.col("node") != F.col("p_node")))
               .select(F.col("node").alias("a"), F.col("p_node").alias("b")))
     distance = measured.select("point", "node", "n", "pivot", (1 - F.col("both") / F.col("union")).alias("d"))
@@ -601,12 +679,20 @@ def one_of_each(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_c
                   .agg(F.first(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.text_key") == F.col("text_key"))).alias(stays),
                        F.count(F.lit(1)).alias("rows")).filter(~F.col(stays) | (F.col("rows") > 1)).drop("rows"))
     named = docs.withColumns({name: docs[id_col], key: text_key(docs[text_col])})
+    # a filter of bounded size lets the rows that no mark can meet, most of the table, pass without a shuffle
+    word, bits = fresh("word", docs.columns), fresh("bits", docs.columns)
+    place = F.pmod(F.col(key), F.lit(64 * FILTER_WORDS))
+    bit, of = (place % 64).cast("int"), F.floor(place / 64).cast("int")
+    words = marks.groupBy(of.alias(word)).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias(bits))
+    named = named.withColumn(word, of).join(F.broadcast(words), word, "left")
+    asked = F.coalesce(F.call_function("shiftright", F.col(bits), bit).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    unasked, named = named.filter(~asked), named.filter(asked)
 
     def met(side: DataFrame, how: str) -> DataFrame:
         return named.join(side, named[name].eqNullSafe(side[name]) & (named[key] == side[key]), how)
 
     once = marks.filter(stays)
-    others = met(marks, "left_anti").select(*docs.columns)
+    others = unasked.select(*docs.columns).unionByName(met(marks, "left_anti").select(*docs.columns))
     if once.isEmpty():
         return others
     same = Window.partitionBy(name, key).orderBy(*[F.hash(c) for c in docs.columns])
