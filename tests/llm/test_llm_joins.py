@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from trailfold.llm import components as C
 from trailfold.llm import jaccard_join as J
 from trailfold.llm import words as W
 from trailfold.llm.common import text_bytes
@@ -124,6 +125,20 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_edges_are_connected_without_rounds_of_jobs(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1200)]
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    written = []
+    monkeypatch.setattr(C, "saved", lambda df: written.append(1) or J.saved(df))
+    few = {(r["node"], r["component"]) for r in components(frame).collect()}
+    assert len(written) <= 2
+    monkeypatch.setattr(C, "FEW", 0)
+    monkeypatch.setattr(C, "AT_ONCE", 20)
+    assert {(r["node"], r["component"]) for r in components(frame).collect()} == few
+    assert len(few) == len({x for a, b in edges if a != b for x in (a, b)})
+
+
 @pytest.mark.parametrize("k,num,region", [(3, 90, 256), (5, 80, 256), (3, 80, 12)])
 def test_join_equals_brute_force(spark, monkeypatch, k, num, region):
     monkeypatch.setattr(J, "REGION", region)
