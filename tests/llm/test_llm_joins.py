@@ -1,7 +1,10 @@
 """Words, projections, regions and the whole join against brute force."""
 
+import gc
+import os
 import random
 import re
+import time
 from collections import defaultdict
 
 import llm_cases as cases
@@ -139,6 +142,37 @@ def test_few_edges_are_connected_without_rounds_of_jobs(spark, monkeypatch):
     assert len(few) == len({x for a, b in edges if a != b for x in (a, b)})
 
 
+def test_shuffle_files_of_the_points_go_before_the_sets_are_written(spark, monkeypatch):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        paths = files.getAllFiles().mkString("\n").split("\n")
+        return sum(os.path.getsize(p) for p in paths if "/shuffle_" in p and os.path.exists(p))
+
+    def freed():
+        for _ in range(20):
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.2)
+            if shuffled() <= base + 10_000:
+                break
+        return shuffled() - base
+
+    seen, real = {}, J.saved
+
+    def saved(df):
+        if "found" in df.columns and "component" in df.columns and not seen:
+            seen["sets"] = freed()
+        return real(df)
+
+    base = 1 << 60
+    freed()
+    base = shuffled()
+    monkeypatch.setattr(J, "saved", saved)
+    J.near_duplicates(spark.createDataFrame(copies(3, groups=40), "doc_id long, text string")).count()
+    assert seen["sets"] <= 10_000
+
+
 @pytest.mark.parametrize("k,num,region", [(3, 90, 256), (5, 80, 256), (3, 80, 12)])
 def test_join_equals_brute_force(spark, monkeypatch, k, num, region):
     monkeypatch.setattr(J, "REGION", region)

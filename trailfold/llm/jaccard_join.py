@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailfold.llm import words as W
-from trailfold.llm.common import fresh, rows_per_batch, saved, shuffle_width, text_bytes, text_slices
+from trailfold.llm.common import fresh, remove, rows_per_batch, saved, shuffle_width, text_bytes, text_slices
 from trailfold.llm.components import components
 
 #: A region joined in one task: documents and shingles at most.
@@ -400,15 +400,20 @@ def links_of(texts: DataFrame, sketches: DataFrame, k: int, threshold: Threshold
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges)], ["a", "b"])
 
     keyed = texts.mapInArrow(project, "point long, node long, least int")
-    points = (keyed.repartition(width, "point").sortWithinPartitions("point", "node")
-              .mapInArrow(shared_points, "point long, node long, least int"))
+    points = saved(keyed.repartition(width, "point").sortWithinPartitions("point", "node")
+                   .mapInArrow(shared_points, "point long, node long, least int"))
+    # shuffle files go as soon as they are read: those of the points are most of what the join writes
+    del keyed
+    remove(texts.sparkSession, [])
     # a set goes on only in points of grid values where it shares as many points as a partner would
     own = Window.partitionBy("node", F.col("point").bitwiseAND(F.lit(int(GRID_BITS))))
     points = (points.repartition(width, "node").withColumn("shared", F.count(F.lit(1)).over(own))
               .filter(F.col("shared") >= F.col("least")).select("point", "node"))
     chained = (points.join(sketches, "node").select("point", "node", "n", "sketch")
                .repartition(width, "point").sortWithinPartitions("point").mapInArrow(chain, "a long, b long"))
-    clusters = saved(components(chained.distinct()))
+    clusters = saved(components(chained))
+    del points, chained
+    remove(texts.sparkSession, [])
     if clusters.isEmpty():
         return None
 
@@ -441,6 +446,8 @@ def links_of(texts: DataFrame, sketches: DataFrame, k: int, threshold: Threshold
     sent = texts.mapInArrow(gather, "node long, n long, found binary")
     with rows_per_batch(texts.sparkSession, TEXTS_AT_ONCE):
         sets = saved(sent.join(clusters, "node").select("component", "node", "n", "found"))
+    del sent
+    remove(texts.sparkSession, [])
     sizes = saved(sets.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")))
     fits = (F.col("rows") <= REGION) & (F.col("total") <= REGION_SHINGLES)
     small = (sets.join(sizes.filter(fits).select("component"), "component")
