@@ -75,3 +75,19 @@ def test_an_equal_set_of_nodes_is_passed_once(spark):
     roots = spark.createDataFrame([("e", "n0")], ROOT)
     spans = longest_path._spans(edges, roots).collect()
     assert {r["node"]: r["length"] for r in spans} == {n: 10 if n != "n0" else 1 for n in nodes}
+
+
+def test_states_of_small_components_are_no_rows(spark, monkeypatch):
+    rows = []
+    monkeypatch.setattr(longest_path, "materialize", lambda df, f=longest_path.materialize: (out := f(df), rows.append(out.count()))[0])
+    nodes = [f"n{i}" for i in range(10)]
+    assert found(spark, [("e", a, b) for a in nodes for b in nodes if a != b], [("e", "n0")]) == {"e": 10}
+    assert max(rows) <= 90
+
+
+def test_components_beyond_the_bound_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(longest_path, "SMALL", 3)
+    rng = random.Random(3)
+    edges = [(str(e), f"v{rng.randrange(7)}", f"v{rng.randrange(7)}") for e in range(12) for _ in range(14)]
+    roots = [(str(e), "v0") for e in range(12)]
+    assert found(spark, edges, roots) == search(edges, roots)

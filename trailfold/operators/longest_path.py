@@ -8,6 +8,10 @@ graph without cycles is never listed path by path, however many paths it has.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +20,10 @@ from trailfold.operators.tree import CHECKPOINT_EVERY, _depths_by_level, _togeth
 from trailfold.session import materialize
 
 KEY = ["experiment", "node"]
+#: A component of as few nodes is searched in one row's task, over bit sets of its nodes.
+SMALL = 12
+#: Entries of such components that are searched side by side.
+SIDE_BY_SIDE = 1024
 
 
 def longest_paths(edges: DataFrame, roots: DataFrame, reached: DataFrame) -> DataFrame:
@@ -38,7 +46,14 @@ def longest_paths(edges: DataFrame, roots: DataFrame, reached: DataFrame) -> Dat
     between = edges.where(~same)
     entries = (between.where(F.col("child_comp").isNotNull()).select("experiment", F.col("child").alias("node"))
                .unionByName(roots.select(*KEY).join(members, KEY, "left_semi")).distinct())
-    spans = materialize(_spans(edges.where(same), entries))
+    whole = ["experiment", "comp"]
+    wide = members.groupBy(*whole).agg(F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") > SMALL).select(*whole)
+    wide = materialize(members.join(wide, whole, "left_semi"))
+    inner = edges.where(same)
+    spans = _small_spans(inner.join(wide, KEY, "left_anti"), entries.join(members, KEY).join(wide, KEY, "left_anti"))
+    if not wide.isEmpty():
+        spans = spans.unionByName(_spans(inner.join(wide, KEY, "left_semi"), entries.join(wide, KEY, "left_semi")))
+    spans = materialize(spans)
     hops = materialize(between.join(spans, KEY, "left")
                        .groupBy("experiment", F.coalesce("entry", "node").alias("node"), "child")
                        .agg(F.max(F.coalesce("length", F.lit(1))).alias("length")))
@@ -79,6 +94,70 @@ def _spans(inner: DataFrame, entries: DataFrame) -> DataFrame:
     return _longest(found or [paths.select("experiment", "entry", "node", F.size("passed").alias("length"))])
 
 
+def _small_spans(inner: DataFrame, entries: DataFrame) -> DataFrame:
+    """``_spans`` for components of at most ``SMALL`` nodes; both tables name the component (comp) as well.
+
+    A row holds one component and one of its entries: the states of the search,
+    many times the edges, stay in the task.
+    """
+    graphs = inner.groupBy("experiment", "comp").agg(F.collect_list(F.struct("node", "child")).alias("e"))
+    ends = lambda end: F.coalesce(F.col(f"e.{end}"), F.array().cast(f"array<{kind}>"))
+    kind = entries.schema["node"].dataType.simpleString()
+    asked = (entries.join(graphs, ["experiment", "comp"], "left")
+             .select("experiment", F.col("node").alias("entry"), F.array_append(ends("node"), F.col("node")).alias("a"),
+                     F.array_append(ends("child"), F.col("node")).alias("b")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SIDE_BY_SIDE):
+                batch = whole.slice(at, SIDE_BY_SIDE)
+                a, b = batch.column("a"), batch.column("b")
+                ends = pa.concat_arrays([batch.column("entry"), a.flatten(), b.flatten()]).dictionary_encode()
+                code, n = ends.indices.to_numpy(zero_copy_only=False).astype(np.int64), batch.num_rows
+                row = np.repeat(np.arange(n), a.value_lengths().to_numpy(zero_copy_only=False))
+                owner = np.concatenate([np.arange(n), row, row])
+                nodes, place = np.unique(owner * len(ends.dictionary) + code, return_inverse=True)
+                of = nodes // len(ends.dictionary)
+                place = place - np.searchsorted(of, owner)
+                length = _longest_by_bits(n, place[:n], row, place[n:n + len(row)], place[n + len(row):])
+                node = np.arange(len(nodes)) - np.searchsorted(of, of)
+                got = np.flatnonzero(length[node, of])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("experiment").take(pa.array(of[got])), batch.column("entry").take(pa.array(of[got])),
+                     ends.dictionary.take(pa.array(nodes[got] % len(ends.dictionary))),
+                     pa.array(length[node[got], of[got]].astype(np.int32))], ["experiment", "entry", "node", "length"])
+
+    name = entries.schema["experiment"].dataType.simpleString()
+    return asked.mapInArrow(run, f"experiment {name}, entry {kind}, node {kind}, length int")
+
+
+def _longest_by_bits(n: int, start: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Nodes on the longest simple path to each node (first axis) of ``n`` graphs (second), 0 where there is none.
+
+    ``start``: the graphs' first nodes; ``row``, ``a``, ``b``: edges.  For each
+    set of nodes, the nodes at which a path that passed just these can end are
+    one number of bits; a set is reached from those that lack one of its nodes.
+    """
+    size = int(max(start.max(initial=0), a.max(initial=0), b.max(initial=0))) + 1
+    into = np.zeros((size, n), np.int64)
+    np.bitwise_or.at(into, (b, row), 1 << a)
+    ends = np.zeros((1 << size, n), np.int16)
+    ends[1 << start, np.arange(n)] = 1 << start
+    length = np.zeros((size, n), np.int64)
+    into = into.astype(np.int16)
+    for passed in range(1, 1 << size):
+        now = ends[passed]
+        for v in range(size):
+            if passed >> v & 1 and passed != 1 << v:
+                now |= ((ends[passed ^ 1 << v] & into[v]) != 0).astype(np.int16) << np.int16(v)
+        if not now.any():
+            continue
+        for v in range(size):
+            if passed >> v & 1:
+                np.maximum(length[v], np.where(now >> np.int16(v) & 1, passed.bit_count(), 0), out=length[v])
+    return length
+
+
 def _longest(found: list[DataFrame]) -> DataFrame:
     return _together(found).groupBy("experiment", "entry", "node").agg(F.max("length").alias("length"))
 
