@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from trailfold.operators.folds import by_experiment
 
 MAX_RUNS_SHOWN = 40
+BLOCK = 4096   # positions of an experiment that one task sorts at once
 
 
 def with_previous(trace: DataFrame) -> DataFrame:
@@ -76,23 +77,25 @@ def run_starts(trace: DataFrame) -> DataFrame:
 def rle_runs(trace: DataFrame) -> DataFrame:
     """WN-02: ``experiment, run_no, rule, run_len`` — every run, in order.
 
-    Run boundaries come from the join-based predecessor.  Run numbers are
-    exact positions of the run starts inside their experiment, computed by
-    ``position_within`` (global sort + partition offsets), so a hot
-    experiment's starts are numbered by many tasks; a run's length is the
-    distance to the next start, found by an equi-join on ``run_no + 1``.
-    The last run ends at the experiment's last event.
+    The starts are numbered inside blocks of ``BLOCK`` positions, of which a hot
+    experiment has many, so that its starts are numbered by many tasks; what
+    lies before a block, and the start after it, come from a small table of
+    blocks.  A run's length is the distance to the next start; the last run
+    ends at the experiment's last event.  The events are shuffled once.
     """
-    from trailfold.functions.ranking import position_within
-    starts = position_within(run_starts(trace), ["experiment"], [F.col("ingest_seq")], out="run_no")
-    nxt = starts.select("experiment", (F.col("run_no") - 1).alias("run_no"), F.col("ingest_seq").alias("next_seq"))
-    total = by_experiment(trace).select("experiment", "last_seq")
-    r = starts.join(nxt, ["experiment", "run_no"], "left")
-    # only an experiment's last run, one row each, meets the experiment's end
-    last = r.where(F.col("next_seq").isNull()).drop("next_seq").join(total.withColumn("next_seq", F.col("last_seq") + 1), "experiment")
-    r = r.where(F.col("next_seq").isNotNull()).unionByName(last.drop("last_seq"))
-    return r.select("experiment", F.col("run_no").cast("long").alias("run_no"), "rule",
-                    (F.col("next_seq") - F.col("ingest_seq")).cast("long").alias("run_len"))
+    block = ["experiment", "block"]
+    starts = run_starts(trace).withColumn("block", F.floor(F.col("ingest_seq") / BLOCK))
+    per = starts.groupBy(*block).agg(F.count(F.lit(1)).alias("starts"), F.min("ingest_seq").alias("first_seq"))
+    by_block = Window.partitionBy("experiment").orderBy("block")
+    per = (per.withColumn("before", F.coalesce(F.sum("starts").over(by_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+           .withColumn("after", F.lead("first_seq").over(by_block)))
+    total = by_experiment(trace).select("experiment", (F.col("last_seq") + 1).alias("end"))
+    per = per.join(total, "experiment").select(*block, "before", F.coalesce("after", "end").alias("after"))
+    inside = Window.partitionBy(*block).orderBy("ingest_seq")
+    r = (starts.withColumn("nth", F.row_number().over(inside)).withColumn("next_seq", F.lead("ingest_seq").over(inside))
+         .join(per, block))
+    return r.select("experiment", (F.col("before") + F.col("nth")).cast("long").alias("run_no"), "rule",
+                    (F.coalesce("next_seq", "after") - F.col("ingest_seq")).cast("long").alias("run_len"))
 
 
 def _render(rule, n):
@@ -137,17 +140,22 @@ def rle_text(trace: DataFrame) -> DataFrame:
 def rle_ngrams(trace: DataFrame, n_min: int = 2, n_max: int = 4) -> DataFrame:
     """WN-12: n-grams (n = 2..4) over the run-length rule sequence.
 
-    ``experiment, n, gram, cnt`` with grams joined by ``' '``.  Built by
-    equi-joins on ``(experiment, run_no + j)`` — no per-experiment arrays.
+    ``experiment, n, gram, cnt`` with grams joined by ``' '``.  Runs are put
+    into blocks of ``BLOCK`` runs of an experiment, those that begin a block
+    also at the end of the block before, so that a gram lies in one block and no
+    task sorts an experiment: the runs are shuffled once, whatever ``n_max``.
     """
     runs = rle_runs(trace).select("experiment", "run_no", "rule")
-    acc = runs.select("experiment", "run_no", F.col("rule").alias("gram"))
-    out = None
-    for n in range(2, n_max + 1):
-        nxt = runs.select("experiment", (F.col("run_no") - (n - 1)).alias("run_no"), F.col("rule").alias("r"))
-        acc = (acc.join(nxt, ["experiment", "run_no"])
-               .select("experiment", "run_no", F.concat_ws(" ", "gram", "r").alias("gram")))
-        if n >= n_min:
-            g = acc.groupBy("experiment", "gram").agg(F.count(F.lit(1)).alias("cnt")).withColumn("n", F.lit(n))
-            out = g if out is None else out.unionByName(g)
+    block, into = F.floor((F.col("run_no") - 1) / BLOCK), (F.col("run_no") - 1) % BLOCK
+    again = F.when((into < n_max - 1) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    runs = runs.withColumn("block", F.explode(again))
+    w = Window.partitionBy("experiment", "block").orderBy("run_no")
+    runs = runs.withColumns({f"r{j}": F.lead(F.struct("run_no", "rule"), j).over(w) for j in range(1, n_max)})
+    # a run that was put there from the next block begins no gram here
+    runs = runs.where(F.floor((F.col("run_no") - 1) / BLOCK) == F.col("block"))
+    gram = lambda n: F.concat_ws(" ", "rule", *[f"r{j}.rule" for j in range(1, n)])
+    grams = F.array(*[F.when(F.col(f"r{n - 1}").isNotNull(), F.struct(F.lit(n).alias("n"), gram(n).alias("gram")))
+                      for n in range(n_min, n_max + 1)])
+    out = (runs.select("experiment", F.explode(grams).alias("g")).where(F.col("g").isNotNull())
+           .groupBy("experiment", "g.n", "g.gram").agg(F.count(F.lit(1)).alias("cnt")))
     return out.select("experiment", F.col("n").cast("int").alias("n"), "gram", F.col("cnt").cast("long").alias("cnt"))
