@@ -1,7 +1,8 @@
 """Model training and inference with MLlib (ML-01..10).
 
-Learning is MLlib's distributed tree/linear training; nothing is collected.
-Large forests grow in parts of few trees, as the driver holds what grows.
+Learning is MLlib's distributed tree/linear training.  Large forests grow tree by tree in
+tasks (``forests``) if their rows, one byte a feature, fit one; else in parts of
+few trees, as the driver holds what MLlib grows.
 Probabilities are read by class *name* (``StringIndexer`` with alphabetical
 order: benign = 0, malicious = 1), never by position assumptions.
 Forest parity with other libraries is behavioural, not bitwise (binning,
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from trailfold.operators import splits
+from trailfold.operators import forests, splits
 from trailfold.schemas import FEATURES
 from trailfold.session import checkpoint_dir, materialize
 
@@ -136,11 +137,23 @@ def fit_predict_all(fits: list[tuple[Pipeline, DataFrame, DataFrame]], rows: int
                     rule: str = "argmax", at_once: int = FITS_AT_ONCE) -> list[DataFrame]:
     """``predictions`` of each (pipeline, train, test), ``rows`` being the most rows that one learns from.
 
-    A model scores its rows as soon as it is fit and is dropped: the scores are
+    Large forests grow in tasks if they can (``grown_in_tasks``).  Any other model
+    scores its rows as soon as it is fit and is dropped: the scores are
     written, and the driver holds no more than the models that grow, together
     of at most ``ROW_TREES``.  The scores of a forest's parts are added up by row.
     """
     parts = [forest_parts(pipeline, rows) for pipeline, _, _ in fits]
+    grown = None
+    if all(len(of_fit) > 1 for of_fit in parts):
+        frames = {id(x): x for _, *both in fits for x in both}
+        numbers = {x: i for i, x in enumerate(frames)}
+        used = {*keep, "label", *(c for p, _, _ in fits for c in p.getStages()[0].getInputCols())}
+        table = reduce(partial(DataFrame.unionByName, allowMissingColumns=True),
+                       [x.select(*[c for c in x.columns if c in used], F.lit(i).alias("_group")) for i, x in enumerate(frames.values())])
+        grown = grown_in_tasks(table, [(p, [numbers[id(train)]], [numbers[id(test)]]) for p, train, test in fits])
+    if grown:
+        numbered, scores = grown
+        return [_decided(numbered.join(scores.where(F.col("_fit") == i), "_row"), keep, rule) for i in range(len(fits))]
     trees = max(n for of_fit in parts for _, n in of_fit)
     at_once = min(at_once, max(1, ROW_TREES // max(1, trees * rows)))
     tasks = rows // ROWS_A_TASK + 1
@@ -173,10 +186,40 @@ def _mean_of_parts(spark: SparkSession, table: str, trees: list[int], keep: list
     each = F.array_sort(F.collect_list(F.struct("part", (F.col("malware_probability") * weight).alias("p"))))
     votes = F.aggregate(each, F.lit(0.0), lambda total, e: total + e["p"])
     p = F.least(F.lit(1.0), votes / sum(trees))
-    mean = scores.groupBy("_row", *keep).agg(p.alias("malware_probability"))
-    at = F.col("malware_probability")
-    pred = F.when(at > 0.5, "malicious").otherwise("benign") if rule == "argmax" else threshold_decision(at)
-    return mean.select(*keep, pred.alias("prediction"), "malware_probability")
+    return _decided(scores.groupBy("_row", *keep).agg(p.alias("_p")), keep, rule)
+
+
+def _decided(scores: DataFrame, keep: list[str], rule: str) -> DataFrame:
+    p = F.col("_p")
+    pred = F.when(p > 0.5, "malicious").otherwise("benign") if rule == "argmax" else threshold_decision(p)
+    return scores.select(*keep, pred.alias("prediction"), p.alias("malware_probability"))
+
+
+def grown_in_tasks(table: DataFrame, fits: list[tuple[Pipeline, list[int], list[int]]]) -> tuple[DataFrame, DataFrame] | None:
+    """``table`` with a number a row (``_row``), and ``forests.probabilities``: of each forest, the groups it learns from and scores.
+
+    None, for MLlib to do it or refuse it, if the rows are too many for a task, if their labels are not two that each
+    forest learns, or if a learning row has a feature that is missing or infinite.
+    """
+    numbered = materialize(table.withColumn("_row", F.monotonically_increasing_id()))
+    groups = {g["_group"]: g for g in numbered.groupBy("_group").agg(
+        F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).collect()}
+    last = [pipeline.getStages()[-1] for pipeline, _, _ in fits]
+    grow = [forests.Forest(tuple(p.getStages()[0].getInputCols()), f.getNumTrees(), f.getSeed(), f.getMaxDepth(), f.getMaxBins(),
+                           frozenset(learns), frozenset(scores)) for f, (p, learns, scores) in zip(last, fits)]
+    both = {x for f in grow for g in f.learns | f.scores if g in groups for x in (groups[g]["low"], groups[g]["high"])}
+    learned = [{x for g in f.learns if g in groups for x in (groups[g]["low"], groups[g]["high"])} for f in grow]
+    odd = F.col("label").isNull() | ~F.col("label").isin(*both)
+    finite = reduce(Column.__and__, [F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False))
+                                     for c in sorted({c for f in grow for c in f.features})])
+    odd = odd | F.col("_group").isin(sorted({g for f in grow for g in f.learns})) & ~finite
+    if (len(both) != 2 or None in both or any(x != both for x in learned)
+            or forests.table_bytes(sum(g["n"] for g in groups.values()), grow) > forests.TABLE_BYTES
+            or not numbered.where(odd).isEmpty()):
+        return None
+    rows = numbered.withColumns({"_y": (F.col("label") == max(both)).cast("int"), "_order": F.xxhash64(*table.columns)})
+    scores = forests.probabilities(rows, grow, [sum(groups[g]["n"] for g in f.learns if g in groups) for f in grow])
+    return numbered, scores
 
 
 def fit_all(fits: list[Callable], at_once: int = FITS_AT_ONCE) -> list:
