@@ -74,6 +74,20 @@ def test_large_forests_grow_in_tasks(spark, monkeypatch):
     assert np.corrcoef(mine, theirs)[0, 1] > 0.9 and abs(np.mean(mine) - np.mean(theirs)) < 0.05
 
 
+def test_folds_are_scored_by_forests_of_the_others(spark, monkeypatch):
+    """Labels that only a row itself could tell are not found out of fold."""
+    rows = [(str(i), "malicious" if hash((i * 7919 % 1009) % 2) else "benign", float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "experiment string, label string, a double")
+    monkeypatch.setattr(models, "ROW_TREES", 400 * 12)
+    monkeypatch.setattr(models, "_fit_and_score", None)
+    got = models.out_of_fold(df, models.forest(["a"], trees=30), ["experiment", "label"], k=4)
+    assert got.columns == ["experiment", "label", "fold", "prediction", "malware_probability"]
+    got = got.collect()
+    assert sorted(r.experiment for r in got) == sorted(r[0] for r in rows)
+    assert sum(r.prediction == r.label for r in got) < 320
+    assert all((r.malware_probability >= 0.5) == (r.prediction == "malicious") for r in got)
+
+
 def test_missing_features_and_labels_are_refused_as_before(spark, monkeypatch):
     _, df = _rows(spark, missing=True)
     monkeypatch.setattr(models, "ROW_TREES", 300 * 12)

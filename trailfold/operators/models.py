@@ -246,6 +246,11 @@ def out_of_fold(df: DataFrame, pipeline: Pipeline, keep: list[str], k: int = CV_
     folded = spark.read.parquet(table)
     rows = folded.count()
     tasks = rows // ROWS_A_TASK + 1
+    if len(forest_parts(pipeline, rows)) > 1:
+        folds = range(k)
+        grown = grown_in_tasks(folded.withColumn("_group", F.col("fold")), [(pipeline, [g for g in folds if g != f], [f]) for f in folds])
+        if grown:
+            return _decided(grown[0].join(grown[1], "_row"), keep + ["fold"], "threshold")
     fits = [(pipeline, folded.where(F.col("fold") != f).coalesce(tasks), folded.where(F.col("fold") == f)) for f in range(k)]
     return reduce(DataFrame.unionByName, fit_predict_all(fits, rows, keep + ["fold"], "threshold", at_once))
 
