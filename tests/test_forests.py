@@ -88,6 +88,18 @@ def test_folds_are_scored_by_forests_of_the_others(spark, monkeypatch):
     assert all((r.malware_probability >= 0.5) == (r.prediction == "malicious") for r in got)
 
 
+def test_variants_share_one_table(spark, monkeypatch):
+    rows, df = _rows(spark)
+    monkeypatch.setattr(models, "ROW_TREES", 300 * 12)
+    monkeypatch.setattr(models, "_fit_and_score", None)
+    out = dict(models.ablation(df, {"B": ["b"]}, base=["a"], trees=40))
+    assert list(out) == ["baseline", "+B", "full"]
+    for pred in out.values():
+        got = pred.collect()
+        assert sorted((r.experiment or "", r.label) for r in got) == sorted((r[0] or "", r[1]) for r in rows if r[4])
+        assert sum(r.prediction == r.label for r in got) / len(got) > 0.75
+
+
 def test_missing_features_and_labels_are_refused_as_before(spark, monkeypatch):
     _, df = _rows(spark, missing=True)
     monkeypatch.setattr(models, "ROW_TREES", 300 * 12)
